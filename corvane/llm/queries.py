@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from corvane.llm import mixing
+from corvane.llm import mixing, secrets
 
 
 def queries() -> dict:
-    return {"op6_mixing": mixing.op6_mixing}
+    return {"op6_mixing": mixing.op6_mixing, "op8_secrets": secrets.op8_secrets}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": mixing.OP6_SQL}
+    return {"op6_mixing": mixing.OP6_SQL, "op8_secrets": secrets.OP8_SQL}
