@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from corvane.llm import mixing, secrets
+from corvane.llm import mixing, quality, secrets
 
 
 def queries() -> dict:
-    return {"op6_mixing": mixing.op6_mixing, "op8_secrets": secrets.op8_secrets}
+    return {"op2_quality": quality.op2_quality, "op6_mixing": mixing.op6_mixing, "op8_secrets": secrets.op8_secrets}
 
 
 def oracle_sql() -> dict[str, str]:
