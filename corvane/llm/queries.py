@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from corvane.llm import mixing, pieces, quality, secrets
+from corvane.llm import media, mixing, pieces, quality, secrets
 
 
 def queries() -> dict:
-    return {"op2_quality": quality.op2_quality, "op4_pieces": pieces.op4_pieces, "op6_mixing": mixing.op6_mixing, "op8_secrets": secrets.op8_secrets}
+    return {"op2_quality": quality.op2_quality, "op3_media": media.op3_media, "op4_pieces": pieces.op4_pieces, "op6_mixing": mixing.op6_mixing, "op8_secrets": secrets.op8_secrets}
 
 
 def oracle_sql() -> dict[str, str]:
