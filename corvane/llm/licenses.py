@@ -6,7 +6,7 @@ ceil(L / 4) words, so an occurrence lies whole in one window, whose Jaccard simi
 0.8 is then above 0.38. With one row a band, BANDS = 32 bands miss such a window with a probability below 1 in 4 million.
 A retrieved window is verified on its shingles themselves: it must hold at least 80% of the template's.
 
-Only texts with a cover word are windowed. Cover words are chosen from the templates so that every one of their shingles
+Only texts with a cover word are windowed, and only windows with one are hashed. Cover words are chosen from the templates so that every one of their shingles
 holds one; a window without any cover word therefore shares no shingle with a template, and nothing is lost.
 The templates are a parameter, a short list; only they are broadcast, and their number is checked against MOST.
 
@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.shared import held, let, table
+from corvane.llm.spots import COMMON
 
 SHINGLE = 5
 LEAST = 0.8
@@ -77,12 +78,13 @@ def stride(length: int) -> int:
 
 
 def cover(templates: dict[str, str]) -> list[str]:
-    """Words such that every shingle of every template holds one: the longest first, until all are held."""
+    """Words such that every shingle of every template holds one: uncommon and long ones first, until all are held."""
+    common = {w for words in COMMON.values() for w in words.split()}
     open_ = {tuple(w[i : i + SHINGLE]) for w in map(words_of, templates.values()) for i in range(len(w) - SHINGLE + 1)}
     out = []
     while open_:
         held_by = Counter(w for s in open_ for w in set(s))
-        best = max(held_by, key=lambda w: (min(len(w), 7), held_by[w], w))
+        best = max(held_by, key=lambda w: (w not in common, min(len(w), 7), held_by[w], w))
         out.append(best)
         open_ = {s for s in open_ if best not in s}
     return sorted(out)
@@ -123,7 +125,8 @@ def scanned(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame
     spark = docs.sparkSession
     wanted = _templates(spark, templates)
     listed = held(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "words", words(F.col("text"))).drop("text")
-    likely = listed.where(F.arrays_overlap("words", F.array(*[F.lit(w) for w in cover(templates)])))
+    telling = F.array(*[F.lit(w) for w in cover(templates)])
+    likely = listed.where(F.arrays_overlap("words", telling))
     lengths = sorted(set(classes(templates).values()))
 
     def windows(length: int) -> Column:
@@ -133,6 +136,7 @@ def scanned(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame
         return F.transform(F.sequence(F.lit(1), last, F.lit(step)), lambda i: F.struct(F.lit(length).alias("class"), F.slice(F.col("words"), i, size).alias("window")))
 
     cut = likely.select("doc_id", F.explode(F.concat(*[windows(n) for n in lengths])).alias("w"))
+    cut = cut.where(F.arrays_overlap("w.window", telling))
     cut = held(cut.select("doc_id", "w.class", F.col("w.window").alias("window")), "shingles", shingles(F.col("window"))).drop("window").where(F.size("shingles") > 0)
     keyed = cut.select("*", F.explode(bands(F.col("shingles"))).alias("band"))
     index = wanted.select("license", "class", "wanted", F.explode(bands(F.col("wanted"))).alias("band"))
