@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from corvane.llm import licenses, media, mixing, pieces, quality, secrets, spots
+from corvane.llm import licenses, media, mixing, neardup, pieces, quality, secrets, spots
 
 
 def queries() -> dict:
-    return {"op1_licenses": licenses.op1_licenses, "op2_quality": quality.op2_quality, "op3_media": media.op3_media, "op4_pieces": pieces.op4_pieces, "op5_fingerprints": spots.op5_fingerprints, "op6_mixing": mixing.op6_mixing, "op8_secrets": secrets.op8_secrets}
+    return {"op1_licenses": licenses.op1_licenses, "op2_quality": quality.op2_quality, "op3_media": media.op3_media, "op4_pieces": pieces.op4_pieces, "op5_fingerprints": spots.op5_fingerprints, "op6_mixing": mixing.op6_mixing, "op8_secrets": secrets.op8_secrets, "op9_neardup": neardup.op9_neardup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_licenses": licenses.OP1_SQL, "op6_mixing": mixing.OP6_SQL, "op8_secrets": secrets.OP8_SQL}
+    return {"op1_licenses": licenses.OP1_SQL, "op6_mixing": mixing.OP6_SQL, "op8_secrets": secrets.OP8_SQL, "op9_neardup": neardup.OP9_SQL}
