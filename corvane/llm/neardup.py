@@ -7,9 +7,10 @@ estimates how many samples differ; a candidate goes on only if that count is pos
 below 1e-8. What goes on is confirmed on the full sets.
 
 Documents of equal sets are one node from the start, so copies cost nothing. A band's nodes are not paired with each other: each
-is first compared with two pivots of the band, then with the member that has most links so far, and components are formed. Only nodes of
-a band that are still in different components are then compared pairwise, so no link between components is lost, while
-a large group of near copies costs a number of comparisons in proportion to its size.
+is first compared with two pivots of the band, then with the member that has most links so far, and components are formed. Bands of one such hub are then taken together as a group. Where a group still holds several components,
+the rows outside its commonest one are compared with all others on the full sets, in square cells of at most about CELL
+shingles a side, which many tasks share; only links leave a cell. So no link between components is lost, and rows that the
+pivots have linked already are not compared again with each other.
 
 Sets travel only for nodes that share a band; the comparisons, components and labels are tables in the shared
 folder, and nothing is collected but counts.
@@ -38,6 +39,8 @@ ROWS, BANDS = 4, 24
 SAMPLES = ROWS * BANDS
 #: Bits of an odd sketch.
 SKETCH = 256
+#: Shingles that one side of a cell aims at.
+CELL = 400_000
 _ODD = np.random.default_rng(9).integers(1, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -133,21 +136,39 @@ def _confirmed(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
     return both.where(100 * shared >= LEAST * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
 
 
-def _rows(nodes: DataFrame, members: DataFrame, labels: DataFrame) -> DataFrame:
-    """The members of bands that hold more than one component, with what a comparison needs."""
-    placed = members.join(labels, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
-    several = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
-    return placed.join(several, "band").join(nodes.select("node", "n_shingles", "sketch", "bands"), "node")
-
-
-def _across(rows: DataFrame) -> DataFrame:
-    """The likely pairs (a, b) of one band and two components, each from the first band that both have."""
-    a = rows.select("band", *[F.col(c).alias(f"{c}_a") for c in rows.columns if c != "band"])
-    b = rows.select("band", *[F.col(c).alias(f"{c}_b") for c in rows.columns if c != "band"])
-    sized = 100 * F.least("n_shingles_a", "n_shingles_b") >= LEAST * F.greatest("n_shingles_a", "n_shingles_b")
-    first = F.get(F.array_intersect("bands_a", "bands_b"), 0) == a["band"]
-    likely = (F.col("component_a") < F.col("component_b")) & sized & (differing(F.col("sketch_a"), F.col("sketch_b")) <= sketch_limit()) & first
-    return a.join(b, (a["band"] == b["band"]) & likely).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+def _cell(cell: pa.Table) -> pa.Table:
+    """The links between rows of different components: every row outside the commonest component against all rows."""
+    node = cell.column("node").to_numpy()
+    component = cell.column("component").to_numpy()
+    lists = cell.column("shingles").combine_chunks()
+    bounds = np.asarray(lists.offsets).astype(np.int64)
+    ids = np.unique(lists.values.to_numpy()[bounds[0] : bounds[-1]], return_inverse=True)[1]
+    bounds -= bounds[0]
+    size = np.diff(bounds)
+    kinds, counts = np.unique(component, return_counts=True)
+    mark = np.zeros(len(ids) + 1, bool)
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i in np.flatnonzero(component != kinds[counts.argmax()]):
+        own = ids[bounds[i] : bounds[i + 1]]
+        mark[own] = True
+        shared = np.add.reduceat(mark[ids], bounds[:-1], dtype=np.int64)
+        mark[own] = False
+        found = np.flatnonzero((component != component[i]) & (100 * shared >= LEAST * (size + size[i] - shared)))
+        a.append(np.full(len(found), node[i]))
+        b.append(node[found])
+    a, b = np.concatenate(a), np.concatenate(b)
+    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+
+def _across(grouped: DataFrame, labels: DataFrame, nodes: DataFrame, shingles: DataFrame) -> DataFrame:
+    """The links between components that meet in a group (group, node), group by group in square cells of bounded size."""
+    placed = grouped.join(labels, "node", "left").select("group", "node", F.coalesce("component", "node").alias("component")).join(nodes.select("node", "n_shingles"), "node")
+    several = placed.groupBy("group").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.sum("n_shingles") / CELL).alias("parts")).where("low < high")
+    open_ = placed.join(several.select("group", "parts"), "group")
+    part = F.pmod(F.xxhash64("node"), F.col("parts"))
+    cells = open_.select("group", "node", "component", part.alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
+    cells = cells.select("group", "node", "component", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
+    return cells.join(shingles, "node").groupBy("group", "low", "high").applyInArrow(_cell, "a long, b long").distinct()
 
 
 def _links(given: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -165,11 +186,12 @@ def _links(given: DataFrame, nodes: DataFrame) -> DataFrame:
     pair = lambda c: members.where(F.col("node") != F.col(c)).select(F.least("node", c).alias("a"), F.greatest("node", c).alias("b"))
     links = compared(pair("low").union(pair("high")))
     degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("degree"))
-    hubs = members.join(degree, "node").groupBy("band").agg(F.max_by("node", F.struct("degree", "node")).alias("hub"))
-    spokes = members.join(hubs, "band").where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+    hubs = members.join(degree, "node").groupBy("band").agg(F.max(F.struct("degree", "node")).alias("hub"))
+    hubbed = members.join(hubs, "band", "left").select("node", F.coalesce("hub.node", "low").alias("hub")).distinct()
+    hubbed = saved(hubbed, "hubs")
+    spokes = hubbed.where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
     links = links.union(compared(spokes))
-    rest = saved(_across(_rows(nodes, members, components(links))), "rest")
-    return components(links.union(saved(_confirmed(rest, shingles), "links")))
+    return components(links.union(_across(hubbed.withColumnRenamed("hub", "group"), components(links), nodes, shingles)))
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -193,7 +215,8 @@ def op9_neardup(spark, sf_dir: str) -> DataFrame:
 
 OP9_SQL = r"""
 WITH RECURSIVE docs AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda x: x <> '') AS w FROM documents),
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-
+]+'), lambda x: x <> '') AS w FROM documents),
 sets AS (
   SELECT DISTINCT doc_id, s FROM (
     SELECT doc_id, unnest(CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) WHEN len(w) = 1 THEN [w[1]] ELSE [] END) AS s FROM docs)),
