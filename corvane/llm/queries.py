@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from corvane.llm import licenses, media, mixing, neardup, pieces, quality, secrets, spots
+from corvane.llm import licenses, media, mixing, neardup, pieces, quality, secrets, spots, suffixes
 
 
 def queries() -> dict:
-    return {"op1_licenses": licenses.op1_licenses, "op2_quality": quality.op2_quality, "op3_media": media.op3_media, "op4_pieces": pieces.op4_pieces, "op5_fingerprints": spots.op5_fingerprints, "op6_mixing": mixing.op6_mixing, "op8_secrets": secrets.op8_secrets, "op9_neardup": neardup.op9_neardup}
+    return {"op1_licenses": licenses.op1_licenses, "op2_quality": quality.op2_quality, "op3_media": media.op3_media, "op4_pieces": pieces.op4_pieces, "op5_fingerprints": spots.op5_fingerprints, "op6_mixing": mixing.op6_mixing, "op8_secrets": secrets.op8_secrets, "op9_neardup": neardup.op9_neardup, "op10_suffixes": suffixes.op10_suffixes}
 
 
 def oracle_sql() -> dict[str, str]:
