@@ -152,7 +152,7 @@ def deduplicated(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, block_by
     """doc_id, n_words, the removed spans (starts, ends: word places) and the words kept, joined by a space, of every row of docs."""
     tokens = _tokens(gram)
     blocked, n = windows.blocks(docs, block_bytes)
-    anchors = windows.repeated_anchors(blocked, n, tokens, depth, gram)
+    anchors = windows.repeated_anchors(blocked, n, tokens, depth, gram, True)
     sent = windows.sent_segments(blocked, anchors, n, tokens, _symbols, depth, gram)
     found = sent.groupBy("shard").applyInArrow(_shard(depth), windows.FOUND)
 
@@ -186,3 +186,19 @@ def op7_fmindex(spark, sf_dir: str) -> DataFrame:
     rows = deduplicated(table(spark, sf_dir, "documents"))
     removed = F.aggregate(F.zip_with("ends", "starts", lambda e, s: e - s), F.lit(0).cast("long"), lambda a, x: a + x)
     return rows.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP7_SQL = r"""
+WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM docs)),
+again AS (SELECT s FROM windows GROUP BY s HAVING count(*) > 1),
+hits AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM windows JOIN again USING (s)),
+numbered AS (SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i > before + 35 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM hits),
+spans AS (SELECT doc_id, min(i) AS a, max(i) + 35 AS b FROM numbered GROUP BY doc_id, k),
+pieces AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 1) AS c FROM spans),
+cut AS (
+  SELECT doc_id, sum(b - a) AS n_removed, flatten(list(w[c:a - 1] ORDER BY a)) || any_value(w)[max(b):] AS kept
+  FROM pieces JOIN docs USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(array_to_string(coalesce(kept, w), ' '), '')) AS kept_sha256
+FROM docs LEFT JOIN cut USING (doc_id)
+"""

@@ -1,9 +1,9 @@
 """Media columns: texts as 8-bit grey images, content-addressed in tar shards.
 
 A payload (the UTF-8 bytes, zero-padded to a positive multiple of 64) is stored as a PNG of 64 samples a line, which is
-lossless. Equal payloads have one name, the digest of the payload, and are stored once: a task sends each
-image that it meets once, a shuffle by digest brings equal ones together, and the first is kept. Every task then writes its images to one tar file in the shared folder; a
-row carries digest, shard, offset and length. Header-only range reads (33 bytes of each image) fill the metadata
+lossless. Equal payloads have one name, the digest of the payload, and are stored once by a task;
+where several tasks have written one, their images are equal, and every reference is to the first of them, so no image is
+ever shuffled. A task writes its images to tar files in the shared folder; a row carries digest, shard, offset and length. Header-only range reads (33 bytes of each image) fill the metadata
 columns; the stored bytes are read back by range, decoded and described by features.
 
 A shard's name has the task attempt's id, so a task that runs again writes another file, and only the file of the
@@ -37,8 +37,6 @@ _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 HEADER = 33
 #: Bytes of tar shard that one task aims at.
 SHARD = 64 << 20
-#: Bytes of images that a task hands on at a time.
-BATCH = 4 << 20
 
 
 def payload(text: bytes) -> bytes:
@@ -85,53 +83,33 @@ def features(data: bytes) -> str:
     return f"{x.mean():.3f},{x.std():.3f},{edges:.3f}," + ",".join(map(str, bins))
 
 
-def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Digest and image of each payload that this task hasn't met yet."""
-
-    def rows(found: dict[str, bytes]) -> pa.RecordBatch:
-        return pa.record_batch([pa.array(found, pa.string()), pa.array(found.values(), pa.binary())], ["digest", "image"])
-
-    seen: set[bytes] = set()
-    for batch in batches:
-        found: dict[str, bytes] = {}
-        size = 0
-        for text in batch.column("text"):
-            data = payload(text.as_py() or b"")
-            digest = hashlib.sha256(data).digest()
-            if digest not in seen:
-                seen.add(digest)
-                found[digest.hex()] = png = image(data)
-                size += len(png)
-            if size > BATCH:
-                yield rows(found)
-                found, size = {}, 0
-        yield rows(found)
-
-
 def _writer(folder: str):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Put the image of each payload that this task hasn't met yet into a shard."""
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
         name, out, at = "", None, 0
-        seen: set[str] = set()
+        seen: set[bytes] = set()
         for batch in batches:
             rows = []
-            for digest, data in zip(batch.column("digest").to_pylist(), batch.column("image"), strict=True):
-                if digest in seen:
+            for text in batch.column("text"):
+                data = payload(text.as_py() or b"")
+                digest = hashlib.sha256(data)
+                if digest.digest() in seen:
                     continue
-                seen.add(digest)
-                data = data.as_py()
+                seen.add(digest.digest())
+                data = image(data)
                 if out is None or at > SHARD:
                     if out is not None:
                         out.write(bytes(1024))
                         out.close()
                     name, at = f"{uuid.uuid4().hex}.tar", 0
                     out = store.open_output_stream(f"{root}/{name}")
-                entry = tarfile.TarInfo(f"{digest}.png")
+                entry = tarfile.TarInfo(f"{digest.hexdigest()}.png")
                 entry.size = len(data)
                 head = entry.tobuf(tarfile.USTAR_FORMAT)
                 out.write(head + data + bytes(-len(data) % 512))
-                rows.append((digest, name, at + len(head), len(data)))
+                rows.append((digest.hexdigest(), name, at + len(head), len(data)))
                 at += len(head) + len(data) + -len(data) % 512
             if rows:
                 yield pa.record_batch(list(map(pa.array, zip(*rows, strict=True))), ["digest", "shard", "offset", "length"])
@@ -143,11 +121,17 @@ def _writer(folder: str):
 
 
 def stored(docs: DataFrame, folder: str | None = None) -> tuple[DataFrame, str]:
-    """Write the distinct payloads of docs; a row (digest, shard, offset, length) for each, and the folder of the shards."""
+    """Write the payloads of docs; a row (digest, shard, offset, length) for each image written, and the folder of the shards."""
     spark = docs.sparkSession
     folder = folder or f"{scratch(spark)}/media"
-    images = docs.select(F.coalesce("text", F.lit("")).cast("binary").alias("text")).mapInArrow(_encode, "digest string, image binary")
-    return saved(images.repartition("digest").mapInArrow(_writer(folder), "digest string, shard string, offset long, length long"), "index"), folder
+    texts = docs.select(F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    return saved(texts.mapInArrow(_writer(folder), "digest string, shard string, offset long, length long"), "index"), folder
+
+
+def canonical(index: DataFrame) -> DataFrame:
+    """One row for each digest: of an image that several tasks have written, the first by shard and offset."""
+    rest = [c for c in index.columns if c not in ("digest", "shard", "offset")]
+    return index.groupBy("digest").agg(F.min(F.struct("shard", "offset", *rest)).alias("_x")).select("digest", *[F.col(f"_x.{c}").alias(c) for c in index.columns if c != "digest"])
 
 
 def _ranges(folder: str, batches: Iterator[pa.RecordBatch], size: int | None = None) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
@@ -205,5 +189,5 @@ def digests(docs: DataFrame) -> DataFrame:
 def op3_media(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     index, folder = stored(docs)
-    media = described(with_metadata(index, folder), folder)
+    media = canonical(described(with_metadata(index, folder), folder))
     return digests(docs).join(media, "digest").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "shard", "offset", "length")

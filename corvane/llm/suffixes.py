@@ -89,7 +89,7 @@ def deduplicated(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, block_by
     """doc_id, n_bytes, the removed spans (starts, ends: byte places) and the bytes kept of every row of docs."""
     tokens = _tokens(gram)
     blocked, n = windows.blocks(docs, block_bytes)
-    anchors = windows.repeated_anchors(blocked, n, tokens, depth, gram)
+    anchors = windows.repeated_anchors(blocked, n, tokens, depth, gram, False)
     sent = windows.sent_segments(blocked, anchors, n, tokens, _symbols, depth, gram)
     found = sent.groupBy("shard").applyInArrow(_shard(depth), windows.FOUND)
 
@@ -110,3 +110,19 @@ def deduplicated(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, block_by
 def op10_suffixes(spark, sf_dir: str) -> DataFrame:
     rows = deduplicated(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP10_SQL = """
+WITH docs AS (SELECT doc_id, encode(coalesce(text, '')) AS t, hex(t) AS h FROM documents),
+w AS (SELECT doc_id, i, t[i + 1:i + 50] AS s FROM (SELECT doc_id, t, unnest(range(0, CAST(octet_length(t) - 49 AS BIGINT))) AS i FROM docs)),
+least AS (SELECT s, min(doc_id) AS m FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
+hits AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM w JOIN least USING (s) WHERE m < doc_id),
+numbered AS (SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i > before + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM hits),
+spans AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM numbered GROUP BY doc_id, k),
+pieces AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS c FROM spans),
+cut AS (
+  SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * c + 1, 2 * (a - c)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept
+  FROM pieces JOIN docs USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM docs LEFT JOIN cut USING (doc_id)
+"""

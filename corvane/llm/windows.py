@@ -104,13 +104,20 @@ def _by_bucket(bucket: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
 Tokens = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
-def repeated_anchors(table: DataFrame, n: int, tokens: Tokens, depth: int, gram: int) -> DataFrame:
-    """(block, bucket, anchors): for each block its anchors that stand in another block too, or twice in it; packed."""
+def repeated_anchors(table: DataFrame, n: int, tokens: Tokens, depth: int, gram: int, within: bool) -> DataFrame:
+    """(block, bucket, anchors): for each block its anchors that stand in another block too, or twice in it; packed.
+
+    within: an anchor that stands twice in one segment counts, too (windows may repeat within a document).
+    """
 
     def sent(batches):
         for batch, data, offsets in textkit.passes(batches, "text", 4 << 20):
             grams, bounds = tokens(data, offsets)
-            row, _, _, anchors = segments(grams, bounds, depth, gram)
+            row, at, count, anchors = segments(grams, bounds, depth, gram)
+            if within and len(at):  # such an anchor is listed twice
+                size = count + depth - gram
+                inner = np.add.reduceat(grams[ragged(at, size)] == np.repeat(anchors, size), np.cumsum(size) - size, dtype=np.int64) > 1
+                anchors, row = np.concatenate([anchors, anchors[inner]]), np.concatenate([row, row[inner]])
             block = batch.column("block").to_numpy()[row]
             for b in np.unique(block):
                 mine = anchors[block == b]

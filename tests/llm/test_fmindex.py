@@ -31,7 +31,7 @@ def corpus(seed, n=40):
     text = lambda k: "".join(word() + space() for _ in range(k))
     passages = [text(rng.randint(20, 90)) for _ in range(6)]
     rows = [(k * 3, "".join(rng.choice(passages) if rng.random() < 0.4 else text(rng.randint(0, 60)) for _ in range(rng.randint(0, 5)))) for k in range(n)]
-    rows += [(500, rows[5][1]), (501, None), (502, ""), (503, "a " * 200), (504, "b " + "a " * 90), (503, rows[7][1]), (None, passages[0]), (505, passages[1] * 3), (506, " ")]
+    rows += [(500, rows[5][1]), (501, None), (502, ""), (503, "a " * 200), (504, "b " + "a " * 90), (503, rows[7][1]), (None, passages[0]), (505, passages[1] * 3), (506, " "), (507, "once " * 50 + "twice thrice " * 60)]
     return rows
 
 
