@@ -91,6 +91,13 @@ def mixed(docs: DataFrame) -> DataFrame:
     return placed.select("doc_id", "size", "source_size", "target", copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
 
 
+def sampled(docs: DataFrame) -> DataFrame:
+    """The rows of the mix: every row of docs as often as it is taken (rows that share a doc_id: as often as the most taken of them)."""
+    times = mixed(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").cast("int").alias("_copies")).where("_copies > 0")
+    taken = docs.join(times, docs["doc_id"].eqNullSafe(times["_id"]))
+    return taken.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+
+
 def op6_mixing(spark, sf_dir: str) -> DataFrame:
     return mixed(table(spark, sf_dir, "documents"))
 

@@ -194,8 +194,8 @@ def _links(given: DataFrame, nodes: DataFrame) -> DataFrame:
     return components(links.union(_across(hubbed.withColumnRenamed("hub", "group"), components(links), nodes, shingles)))
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row of docs."""
+def _classes(docs: DataFrame) -> DataFrame:
+    """doc_id, the text's digest, n_shingles, component_id and kept of every row of docs."""
     given = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     known = saved(given.select("*", F.md5(F.col("text").cast("binary")).alias("digest")).mapInArrow(_sketch, f"doc_id {kind}, digest string, n_shingles long, node long, bands array<long>, sketch array<long>"), "sketches")
@@ -205,8 +205,21 @@ def classes(docs: DataFrame) -> DataFrame:
     labels = nodes.select("node", "doc_id").join(_links(given, nodes), "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
     least = labels.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = labels.join(least, "component").select("node", "component_id")
-    out = known.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node")).join(named, "node", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    out = known.select("doc_id", "digest", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node")).join(named, "node", "left")
+    return out.select("doc_id", "digest", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row of docs."""
+    return _classes(docs).drop("digest")
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """The rows of docs that are kept: one document of each component; repeated rows once."""
+    chosen = saved(_classes(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct(), "chosen")
+    named = docs.withColumn("_md5", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    rows = named.join(chosen, named["doc_id"].eqNullSafe(chosen["_id"]) & (named["_md5"] == chosen["_digest"]))
+    return rows.dropDuplicates(["doc_id", "_md5"]).select(*docs.columns)
 
 
 def op9_neardup(spark, sf_dir: str) -> DataFrame:
