@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from corvane.operators import ranking_queries
+
 FLAGSHIP = "recommend_groups"
+_MODULES = (ranking_queries,)
 
 
 def queries() -> dict:
-    return {}
+    return {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: s for m in _MODULES for name, s in m.SQL.items()}
