@@ -149,7 +149,7 @@ def _shard(depth: int):
 
 
 def deduplicated(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, block_bytes: int = windows.BLOCK) -> DataFrame:
-    """doc_id, n_words, the removed spans (starts, ends: word places) and the words kept, joined by a space, of every row of docs."""
+    """digest, least doc_id, times, n_words, the removed spans (starts, ends: word places) and the kept words, joined by a space, of every distinct text."""
     tokens = _tokens(gram)
     blocked, n = windows.blocks(docs, block_bytes)
     anchors = windows.repeated_anchors(blocked, n, tokens, depth, gram, True)
@@ -175,17 +175,17 @@ def deduplicated(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, block_by
             inside[joints] = True
             count = np.concatenate([[0], np.cumsum(inside)])[offsets]
             text = pa.Array.from_buffers(pa.string(), len(batch), [None, pa.py_buffer(count.astype(np.int32)), pa.py_buffer(spaced[inside])])
-            out.append(pa.record_batch([batch.column("doc_id"), pa.array(np.diff(bounds), pa.int64()), starts, ends, text], ["doc_id", "n_words", "starts", "ends", "kept"]))
-        return pa.Table.from_batches(out) if out else pa.table({"doc_id": left.column("doc_id"), "n_words": pa.array([], pa.int64()), "starts": pa.array([], pa.list_(pa.int64())), "ends": pa.array([], pa.list_(pa.int64())), "kept": pa.array([], pa.string())})
+            out.append(pa.record_batch([batch.column("digest"), batch.column("doc_id"), batch.column("times"), pa.array(np.diff(bounds), pa.int64()), starts, ends, text], ["digest", "doc_id", "times", "n_words", "starts", "ends", "kept"]))
+        return pa.Table.from_batches(out) if out else pa.schema([("digest", pa.string()), ("doc_id", pa.int64()), ("times", pa.int64()), ("n_words", pa.int64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("kept", pa.string())]).empty_table()
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return blocked.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(cut, f"doc_id {kind}, n_words long, starts array<long>, ends array<long>, kept string")
+    return blocked.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(cut, "digest string, doc_id long, times long, n_words long, starts array<long>, ends array<long>, kept string")
 
 
 def op7_fmindex(spark, sf_dir: str) -> DataFrame:
-    rows = deduplicated(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
     removed = F.aggregate(F.zip_with("ends", "starts", lambda e, s: e - s), F.lit(0).cast("long"), lambda a, x: a + x)
-    return rows.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+    texts = deduplicated(docs).select("digest", "n_words", removed.alias("n_removed"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+    return windows.named(docs).select("doc_id", "digest").join(texts, "digest").drop("digest")
 
 
 OP7_SQL = r"""

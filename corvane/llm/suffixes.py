@@ -86,7 +86,10 @@ def _shard(depth: int):
 
 
 def deduplicated(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, block_bytes: int = windows.BLOCK) -> DataFrame:
-    """doc_id, n_bytes, the removed spans (starts, ends: byte places) and the bytes kept of every row of docs."""
+    """digest, least doc_id, times, n_bytes, the removed spans (starts, ends: byte places) and the bytes kept of every distinct text.
+
+    What is kept is that of the text's first document; of its other ones nothing is, if the text has depth bytes.
+    """
     tokens = _tokens(gram)
     blocked, n = windows.blocks(docs, block_bytes)
     anchors = windows.repeated_anchors(blocked, n, tokens, depth, gram, False)
@@ -100,16 +103,24 @@ def deduplicated(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, block_by
             rest = data[~gone]
             kept = np.concatenate([[0], np.cumsum(~gone)])[bounds]
             binary = pa.Array.from_buffers(pa.binary(), len(batch), [None, pa.py_buffer(kept.astype(np.int32)), pa.py_buffer(rest)])
-            out.append(pa.record_batch([batch.column("doc_id"), pa.array(np.diff(offsets), pa.int64()), starts, ends, binary], ["doc_id", "n_bytes", "starts", "ends", "kept"]))
-        return pa.Table.from_batches(out) if out else pa.table({"doc_id": left.column("doc_id"), "n_bytes": pa.array([], pa.int64()), "starts": pa.array([], pa.list_(pa.int64())), "ends": pa.array([], pa.list_(pa.int64())), "kept": pa.array([], pa.binary())})
+            out.append(pa.record_batch([batch.column("digest"), batch.column("doc_id"), batch.column("times"), pa.array(np.diff(offsets), pa.int64()), starts, ends, binary], ["digest", "doc_id", "times", "n_bytes", "starts", "ends", "kept"]))
+        return pa.Table.from_batches(out) if out else pa.schema([("digest", pa.string()), ("doc_id", pa.int64()), ("times", pa.int64()), ("n_bytes", pa.int64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("kept", pa.binary())]).empty_table()
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return blocked.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(cut, f"doc_id {kind}, n_bytes long, starts array<long>, ends array<long>, kept binary")
+    return blocked.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(cut, "digest string, doc_id long, times long, n_bytes long, starts array<long>, ends array<long>, kept binary")
 
 
 def op10_suffixes(spark, sf_dir: str) -> DataFrame:
-    rows = deduplicated(table(spark, sf_dir, "documents"))
-    return rows.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    docs = table(spark, sf_dir, "documents")
+    texts = deduplicated(docs).select("digest", F.col("doc_id").alias("first"), "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("starts").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    rows = windows.named(docs).select("doc_id", "digest").join(texts, "digest")
+    copy = (F.coalesce("doc_id", F.lit(windows.LAST)) > F.col("first")) & (F.col("n_bytes") >= DEPTH)
+    return rows.select(
+        "doc_id",
+        "n_bytes",
+        F.when(copy, F.col("n_bytes")).otherwise(F.col("n_removed")).cast("long").alias("n_removed"),
+        F.when(copy, 1).otherwise(F.col("n_spans")).cast("long").alias("n_spans"),
+        F.when(copy, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.col("kept_sha256")).alias("kept_sha256"),
+    )
 
 
 OP10_SQL = """

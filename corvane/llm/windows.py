@@ -3,7 +3,8 @@
 A window is DEPTH consecutive tokens of one document. Its anchor is the least hash of the GRAM-token pieces in it, so equal windows
 have equal anchors wherever they stand. A segment is a maximal run of windows of one document with one anchor.
 
-1. Documents are dealt into blocks by doc_id and written once, bucketed by block: later steps read them without a shuffle.
+1. Distinct texts are dealt into blocks by digest and written once, bucketed by block: later steps read them without a shuffle.
+   A task sends a text that it meets again only once, so a group of copies of any size arrives as one row a task.
 2. Each block sends its distinct anchors, packed by bucket; anchors of two blocks, or twice in one, come back.
 3. Each block sends the distinct segments of those anchors to shards by anchor. All equal windows meet in one shard, and a
    passage that a third of all documents hold arrives once a block, not once a document.
@@ -20,6 +21,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,21 +29,71 @@ from corvane.llm import textkit
 from corvane.llm.shared import scratch
 
 #: Bytes of text that a block aims at.
-BLOCK = 16 << 20
+BLOCK = 8 << 20
+#: Bytes of text that one numpy pass handles.
+PASS = 1 << 20
+#: A null doc_id as a number: after all others.
+LAST = (1 << 63) - 1
 #: Anchors are compared by so many low bits, besides the bucket.
 _LOW = np.uint64((1 << 40) - 1)
 
 
+_BLOCKED = "block int, digest string, doc_id long, times long, text string"
+
+
+def named(docs: DataFrame) -> DataFrame:
+    """doc_id, text (null: empty) and the text's digest."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select("doc_id", text.alias("text"), F.md5(text.cast("binary")).alias("digest"))
+
+
+def _once(batches):
+    """Each text once a task, and at the end the least doc_id and the number of the later rows of those met again."""
+    seen: dict[str, list[int]] = {}
+    schema = pa.schema([("block", pa.int32()), ("digest", pa.string()), ("doc_id", pa.int64()), ("times", pa.int64()), ("text", pa.string())])
+    for batch in batches:
+        fresh = np.zeros(batch.num_rows, bool)
+        for i, (block, digest, doc) in enumerate(zip(batch.column("block").to_pylist(), batch.column("digest").to_pylist(), _numbers(batch.column("doc_id")).tolist(), strict=True)):
+            if digest in seen:
+                known = seen[digest]
+                known[1], known[2] = min(known[1], doc), known[2] + 1
+            else:
+                seen[digest] = [block, LAST, 0]
+                fresh[i] = True
+        new = batch.filter(pa.array(fresh))
+        columns = [new.column("block"), new.column("digest"), pa.array(_numbers(new.column("doc_id"))), pa.array(np.ones(new.num_rows, np.int64)), new.column("text").cast(pa.string())]
+        yield pa.record_batch(columns, schema=schema)
+    again = [(v[0], k, v[1], v[2], None) for k, v in seen.items() if v[2]]
+    for at in range(0, len(again), 10_000):
+        yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*again[at : at + 10_000], strict=True), schema, strict=True)], schema=schema)
+
+
+def _merged(rows: pa.Table) -> pa.Table:
+    """One row for each digest of a block: its text, least doc_id and number of documents."""
+    texts = rows.filter(pc.is_valid(rows.column("text")))
+    digests = texts.column("digest").to_pylist()
+    first: dict[str, int] = {}
+    for i, digest in enumerate(digests):
+        first.setdefault(digest, i)
+    least = dict.fromkeys(first, LAST)
+    times = dict.fromkeys(first, 0)
+    for digest, doc, n in zip(rows.column("digest").to_pylist(), rows.column("doc_id").to_pylist(), rows.column("times").to_pylist(), strict=True):
+        least[digest] = min(least[digest], doc)
+        times[digest] += n
+    single = texts.take(pa.array(list(first.values()), pa.int64()))
+    return pa.table({"block": single.column("block"), "digest": single.column("digest"), "doc_id": pa.array(least.values(), pa.int64()), "times": pa.array(times.values(), pa.int64()), "text": single.column("text")})
+
+
 def blocks(docs: DataFrame, block_bytes: int = BLOCK) -> tuple[DataFrame, int]:
-    """(block, doc_id, text) of docs as a table bucketed by block, and the number of blocks."""
+    """The distinct texts of docs (block, digest, least doc_id, times, text) as a table bucketed by block, and the number of blocks."""
     spark = docs.sparkSession
-    given = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    total = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = int(total // block_bytes) + 1
-    block = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(n)).cast("int")
+    block = F.pmod(F.xxhash64("digest"), F.lit(n)).cast("int")
     name = f"corvane_{uuid.uuid4().hex}"
-    dealt = given.select(block.alias("block"), "doc_id", "text").repartition(n, "block")
-    dealt.write.bucketBy(n, "block").option("path", f"{scratch(spark)}/{name}").option("compression", "zstd").saveAsTable(name)
+    dealt = named(docs).withColumn("block", block).mapInArrow(_once, _BLOCKED).repartition(n, "block")
+    single = dealt.groupBy("block").applyInArrow(_merged, _BLOCKED)
+    single.write.bucketBy(n, "block").option("path", f"{scratch(spark)}/{name}").option("compression", "zstd").saveAsTable(name)
     return spark.table(name), n
 
 
@@ -111,7 +163,7 @@ def repeated_anchors(table: DataFrame, n: int, tokens: Tokens, depth: int, gram:
     """
 
     def sent(batches):
-        for batch, data, offsets in textkit.passes(batches, "text", 4 << 20):
+        for batch, data, offsets in textkit.passes(batches, "text", PASS):
             grams, bounds = tokens(data, offsets)
             row, at, count, anchors = segments(grams, bounds, depth, gram)
             if within and len(at):  # such an anchor is listed twice
@@ -170,7 +222,7 @@ def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def _numbers(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     """Ids as numbers; null stands after all."""
-    return column.cast(pa.int64()).fill_null((1 << 63) - 1).to_numpy(zero_copy_only=False)
+    return column.cast(pa.int64()).fill_null(LAST).to_numpy(zero_copy_only=False)
 
 
 #: What a segment is sent as: its tokens' symbols from a slice's bytes, offsets, and the token range of each segment.
@@ -187,7 +239,7 @@ def sent_segments(table: DataFrame, anchors: DataFrame, n: int, tokens: Tokens,
         if not right.num_rows or not left.num_rows:
             return pa.table({name: pa.array([], t) for name, t in zip(("shard", "block", "keys", "least", "sizes", "alphabet", "codes"), (pa.int32(), pa.int32(), *[pa.binary()] * 5), strict=True)})
         keys, docs, sizes, hooks, texts = [], [], [], [], []
-        for batch, data, offsets in textkit.passes(left.to_batches(), "text", 4 << 20):
+        for batch, data, offsets in textkit.passes(left.to_batches(), "text", PASS):
             grams, bounds = tokens(data, offsets)
             row, at, count, anchor = segments(grams, bounds, depth, gram)
             good = chosen(anchor, right, n)
@@ -261,7 +313,7 @@ def covered(left: pa.Table, right: pa.Table, tokens: Tokens, symbols: Symbols, d
     ordered: a window counts where a smaller doc_id has it; else where it stands anywhere else.
     """
     slices = []
-    for batch, data, offsets in textkit.passes(left.to_batches(), "text", 4 << 20):
+    for batch, data, offsets in textkit.passes(left.to_batches(), "text", PASS):
         grams, bounds = tokens(data, offsets)
         row, at, count, _ = segments(grams, bounds, depth, gram)
         slices.append((batch, data, offsets, bounds, row, at, count, segment_keys(symbols(data, offsets), at, count + depth - 1)))
@@ -271,11 +323,11 @@ def covered(left: pa.Table, right: pa.Table, tokens: Tokens, symbols: Symbols, d
     docs = np.concatenate([_numbers(x[0].column("doc_id"))[x[4]] for x in slices])
     _, group, times = np.unique(keys, return_inverse=True, return_counts=True)
     if ordered:
-        least = np.full(len(times), (1 << 63) - 1)
+        least = np.full(len(times), LAST)
         np.minimum.at(least, group, docs)
         whole = least[group] < docs
     else:
-        whole = times[group] > 1
+        whole = (times[group] > 1) | (np.concatenate([x[0].column("times").to_numpy()[x[4]] for x in slices]) > 1)
     packed = {c: np.concatenate([np.frombuffer(x.as_py(), t) for x in right.column(c)] or [np.zeros(0, t)]) for c, t in (("keys", np.uint64), ("starts", np.int64), ("counts", np.int64), ("least", np.int64))}
     order = np.argsort(packed["keys"], kind="stable")
     packed = {c: x[order] for c, x in packed.items()}

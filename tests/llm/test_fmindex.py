@@ -50,13 +50,13 @@ def test_repeats_by_brute_force():
         assert (fmindex.repeats(codes, size, depth) == want).all()
 
 
-def test_brute_force(spark):
+def test_brute_force(spark, tmp_path, monkeypatch):
     for seed, size, depth, gram in ((1, 1 << 30, 35, 18), (2, 2500, 35, 18), (3, 1500, 9, 4)):
         rows = corpus(seed)
-        docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, block string")
-        got = fmindex.deduplicated(docs, depth, gram, size).collect()
-        found = sorted(((r["doc_id"], r["n_words"], sum(e - s for s, e in zip(r["starts"], r["ends"])), hashlib.sha256(r["kept"].encode()).hexdigest()) for r in got), key=str)
-        assert found == brute(rows, depth)
+        spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, block string, digest string").write.parquet(f"{tmp_path}/{seed}/documents.parquet")
+        monkeypatch.setattr(fmindex.deduplicated, "__defaults__", (depth, gram, size))
+        got = fmindex.op7_fmindex(spark, f"{tmp_path}/{seed}").collect()
+        assert sorted((tuple(r) for r in got), key=str) == brute(rows, depth)
 
 
 def test_empty_table(spark):

@@ -36,14 +36,16 @@ def corpus(seed, n=40):
     return rows
 
 
-def test_brute_force(spark):
-    for seed, size, depth, gram in ((1, 1 << 30, 50, 24), (2, 900, 50, 24), (3, 700, 20, 8)):
+def test_brute_force(spark, tmp_path, monkeypatch):
+    for seed, size, depth, gram in ((1, 1 << 30, 50, 24), (2, 900, 50, 24), (3, 700, 50, 8)):
         rows = corpus(seed)
-        docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, block string")
-        got = suffixes.deduplicated(docs, depth, gram, size).collect()
-        found = sorted(((r["doc_id"], r["n_bytes"], r["n_bytes"] - len(r["kept"]), len(r["starts"]), hashlib.sha256(r["kept"]).hexdigest()) for r in got), key=str)
-        assert found == brute(rows, depth)
-        assert all(sum(e - s for s, e in zip(r["starts"], r["ends"])) == r["n_bytes"] - len(r["kept"]) for r in got)
+        spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, block string, digest string").write.parquet(f"{tmp_path}/{seed}/documents.parquet")
+        defaults = (depth, gram, size)
+        monkeypatch.setattr(suffixes.deduplicated, "__defaults__", defaults)
+        got = suffixes.op10_suffixes(spark, f"{tmp_path}/{seed}").collect()
+        assert sorted((tuple(r) for r in got), key=str) == brute(rows, depth)
+        for r in suffixes.deduplicated(spark.read.parquet(f"{tmp_path}/{seed}/documents.parquet")).collect():
+            assert sum(e - s for s, e in zip(r["starts"], r["ends"])) == r["n_bytes"] - len(r["kept"])
 
 
 def test_empty_table(spark):
