@@ -18,14 +18,14 @@ def fuzzy_people(spark, sf_dir: str) -> DataFrame:
 
 
 def identity_merge(spark, sf_dir: str) -> DataFrame:
-    """Customers' names in order of their number, merged where they are nearly equal."""
+    """Parts' names and types in order of their number, merged where they are nearly equal."""
     slugs = table(spark, sf_dir, "part").select(F.concat(F.translate("p_name", " ", "_"), F.lit("_"), F.lower("p_type")).alias("slug"), F.col("p_partkey").alias("position"))
     return identity.canonical(slugs)
 
 
 def typo_filter(spark, sf_dir: str) -> DataFrame:
     rows = facts(table(spark, sf_dir, "documents")).select("item_id", "title")
-    return identity.typo_filter(rows, F.col("title"), "tehre adn").select("item_id")
+    return identity.typo_filter(rows, F.col("title"), "attoin").select("item_id")
 
 
 QUERIES = {f.__name__: f for f in (fuzzy_people, identity_merge, typo_filter)}
