@@ -40,7 +40,7 @@ def recency(year: Column, p: RankParams) -> Column:
 
 def passes(similarity: Column, overlap: Column, p: RankParams) -> Column:
     """Strong by itself, or fair with a common term."""
-    return (similarity >= p.strong) | ((overlap > 0) & (similarity >= p.floor))
+    return (similarity >= p.strong) | ((similarity >= p.floor) & (overlap > 0))
 
 
 def calibrated(raw: Column, band: tuple[float, float]) -> Column:

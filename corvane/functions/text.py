@@ -81,8 +81,10 @@ def tokens_match(a: Column, b: Column) -> Column:
 
 
 def matched(terms: Column, text_terms: Column) -> Column:
-    """The terms that match a term of the text."""
-    return F.filter(terms, lambda a: F.exists(text_terms, lambda b: tokens_match(a, b)))
+    """The terms that match a term of the text; only terms that agree in three letters are compared."""
+    stems = F.transform(terms, lambda a: F.left(a, F.lit(MIN_TOKEN)))
+    near = F.transform(F.array(stems), lambda s: F.filter(text_terms, lambda b: F.array_contains(s, F.left(b, F.lit(MIN_TOKEN)))))[0]
+    return F.transform(F.array(near), lambda n: F.filter(terms, lambda a: F.exists(n, lambda b: tokens_match(a, b))))[0]
 
 
 def lexical_overlap(terms: Column, text_terms: Column) -> Column:

@@ -50,12 +50,18 @@ def nearest(queries: DataFrame, items: DataFrame, k: int, query: str = "query_id
     return local.withColumn("place", place).where(F.col("place") <= k).select(F.col("query").alias(query), F.col("item").alias(item), "similarity", "place")
 
 
+def _with_terms(items: DataFrame, pool: DataFrame, *texts: str) -> DataFrame:
+    """The items of a pool, without vectors, with the content terms of their texts: once an item, not once a query and item."""
+    met = items.drop("vector").join(pool.select("item_id").distinct(), "item_id", "left_semi")
+    return met.select("*", *[F.explode(F.array(T.content_terms(F.col(t)))).alias(f"{t}_terms") for t in texts[:1]]).select("*", *[T.content_terms(F.col(t)).alias(f"{t}_terms") for t in texts[1:]])
+
+
 def hits(queries: DataFrame, items: DataFrame, p: RankParams) -> DataFrame:
     """Items of the pool above the floor on the pure similarity, with the hybrid one and the recency-weighted one."""
     terms = queries.select("query_id", T.content_terms(F.col("text")).alias("terms"))
     pool = nearest(queries, items, p.pool).where(F.col("similarity") >= p.floor)
-    joined = pool.join(items.drop("vector"), "item_id").join(F.broadcast(terms), "query_id")
-    overlap = T.lexical_overlap(F.col("terms"), T.content_terms(F.col("title")))
+    joined = pool.join(_with_terms(items, pool, "title"), "item_id").join(F.broadcast(terms), "query_id")
+    overlap = T.lexical_overlap(F.col("terms"), F.col("title_terms"))
     hybrid = F.round(F.col("similarity") + p.lexical_weight * overlap, 9)
     return joined.withColumn("hybrid", hybrid).withColumn("weighted", F.round(F.col("hybrid") * recency(F.col("year"), p), 9))
 
@@ -94,9 +100,9 @@ def recommend_items(queries: DataFrame, items: DataFrame, eligible: DataFrame, p
     allowed = items.join(eligible.select("item_id").distinct(), "item_id", "left_semi")
     terms = queries.select("query_id", T.content_terms(F.col("text")).alias("terms"))
     pool = nearest(queries, allowed, p.top_k * pool_factor)
-    joined = pool.join(allowed.drop("vector"), "item_id").join(F.broadcast(terms), "query_id")
-    whole = T.lexical_overlap(F.col("terms"), T.content_terms(F.col("body")))
-    title = T.lexical_overlap(F.col("terms"), T.content_terms(F.col("title")))
+    joined = pool.join(_with_terms(allowed, pool, "title", "body"), "item_id").join(F.broadcast(terms), "query_id")
+    whole = T.lexical_overlap(F.col("terms"), F.col("body_terms"))
+    title = T.lexical_overlap(F.col("terms"), F.col("title_terms"))
     scored = joined.where(passes(F.col("similarity"), whole, p)).withColumn("score", F.round(F.col("similarity") + p.lexical_weight * title, 9))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "place"))
     return scored.withColumn("final", place).where(F.col("final") <= p.top_k).select("query_id", F.col("final").alias("place"), "item_id", "score", T.snippet(F.col("body")).alias("snippet"))

@@ -55,12 +55,12 @@ def similar_groups(spark, sf_dir: str) -> DataFrame:
 
 def lexical_overlap(spark, sf_dir: str) -> DataFrame:
     """Every benchmark item, as a query, against the titles of all documents: the pairs with a common term."""
-    queries = table(spark, sf_dir, "benchmark").select("item_id", T.content_terms(F.col("text")).alias("terms"))
-    titles = facts(table(spark, sf_dir, "documents")).select(F.col("item_id").alias("doc_id"), T.content_terms(F.col("title")).alias("words"))
-    # tokens match only if their first three letters agree: an equi-join on those, then the exact test
-    left = queries.select("*", F.explode(F.array_distinct(F.transform("terms", lambda x: F.left(x, F.lit(3))))).alias("stem"))
-    right = titles.select("*", F.explode(F.array_distinct(F.transform("words", lambda x: F.left(x, F.lit(3))))).alias("stem"))
-    hits = left.join(right, "stem").select("item_id", "doc_id", F.size("terms").alias("n"), F.explode(F.filter(T.matched(F.col("terms"), F.col("words")), lambda x: F.left(x, F.lit(3)) == F.col("stem"))).alias("term"))
+    queries = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array(T.content_terms(F.col("text")))).alias("terms"))
+    titles = facts(table(spark, sf_dir, "documents")).select(F.col("item_id").alias("doc_id"), F.explode(F.array_distinct(T.content_terms(F.col("title")))).alias("word"))
+    # terms match only if their first three letters agree: an equi-join on those, then the exact test
+    left = queries.select("item_id", F.size("terms").alias("n"), F.explode("terms").alias("term")).withColumn("stem", F.left("term", F.lit(3)))
+    right = titles.withColumn("stem", F.left("word", F.lit(3)))
+    hits = left.join(right, "stem").where(T.tokens_match(F.col("term"), F.col("word")))
     return hits.groupBy("item_id", "doc_id").agg(F.round(F.count_distinct("term") / F.max("n"), 6).alias("overlap"))
 
 
