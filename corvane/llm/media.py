@@ -1,10 +1,10 @@
 """Media columns: texts as 8-bit grey images, content-addressed in tar shards.
 
 A payload (the UTF-8 bytes, zero-padded to a positive multiple of 64) is stored as a PNG of 64 samples a line, which is
-lossless. Equal payloads have one name, the digest of the payload, and are stored once by a task;
-where several tasks have written one, their images are equal, and every reference is to the first of them, so no image is
-ever shuffled. A task writes its images to tar files in the shared folder; a row carries digest, shard, offset and length. Header-only range reads (33 bytes of each image) fill the metadata
-columns; the stored bytes are read back by range, decoded and described by features.
+lossless. Equal payloads have one name, the digest of the payload, and are stored once by a task; where several tasks have written
+one, their images are equal, and every reference is to the first of them, so no image is ever shuffled. A task writes its
+images to tar files in the shared folder; a row carries digest, shard, offset and length. Header-only range reads (33 bytes of
+each image) fill the metadata columns; the stored bytes are read back by range, decoded and described by features.
 
 A shard's name has the task attempt's id, so a task that runs again writes another file, and only the file of the
 attempt whose rows were kept is referred to. Payloads go through no driver; a task holds one image at a time.
