@@ -85,14 +85,20 @@ class Index:
             zeros = self.n - int(bit.sum())
             self.levels.append((words, counts, zeros))
             last = np.concatenate([last[bit == 0], last[bit == 1]])
+        symbols = np.arange(len(self.first) - 1)
+        #: Where each symbol's run begins below the last level.
+        self.base = self._below(symbols, np.zeros(len(symbols), np.int64))
 
     def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         """How often each symbol stands among the first `at` ones of the transform."""
-        start = np.zeros(len(at), np.int64)
+        return self._below(symbol, at) - self.base[symbol]
+
+    def _below(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The places that lead to `at` when each symbol's bits are followed through the levels."""
         for k, (words, counts, zeros) in enumerate(self.levels):
             one = symbol >> (len(self.levels) - 1 - k) & 1 == 1
-            at, start = (self._ones(words, counts, x, one, zeros) for x in (at, start))
-        return at - start
+            at = self._ones(words, counts, at, one, zeros)
+        return at
 
     @staticmethod
     def _ones(words: np.ndarray, counts: np.ndarray, at: np.ndarray, one: np.ndarray, zeros: int) -> np.ndarray:
