@@ -1,7 +1,7 @@
 """Document fingerprints by spot signatures.
 
 Built-in functions only. Words are runs of letters and digits in lower case. A signature is a common word (the anchor) with
-the next CHAIN content words that follow it, common words between them left out. A text's fingerprint is the set of its
+the next two content words that follow it, common words between them left out. A text's fingerprint is the set of its
 signatures' 32-bit hashes, in order, as hexadecimal text. Fingerprints are put into partitions by set length, so that pairs
 whose partitions cannot reach a likeness are pruned without a comparison; the others are compared by Jaccard similarity.
 
@@ -19,9 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.shared import held, saved, table
+from corvane.llm.shared import held, let, saved, table
 
-CHAIN = 2
 #: Common words of four languages: anchors, and what chains skip.
 COMMON = {
     "en": "the of and to in a is that for it as was with be by on not he his but at are this have from or had an they which you were her all she there would their we him been has when who will no more if out so up",
@@ -37,19 +36,34 @@ def normal(text: Column) -> Column:
     return F.btrim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
 
-def _pattern() -> tuple[str, str]:
-    common = "|".join(sorted({w for words in COMMON.values() for w in words.split()}))
-    chain = rf"(?: (?:(?:{common}) )*+[^ ]++){{{CHAIN}}}"
-    return rf"(?<![^ ])(?=((?:{common}){chain}))", rf" (?:(?:{common})(?= ))"
+def _branches(words: set[str]) -> str:
+    """A pattern that matches exactly words, shared beginnings written once."""
+    heads: dict[str, set[str]] = {}
+    for w in words - {""}:
+        heads.setdefault(w[0], set()).add(w[1:])
+    said = "|".join(c + _branches(rest) for c, rest in sorted(heads.items()))
+    if not said:
+        return ""
+    return f"(?:{said})?" if "" in words else said if len(heads) == 1 else f"(?:{said})"
+
+
+def _groups(words: Column) -> Column:
+    """words as groups: the common words before a content word, a mark after each, and that word."""
+    common = _branches({w for said in COMMON.values() for w in said.split()})
+    return F.split(F.regexp_replace(words, rf"(?<![^ ])({common})(?: |$)", "$1\x01"), " ")
 
 
 def signatures(words: Column) -> Column:
     """The sorted distinct hashes of the signatures of words, or of all words if there is none."""
-    chains, skipped = _pattern()
-    found = F.regexp_extract_all(words, F.lit(chains), F.lit(1))
-    hashed = F.transform(found, lambda x: F.hash(F.regexp_replace(x, skipped, "")))
-    hashed = F.when(F.size(hashed) > 0, hashed).otherwise(F.array(F.hash(words)))
-    return F.array_sort(F.array_distinct(hashed))
+
+    def chained(groups: Column) -> Column:
+        content = F.transform(groups, lambda g: F.substring_index(g, "\x01", -1))
+        pairs = F.zip_with(F.slice(groups, 1, F.greatest(F.size(groups) - 1, F.lit(0))), F.slice(content, 2, F.size(groups)), lambda g, c: F.struct(g.alias("group"), c.alias("next")))
+        anchored = F.filter(pairs, lambda x: (F.instr(x["group"], "\x01") > 0) & (x["next"] != ""))
+        return F.flatten(F.transform(anchored, lambda x: let(F.split(x["group"], "\x01"), lambda parts: F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda a: F.hash(a, F.element_at(parts, -1), x["next"])))))
+
+    hashed = let(_groups(words), chained)
+    return let(hashed, lambda h: F.when(F.size(h) > 0, F.array_sort(F.array_distinct(h))).otherwise(F.array(F.hash(words))))
 
 
 def as_text(signatures: Column) -> Column:
@@ -71,20 +85,20 @@ def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
     return F.when(near & (F.least(F.size(a), F.size(b)) >= least * F.greatest(F.size(a), F.size(b))), full).otherwise(0.0)
 
 
-def with_next(docs: DataFrame, ranges: int = RANGES) -> DataFrame:
-    """doc_id and text of each document with next: the text of the next one by doc_id (the first one's after the last)."""
-    given = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+def with_next(docs: DataFrame, more: tuple[str, ...] = (), ranges: int = RANGES) -> DataFrame:
+    """doc_id, text and the columns more of each document with next: those of the next one by doc_id (the first one's after the last)."""
+    given = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more)
     marks = docs.select("doc_id").where(F.col("doc_id").isNotNull()).approxQuantile("doc_id", [k / ranges for k in range(1, ranges)], 0.001) if ranges > 1 else []
     bounds = F.array(*[F.lit(x) for x in sorted(set(marks))]) if marks else F.expr("array_repeat(0.0D, 0)")
     dealt = given.withColumn("_range", F.coalesce(F.size(F.filter(bounds, lambda x: x <= F.col("doc_id"))), F.lit(0)))
-    order = [F.asc_nulls_first("doc_id"), F.col("text")]
-    heads = saved(dealt.groupBy("_range").agg(F.min(F.struct(F.col("doc_id"), F.col("text"))).alias("head")), "heads")
-    heads = heads.select("_range", F.col("head.text").alias("head"))
+    own = F.struct("text", *more)
+    heads = saved(dealt.groupBy("_range").agg(F.min(F.struct("doc_id", "text", *more)).alias("_head")), "heads")
+    heads = heads.select("_range", F.struct("_head.text", *[f"_head.{c}" for c in more]).alias("_head"))
     later = Window.orderBy("_range")
-    first = F.first("head").over(later.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    after = heads.select("_range", F.coalesce(F.lead("head").over(later), first).alias("head"))
-    led = dealt.withColumn("_next", F.lead("text").over(Window.partitionBy("_range").orderBy(*order)))
-    return led.join(after, "_range", "left").select("doc_id", "text", F.coalesce("_next", "head").alias("next"))
+    first = F.first("_head").over(later.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    after = heads.select("_range", F.coalesce(F.lead("_head").over(later), first).alias("_head"))
+    led = dealt.withColumn("_next", F.lead(own).over(Window.partitionBy("_range").orderBy(F.asc_nulls_first("doc_id"), "text")))
+    return led.join(after, "_range", "left").select("doc_id", "text", *more, F.coalesce("_next", "_head").alias("next"))
 
 
 def edited(text: Column, after: Column) -> Column:
@@ -96,10 +110,10 @@ def edited(text: Column, after: Column) -> Column:
 
 def printed(docs: DataFrame) -> DataFrame:
     """Every document with its fingerprint and those of its edited text and of the next document, compared."""
-    pairs = with_next(docs)
-    pairs = held(pairs, "_edited", edited(F.col("text"), F.col("next")))
-    for name, source in (("_own", "text"), ("_changed", "_edited"), ("_after", "next")):
-        pairs = held(pairs, name, signatures(normal(F.col(source))))
+    own = held(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "_own", signatures(normal(F.col("text"))))
+    pairs = with_next(own, ("_own",))
+    pairs = held(pairs, "_edited", edited(F.col("text"), F.col("next.text")))
+    pairs = held(pairs, "_changed", signatures(normal(F.col("_edited"))))
     return pairs.select(
         "doc_id",
         F.length("text").cast("long").alias("n_chars"),
@@ -107,7 +121,7 @@ def printed(docs: DataFrame) -> DataFrame:
         as_text(F.col("_own")).alias("fingerprint"),
         as_text(F.col("_changed")).alias("edited_fingerprint"),
         likeness(F.col("_own"), F.col("_changed")).alias("near_edited"),
-        likeness(F.col("_own"), F.col("_after")).alias("near_next"),
+        likeness(F.col("_own"), F.col("next._own")).alias("near_next"),
         partition(F.col("_own")).alias("length_partition"),
     )
 
