@@ -6,7 +6,7 @@ from corvane.llm import fmindex, licenses, media, mixing, neardup, pieces, quali
 
 
 def queries() -> dict:
-    return {"op1_licenses": licenses.op1_licenses, "op2_quality": quality.op2_quality, "op3_media": media.op3_media, "op4_pieces": pieces.op4_pieces, "op5_fingerprints": spots.op5_fingerprints, "op6_mixing": mixing.op6_mixing, "op7_fmindex": fmindex.op7_fmindex, "op8_secrets": secrets.op8_secrets, "op9_neardup": neardup.op9_neardup, "op10_suffixes": suffixes.op10_suffixes}
+    return {"op1_licenses": licenses.op1_licenses, "op2_quality": quality.op2_quality, "op3_media": media.op3_media, "op4_pieces": pieces.op4_pieces, "op5_fingerprints": spots.op5_fingerprints, "op6_mixing": mixing.op6_mixing, "op7_fmindex": fmindex.op7_fmindex, "op8_secrets": secrets.op8_secrets, "op8_secrets_wide": secrets.op8_secrets_wide, "op9_neardup": neardup.op9_neardup, "op10_suffixes": suffixes.op10_suffixes}
 
 
 def oracle_sql() -> dict[str, str]:

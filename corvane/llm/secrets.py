@@ -6,6 +6,9 @@ of 20 characters slides over it, and its entropy is kept up to date by the two c
 A run's hot windows (entropy at or above the class's threshold) give one span, from the first one's start to the last
 one's end, unless the run is on the allow list (examples, identifiers, paths of words, plain words, plain numbers).
 
+op8_secrets and its SQL hold to these CLASSES. The wide scan (op8_secrets_wide, and redacted(), the pipeline's stage) adds classes
+for keys of one case and digits (the span is the whole run), and there a word of the allow list takes only the windows that touch it out of a run.
+
 Edge cases: null or empty text has no spans; very long texts are scanned whole; repeated rows each get a row;
 an empty table gives no rows; more columns are ignored by spans_of() and kept by redacted().
 """
@@ -33,6 +36,14 @@ CLASSES = {
     "entropy_hex": (r"[0-9A-Fa-f]{20,}", "0123456789abcdef", 3.0, ("[0-9]", "[A-Fa-f]")),
     "entropy_base64": (r"[A-Za-z0-9+/_-]{20,}", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", 3.8, ("[0-9]", "[a-z]", "[A-Z]")),
 }
+#: Classes of the wide scan: keys of lower-case letters and digits, and of capitals and digits; those of hex digits alone are entropy_hex's.
+#: Fewer symbols repeat sooner, so the bounds are lower: 99 and 98 of 100 random keys of 20 characters reach them.
+WIDER = {
+    "entropy_base36": (r"[a-z0-9]{20,}", "abcdefghijklmnopqrstuvwxyz0123456789", 3.4, ("[0-9]", "[g-z]")),
+    "entropy_base32": (r"[A-Z0-9]{20,}", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 3.4, ("[0-9]", "[G-Z]")),
+}
+#: The words of the first entry of ALLOWED.
+MARKERS = ("example", "sample", "dummy", "placeholder")
 #: Runs that are no secrets whatever their entropy.
 ALLOWED = (
     r"(?:[Ee][Xx][Aa][Mm][Pp][Ll][Ee]|[Ss][Aa][Mm][Pp][Ll][Ee]|[Dd][Uu][Mm][Mm][Yy]|[Pp][Ll][Aa][Cc][Ee][Hh][Oo][Ll][Dd][Ee][Rr])",
@@ -40,6 +51,7 @@ ALLOWED = (
     r"^(?:[A-Z]?[a-z]+[/_-])*[A-Z]?[a-z]+[/_-]?$",
 )
 KINDS = [*PATTERNS, *CLASSES]
+WIDE_KINDS = [*KINDS, *WIDER]
 
 
 def _located(text: Column, pattern: str, group: int = 0) -> Column:
@@ -62,7 +74,7 @@ def _located(text: Column, pattern: str, group: int = 0) -> Column:
 def _hot(run: Column, symbols: str, bits: float) -> Column:
     """The first and the last hot window of a run, each a start within it; -1 without one."""
     n = len(symbols)
-    fold = F.lower(run) if symbols == symbols.lower() else run
+    fold = F.lower(run) if symbols == "0123456789abcdef" else run
     codes = F.transform(F.split(fold, ""), lambda c: F.instr(F.lit(symbols), c))
     weight = lambda c: F.when(c > 1, c * F.log2(c)).otherwise(F.lit(0.0))
     zero = F.struct(F.array_repeat(F.lit(0), n).alias("counts"), F.lit(0.0).alias("sum"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
@@ -88,18 +100,27 @@ def _hot(run: Column, symbols: str, bits: float) -> Column:
     return F.aggregate(let(codes, steps), zero, step, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")))
 
 
-def _entropy(text: Column, name: str) -> Column:
-    pattern, symbols, bits, needs = CLASSES[name]
+def _unmarked(text: Column) -> Column:
+    """text with blanks in place of MARKERS, so that every other character keeps its place."""
+    for word in MARKERS:
+        text = F.regexp_replace(text, f"(?i){word}", " " * len(word))
+    return text
+
+
+def _entropy(text: Column, name: str, allow: tuple[str, ...] = ALLOWED) -> Column:
+    pattern, symbols, bits, needs = CLASSES.get(name) or WIDER[name]
 
     def suspect(run: Column) -> Column:
         keep = F.lit(True)
         for need in needs:
             keep = keep & F.regexp_like(run, F.lit(need))
-        for allowed in ALLOWED:
+        for allowed in allow:
             keep = keep & ~F.regexp_like(run, F.lit(allowed))
         return keep
 
     runs = F.filter(_located(text, pattern), lambda x: suspect(x["found"]))
+    if name in WIDER:  # without / _ - a run is one key, and its span is the whole run
+        return F.transform(F.filter(runs, lambda x: _hot(x["found"], symbols, bits)["first"] >= 0), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
     scored = F.transform(runs, lambda x: F.struct(x["start"].alias("start"), _hot(x["found"], symbols, bits).alias("hot")))
     return F.transform(F.filter(scored, lambda x: x["hot"]["first"] >= 0), lambda x: F.struct((x["start"] + x["hot"]["first"]).alias("start"), (x["start"] + x["hot"]["last"] + WINDOW).alias("end")))
 
@@ -112,22 +133,26 @@ def _is_kind(k: int):
     return lambda x: x["kind"] == k
 
 
-def spans_of(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with _spans: array of (start, kind as its place in KINDS, end), in order of start, then kind."""
+def spans_of(docs: DataFrame, text: str = "text", wide: bool = False) -> DataFrame:
+    """docs with _spans: array of (start, kind as its place in WIDE_KINDS, end), in order of start, then kind; wide: of the wide scan."""
     body = F.coalesce(F.col(text), F.lit(""))
+    if wide:
+        docs = held(docs, "_unmarked", _unmarked(body))
     parts = []
-    for k, name in enumerate(KINDS):
+    for k, name in enumerate(WIDE_KINDS if wide else KINDS):
         if name in PATTERNS:
             found = _located(body, PATTERNS[name], 1 if name == "assign" else 0)
             found = F.filter(found, lambda x: F.length(x["found"]) >= LEAST_ASSIGN) if name == "assign" else found
+        elif wide and name != "entropy_hex":  # no marker stands in a run of hex digits
+            found = _entropy(F.col("_unmarked"), name, ALLOWED[1:])
         else:
             found = _entropy(body, name)
         parts.append(F.transform(found, _of_kind(k)))
-    return held(docs, "_spans", F.array_sort(F.concat(*parts)))
+    return held(docs, "_spans", F.array_sort(F.concat(*parts))).drop("_unmarked")
 
 
 def _said(spans: Column) -> Column:
-    kinds = F.array(*[F.lit(k) for k in KINDS])
+    kinds = F.array(*[F.lit(k) for k in WIDE_KINDS])
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(kinds, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
@@ -143,7 +168,7 @@ def scanned(docs: DataFrame) -> DataFrame:
 
 
 def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """docs with every span in text replaced by mark (spans that touch or overlap: by one mark) and n_chars brought up to date."""
+    """docs with every span of the wide scan in text replaced by mark (spans that touch or overlap: by one mark) and n_chars brought up to date."""
 
     def step(state: Column, x: Column) -> Column:
         fresh = x["start"] > state["to"]
@@ -155,7 +180,7 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
 
     zero = F.struct(F.lit(0).alias("to"), F.expr("array_repeat('', 0)").alias("parts"))
     cut = F.aggregate("_spans", zero, step, lambda s: F.concat(F.array_join(s["parts"], ""), F.substring(F.col("text"), s["to"] + 1, F.length(F.col("text")))))
-    marked = spans_of(docs)
+    marked = spans_of(docs, wide=True)
     text = F.when(F.size("_spans") > 0, cut).otherwise(F.col("text"))
     return held(marked, "_text", text).select(*[F.col("_text").alias(c) if c == "text" else F.length("_text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
@@ -164,6 +189,11 @@ def op8_secrets(spark, sf_dir: str) -> DataFrame:
     return scanned(table(spark, sf_dir, "documents"))
 
 
+def op8_secrets_wide(spark, sf_dir: str) -> DataFrame:
+    """doc_id and all spans of the wide scan; its classes aren't op8_secrets's, so it has no SQL."""
+    return spans_of(table(spark, sf_dir, "documents").select("doc_id", "text"), wide=True).select("doc_id", _said(F.col("_spans")).alias("spans"))
+
+
 def _sql_located(name: str, pattern: str, group: int) -> str:
     p = pattern.replace("'", "''")
     return f"""
