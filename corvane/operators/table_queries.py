@@ -184,12 +184,22 @@ def current_topics(spark, sf_dir: str) -> DataFrame:
 def field_similarity(spark, sf_dir: str) -> DataFrame:
     """Groups of documents (by source) compared by shared languages and by Jaccard similarity of their titles' terms."""
     rows = facts(table(spark, sf_dir, "documents")).select(table_source().alias("unit"), "field", "title")
-    sets = rows.groupBy("unit").agg(F.array_sort(F.collect_set("field")).alias("fields"), F.array_distinct(F.flatten(F.collect_set(T.content_terms(F.col("title"))))).alias("terms"))
-    a, b = sets.alias("a"), sets.alias("b")
-    pairs = a.join(b, F.col("a.unit") < F.col("b.unit"))
-    shared = F.size(F.array_intersect("a.fields", "b.fields")) / F.greatest(F.size("a.fields"), F.lit(1))
-    jaccard = F.size(F.array_intersect("a.terms", "b.terms")) / F.greatest(F.size(F.array_union("a.terms", "b.terms")), F.lit(1))
-    return pairs.select(F.col("a.unit").alias("unit"), F.col("b.unit").alias("other"), F.round(F.least(F.lit(0.9), 0.5 + 0.4 * (0.3 * shared + 0.7 * jaccard)), 6).alias("similarity"))
+    units = rows.select("unit").distinct()
+    fields = rows.select("unit", F.col("field").alias("value")).where("value IS NOT NULL").distinct()
+    terms = rows.select("unit", F.explode(T.content_terms(F.col("title"))).alias("value")).distinct()
+    pairs = units.join(units.select(F.col("unit").alias("other")), F.col("unit") < F.col("other"))
+    found = _overlaps(_overlaps(pairs, fields, "fields"), terms, "terms")
+    shared = F.col("both_fields") / F.greatest("n_fields", F.lit(1))
+    jaccard = F.col("both_terms") / F.greatest(F.col("n_terms") + F.col("m_terms") - F.col("both_terms"), F.lit(1))
+    return found.select("unit", "other", F.round(F.least(F.lit(0.9), 0.5 + 0.4 * (0.3 * shared + 0.7 * jaccard)), 6).alias("similarity"))
+
+
+def _overlaps(pairs: DataFrame, values: DataFrame, name: str) -> DataFrame:
+    """pairs (unit, other) with the sizes of both units' sets (n_, m_) and of their intersection (both_); values: distinct (unit, value)."""
+    sizes = values.groupBy("unit").agg(F.count("*").alias(f"n_{name}"))
+    others = sizes.select(F.col("unit").alias("other"), F.col(f"n_{name}").alias(f"m_{name}"))
+    both = values.join(values.select(F.col("unit").alias("other"), "value"), "value").where("unit < other").groupBy("unit", "other").agg(F.count("*").alias(f"both_{name}"))
+    return pairs.join(sizes, "unit", "left").join(others, "other", "left").join(both, ["unit", "other"], "left").fillna(0, [f"n_{name}", f"m_{name}", f"both_{name}"])
 
 
 def table_source():
