@@ -143,13 +143,13 @@ def repeats(codes: np.ndarray, size: np.ndarray, depth: int) -> np.ndarray:
 
 def _shard(depth: int):
     def search(rows: pa.Table) -> pa.Table:
-        block, keys, _, size, words = windows.received(rows)
+        block, keys, _, size, hooks, words = windows.received(rows)
         codes = np.unique(words, return_inverse=True)[1].astype(np.int64) + 1
         again = repeats(codes, size, depth)
         at = np.flatnonzero(again)
         starts = np.cumsum(size) - size
         segment = np.searchsorted(starts, at, "right") - 1
-        return windows.runs(block, keys, segment, at - starts[segment], np.zeros(len(at), np.int64))
+        return windows.runs(block, keys, hooks, segment, at - starts[segment], np.zeros(len(at), np.int64))
 
     return search
 
@@ -159,7 +159,7 @@ def deduplicated(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, block_by
     tokens = _tokens(gram)
     blocked, n = windows.blocks(docs, block_bytes)
     anchors = windows.repeated_anchors(blocked, n, tokens, depth, gram, True)
-    sent = windows.sent_segments(blocked, anchors, n, tokens, _symbols, depth, gram)
+    sent = windows.sent_segments(blocked, anchors, n, tokens, _symbols, depth, gram, False)
     found = sent.groupBy("shard").applyInArrow(_shard(depth), windows.FOUND)
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:

@@ -66,21 +66,21 @@ def radix_groups(text: np.ndarray, at: np.ndarray, doc: np.ndarray, depth: int)
 
 def _shard(depth: int):
     def sort(rows: pa.Table) -> pa.Table:
-        block, keys, least, size, text = windows.received(rows)
+        block, keys, least, size, hooks, text = windows.received(rows)
         starts = np.cumsum(size) - size
         count = size - depth + 1
         at = windows.ragged(starts, count)
         segment = np.repeat(np.arange(len(size)), count)
         left, group = radix_groups(text.astype(np.uint8), at, least[segment], depth)
         if not len(left):
-            return windows.runs(block, keys, left, left, left)
+            return windows.runs(block, keys, hooks, left, left, left)
         first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
         smallest = np.repeat(np.minimum.reduceat(least[segment[left]], first), np.diff(np.append(first, len(left))))
         good = smallest < least[segment[left]]
         left, smallest = left[good], smallest[good]
         order = np.argsort(left)
         left, smallest = left[order], smallest[order]
-        return windows.runs(block, keys, segment[left], at[left] - starts[segment[left]], smallest)
+        return windows.runs(block, keys, hooks, segment[left], at[left] - starts[segment[left]], smallest)
 
     return sort
 
@@ -93,7 +93,7 @@ def deduplicated(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, block_by
     tokens = _tokens(gram)
     blocked, n = windows.blocks(docs, block_bytes)
     anchors = windows.repeated_anchors(blocked, n, tokens, depth, gram, False)
-    sent = windows.sent_segments(blocked, anchors, n, tokens, _symbols, depth, gram)
+    sent = windows.sent_segments(blocked, anchors, n, tokens, _symbols, depth, gram, True)
     found = sent.groupBy("shard").applyInArrow(_shard(depth), windows.FOUND)
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:

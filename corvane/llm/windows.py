@@ -7,7 +7,10 @@ have equal anchors wherever they stand. A segment is a maximal run of windows of
    A task sends a text that it meets again only once, so a group of copies of any size arrives as one row a task.
 2. Each block sends its distinct anchors, packed by bucket; anchors of two blocks, or twice in one, come back.
 3. Each block sends the distinct segments of those anchors to shards by anchor. All equal windows meet in one shard, and a
-   passage that a third of all documents hold arrives once a block, not once a document.
+   segment that lies wholly in a passage that a third of all documents hold arrives once a block, not once a document.
+   A segment across the passage's edge has the passage's anchor and its document's own words, so it differs from document to
+   document. The windows of anchors with more than HEAVY tokens in the corpus are therefore dealt one by one, by a hash of the
+   whole window: equal ones still meet, at most two a block, and no shard gets all that surrounds a common passage.
 4. What an operator finds in a shard goes back to the blocks that sent the segments.
 
 All packed rows are bounded: blocks by bytes of text (one very long document is a block's largest unit), buckets and shards
@@ -32,6 +35,8 @@ from corvane.llm.shared import scratch
 BLOCK = 8 << 20
 #: Bytes of text that one numpy pass handles.
 PASS = 1 << 20
+#: Tokens of segments with one anchor, over the corpus, beyond which its windows are dealt over all shards.
+HEAVY = 1 << 20
 #: A null doc_id as a number: after all others.
 LAST = (1 << 63) - 1
 #: Anchors are compared by so many low bits, besides the bucket.
@@ -156,29 +161,40 @@ def _by_bucket(bucket: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
 Tokens = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
+def _levels(sizes: np.ndarray) -> np.ndarray:
+    """Sizes as bytes: eight steps to each doubling, rounded up."""
+    return np.ceil(8 * np.log2(np.maximum(sizes, 1))).astype(np.uint8)
+
+
 def repeated_anchors(table: DataFrame, n: int, tokens: Tokens, depth: int, gram: int, within: bool) -> DataFrame:
-    """(block, bucket, anchors): for each block its anchors that stand in another block too, or twice in it; packed.
+    """(block, bucket, anchors, heavy): for each block its anchors that stand in another block too, or twice in it; packed.
+
+    heavy: those with more than HEAVY tokens of segments in the corpus.
 
     within: an anchor that stands twice in one segment counts, too (windows may repeat within a document).
     """
 
+    bound = HEAVY
+
     def sent(batches):
         for batch, data, offsets in textkit.passes(batches, "text", PASS):
             grams, bounds = tokens(data, offsets)
             row, at, count, anchors = segments(grams, bounds, depth, gram)
+            load = count + depth - 1
             if within and len(at):  # such an anchor is listed twice
                 size = count + depth - gram
                 inner = np.add.reduceat(grams[ragged(at, size)] == np.repeat(anchors, size), np.cumsum(size) - size, dtype=np.int64) > 1
-                anchors, row = np.concatenate([anchors, anchors[inner]]), np.concatenate([row, row[inner]])
+                anchors, row, load = np.concatenate([anchors, anchors[inner]]), np.concatenate([row, row[inner]]), np.concatenate([load, np.zeros(int(inner.sum()), np.int64)])
             block = batch.column("block").to_numpy()[row]
             for b in np.unique(block):
-                mine = anchors[block == b]
-                values, counts = np.unique(mine, return_counts=True)
+                mine = block == b
+                values, of, counts = np.unique(anchors[mine], return_inverse=True, return_counts=True)
                 order, at = _by_bucket(bucket_of(values, n), n)
                 low, twice = _packed(values[order] & _LOW), counts[order] > 1
-                parts = [(k, int(b), low[at[k] : at[k + 1]].tobytes(), np.packbits(twice[at[k] : at[k + 1]]).tobytes()) for k in range(n) if at[k] < at[k + 1]]
+                level = _levels(np.bincount(of, load[mine]))[order]
+                parts = [(k, int(b), low[at[k] : at[k + 1]].tobytes(), np.packbits(twice[at[k] : at[k + 1]]).tobytes(), level[at[k] : at[k + 1]].tobytes()) for k in range(n) if at[k] < at[k + 1]]
                 if parts:
-                    yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*parts, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["bucket", "block", "low", "twice"])
+                    yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*parts, strict=True), (pa.int32(), pa.int32(), *[pa.binary()] * 3), strict=True)], ["bucket", "block", "low", "twice", "level"])
 
     def met(key: tuple, rows: pa.Table) -> pa.Table:
         block = rows.column("block").to_numpy()
@@ -192,18 +208,24 @@ def repeated_anchors(table: DataFrame, n: int, tokens: Tokens, depth: int, gram:
         again[order[1:][same]] = True
         again[order[:-1][same]] = True
         keep = again | twice
+        first = np.flatnonzero(np.concatenate([[True], ~same]))
+        level = np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in rows.column("level")])
+        heavy = low[order][first][np.add.reduceat(np.exp2(level[order] / 8), first) > bound]
         out = [(int(b), key[0].as_py(), np.unique(low[keep & (of == b)])) for b in np.unique(of[keep])]
-        return pa.table({"block": pa.array([x[0] for x in out], pa.int32()), "bucket": pa.array([x[1] for x in out], pa.int32()), "anchors": pa.array([_packed(x[2]).tobytes() for x in out], pa.binary())})
+        packed = [[_packed(x).tobytes() for x in xs] for xs in ([x[2] for x in out], [np.intersect1d(x[2], heavy) for x in out])]
+        return pa.table({"block": pa.array([x[0] for x in out], pa.int32()), "bucket": pa.array([x[1] for x in out], pa.int32()), "anchors": pa.array(packed[0], pa.binary()), "heavy": pa.array(packed[1], pa.binary())})
 
-    return table.mapInArrow(sent, "bucket int, block int, low binary, twice binary").groupBy("bucket").applyInArrow(met, "block int, bucket int, anchors binary")
+    return table.mapInArrow(sent, "bucket int, block int, low binary, twice binary, level binary").groupBy("bucket").applyInArrow(met, "block int, bucket int, anchors binary, heavy binary")
 
 
-def chosen(anchors: np.ndarray, rows: pa.Table, n: int) -> np.ndarray:
+def chosen(anchors: np.ndarray, rows: pa.Table, n: int, column: str = "anchors") -> np.ndarray:
     """Which of a block's anchors are among the packed ones of rows."""
     keep = np.zeros(len(anchors), bool)
     bucket, low = bucket_of(anchors, n), anchors & _LOW
     order, at = _by_bucket(bucket, n)
-    for k, data in zip(rows.column("bucket").to_pylist(), rows.column("anchors"), strict=True):
+    for k, data in zip(rows.column("bucket").to_pylist(), rows.column(column), strict=True):
+        if not data.as_py():
+            continue
         mine = order[at[k] : at[k + 1]]
         keep[mine] = np.isin(low[mine], _unpacked(data.as_py()))
     return keep
@@ -228,16 +250,41 @@ def _numbers(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 #: What a segment is sent as: its tokens' symbols from a slice's bytes, offsets, and the token range of each segment.
 Symbols = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
-SENT = "shard int, block int, keys binary, least binary, sizes binary, alphabet binary, codes binary"
-FOUND = "block int, keys binary, starts binary, counts binary, least binary"
+SENT = "shard int, block int, keys binary, least binary, sizes binary, hooks binary, alphabet binary, codes binary"
+FOUND = "block int, keys binary, starts binary, counts binary, least binary, hooks binary"
+_SENT = pa.schema([("shard", pa.int32()), ("block", pa.int32()), *[(x, pa.binary()) for x in ("keys", "least", "sizes", "hooks", "alphabet", "codes")]])
 
 
-def sent_segments(table: DataFrame, anchors: DataFrame, n: int, tokens: Tokens, symbols: Symbols, depth: int, gram: int) -> DataFrame:
-    """The distinct segments of each block's repeated anchors, by shard: key, least doc_id, tokens, and symbols as codes of an alphabet."""
+def _first_two(keys: np.ndarray, docs: np.ndarray, ordered: bool) -> np.ndarray:
+    """The places of the first two of each key, in order of doc_id; ordered: of two different doc_ids."""
+    order = np.lexsort((docs, keys))
+    if ordered and len(order):
+        new = (keys[order][1:] != keys[order][:-1]) | (docs[order][1:] != docs[order][:-1])
+        order = order[np.concatenate([[True], new])]
+    third = np.zeros(len(order), bool)
+    third[2:] = keys[order][2:] == keys[order][:-2]
+    return order[~third]
+
+
+def _window_keys(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray, depth: int) -> np.ndarray:
+    """The keys of all windows of the segments, PASS tokens or so at once."""
+    cut = np.flatnonzero(np.diff(np.cumsum(sizes) // PASS)) + 1
+    out = []
+    for first, size in zip(np.split(starts, cut), np.split(sizes, cut), strict=True):
+        at = ragged(np.cumsum(size) - size, size - depth + 1)
+        out.append(segment_keys(text[ragged(first, size)], at, np.full(len(at), depth)))
+    return np.concatenate(out)
+
+
+def sent_segments(table: DataFrame, anchors: DataFrame, n: int, tokens: Tokens, symbols: Symbols, depth: int, gram: int, ordered: bool) -> DataFrame:
+    """The distinct segments of each block's repeated anchors, by shard: key, least doc_id, tokens, and symbols as codes of an alphabet.
+
+    Of heavy anchors, single windows are sent, by a hash of the window; hooks has their anchors (0: a segment). ordered: as in covered().
+    """
 
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
         if not right.num_rows or not left.num_rows:
-            return pa.table({name: pa.array([], t) for name, t in zip(("shard", "block", "keys", "least", "sizes", "alphabet", "codes"), (pa.int32(), pa.int32(), *[pa.binary()] * 5), strict=True)})
+            return _SENT.empty_table()
         keys, docs, sizes, hooks, texts = [], [], [], [], []
         for batch, data, offsets in textkit.passes(left.to_batches(), "text", PASS):
             grams, bounds = tokens(data, offsets)
@@ -258,8 +305,21 @@ def sent_segments(table: DataFrame, anchors: DataFrame, n: int, tokens: Tokens,
         starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
         order = np.lexsort((docs, keys))
         order = order[np.concatenate([[True], keys[order][1:] != keys[order][:-1]])] if len(order) else order
-        order = order[np.argsort(bucket_of(hooks[order], n), kind="stable")]
-        at = np.searchsorted(bucket_of(hooks[order], n), np.arange(n + 1))
+        keys, docs, sizes, hooks, starts = (x[order] for x in (keys, docs, sizes, hooks, starts))
+        shard = bucket_of(hooks, n)
+        heavy = chosen(hooks, right, n, "heavy")
+        if heavy.any():
+            count = sizes[heavy] - depth + 1
+            at = ragged(starts[heavy], count)
+            key, doc, hook = _window_keys(text, starts[heavy], sizes[heavy], depth), np.repeat(docs[heavy], count), np.repeat(hooks[heavy], count)
+            two = _first_two(key, doc, ordered)
+            key, doc, hook, at = key[two], doc[two], hook[two], at[two]
+            dealt = (textkit.mix(key) % np.uint64(n)).astype(np.int32)
+            keys, docs, sizes, starts, shard = (np.concatenate([x[~heavy], y]) for x, y in ((keys, key), (docs, doc), (sizes, np.full(len(at), depth)), (starts, at), (shard, dealt)))
+            hooks = np.concatenate([np.zeros(int((~heavy).sum()), np.uint64), hook])
+        else:
+            hooks = np.zeros(len(keys), np.uint64)
+        order, at = _by_bucket(shard, n)
         block = left.column("block")[0].as_py()
         out = []
         for k in range(n):
@@ -268,8 +328,8 @@ def sent_segments(table: DataFrame, anchors: DataFrame, n: int, tokens: Tokens,
                 part = text[ragged(starts[mine], sizes[mine])]
                 alphabet, codes = np.unique(part, return_inverse=True)
                 codes = codes.astype(np.uint8 if len(alphabet) <= 256 else np.uint16 if len(alphabet) <= 65536 else np.uint32)
-                out.append((k, block, keys[mine].tobytes(), docs[mine].tobytes(), sizes[mine].astype(np.int64).tobytes(), alphabet.astype(np.uint64).tobytes(), codes.tobytes()))
-        return pa.table({name: pa.array([x[i] for x in out], t) for i, (name, t) in enumerate(zip(("shard", "block", "keys", "least", "sizes", "alphabet", "codes"), (pa.int32(), pa.int32(), *[pa.binary()] * 5), strict=True))})
+                out.append((k, block, keys[mine].tobytes(), docs[mine].tobytes(), sizes[mine].astype(np.int64).tobytes(), hooks[mine].tobytes() if hooks[mine].any() else b"", alphabet.astype(np.uint64).tobytes(), codes.tobytes()))
+        return pa.table([pa.array([x[i] for x in out], t) for i, t in enumerate(_SENT.types)], schema=_SENT)
 
     return table.groupBy("block").cogroup(anchors.groupBy("block")).applyInArrow(send, SENT)
 
@@ -280,8 +340,8 @@ def segment_keys(symbols: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.nd
     return textkit.mix(textkit.span(sums, at, at + size) + size.astype(np.uint64))
 
 
-def received(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A shard's segments: block, key, least doc_id, size, and all their symbols in a row."""
+def received(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A shard's segments: block, key, least doc_id, size, hook, and all their symbols in a row."""
 
     def joined(name: str, kind) -> list[np.ndarray]:
         return [np.frombuffer(x.as_py(), kind) for x in rows.column(name)]
@@ -289,11 +349,15 @@ def received(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     keys = joined("keys", np.uint64)
     codes = [alphabet[np.frombuffer(c.as_py(), np.uint8 if len(alphabet) <= 256 else np.uint16 if len(alphabet) <= 65536 else np.uint32)] for alphabet, c in zip(joined("alphabet", np.uint64), rows.column("codes"), strict=True)]
     block = np.repeat(rows.column("block").to_numpy(), [len(k) for k in keys])
-    return block, np.concatenate(keys), np.concatenate(joined("least", np.int64)), np.concatenate(joined("sizes", np.int64)), np.concatenate(codes)
+    hooks = [h if len(h) else np.zeros(len(k), np.uint64) for h, k in zip(joined("hooks", np.uint64), keys, strict=True)]
+    return block, np.concatenate(keys), np.concatenate(joined("least", np.int64)), np.concatenate(joined("sizes", np.int64)), np.concatenate(hooks), np.concatenate(codes)
+
 
+def runs(block: np.ndarray, keys: np.ndarray, hooks: np.ndarray, segment: np.ndarray, window: np.ndarray, least: np.ndarray) -> pa.Table:
+    """Found windows (segment, window within it, least doc_id that has it) as runs, packed by block; in order of segment and window.
 
-def runs(block: np.ndarray, keys: np.ndarray, segment: np.ndarray, window: np.ndarray, least: np.ndarray) -> pa.Table:
-    """Found windows (segment, window within it, least doc_id that has it) as runs, packed by block; in order of segment and window."""
+    hooks: the anchors of which a block gets single windows.
+    """
     new = np.ones(len(segment), bool)
     new[1:] = (segment[1:] != segment[:-1]) | (window[1:] != window[:-1] + 1) | (least[1:] != least[:-1])
     first = np.flatnonzero(new)
@@ -303,8 +367,9 @@ def runs(block: np.ndarray, keys: np.ndarray, segment: np.ndarray, window: np.nd
     for b in np.unique(of):
         mine = of == b
         at = first[mine]
-        out.append((int(b), keys[segment[at]].tobytes(), window[at].astype(np.int64).tobytes(), count[mine].astype(np.int64).tobytes(), least[at].astype(np.int64).tobytes()))
-    return pa.table({name: pa.array([x[i] for x in out], pa.int32() if not i else pa.binary()) for i, name in enumerate(("block", "keys", "starts", "counts", "least"))})
+        single = np.unique(hooks[segment[at]])
+        out.append((int(b), keys[segment[at]].tobytes(), window[at].astype(np.int64).tobytes(), count[mine].astype(np.int64).tobytes(), least[at].astype(np.int64).tobytes(), single[single > 0].tobytes()))
+    return pa.table({name: pa.array([x[i] for x in out], pa.int32() if not i else pa.binary()) for i, name in enumerate(("block", "keys", "starts", "counts", "least", "hooks"))})
 
 
 def covered(left: pa.Table, right: pa.Table, tokens: Tokens, symbols: Symbols, depth: int, gram: int, ordered: bool):
@@ -315,8 +380,8 @@ def covered(left: pa.Table, right: pa.Table, tokens: Tokens, symbols: Symbols, d
     slices = []
     for batch, data, offsets in textkit.passes(left.to_batches(), "text", PASS):
         grams, bounds = tokens(data, offsets)
-        row, at, count, _ = segments(grams, bounds, depth, gram)
-        slices.append((batch, data, offsets, bounds, row, at, count, segment_keys(symbols(data, offsets), at, count + depth - 1)))
+        row, at, count, anchor = segments(grams, bounds, depth, gram)
+        slices.append((batch, data, offsets, bounds, row, at, count, segment_keys(symbols(data, offsets), at, count + depth - 1), anchor))
     if not slices:
         return
     keys = np.concatenate([x[7] for x in slices])
@@ -329,10 +394,11 @@ def covered(left: pa.Table, right: pa.Table, tokens: Tokens, symbols: Symbols, d
     else:
         whole = (times[group] > 1) | (np.concatenate([x[0].column("times").to_numpy()[x[4]] for x in slices]) > 1)
     packed = {c: np.concatenate([np.frombuffer(x.as_py(), t) for x in right.column(c)] or [np.zeros(0, t)]) for c, t in (("keys", np.uint64), ("starts", np.int64), ("counts", np.int64), ("least", np.int64))}
-    order = np.argsort(packed["keys"], kind="stable")
+    order = np.lexsort((packed["least"], packed["keys"]))
     packed = {c: x[order] for c, x in packed.items()}
+    single = np.unique(np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in right.column("hooks")] or [np.zeros(0, np.uint64)]))
     done = 0
-    for batch, data, offsets, bounds, _, at, count, key in slices:
+    for batch, data, offsets, bounds, _, at, count, key, anchor in slices:
         doc, all_of = docs[done : done + len(key)], whole[done : done + len(key)]
         done += len(key)
         low, high = np.searchsorted(packed["keys"], key, "left"), np.searchsorted(packed["keys"], key, "right")
@@ -342,6 +408,15 @@ def covered(left: pa.Table, right: pa.Table, tokens: Tokens, symbols: Symbols, d
             which, run = which[good], run[good]
         start = np.concatenate([at[all_of], at[which] + packed["starts"][run]])
         end = np.concatenate([at[all_of] + count[all_of], at[which] + packed["starts"][run] + packed["counts"][run]]) + depth - 1
+        apart = np.isin(anchor, single)
+        if apart.any():  # their windows came back one by one
+            place, of = ragged(at[apart], count[apart]), np.repeat(doc[apart], count[apart])
+            mine = segment_keys(symbols(data, offsets), place, np.full(len(place), depth))
+            low = np.minimum(np.searchsorted(packed["keys"], mine, "left"), len(packed["keys"]) - 1)
+            hit = packed["keys"][low] == mine
+            if ordered:
+                hit &= packed["least"][low] < of
+            start, end = np.concatenate([start, place[hit]]), np.concatenate([end, place[hit] + depth])
         edge = np.bincount(start, minlength=int(bounds[-1]) + 1)[: int(bounds[-1]) + 1] - np.bincount(end, minlength=int(bounds[-1]) + 1)[: int(bounds[-1]) + 1]
         yield batch, data, offsets, bounds, np.cumsum(edge)[:-1] > 0
 
