@@ -4,13 +4,14 @@ Built-in functions only. The patterns are matched leftmost and without overlap;
 lengths of the pieces between matches. A candidate string is a run of 20 or more characters of a class; a window
 of 20 characters slides over it, and its entropy is kept up to date by the two counts that change with each step.
 A run's hot windows (entropy at or above the class's threshold) give one span, from the first one's start to the last
-one's end, unless the run is on the allow list (examples, identifiers, paths of words, plain words, plain numbers).
+one's end, unless the run is on the allow list (examples, identifiers); runs without a digit (words, paths of words) are no candidates.
 
 op8_secrets and its SQL hold to these CLASSES. The wide scan (op8_secrets_wide, and redacted(), the pipeline's stage) adds classes
 for keys of one case and digits (the span is the whole run), and there a word of the allow list takes only the windows that touch it out of a run.
 
-Edge cases: null or empty text has no spans; very long texts are scanned whole; repeated rows each get a row;
-an empty table gives no rows; more columns are ignored by spans_of() and kept by redacted().
+Edge cases: null or empty text has no spans; very long texts, runs and lists of matches are scanned whole, in time that grows with
+their length; repeated rows each get a row; an empty table gives no rows; more columns are ignored by scanned() and kept by
+redacted(), whatever their names.
 """
 
 from __future__ import annotations
@@ -20,9 +21,15 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.shared import held, let, table
+from corvane.llm.shared import held, let, masked, table
 
 WINDOW = 20
+#: Bits of a count in a window, and counts in an integer.
+FIELD, FIELDS = 5, 12
+#: Values that one level of a running merge takes.
+RUN = 256
+#: Characters of the stretches that a text is cut out of.
+STRETCH = 4096
 _KEYWORDS = "[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]"
 #: kind -> pattern; kinds stand in the order in which spans of one start are listed.
 PATTERNS = {
@@ -44,60 +51,107 @@ WIDER = {
 }
 #: The words of the first entry of ALLOWED.
 MARKERS = ("example", "sample", "dummy", "placeholder")
-#: Runs that are no secrets whatever their entropy.
+#: Runs that are no secrets whatever their entropy. Plain words and paths of words need no entry: without a digit they are no candidates.
+#: No pattern of this module repeats a group; Java's matcher would recurse once for each repetition.
 ALLOWED = (
     r"(?:[Ee][Xx][Aa][Mm][Pp][Ll][Ee]|[Ss][Aa][Mm][Pp][Ll][Ee]|[Dd][Uu][Mm][Mm][Yy]|[Pp][Ll][Aa][Cc][Ee][Hh][Oo][Ll][Dd][Ee][Rr])",
     r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$",
-    r"^(?:[A-Z]?[a-z]+[/_-])*[A-Z]?[a-z]+[/_-]?$",
 )
 KINDS = [*PATTERNS, *CLASSES]
 WIDE_KINDS = [*KINDS, *WIDER]
 
 
+def _before(values: Column, zero: int, merge) -> Column:
+    """For each value, the merge of all values before it (zero for the first): runs of RUN values, then the runs' totals.
+
+    A fold that appends to one array copies it at every step; in two levels no array that grows is longer than RUN, or than
+    the number of runs.
+    """
+    none = F.expr("array_repeat(0, 0)")
+    start = F.struct(F.lit(zero).alias("at"), none.alias("seen"))
+
+    def scanned(part: Column) -> Column:
+        step = lambda s, x: F.struct(merge(s["at"], x).alias("at"), F.concat(s["seen"], F.array(s["at"])).alias("seen"))
+        return F.aggregate(part, start, step)
+
+    def joined(runs: Column) -> Column:
+        totals = scanned(F.transform(runs, lambda r: r["at"]))["seen"]
+        return F.flatten(F.zip_with(runs, totals, lambda r, t: F.transform(r["seen"], lambda x: merge(t, x))))
+
+    first = F.sequence(F.lit(1), F.size(values), F.lit(RUN))
+    return F.when(F.size(values) > 0, let(F.transform(first, lambda i: scanned(F.slice(values, i, RUN))), joined)).otherwise(none)
+
+
 def _located(text: Column, pattern: str, group: int = 0) -> Column:
-    """The matches of pattern in text: array of (start, end, found)."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.split(text, pattern, -1)
-    wanted = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
+    """The matches of pattern in text: array of (start, end, found). A match starts after the pieces and matches before it."""
+    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    wanted = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
     none = F.expr("array_repeat(named_struct('start', 0, 'end', 0, 'found', ''), 0)")
+    lengths = F.zip_with(F.split(text, pattern, -1), whole, lambda piece, m: F.struct(F.length(piece).alias("gap"), F.length(m).alias("length")))
+    lengths = F.filter(lengths, lambda x: x["length"].isNotNull())  # the last piece has no match after it
 
-    def step(state: Column, each: Column) -> Column:
-        start = state["at"] + F.length(each["piece"])
-        end = start + F.length(each["whole"])
-        return F.struct(end.alias("at"), F.concat(state["spans"], F.array(F.struct(start.alias("start"), end.alias("end"), each["wanted"].alias("found")))).alias("spans"))
+    def placed(lengths: Column) -> Column:
+        start = _before(F.transform(lengths, lambda x: x["gap"] + x["length"]), 0, lambda a, x: a + x)
+        return F.zip_with(F.arrays_zip(start.alias("at"), lengths.alias("of")), wanted, lambda x, found: F.struct((x["at"] + x["of"]["gap"]).alias("start"), (x["at"] + x["of"]["gap"] + x["of"]["length"]).alias("end"), found.alias("found")))
 
-    rows = F.zip_with(F.arrays_zip(found.alias("whole"), wanted.alias("wanted")), F.slice(pieces, 1, F.size(found)), lambda m, p: F.struct(p.alias("piece"), m["whole"].alias("whole"), m["wanted"].alias("wanted")))
-    spans = F.aggregate(rows, F.struct(F.lit(0).alias("at"), none.alias("spans")), step)["spans"]
-    return F.when(F.regexp_like(text, F.lit(pattern)), spans).otherwise(none)
+    return F.when(F.regexp_like(text, F.lit(pattern)), let(lengths, placed)).otherwise(none)
 
 
 def _hot(run: Column, symbols: str, bits: float) -> Column:
-    """The first and the last hot window of a run, each a start within it; -1 without one."""
-    n = len(symbols)
+    """The first and the last hot window of a run, each a start within it; -1 without one.
+
+    The counts of a window (at most WINDOW, so FIELD bits each) are packed into a few integers; a step takes one unit out of a
+    field and puts one into another, and corrects the sum of c * log2(c) by those two counts alone. A long run is taken in
+    stretches, each with the end of the one before, so memory stays flat.
+    """
     fold = F.lower(run) if symbols == "0123456789abcdef" else run
-    codes = F.transform(F.split(fold, ""), lambda c: F.instr(F.lit(symbols), c))
-    weight = lambda c: F.when(c > 1, c * F.log2(c)).otherwise(F.lit(0.0))
-    zero = F.struct(F.array_repeat(F.lit(0), n).alias("counts"), F.lit(0.0).alias("sum"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
+    kept = WINDOW - 1
+
+    def searched(parts: Column) -> Column:
+        before = lambda k: F.when(k > 0, F.substring(F.get(parts, k - 1), -kept, kept)).otherwise("")
+        places = lambda k, hot: F.transform(F.array(hot["first"], hot["last"]), lambda x: F.when(x >= 0, x + k * STRETCH - F.when(k > 0, kept).otherwise(0)))
+        return F.flatten(F.transform(parts, lambda p, k: places(k, _hot_stretch(F.concat(before(k), p), symbols, bits))))
+
+    parts = F.when(F.length(fold) > STRETCH, F.regexp_extract_all(fold, F.lit(f"(?s).{{1,{STRETCH}}}"), F.lit(0))).otherwise(F.array(fold))
+    return let(let(parts, searched), lambda x: F.struct(F.coalesce(F.array_min(x), F.lit(-1)).alias("first"), F.coalesce(F.array_max(x), F.lit(-1)).alias("last")))
+
+
+def _hot_stretch(run: Column, symbols: str, bits: float) -> Column:
+    """_hot of one stretch."""
+    slots = -(-len(symbols) // FIELDS)
+    codes = F.transform(F.split(run, ""), lambda c: F.instr(F.lit(symbols), c) - 1)
+    weights = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(WINDOW + 1)])
+    counts = [f"c{k}" for k in range(slots)]
+    zero = F.struct(*[F.lit(0).cast("long").alias(c) for c in counts], F.lit(0.0).alias("sum"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
+
+    def field(code: Column) -> Column:
+        unit = F.call_function("shiftleft", F.lit(1).cast("long"), code % FIELDS * FIELD)
+        return F.struct(F.floor(code / FIELDS).cast("int").alias("slot"), unit.alias("unit"), (code % FIELDS * FIELD).alias("shift"))
+
+    def count(state: Column, at: Column) -> Column:
+        return F.call_function("shiftright", F.get(F.array(*[state[c] for c in counts]), at["slot"]), at["shift"]).bitwiseAND((1 << FIELD) - 1).cast("int")
 
     def step(state: Column, each: Column) -> Column:
-        full = each["out"] > 0
-        dropped = F.when(full, F.get(state["counts"], each["out"] - 1)).otherwise(F.lit(0))
-        less = F.when(full, F.transform(state["counts"], lambda c, j: c - F.when(j == each["out"] - 1, 1).otherwise(0))).otherwise(state["counts"])
-        was = F.get(less, each["in"] - 1)
-        total = state["sum"] - weight(dropped) + F.when(full, weight(dropped - 1)).otherwise(F.lit(0.0)) - weight(was) + weight(was + 1)
+        full = each["at"] > WINDOW
+        same = full & (each["in"]["unit"] == each["out"]["unit"]) & (each["in"]["slot"] == each["out"]["slot"])
+        gone, come = count(state, each["out"]), count(state, each["in"])
+        less = F.when(full, F.get(weights, gone - 1) - F.get(weights, gone)).otherwise(0.0)
+        more = F.get(weights, come + 1) - F.get(weights, come)
+        total = F.when(same, state["sum"]).otherwise(state["sum"] + less + more)
         hot = (each["at"] >= WINDOW) & (F.round(F.lit(WINDOW * math.log2(WINDOW)) - total, 6) >= bits * WINDOW)
         start = each["at"] - WINDOW
+        unit = lambda x, k: F.when(x["slot"] == k, x["unit"]).otherwise(0)
         return F.struct(
-            F.transform(less, lambda c, j: c + F.when(j == each["in"] - 1, 1).otherwise(0)).alias("counts"),
+            *[(state[c] + unit(each["in"], k) - F.when(full, unit(each["out"], k)).otherwise(0)).alias(c) for k, c in enumerate(counts)],
             total.alias("sum"),
             F.when(hot & (state["first"] < 0), start).otherwise(state["first"]).alias("first"),
             F.when(hot, start).otherwise(state["last"]).alias("last"),
         )
 
-    def steps(codes: Column) -> Column:
-        return F.transform(codes, lambda c, j: F.struct(c.alias("in"), F.when(j >= WINDOW, F.get(codes, j - WINDOW)).otherwise(0).alias("out"), (j + 1).alias("at")))
+    def steps(fields: Column) -> Column:
+        return F.transform(fields, lambda c, j: F.struct(c.alias("in"), F.get(fields, F.greatest(j - WINDOW, F.lit(0))).alias("out"), (j + 1).alias("at")))
 
-    return F.aggregate(let(codes, steps), zero, step, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")))
+    return F.aggregate(let(F.transform(codes, field), steps), zero, step, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")))
 
 
 def _unmarked(text: Column) -> Column:
@@ -168,21 +222,32 @@ def scanned(docs: DataFrame) -> DataFrame:
 
 
 def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """docs with every span of the wide scan in text replaced by mark (spans that touch or overlap: by one mark) and n_chars brought up to date."""
-
-    def step(state: Column, x: Column) -> Column:
-        fresh = x["start"] > state["to"]
-        piece = F.substring(F.col("text"), state["to"] + 1, F.greatest(x["start"] - state["to"], F.lit(0)))
-        return F.struct(
-            F.greatest(state["to"], x["end"]).alias("to"),
-            F.when(fresh | (F.size(state["parts"]) == 0), F.concat(state["parts"], F.array(piece, F.lit(mark)))).otherwise(state["parts"]).alias("parts"),
-        )
-
-    zero = F.struct(F.lit(0).alias("to"), F.expr("array_repeat('', 0)").alias("parts"))
-    cut = F.aggregate("_spans", zero, step, lambda s: F.concat(F.array_join(s["parts"], ""), F.substring(F.col("text"), s["to"] + 1, F.length(F.col("text")))))
-    marked = spans_of(docs, wide=True)
-    text = F.when(F.size("_spans") > 0, cut).otherwise(F.col("text"))
-    return held(marked, "_text", text).select(*[F.col("_text").alias(c) if c == "text" else F.length("_text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    """docs with every span of the wide scan in text replaced by mark (spans that touch or overlap: by one mark) and n_chars brought up to date.
+
+    A text is cut out of stretches of STRETCH characters, so a cut doesn't count characters from the text's start.
+    """
+    stretches = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{STRETCH}}}"), F.lit(0))
+
+    def cut(parts: Column, low: Column, high: Column) -> Column:
+        """The characters low .. high - 1."""
+        first, last = F.floor(low / STRETCH).cast("int"), F.floor(high / STRETCH).cast("int")
+        piece = lambda k, a, n: F.substring(F.coalesce(F.get(parts, k), F.lit("")), a, n)
+        inner = F.array_join(F.slice(parts, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+        across = F.concat(piece(first, low - first * STRETCH + 1, F.lit(STRETCH)), inner, piece(last, F.lit(1), high - last * STRETCH))
+        return F.when(first == last, piece(first, low - first * STRETCH + 1, high - low)).otherwise(across)
+
+    def marked(parts: Column) -> Column:
+        reached = _before(F.transform("_spans", lambda x: x["end"]), 0, lambda a, x: F.greatest(a, x))
+        gaps = F.zip_with("_spans", reached, lambda x, to: F.struct(to.alias("low"), x["start"].alias("high")))
+        fresh = F.filter(gaps, lambda g, i: (g["high"] > g["low"]) | (i == 0))
+        rest = F.array_max(F.transform("_spans", lambda x: x["end"]))
+        return F.concat(F.array_join(F.transform(fresh, lambda g: F.concat(cut(parts, g["low"], g["high"]), F.lit(mark))), ""), cut(parts, rest, F.length("text")))
+
+    given, names = masked(docs, "text")
+    found = spans_of(given, wide=True)
+    text = F.when(F.size("_spans") > 0, let(stretches, marked)).otherwise(F.col("text"))
+    new = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
+    return held(found, "_text", text).select(*[new.get(c, F.col(names[c])).alias(c) for c in docs.columns])
 
 
 def op8_secrets(spark, sf_dir: str) -> DataFrame:

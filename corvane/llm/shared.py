@@ -17,9 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share. Own folder only where that is unset, as in tests."""
+    """A new folder below spark.checkpoint.dir, which driver and executors share. Only a local session, which has one machine, may leave it unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/corvane-{uuid.uuid4().hex}"
@@ -33,6 +35,12 @@ def saved(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def masked(docs: DataFrame, *own: str) -> tuple[DataFrame, dict[str, str]]:
+    """docs with every column but own ones under a name that no operator uses, and those names: a given column may have any name."""
+    names = {c: c if c in own else f"_given_{k}" for k, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once, however often the body names it."""
     return F.transform(F.array(value), body)[0]

@@ -104,9 +104,50 @@ def test_secrets(spark):
 
 
 def test_many_secrets_in_one_long_text(spark):
-    text = "filler words here " * 2000 + " ".join(f"token=abcdefgh{k}" for k in range(500))
-    (row,) = secrets.scanned(frame(spark, [text])).collect()
-    assert row["n_assign"] == 500
+    many = [f"token=abcdefgh{k}" for k in range(100_000)]
+    text = "filler words here \U0001f511 " * 2000 + " ".join(many)
+    docs = frame(spark, [text, text])
+    for row in secrets.scanned(docs.union(docs)).collect():  # repeated rows: each has its own
+        places = [tuple(map(int, x.split(":")[1:])) for x in row["spans"].split(",") if x.startswith("assign")]
+        assert row["n_assign"] == len(places) == len(many) and text[places[-1][0] : places[-1][1]] == many[-1]
+    (clean, again) = [r["text"] for r in secrets.redacted(docs).collect()]
+    assert clean == again == "filler words here \U0001f511 " * 2000 + " ".join(["[SECRET]"] * len(many))
+
+
+def test_very_long_runs(spark):
+    n, m = 120_000, 8_000
+    texts = ["Ab/" * n + "1", "xy" * n, "a1B2/" * m, "0123456789abcdef" * m, "x" * 50 + "q7Zk2mXw9RtB4vNc8LpD" * m, "api_" * n + "key=abcdefgh", "AKIA" * n]
+    rows = {r["doc_id"]: r for r in secrets.scanned(frame(spark, texts)).collect()}
+    assert rows[0]["spans"] == rows[1]["spans"] == "" and rows[3]["n_hex"] == 1 and rows[5]["n_assign"] == rows[6]["n_access"] == 1
+    assert rows[4]["spans"].endswith(f":{50 + 20 * m}") and rows[4]["spans"].startswith("entropy_base64:")
+    clean = {r["doc_id"]: r for r in secrets.redacted(frame(spark, texts)).collect()}
+    assert clean[1]["text"] == texts[1] and clean[3]["text"] == clean[6]["text"] == "[SECRET]"
+
+
+def brute_entropy(run, symbols, bits):
+    hot = []
+    for i in range(len(run) - secrets.WINDOW + 1):
+        counts = np.unique(list(run[i : i + secrets.WINDOW]), return_counts=True)[1] / secrets.WINDOW
+        hot += [i] if -(counts * np.log2(counts)).sum() + 1e-7 >= bits else []
+    return (hot[0], hot[-1]) if hot else (-1, -1)
+
+
+def test_sliding_entropy_equals_that_of_every_window(spark):
+    rng = np.random.default_rng(3)
+    _, symbols, bits, _ = secrets.CLASSES["entropy_base64"]
+    runs = ["".join(symbols[k] for k in rng.integers(0, top, rng.integers(20, 90))) for top in (12, 16, 20, 40, 65) for _ in range(20)]
+    runs += ["".join(symbols[k] for k in np.concatenate([rng.integers(0, 4, 40), rng.integers(0, 65, 25), rng.integers(0, 4, 40)])) for _ in range(20)]
+    found = frame(spark, runs).select("doc_id", secrets._hot(F.col("text"), symbols, bits).alias("hot")).collect()
+    assert {r["doc_id"]: (r["hot"]["first"], r["hot"]["last"]) for r in found} == {k: brute_entropy(r, symbols, bits) for k, r in enumerate(runs)}
+
+
+def test_redaction_keeps_columns_of_any_name(spark):
+    docs = frame(spark, ["token=abcdefgh1 token=abcdefgh2", "é" * 9000 + " token=abcdefgh1", None])
+    for c in ("_spans", "_text", "_unmarked", "_row", "spans"):
+        docs = docs.withColumn(c, F.lit(c))
+    clean = {r["doc_id"]: r for r in secrets.redacted(docs).collect()}
+    assert clean[0]["text"] == "[SECRET] [SECRET]" and clean[1]["text"] == "é" * 9000 + " [SECRET]" and clean[2]["text"] is None
+    assert all(clean[k][c] == c for k in clean for c in ("_spans", "_text", "_unmarked", "_row", "spans"))
 
 
 # near-duplicates
