@@ -2,7 +2,7 @@
 
 Words covered by a window of DEPTH words whose sequence also starts anywhere else are removed. windows.py brings all equal
 windows into one shard. There the shard's segments are the text of an FM-index: the Burrows-Wheeler transform of their words in
-a wavelet matrix of packed bits with a count for every 64. The same segments are then streamed through it: backward search from an
+a wavelet tree shaped by their Huffman code, which compresses it to its entropy. The same segments are then streamed through it: backward search from an
 end keeps the interval of what has been read and gives the longest match that stands at least twice (the matching
 statistics, as far as the threshold needs them); windows inside such a match repeat. All segments advance together.
 
@@ -14,13 +14,15 @@ copies with one doc_id; an empty table gives no rows; columns other than doc_id
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm import textkit, windows
-from corvane.llm.shared import table
+from corvane.llm.shared import saved, table, with_once
 
 DEPTH = 35
 GRAM = 18
@@ -57,8 +59,71 @@ def suffix_array(ranks: np.ndarray) -> np.ndarray:
         width *= 2
 
 
+def code_lengths(counts: np.ndarray) -> np.ndarray:
+    """Bits of each symbol in a Huffman code (0: a symbol that doesn't occur)."""
+    heap = [(int(c), int(s), None) for s, c in enumerate(counts) if c]
+    out = np.zeros(len(counts), np.int64)
+    if len(heap) == 1:
+        out[heap[0][1]] = 1
+        return out
+    heapq.heapify(heap)
+    while len(heap) > 1:
+        a, b = heapq.heappop(heap), heapq.heappop(heap)
+        heapq.heappush(heap, (a[0] + b[0], min(a[1], b[1]) - len(counts), (a, b)))
+    below = [(heap[0], 0)] if heap else []
+    while below:
+        (_, symbol, parts), bits = below.pop()
+        if parts is None:
+            out[symbol] = bits
+        else:
+            below += [(part, bits + 1) for part in parts]
+    return out
+
+
+def codes_of(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The canonical code of each symbol, and the symbols in order of their codes."""
+    order = np.lexsort((np.arange(len(lengths)), lengths))
+    order = order[lengths[order] > 0]
+    code = np.zeros(len(lengths), np.int64)
+    at = bits = 0
+    for symbol, n in zip(order.tolist(), lengths[order].tolist(), strict=True):
+        at <<= n - bits
+        bits = n
+        code[symbol] = at
+        at += 1
+    return code, order
+
+
+class Bits:
+    """A bit vector with the number of ones before each place: a count for every 64 bits, relative to one for every 2^14."""
+
+    def __init__(self, bit: np.ndarray):
+        packed = np.zeros((len(bit) // 64 + 1) * 8, np.uint8)
+        raw = np.packbits(bit.astype(np.uint8), bitorder="little")
+        packed[: len(raw)] = raw
+        self.words = packed.view("<u8")
+        counts = np.cumsum(np.bitwise_count(self.words), dtype=np.int64)
+        counts = np.concatenate([[0], counts[:-1]])
+        self.far = counts[::256].astype(np.int32)
+        self.near = (counts - np.repeat(self.far, 256)[: len(counts)]).astype(np.uint16)
+
+    def before(self, at: np.ndarray) -> np.ndarray:
+        word = at >> 6
+        low = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
+        return self.far[word >> 8] + self.near[word] + np.bitwise_count(self.words[word] & low).astype(np.int64)
+
+    @property
+    def size(self) -> int:
+        """Bits of memory."""
+        return 8 * (self.words.nbytes + self.far.nbytes + self.near.nbytes)
+
+
 class Index:
-    """An FM-index of sequences of codes (1 and up), each closed by an end of its own."""
+    """An FM-index of sequences of codes (1 and up), each closed by an end of its own.
+
+    The transform is compressed to its entropy: a wavelet tree in the shape of a Huffman code, so a symbol takes as many bits,
+    and a rank as many steps, as its code has; common words take few. A level holds the nodes of that depth side by side.
+    """
 
     def __init__(self, codes: np.ndarray, size: np.ndarray):
         n = len(size)
@@ -72,41 +137,46 @@ class Index:
         symbols = np.zeros(len(text), np.int64)
         symbols[inner] = codes
         last = symbols[order - 1]  # an end where a sequence starts
+        counts = np.bincount(symbols, minlength=int(codes.max(initial=0)) + 1)
         self.n = len(text)
-        self.first = np.concatenate([[0], np.cumsum(np.bincount(symbols, minlength=int(codes.max(initial=0)) + 2))])
-        self.levels: list[tuple[np.ndarray, np.ndarray, int]] = []
-        for level in range(max(1, int(codes.max(initial=1)).bit_length()) - 1, -1, -1):
-            bit = (last >> level & 1).astype(np.uint8)
-            packed = np.zeros((self.n // 64 + 1) * 8, np.uint8)
-            raw = np.packbits(bit, bitorder="little")
-            packed[: len(raw)] = raw
-            words = packed.view("<u8")
-            counts = np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)]).astype(np.int32)
-            zeros = self.n - int(bit.sum())
-            self.levels.append((words, counts, zeros))
-            last = np.concatenate([last[bit == 0], last[bit == 1]])
-        symbols = np.arange(len(self.first) - 1)
-        #: Where each symbol's run begins below the last level.
-        self.base = self._below(symbols, np.zeros(len(symbols), np.int64))
+        self.first = np.concatenate([[0], np.cumsum(counts)])
+        self.length = code_lengths(counts)
+        self.code, by_code = codes_of(self.length)
+        #: Of each level: its bits, where each symbol's node starts in them, and the ones before that.
+        self.levels: list[tuple[Bits, np.ndarray, np.ndarray]] = []
+        for level in range(int(self.length.max(initial=0))):
+            left = self.length[last] - 1 - level
+            bits = Bits(self.code[last] >> left & 1)
+            deep = by_code[self.length[by_code] > level]
+            node = self.code[deep] >> (self.length[deep] - level)
+            first = np.concatenate([[True], node[1:] != node[:-1]])
+            begin = (np.cumsum(counts[deep]) - counts[deep])[first][np.cumsum(first) - 1]
+            start, ones = np.zeros((2, len(counts)), np.int32)
+            start[deep], ones[deep] = begin, bits.before(begin)
+            self.levels.append((bits, start, ones))
+            prefix = self.code[last] >> left
+            last = last[np.argsort(prefix.astype(np.uint16) if level < 16 else prefix, kind="stable")]
+            last = last[self.length[last] > level + 1]
+
+    @property
+    def bits(self) -> int:
+        """Bits of memory that the levels' vectors take."""
+        return sum(level[0].size for level in self.levels)
 
     def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         """How often each symbol stands among the first `at` ones of the transform."""
-        return self._below(symbol, at) - self.base[symbol]
-
-    def _below(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """The places that lead to `at` when each symbol's bits are followed through the levels."""
-        for k, (words, counts, zeros) in enumerate(self.levels):
-            one = symbol >> (len(self.levels) - 1 - k) & 1 == 1
-            at = self._ones(words, counts, at, one, zeros)
+        at = at.copy()
+        live, length = np.arange(len(at)), self.length[symbol]
+        for level, (bits, start, ones) in enumerate(self.levels):
+            if level and not (length[live] > level).all():
+                live = live[length[live] > level]
+            if not len(live):
+                break
+            mine, place = symbol[live], at[live]
+            found = bits.before(start[mine] + place) - ones[mine]
+            at[live] = np.where(self.code[mine] >> (length[live] - 1 - level) & 1, found, place - found)
         return at
 
-    @staticmethod
-    def _ones(words: np.ndarray, counts: np.ndarray, at: np.ndarray, one: np.ndarray, zeros: int) -> np.ndarray:
-        word = at >> 6
-        low = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
-        ones = counts[word] + np.bitwise_count(words[word] & low)
-        return np.where(one, zeros + ones, at - ones)
-
     def back(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The intervals of symbol followed by what has the intervals [low, high)."""
         both = self.rank(np.concatenate([symbol, symbol]), np.concatenate([low, high])) + np.concatenate([self.first[symbol]] * 2)
@@ -154,12 +224,12 @@ def _shard(depth: int):
     return search
 
 
-def deduplicated(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, block_bytes: int = windows.BLOCK) -> DataFrame:
-    """digest, least doc_id, times, n_words, the removed spans (starts, ends: word places) and the kept words, joined by a space, of every distinct text."""
+def planned(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, block_bytes: int = windows.BLOCK) -> tuple[DataFrame, windows.Blocks]:
+    """What deduplicated() returns, before it is computed, and the table that it reads."""
     tokens = _tokens(gram)
-    blocked, n = windows.blocks(docs, block_bytes)
-    anchors = windows.repeated_anchors(blocked, n, tokens, depth, gram, True)
-    sent = windows.sent_segments(blocked, anchors, n, tokens, _symbols, depth, gram, False)
+    blocked = windows.blocks(docs, block_bytes)
+    anchors = windows.repeated_anchors(blocked, tokens, depth, gram, True)
+    sent = windows.sent_segments(blocked, anchors, tokens, _symbols, depth, gram, False)
     found = sent.groupBy("shard").applyInArrow(_shard(depth), windows.FOUND)
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -184,14 +254,25 @@ def deduplicated(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, block_by
             out.append(pa.record_batch([batch.column("digest"), batch.column("doc_id"), batch.column("times"), pa.array(np.diff(bounds), pa.int64()), starts, ends, text], ["digest", "doc_id", "times", "n_words", "starts", "ends", "kept"]))
         return pa.Table.from_batches(out) if out else pa.schema([("digest", pa.string()), ("doc_id", pa.int64()), ("times", pa.int64()), ("n_words", pa.int64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("kept", pa.string())]).empty_table()
 
-    return blocked.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(cut, "digest string, doc_id long, times long, n_words long, starts array<long>, ends array<long>, kept string")
+    schema = "digest string, doc_id long, times long, n_words long, starts array<long>, ends array<long>, kept string"
+    return blocked.table.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(cut, schema), blocked
+
+
+def deduplicated(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, block_bytes: int = windows.BLOCK) -> DataFrame:
+    """digest, least doc_id, times, n_words, the removed spans (starts, ends: word places) and the kept words, joined by a space, of every distinct text."""
+    texts, blocked = planned(docs, depth, gram, block_bytes)
+    texts = saved(texts, "texts")
+    blocked.drop()
+    return texts
 
 
 def op7_fmindex(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     removed = F.aggregate(F.zip_with("ends", "starts", lambda e, s: e - s), F.lit(0).cast("long"), lambda a, x: a + x)
-    texts = deduplicated(docs).select("digest", "n_words", removed.alias("n_removed"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
-    return windows.named(docs).select("doc_id", "digest").join(texts, "digest").drop("digest")
+    texts, blocked = planned(docs)
+    texts = saved(texts.select("digest", "times", "n_words", removed.alias("n_removed"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256")), "texts")
+    blocked.drop()
+    return with_once(windows.named(docs).select("doc_id", "digest"), texts, "digest").drop("digest")
 
 
 OP7_SQL = r"""

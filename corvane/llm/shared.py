@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Keys at most that with_once() broadcasts.
+HEAVY = 10_000
 #: Word characters of every contract: anything but the ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -35,6 +37,30 @@ def saved(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared scratch space."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def with_once(rows: DataFrame, once: DataFrame, key: str, times: str = "times") -> DataFrame:
+    """rows with the columns of once, which has one row for every key and the number of rows that hold it (times, left out).
+
+    Keys with more than 1 / HEAVY of all rows (and more than 1,000) are joined by broadcast, at most HEAVY of them; the others by
+    shuffle, where a heavy key's rows are dealt out without a match. So no task gets all rows of a common key.
+    """
+    bound = max(1000, rows.count() // HEAVY)
+    rest = [c for c in once.columns if c not in (key, times)]
+    values = F.struct(*rest)
+    heavy = once.where(F.col(times) > bound).select(F.col(key).alias("_heavy"), values.alias("_a"))
+    light = once.where(F.col(times) <= bound).select(F.col(key).alias("_light"), values.alias("_b"))
+    met = rows.join(F.broadcast(heavy), rows[key] == heavy["_heavy"], "left")
+    apart = F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string")).cast(rows.schema[key].dataType)
+    met = met.withColumn("_own", F.when(F.col("_a").isNull(), F.col(key)).otherwise(apart))
+    met = met.join(light, met["_own"] == light["_light"], "left").withColumn("_found", F.coalesce("_a", "_b"))
+    return met.select(*rows.columns, *[F.col(f"_found.{c}").alias(c) for c in rest])
+
+
 def masked(docs: DataFrame, *own: str) -> tuple[DataFrame, dict[str, str]]:
     """docs with every column but own ones under a name that no operator uses, and those names: a given column may have any name."""
     names = {c: c if c in own else f"_given_{k}" for k, c in enumerate(docs.columns)}

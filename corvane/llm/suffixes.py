@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm import textkit, windows
-from corvane.llm.shared import table
+from corvane.llm.shared import saved, table, with_once
 
 DEPTH = 50
 GRAM = 24
@@ -85,15 +85,12 @@ def _shard(depth: int):
     return sort
 
 
-def deduplicated(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, block_bytes: int = windows.BLOCK) -> DataFrame:
-    """digest, least doc_id, times, n_bytes, the removed spans (starts, ends: byte places) and the bytes kept of every distinct text.
-
-    What is kept is that of the text's first document; of its other ones nothing is, if the text has depth bytes.
-    """
+def planned(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, block_bytes: int = windows.BLOCK) -> tuple[DataFrame, windows.Blocks]:
+    """What deduplicated() returns, before it is computed, and the table that it reads."""
     tokens = _tokens(gram)
-    blocked, n = windows.blocks(docs, block_bytes)
-    anchors = windows.repeated_anchors(blocked, n, tokens, depth, gram, False)
-    sent = windows.sent_segments(blocked, anchors, n, tokens, _symbols, depth, gram, True)
+    blocked = windows.blocks(docs, block_bytes)
+    anchors = windows.repeated_anchors(blocked, tokens, depth, gram, False)
+    sent = windows.sent_segments(blocked, anchors, tokens, _symbols, depth, gram, True)
     found = sent.groupBy("shard").applyInArrow(_shard(depth), windows.FOUND)
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -106,13 +103,28 @@ def deduplicated(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, block_by
             out.append(pa.record_batch([batch.column("digest"), batch.column("doc_id"), batch.column("times"), pa.array(np.diff(offsets), pa.int64()), starts, ends, binary], ["digest", "doc_id", "times", "n_bytes", "starts", "ends", "kept"]))
         return pa.Table.from_batches(out) if out else pa.schema([("digest", pa.string()), ("doc_id", pa.int64()), ("times", pa.int64()), ("n_bytes", pa.int64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("kept", pa.binary())]).empty_table()
 
-    return blocked.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(cut, "digest string, doc_id long, times long, n_bytes long, starts array<long>, ends array<long>, kept binary")
+    schema = "digest string, doc_id long, times long, n_bytes long, starts array<long>, ends array<long>, kept binary"
+    return blocked.table.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(cut, schema), blocked
+
+
+def deduplicated(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, block_bytes: int = windows.BLOCK) -> DataFrame:
+    """digest, least doc_id, times, n_bytes, the removed spans (starts, ends: byte places) and the bytes kept of every distinct text.
+
+    What is kept is that of the text's first document; of its other ones nothing is, if the text has depth bytes.
+    """
+    texts, blocked = planned(docs, depth, gram, block_bytes)
+    texts = saved(texts, "texts")
+    blocked.drop()
+    return texts
 
 
 def op10_suffixes(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    texts = deduplicated(docs).select("digest", F.col("doc_id").alias("first"), "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("starts").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
-    rows = windows.named(docs).select("doc_id", "digest").join(texts, "digest")
+    texts, blocked = planned(docs)
+    n_removed = (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed")
+    texts = saved(texts.select("digest", "times", F.col("doc_id").alias("first"), "n_bytes", n_removed, F.size("starts").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")), "texts")
+    blocked.drop()
+    rows = with_once(windows.named(docs).select("doc_id", "digest"), texts, "digest")
     copy = (F.coalesce("doc_id", F.lit(windows.LAST)) > F.col("first")) & (F.col("n_bytes") >= DEPTH)
     return rows.select(
         "doc_id",

@@ -17,6 +17,8 @@ _LOWER = _BYTES.copy()
 _LOWER[0x41:0x5B] = _BYTES[0x61:0x7B]
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
+#: A second base, for hashes that must not collide together with those of the first.
+OTHER = np.uint64(0xC2B2AE3D27D4EB4F)
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -70,16 +72,17 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offsets)
 
 
-def prefix(values: np.ndarray) -> np.ndarray:
+def prefix(values: np.ndarray, base: np.uint64 = _BASE) -> np.ndarray:
     """Prefix sums from which span() gives the hash of any span."""
     out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * powers(_BASE, len(values)), out=out[1:])
+    np.cumsum(values * powers(base, len(values)), out=out[1:])
     return out
 
 
-def span(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def span(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: np.uint64 = _BASE) -> np.ndarray:
     """64-bit hashes of the spans [start, end): equal for equal contents, wherever they stand."""
-    return mix((sums[ends] - sums[starts]) * powers(_BACK, len(sums))[starts])
+    back = _BACK if base == _BASE else np.uint64(pow(int(base), -1, 1 << 64))
+    return mix((sums[ends] - sums[starts]) * powers(back, len(sums))[starts])
 
 
 def byte_sums(data: np.ndarray, lower: bool = False) -> np.ndarray:

@@ -3,8 +3,8 @@
 A window is DEPTH consecutive tokens of one document. Its anchor is the least hash of the GRAM-token pieces in it, so equal windows
 have equal anchors wherever they stand. A segment is a maximal run of windows of one document with one anchor.
 
-1. Distinct texts are dealt into blocks by digest and written once, bucketed by block: later steps read them without a shuffle.
-   A task sends a text that it meets again only once, so a group of copies of any size arrives as one row a task.
+1. Distinct texts are dealt into blocks by digest and written once, bucketed by block (as many buckets as blocks, PARTS at most;
+   a bucket then holds several blocks): later steps read them without a shuffle, a block at a time. A task sends a text that it meets again only once, so a group of copies of any size arrives as one row a task.
 2. Each block sends its distinct anchors, packed by bucket; anchors of two blocks, or twice in one, come back.
 3. Each block sends the distinct segments of those anchors to shards by anchor. All equal windows meet in one shard, and a
    segment that lies wholly in a passage that a third of all documents hold arrives once a block, not once a document.
@@ -14,13 +14,15 @@ have equal anchors wherever they stand. A segment is a maximal run of windows of
 4. What an operator finds in a shard goes back to the blocks that sent the segments.
 
 All packed rows are bounded: blocks by bytes of text (one very long document is a block's largest unit), buckets and shards
-by the number of blocks that feed them. Nothing is collected but counts.
+by the number of blocks that feed them. A block puts out a row for each bucket or shard that it has something for, so rows grow
+with the corpus, not with its square. Segments are told apart by 128 bits, from two bases. Nothing is collected but counts.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +31,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm import textkit
-from corvane.llm.shared import scratch
+from corvane.llm.shared import discard, scratch
 
 #: Bytes of text that a block aims at.
 BLOCK = 8 << 20
+#: Buckets of the table of blocks, and tasks of a later step, at most.
+PARTS = 20_000
 #: Bytes of text that one numpy pass handles.
 PASS = 1 << 20
+#: Rows of a batch that a task puts out.
+ROWS = 10_000
 #: Tokens of segments with one anchor, over the corpus, beyond which its windows are dealt over all shards.
 HEAVY = 1 << 20
 #: A null doc_id as a number: after all others.
@@ -89,17 +95,33 @@ def _merged(rows: pa.Table) -> pa.Table:
     return pa.table({"block": single.column("block"), "digest": single.column("digest"), "doc_id": pa.array(least.values(), pa.int64()), "times": pa.array(times.values(), pa.int64()), "text": single.column("text")})
 
 
-def blocks(docs: DataFrame, block_bytes: int = BLOCK) -> tuple[DataFrame, int]:
-    """The distinct texts of docs (block, digest, least doc_id, times, text) as a table bucketed by block, and the number of blocks."""
+class Blocks(NamedTuple):
+    """The distinct texts of a corpus (block, digest, least doc_id, times, text), the number of blocks, and of parts that hold them."""
+
+    table: DataFrame
+    n: int
+    parts: int
+    name: str
+    path: str
+
+    def drop(self) -> None:
+        self.table.sparkSession.sql(f"DROP TABLE {self.name}")
+        discard(self.table.sparkSession, self.path)
+
+
+def blocks(docs: DataFrame, block_bytes: int = BLOCK) -> Blocks:
+    """The texts of docs as a table bucketed by block."""
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = int(total // block_bytes) + 1
+    parts = min(n, PARTS)
     block = F.pmod(F.xxhash64("digest"), F.lit(n)).cast("int")
     name = f"corvane_{uuid.uuid4().hex}"
-    dealt = named(docs).withColumn("block", block).mapInArrow(_once, _BLOCKED).repartition(n, "block")
+    path = f"{scratch(spark)}/{name}"
+    dealt = named(docs).withColumn("block", block).mapInArrow(_once, _BLOCKED).repartition(parts, "block")
     single = dealt.groupBy("block").applyInArrow(_merged, _BLOCKED)
-    single.write.bucketBy(n, "block").option("path", f"{scratch(spark)}/{name}").option("compression", "zstd").saveAsTable(name)
-    return spark.table(name), n
+    single.write.bucketBy(parts, "block").option("path", path).option("compression", "zstd").saveAsTable(name)
+    return Blocks(spark.table(name), n, parts, name, path)
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -151,10 +173,11 @@ def bucket_of(anchors: np.ndarray, n: int) -> np.ndarray:
     return ((anchors >> np.uint64(40)) % np.uint64(n)).astype(np.int32)
 
 
-def _by_bucket(bucket: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """An order by bucket that keeps what stands in each, and the buckets' bounds in it."""
+def _by_bucket(bucket: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """The buckets that occur, each with its places in order."""
     order = np.argsort(bucket, kind="stable")
-    return order, np.searchsorted(bucket[order], np.arange(n + 1))
+    kinds, first = np.unique(bucket[order], return_index=True)
+    return list(zip(kinds.tolist(), np.split(order, first[1:]), strict=True)) if len(kinds) else []
 
 
 #: Tokens of a slice of texts: hashes of the grams at each token, and the rows' token bounds.
@@ -166,7 +189,7 @@ def _levels(sizes: np.ndarray) -> np.ndarray:
     return np.ceil(8 * np.log2(np.maximum(sizes, 1))).astype(np.uint8)
 
 
-def repeated_anchors(table: DataFrame, n: int, tokens: Tokens, depth: int, gram: int, within: bool) -> DataFrame:
+def repeated_anchors(blocked: Blocks, tokens: Tokens, depth: int, gram: int, within: bool) -> DataFrame:
     """(block, bucket, anchors, heavy): for each block its anchors that stand in another block too, or twice in it; packed.
 
     heavy: those with more than HEAVY tokens of segments in the corpus.
@@ -174,7 +197,7 @@ def repeated_anchors(table: DataFrame, n: int, tokens: Tokens, depth: int, gram:
     within: an anchor that stands twice in one segment counts, too (windows may repeat within a document).
     """
 
-    bound = HEAVY
+    bound, n = HEAVY, blocked.n
 
     def sent(batches):
         for batch, data, offsets in textkit.passes(batches, "text", PASS):
@@ -189,12 +212,11 @@ def repeated_anchors(table: DataFrame, n: int, tokens: Tokens, depth: int, gram:
             for b in np.unique(block):
                 mine = block == b
                 values, of, counts = np.unique(anchors[mine], return_inverse=True, return_counts=True)
-                order, at = _by_bucket(bucket_of(values, n), n)
-                low, twice = _packed(values[order] & _LOW), counts[order] > 1
-                level = _levels(np.bincount(of, load[mine]))[order]
-                parts = [(k, int(b), low[at[k] : at[k + 1]].tobytes(), np.packbits(twice[at[k] : at[k + 1]]).tobytes(), level[at[k] : at[k + 1]].tobytes()) for k in range(n) if at[k] < at[k + 1]]
-                if parts:
-                    yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*parts, strict=True), (pa.int32(), pa.int32(), *[pa.binary()] * 3), strict=True)], ["bucket", "block", "low", "twice", "level"])
+                low, twice, level = _packed(values & _LOW), counts > 1, _levels(np.bincount(of, load[mine]))
+                parts = [(k, int(b), low[at].tobytes(), np.packbits(twice[at]).tobytes(), level[at].tobytes()) for k, at in _by_bucket(bucket_of(values, n))]
+                for start in range(0, len(parts), ROWS):
+                    columns = zip(zip(*parts[start : start + ROWS], strict=True), (pa.int32(), pa.int32(), *[pa.binary()] * 3), strict=True)
+                    yield pa.record_batch([pa.array(x, t) for x, t in columns], ["bucket", "block", "low", "twice", "level"])
 
     def met(key: tuple, rows: pa.Table) -> pa.Table:
         block = rows.column("block").to_numpy()
@@ -215,19 +237,18 @@ def repeated_anchors(table: DataFrame, n: int, tokens: Tokens, depth: int, gram:
         packed = [[_packed(x).tobytes() for x in xs] for xs in ([x[2] for x in out], [np.intersect1d(x[2], heavy) for x in out])]
         return pa.table({"block": pa.array([x[0] for x in out], pa.int32()), "bucket": pa.array([x[1] for x in out], pa.int32()), "anchors": pa.array(packed[0], pa.binary()), "heavy": pa.array(packed[1], pa.binary())})
 
-    return table.mapInArrow(sent, "bucket int, block int, low binary, twice binary, level binary").groupBy("bucket").applyInArrow(met, "block int, bucket int, anchors binary, heavy binary")
+    packed = blocked.table.mapInArrow(sent, "bucket int, block int, low binary, twice binary, level binary").repartition(blocked.parts, "bucket")
+    return packed.groupBy("bucket").applyInArrow(met, "block int, bucket int, anchors binary, heavy binary")
 
 
 def chosen(anchors: np.ndarray, rows: pa.Table, n: int, column: str = "anchors") -> np.ndarray:
     """Which of a block's anchors are among the packed ones of rows."""
     keep = np.zeros(len(anchors), bool)
-    bucket, low = bucket_of(anchors, n), anchors & _LOW
-    order, at = _by_bucket(bucket, n)
+    low, places = anchors & _LOW, dict(_by_bucket(bucket_of(anchors, n)))
     for k, data in zip(rows.column("bucket").to_pylist(), rows.column(column), strict=True):
-        if not data.as_py():
-            continue
-        mine = order[at[k] : at[k + 1]]
-        keep[mine] = np.isin(low[mine], _unpacked(data.as_py()))
+        mine = places.get(k)
+        if mine is not None and data.as_py():
+            keep[mine] = np.isin(low[mine], _unpacked(data.as_py()))
     return keep
 
 
@@ -257,6 +278,7 @@ _SENT = pa.schema([("shard", pa.int32()), ("block", pa.int32()), *[(x, pa.binary
 
 def _first_two(keys: np.ndarray, docs: np.ndarray, ordered: bool) -> np.ndarray:
     """The places of the first two of each key, in order of doc_id; ordered: of two different doc_ids."""
+    keys = ranked(keys)
     order = np.lexsort((docs, keys))
     if ordered and len(order):
         new = (keys[order][1:] != keys[order][:-1]) | (docs[order][1:] != docs[order][:-1])
@@ -276,11 +298,12 @@ def _window_keys(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray, depth:
     return np.concatenate(out)
 
 
-def sent_segments(table: DataFrame, anchors: DataFrame, n: int, tokens: Tokens, symbols: Symbols, depth: int, gram: int, ordered: bool) -> DataFrame:
+def sent_segments(blocked: Blocks, anchors: DataFrame, tokens: Tokens, symbols: Symbols, depth: int, gram: int, ordered: bool) -> DataFrame:
     """The distinct segments of each block's repeated anchors, by shard: key, least doc_id, tokens, and symbols as codes of an alphabet.
 
     Of heavy anchors, single windows are sent, by a hash of the window; hooks has their anchors (0: a segment). ordered: as in covered().
     """
+    n = blocked.n
 
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
         if not right.num_rows or not left.num_rows:
@@ -294,8 +317,7 @@ def sent_segments(table: DataFrame, anchors: DataFrame, n: int, tokens: Tokens,
             found = symbols(data, offsets)
             key = segment_keys(found, at, size)
             doc = _numbers(batch.column("doc_id"))[row]
-            order = np.lexsort((doc, key))
-            order = order[np.concatenate([[True], key[order][1:] != key[order][:-1]])] if len(order) else order
+            order = _firsts(key, doc)
             keys.append(key[order])
             docs.append(doc[order])
             sizes.append(size[order])
@@ -303,8 +325,7 @@ def sent_segments(table: DataFrame, anchors: DataFrame, n: int, tokens: Tokens,
             texts.append(found[ragged(at[order], size[order])])
         keys, docs, sizes, hooks, text = map(np.concatenate, (keys, docs, sizes, hooks, texts))
         starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-        order = np.lexsort((docs, keys))
-        order = order[np.concatenate([[True], keys[order][1:] != keys[order][:-1]])] if len(order) else order
+        order = _firsts(keys, docs)
         keys, docs, sizes, hooks, starts = (x[order] for x in (keys, docs, sizes, hooks, starts))
         shard = bucket_of(hooks, n)
         heavy = chosen(hooks, right, n, "heavy")
@@ -314,30 +335,55 @@ def sent_segments(table: DataFrame, anchors: DataFrame, n: int, tokens: Tokens,
             key, doc, hook = _window_keys(text, starts[heavy], sizes[heavy], depth), np.repeat(docs[heavy], count), np.repeat(hooks[heavy], count)
             two = _first_two(key, doc, ordered)
             key, doc, hook, at = key[two], doc[two], hook[two], at[two]
-            dealt = (textkit.mix(key) % np.uint64(n)).astype(np.int32)
+            dealt = (textkit.mix(key[:, 0]) % np.uint64(n)).astype(np.int32)
             keys, docs, sizes, starts, shard = (np.concatenate([x[~heavy], y]) for x, y in ((keys, key), (docs, doc), (sizes, np.full(len(at), depth)), (starts, at), (shard, dealt)))
             hooks = np.concatenate([np.zeros(int((~heavy).sum()), np.uint64), hook])
         else:
             hooks = np.zeros(len(keys), np.uint64)
-        order, at = _by_bucket(shard, n)
         block = left.column("block")[0].as_py()
         out = []
-        for k in range(n):
-            if at[k] < at[k + 1]:
-                mine = order[at[k] : at[k + 1]]
-                part = text[ragged(starts[mine], sizes[mine])]
-                alphabet, codes = np.unique(part, return_inverse=True)
-                codes = codes.astype(np.uint8 if len(alphabet) <= 256 else np.uint16 if len(alphabet) <= 65536 else np.uint32)
-                out.append((k, block, keys[mine].tobytes(), docs[mine].tobytes(), sizes[mine].astype(np.int64).tobytes(), hooks[mine].tobytes() if hooks[mine].any() else b"", alphabet.astype(np.uint64).tobytes(), codes.tobytes()))
+        for k, mine in _by_bucket(shard):
+            alphabet, codes = np.unique(text[ragged(starts[mine], sizes[mine])], return_inverse=True)
+            codes = codes.astype(np.uint8 if len(alphabet) <= 256 else np.uint16 if len(alphabet) <= 65536 else np.uint32)
+            hook = hooks[mine].tobytes() if hooks[mine].any() else b""
+            out.append((k, block, keys[mine].tobytes(), docs[mine].tobytes(), sizes[mine].astype(np.int64).tobytes(), hook, alphabet.astype(np.uint64).tobytes(), codes.tobytes()))
         return pa.table([pa.array([x[i] for x in out], t) for i, t in enumerate(_SENT.types)], schema=_SENT)
 
-    return table.groupBy("block").cogroup(anchors.groupBy("block")).applyInArrow(send, SENT)
+    return blocked.table.groupBy("block").cogroup(anchors.groupBy("block")).applyInArrow(send, SENT).repartition(blocked.parts, "shard")
+
+
+_OF_BYTE = textkit.mix(np.arange(256, dtype=np.uint64) + np.uint64(1))
 
 
 def segment_keys(symbols: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """64-bit hashes of segments by their symbols and size."""
-    sums = textkit.prefix(textkit.mix(symbols.astype(np.uint64) + np.uint64(1)))
-    return textkit.mix(textkit.span(sums, at, at + size) + size.astype(np.uint64))
+    """Two 64-bit hashes, by two bases, of segments by their symbols and size."""
+    value = _OF_BYTE[symbols] if symbols.dtype == np.uint8 else textkit.mix(symbols.astype(np.uint64) + np.uint64(1))
+    keys = np.empty((len(at), 2), np.uint64)
+    keys[:, 0] = textkit.mix(textkit.span(textkit.prefix(value), at, at + size) + size.astype(np.uint64))
+    keys[:, 1] = textkit.span(textkit.prefix(value, textkit.OTHER), at, at + size, textkit.OTHER)
+    return keys
+
+
+def ranked(keys: np.ndarray) -> np.ndarray:
+    """Keys of two numbers as one: equal for equal keys, in order of the first number."""
+    order = np.argsort(keys[:, 0])
+    low, high = keys[order].T
+    new = np.ones(len(keys), bool)
+    new[1:] = low[1:] != low[:-1]
+    if (~new[1:] & (high[1:] != high[:-1])).any():
+        order = np.lexsort((keys[:, 1], keys[:, 0]))
+        low, high = keys[order].T
+        new[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+    out = np.empty(len(keys), np.int64)
+    out[order] = np.cumsum(new) - 1
+    return out
+
+
+def _firsts(keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """The place of each key's row with the least doc_id."""
+    ids = ranked(keys)
+    order = np.lexsort((docs, ids))
+    return order[np.diff(ids[order], prepend=-1) > 0]
 
 
 def received(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -346,7 +392,7 @@ def received(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     def joined(name: str, kind) -> list[np.ndarray]:
         return [np.frombuffer(x.as_py(), kind) for x in rows.column(name)]
 
-    keys = joined("keys", np.uint64)
+    keys = [k.reshape(-1, 2) for k in joined("keys", np.uint64)]
     codes = [alphabet[np.frombuffer(c.as_py(), np.uint8 if len(alphabet) <= 256 else np.uint16 if len(alphabet) <= 65536 else np.uint32)] for alphabet, c in zip(joined("alphabet", np.uint64), rows.column("codes"), strict=True)]
     block = np.repeat(rows.column("block").to_numpy(), [len(k) for k in keys])
     hooks = [h if len(h) else np.zeros(len(k), np.uint64) for h, k in zip(joined("hooks", np.uint64), keys, strict=True)]
@@ -384,24 +430,26 @@ def covered(left: pa.Table, right: pa.Table, tokens: Tokens, symbols: Symbols, d
         slices.append((batch, data, offsets, bounds, row, at, count, segment_keys(symbols(data, offsets), at, count + depth - 1), anchor))
     if not slices:
         return
-    keys = np.concatenate([x[7] for x in slices])
+    packed = {c: np.concatenate([np.frombuffer(x.as_py(), t) for x in right.column(c)] or [np.zeros(0, t)]) for c, t in (("keys", np.uint64), ("starts", np.int64), ("counts", np.int64), ("least", np.int64))}
+    wanted = packed.pop("keys").reshape(-1, 2)
+    n = sum(len(x[7]) for x in slices)
+    ids = ranked(np.concatenate([*[x[7] for x in slices], wanted]))
+    group, packed["id"] = ids[:n], ids[n:]
     docs = np.concatenate([_numbers(x[0].column("doc_id"))[x[4]] for x in slices])
-    _, group, times = np.unique(keys, return_inverse=True, return_counts=True)
     if ordered:
-        least = np.full(len(times), LAST)
+        least = np.full(len(ids) + 1, LAST)
         np.minimum.at(least, group, docs)
         whole = least[group] < docs
     else:
-        whole = (times[group] > 1) | (np.concatenate([x[0].column("times").to_numpy()[x[4]] for x in slices]) > 1)
-    packed = {c: np.concatenate([np.frombuffer(x.as_py(), t) for x in right.column(c)] or [np.zeros(0, t)]) for c, t in (("keys", np.uint64), ("starts", np.int64), ("counts", np.int64), ("least", np.int64))}
-    order = np.lexsort((packed["least"], packed["keys"]))
-    packed = {c: x[order] for c, x in packed.items()}
+        whole = (np.bincount(group, minlength=1)[group] > 1) | (np.concatenate([x[0].column("times").to_numpy()[x[4]] for x in slices]) > 1)
+    order = np.lexsort((packed["least"], packed["id"]))
+    found, packed = packed, {c: x[order] for c, x in packed.items()}
     single = np.unique(np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in right.column("hooks")] or [np.zeros(0, np.uint64)]))
     done = 0
     for batch, data, offsets, bounds, _, at, count, key, anchor in slices:
-        doc, all_of = docs[done : done + len(key)], whole[done : done + len(key)]
+        doc, all_of, mine = docs[done : done + len(key)], whole[done : done + len(key)], group[done : done + len(key)]
         done += len(key)
-        low, high = np.searchsorted(packed["keys"], key, "left"), np.searchsorted(packed["keys"], key, "right")
+        low, high = np.searchsorted(packed["id"], mine, "left"), np.searchsorted(packed["id"], mine, "right")
         which, run = np.repeat(np.arange(len(key)), high - low), ragged(low, high - low)
         if ordered:
             good = packed["least"][run] < doc[which]
@@ -411,11 +459,11 @@ def covered(left: pa.Table, right: pa.Table, tokens: Tokens, symbols: Symbols, d
         apart = np.isin(anchor, single)
         if apart.any():  # their windows came back one by one
             place, of = ragged(at[apart], count[apart]), np.repeat(doc[apart], count[apart])
-            mine = segment_keys(symbols(data, offsets), place, np.full(len(place), depth))
-            low = np.minimum(np.searchsorted(packed["keys"], mine, "left"), len(packed["keys"]) - 1)
-            hit = packed["keys"][low] == mine
-            if ordered:
-                hit &= packed["least"][low] < of
+            own = segment_keys(symbols(data, offsets), place, np.full(len(place), depth))
+            both = ranked(np.concatenate([own, wanted]))
+            earliest = np.full(len(both) + 1, LAST)
+            np.minimum.at(earliest, both[len(own) :], found["least"])
+            hit = earliest[both[: len(own)]] < (of if ordered else LAST)
             start, end = np.concatenate([start, place[hit]]), np.concatenate([end, place[hit] + depth])
         edge = np.bincount(start, minlength=int(bounds[-1]) + 1)[: int(bounds[-1]) + 1] - np.bincount(end, minlength=int(bounds[-1]) + 1)[: int(bounds[-1]) + 1]
         yield batch, data, offsets, bounds, np.cumsum(edge)[:-1] > 0

@@ -54,10 +54,37 @@ def test_brute_force(spark, tmp_path, monkeypatch):
     for seed, size, depth, gram in ((1, 1 << 30, 35, 18), (2, 2500, 35, 18), (3, 1500, 9, 4)):
         rows = corpus(seed)
         spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, block string, digest string").write.parquet(f"{tmp_path}/{seed}/documents.parquet")
-        monkeypatch.setattr(fmindex.deduplicated, "__defaults__", (depth, gram, size))
+        monkeypatch.setattr(fmindex.planned, "__defaults__", (depth, gram, size))
         got = fmindex.op7_fmindex(spark, f"{tmp_path}/{seed}").collect()
         assert sorted((tuple(r) for r in got), key=str) == brute(rows, depth)
 
 
 def test_empty_table(spark):
     assert fmindex.deduplicated(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_index_ranks_in_compressed_space():
+    rng = np.random.default_rng(5)
+    codes = np.minimum(rng.zipf(1.3, 20_000), 4000)
+    codes = np.unique(codes, return_inverse=True)[1] + 1
+    index = fmindex.Index(codes, np.full(200, 100))
+    starts = np.arange(200) * 101
+    text = np.zeros(200 * 101, np.int64)
+    inner = np.ones(len(text), bool)
+    inner[starts + 100] = False
+    text[inner] = codes
+    unique = np.where(inner, text + 200, np.cumsum(~inner) - 1)  # each end is a symbol of its own
+    last = text[fmindex.suffix_array(unique) - 1]
+    symbols, at = rng.integers(0, codes.max() + 1, 3000), rng.integers(0, len(text) + 1, 3000)
+    before = {s: np.concatenate([[0], np.cumsum(last == s)]) for s in np.unique(symbols)}
+    assert (index.rank(symbols, at) == [before[s][i] for s, i in zip(symbols, at)]).all()
+    counts = np.bincount(last)
+    share = counts[counts > 0] / len(last)
+    entropy = -(share * np.log2(share)).sum()
+    assert (counts * index.length).sum() < (entropy + 0.1) * len(last) and index.bits < 0.8 * len(last) * int(codes.max()).bit_length() * 1.5
+
+
+def test_one_symbol():
+    index = fmindex.Index(np.ones(5, np.int64), np.array([5]))
+    assert index.rank(np.array([1, 0]), np.array([6, 6])).tolist() == [5, 1]
+    assert fmindex.repeats(np.ones(5, np.int64), np.array([5]), 3).tolist() == [True, True, True, False, False]

@@ -41,7 +41,7 @@ def test_brute_force(spark, tmp_path, monkeypatch):
         rows = corpus(seed)
         spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, block string, digest string").write.parquet(f"{tmp_path}/{seed}/documents.parquet")
         defaults = (depth, gram, size)
-        monkeypatch.setattr(suffixes.deduplicated, "__defaults__", defaults)
+        monkeypatch.setattr(suffixes.planned, "__defaults__", defaults)
         got = suffixes.op10_suffixes(spark, f"{tmp_path}/{seed}").collect()
         assert sorted((tuple(r) for r in got), key=str) == brute(rows, depth)
         for r in suffixes.deduplicated(spark.read.parquet(f"{tmp_path}/{seed}/documents.parquet")).collect():
