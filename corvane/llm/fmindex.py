@@ -2,9 +2,10 @@
 
 Words covered by a window of DEPTH words whose sequence also starts anywhere else are removed. windows.py brings all equal
 windows into one shard. There the shard's segments are the text of an FM-index: the Burrows-Wheeler transform of their words in
-a wavelet tree shaped by their Huffman code, which compresses it to its entropy. The same segments are then streamed through it: backward search from an
-end keeps the interval of what has been read and gives the longest match that stands at least twice (the matching
-statistics, as far as the threshold needs them); windows inside such a match repeat. All segments advance together.
+a wavelet tree shaped by their Huffman code, which compresses it to its entropy. The same segments, which are what the documents
+have of windows that may repeat, are then streamed through it: backward search from an end keeps the interval of what has been
+read and gives the longest match that stands at least twice (the matching statistics, as far as the threshold needs them);
+windows inside such a match repeat. Many stretches advance together.
 
 A segment that one block holds more than once is a repeat by itself, and is sent once.
 
@@ -26,6 +27,8 @@ from corvane.llm.shared import saved, table, with_once
 
 DEPTH = 35
 GRAM = 18
+#: Windows that one search unit has at most, and units that are searched together: their arrays stay in the processor's cache.
+UNIT, TOGETHER = 64, 8192
 
 
 def _tokens(gram: int):
@@ -43,19 +46,22 @@ def _symbols(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def suffix_array(ranks: np.ndarray) -> np.ndarray:
     """The order of the suffixes of ranks (0 .. below 2^31) by prefix doubling; they must differ, as they do with unique ends."""
-    n, width = len(ranks), 1
-    rank = ranks.astype(np.int64)
+    n, bits = len(ranks), int(ranks.max()).bit_length() + 1
+    width = min(63 // bits, n)  # so many symbols make the first pass's number
+    pair = np.zeros(n, np.int64)
+    for k in range(width):
+        pair <<= bits
+        pair[: n - k] += ranks[k:] + 1
     while True:
-        second = np.zeros(n, np.int64)
-        second[:-width] = rank[width:] + 1 if width < n else 0
-        pair = rank * (n + int(ranks.max()) + 2) + second
-        order = np.argsort(pair, kind="stable")
+        order = np.argsort(pair)
         new = np.ones(n, bool)
         new[1:] = pair[order][1:] != pair[order][:-1]
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(new) - 1
         if new.all() or width >= n:
             return order
+        pair = rank * (n + 1)
+        pair[: n - width] += rank[width:] + 1
         width *= 2
 
 
@@ -94,28 +100,28 @@ def codes_of(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return code, order
 
 
+_LOWER = (np.uint64(1) << np.arange(64, dtype=np.uint64)) - np.uint64(1)
+
+
 class Bits:
-    """A bit vector with the number of ones before each place: a count for every 64 bits, relative to one for every 2^14."""
+    """A bit vector with the number of ones before every 64 places."""
 
     def __init__(self, bit: np.ndarray):
         packed = np.zeros((len(bit) // 64 + 1) * 8, np.uint8)
         raw = np.packbits(bit.astype(np.uint8), bitorder="little")
         packed[: len(raw)] = raw
         self.words = packed.view("<u8")
-        counts = np.cumsum(np.bitwise_count(self.words), dtype=np.int64)
-        counts = np.concatenate([[0], counts[:-1]])
-        self.far = counts[::256].astype(np.int32)
-        self.near = (counts - np.repeat(self.far, 256)[: len(counts)]).astype(np.uint16)
+        self.counts = np.zeros(len(self.words), np.int32)
+        np.cumsum(np.bitwise_count(self.words[:-1]), out=self.counts[1:])
 
     def before(self, at: np.ndarray) -> np.ndarray:
         word = at >> 6
-        low = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
-        return self.far[word >> 8] + self.near[word] + np.bitwise_count(self.words[word] & low).astype(np.int64)
+        return np.take(self.counts, word) + np.bitwise_count(np.take(self.words, word) & np.take(_LOWER, at & 63))
 
     @property
     def size(self) -> int:
         """Bits of memory."""
-        return 8 * (self.words.nbytes + self.far.nbytes + self.near.nbytes)
+        return 8 * (self.words.nbytes + self.counts.nbytes)
 
 
 class Index:
@@ -163,52 +169,73 @@ class Index:
         """Bits of memory that the levels' vectors take."""
         return sum(level[0].size for level in self.levels)
 
-    def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """How often each symbol stands among the first `at` ones of the transform."""
-        at = at.copy()
-        live, length = np.arange(len(at)), self.length[symbol]
+    def ranks(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """How often each symbol stands among the first `at` ones of the transform; at has a column for each symbol."""
+        order = np.argsort(-self.length[symbol].astype(np.int8), kind="stable")  # long codes first: a level's symbols are the first ones
+        mine, place = symbol[order], at[:, order]
+        code, length = self.code[mine], self.length[mine]
+        live = len(mine) - np.cumsum(np.bincount(length, minlength=len(self.levels) + 1))
         for level, (bits, start, ones) in enumerate(self.levels):
-            if level and not (length[live] > level).all():
-                live = live[length[live] > level]
-            if not len(live):
+            n = live[level]
+            if not n:
                 break
-            mine, place = symbol[live], at[live]
-            found = bits.before(start[mine] + place) - ones[mine]
-            at[live] = np.where(self.code[mine] >> (length[live] - 1 - level) & 1, found, place - found)
-        return at
+            here = mine[:n]
+            found = bits.before(place[:, :n] + start[here]) - ones[here]
+            one = (code[:n] >> (length[:n] - 1 - level)) & 1 > 0
+            place[:, :n] = np.where(one, found, place[:, :n] - found)
+        out = np.empty_like(at)
+        out[:, order] = place
+        return out
 
     def back(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The intervals of symbol followed by what has the intervals [low, high)."""
-        both = self.rank(np.concatenate([symbol, symbol]), np.concatenate([low, high])) + np.concatenate([self.first[symbol]] * 2)
-        return both[: len(symbol)], both[len(symbol) :]
+        low, high = self.ranks(symbol, np.stack([low, high])) + self.first[symbol]
+        return low, high
 
 
 def repeats(codes: np.ndarray, size: np.ndarray, depth: int) -> np.ndarray:
     """For every token of the sequences, whether the depth tokens from it on are a window that stands at least twice in them."""
     index = Index(codes, size)
-    begin = np.cumsum(size) - size
+    count = np.maximum(size - depth + 1, 0)
+    units = -(-count // UNIT)  # of at most UNIT windows each, so that a long sequence is searched in many places at once
+    of = np.repeat(np.arange(len(size)), units)
+    place = windows.ragged(np.zeros(len(size), np.int64), units) * UNIT
+    low = (np.cumsum(size) - size)[of] + place
+    high = low + np.minimum(count[of] - place, UNIT)
     found = np.zeros(len(codes) + 1, np.int64)
-    live = np.flatnonzero(size >= depth)
-    end = size[live]  # matches that end before this token of each live sequence
-    while len(live):
+    for k in range(0, len(low), TOGETHER):
+        _search(index, codes, low[k : k + TOGETHER], high[k : k + TOGETHER], depth, found)
+    return np.cumsum(found)[:-1] > 0
+
+
+def _search(index: Index, codes: np.ndarray, start: np.ndarray, stop: np.ndarray, depth: int, found: np.ndarray) -> None:
+    """Add to found (differences) the windows from start to before stop that repeat, all units side by side.
+
+    A search goes back from the end of a stretch of windows. What it cannot match any more, no window that holds it can: all
+    windows from the first one up to the place where it failed are passed over at once. Where it reaches the
+    first window's start, the whole stretch repeats, and the next one is twice as long; else the stretch is halved.
+    """
+    more, fresh = stop - start - 1, True
+    while len(start):
+        end = np.minimum(start + more, stop - 1) + depth
         at = end.copy()
-        low, high = np.zeros(len(live), np.int64), np.full(len(live), index.n, np.int64)
-        going = np.arange(len(live))
+        low, high = np.zeros(len(at), np.int64), np.full(len(at), index.n, np.int64)
+        going = np.arange(len(at))
         while len(going):
-            symbol = codes[begin[live[going]] + at[going] - 1]
-            new_low, new_high = index.back(symbol, low[going], high[going])
+            new_low, new_high = index.back(codes[at[going] - 1], low[going], high[going])
             good = new_high - new_low >= 2
-            going, new_low, new_high = going[good], new_low[good], new_high[good]
-            low[going], high[going] = new_low, new_high
+            going = going[good]
+            low[going], high[going] = new_low[good], new_high[good]
             at[going] -= 1
-            going = going[at[going] > 0]
-        hit = end - at >= depth  # windows that start at at .. end - depth repeat
-        np.add.at(found, begin[live[hit]] + at[hit], 1)
-        np.add.at(found, begin[live[hit]] + end[hit] - depth + 1, -1)
-        end = np.where(hit, at + depth - 1, end - 1)
-        more = end >= depth
-        live, end = live[more], end[more]
-    return np.cumsum(found)[:-1] > 0
+            going = going[at[going] > start[going]]
+        hit = end - at >= depth
+        np.add.at(found, at[hit], 1)
+        np.add.at(found, end[hit] - depth + 1, -1)
+        reached = at == start
+        start = np.where(reached, end - depth + 1, np.where(more == 0, at, start))
+        more = np.where(reached, 2 * more + 1, 0 if fresh else more // 2)
+        left = start < stop
+        start, stop, more, fresh = start[left], stop[left], more[left], False
 
 
 def _shard(depth: int):
