@@ -27,8 +27,8 @@ from corvane.llm.shared import saved, table, with_once
 
 DEPTH = 35
 GRAM = 18
-#: Windows that one search unit has at most, and units that are searched together: their arrays stay in the processor's cache.
-UNIT, TOGETHER = 64, 8192
+#: Windows that one search unit has at most, and units that are searched together.
+UNIT, TOGETHER = 32, 32768
 
 
 def _tokens(gram: int):
