@@ -6,14 +6,13 @@ also folded into an odd sketch: a bitmap in which each sample toggles one bit. T
 estimates how many samples differ; a candidate goes on only if that count is possible at 0.8 but for a chance
 below 1e-8. What goes on is confirmed on the full sets.
 
-Documents of equal sets are one node from the start, so copies cost nothing. A band's nodes are not paired with each other: each
-is first compared with two pivots of the band, then with the member that has most links so far, and components are formed. Bands of one such hub are then taken together as a group. Where a group still holds several components,
-the rows outside its commonest one are compared with all others on the full sets, in square cells of at most about CELL
-shingles a side, which many tasks share; only links leave a cell. So no link between components is lost, and rows that the
-pivots have linked already are not compared again with each other.
-
-Sets travel only for nodes that share a band; the comparisons, components and labels are tables in the shared
-folder, and nothing is collected but counts.
+Documents of equal sets are one node from the start (a set is named by 128 bits), so copies cost nothing. A band's nodes are not
+paired with each other: each is first compared with two pivots of the band, then with the member that has most links so far, and
+components are formed. Bands of one such hub are then taken together as a group. Where a group still holds several
+components, its rows meet in square cells of at most about CELL shingles a side, which many tasks share. A cell looks for links
+between components only: pairs come from an index over the rarest shingles of each set (two sets at 0.8 share one of those, and
+at a place from which 0.8 can still be reached), pass sizes and odd sketches, and are confirmed on the full sets; a pair that
+earlier links have joined is passed over, so a cell of n rows puts out fewer than n links. No link between components is lost.
 
 Edge cases: a single word is a shingle by itself; null, empty and blank texts have an empty set and are linked with nothing
 (each is its own component and is kept); repeated rows with one doc_id share its component; a null doc_id is compared
@@ -31,7 +30,7 @@ from pyspark.sql import functions as F
 
 from corvane.llm import textkit
 from corvane.llm.components import components
-from corvane.llm.shared import saved, table
+from corvane.llm.shared import masked, saved, table, with_once
 
 WORDS = 2
 LEAST = 80
@@ -41,6 +40,10 @@ SAMPLES = ROWS * BANDS
 SKETCH = 256
 #: Shingles that one side of a cell aims at.
 CELL = 400_000
+#: Candidate pairs that a cell handles at once.
+PAIRS = 4_000_000
+#: What makes the two halves of a set's name.
+_SEEDS = (np.uint64(0), np.uint64(0xD6E8FEB86659FD93))
 _ODD = np.random.default_rng(9).integers(1, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -85,6 +88,14 @@ def odd_sketches(minima: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8).reshape(n, SKETCH), axis=1).view(np.int64).reshape(n, SKETCH // 64)
 
 
+def _binaries(values: np.ndarray, filled: np.ndarray) -> pa.Array:
+    """Each row's bytes; null where a row isn't filled."""
+    width = values.itemsize * values.shape[1]
+    bounds = np.concatenate([[0], np.cumsum(np.where(filled, width, 0))]).astype(np.int32)
+    empty = pa.py_buffer(np.packbits(filled, bitorder="little"))
+    return pa.Array.from_buffers(pa.binary(), len(filled), [empty, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(values[filled]))])
+
+
 def _lists(values: np.ndarray, width: int, filled: np.ndarray) -> pa.Array:
     bounds = np.concatenate([[0], np.cumsum(np.where(filled, width, 0))])
     return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.ascontiguousarray(values).view(np.int64).ravel()))
@@ -96,14 +107,15 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = np.diff(bounds)
         filled = size > 0
         minima = minhashes(hashes, bounds, filled)
-        node = np.zeros(len(size), np.uint64)
+        node = np.zeros((len(size), 2), np.uint64)
         if len(minima):
-            node[filled] = np.add.reduceat(textkit.mix(hashes), bounds[:-1][filled])
-            node = textkit.mix(node + size.astype(np.uint64))
+            for k, seed in enumerate(_SEEDS):
+                node[filled, k] = np.add.reduceat(textkit.mix(hashes ^ seed), bounds[:-1][filled])
+            node = textkit.mix(node + size.astype(np.uint64)[:, None])
         values = textkit.mix(minima).reshape(-1, BANDS, ROWS) * np.array([1, 3, 5, 7], np.uint64)
         bands = textkit.mix(values.sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
         yield pa.record_batch(
-            [batch.column("doc_id"), batch.column("digest"), pa.array(size, pa.int64()), pa.array(node.view(np.int64)), _lists(bands, BANDS, filled), _lists(odd_sketches(minima), SKETCH // 64, filled)],
+            [batch.column("doc_id"), batch.column("digest"), pa.array(size, pa.int64()), _binaries(node, filled), _lists(bands, BANDS, filled), _lists(odd_sketches(minima), SKETCH // 64, filled)],
             ["doc_id", "digest", "n_shingles", "node", "bands", "sketch"],
         )
 
@@ -136,49 +148,100 @@ def _confirmed(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
     return both.where(100 * shared >= LEAST * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
 
 
+def _shared_prefixes(ids: np.ndarray, bounds: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows (a, b) that share one of their rarest shingles at places from which the least likeness can be reached.
+
+    Rows are in order of size, and each row's ids in order from its rarest one. Of a pair, the longer set's prefix is as long as any
+    shorter partner may ask for, and the shorter one's as a partner of its own size or more may.
+    """
+    row = np.repeat(np.arange(len(size)), size)
+    place = np.arange(len(ids)) - bounds[:-1][row]
+    probe = place <= size[row] - -(-LEAST * size[row] // 100)
+    short = place <= size[row] - -(-2 * LEAST * size[row] // (100 + LEAST))
+    order = np.flatnonzero(probe)[np.argsort(ids[probe], kind="stable")]  # within a shingle in order of row, so of size
+    key, r, p = ids[order], row[order], place[order]
+    first = np.searchsorted(key, key, "left")
+    count = np.arange(len(key)) - first  # partners of no greater size
+    cut = np.flatnonzero(np.diff(np.cumsum(count) // PAIRS)) + 1
+    for low, high in zip([0, *cut], [*cut, len(key)], strict=True):
+        n = count[low:high]
+        b = np.repeat(np.arange(low, high), n)
+        a = np.repeat(first[low:high] - (np.cumsum(n) - n), n) + np.arange(len(b))
+        good = short[order[a]]
+        a, b = a[good], b[good]
+        na, nb = size[r[a]], size[r[b]]
+        most = np.minimum(na - p[a], nb - p[b])  # of shared shingles, from here on
+        good = (100 * na >= LEAST * nb) & ((100 + LEAST) * most >= LEAST * (na + nb))
+        yield r[a[good]], r[b[good]]
+
+
 def _cell(cell: pa.Table) -> pa.Table:
-    """The links between rows of different components: every row outside the commonest component against all rows."""
-    node = cell.column("node").to_numpy()
-    component = cell.column("component").to_numpy()
+    """Links that join the components of a cell's rows as all links between them would."""
     lists = cell.column("shingles").combine_chunks()
-    bounds = np.asarray(lists.offsets).astype(np.int64)
-    ids = np.unique(lists.values.to_numpy()[bounds[0] : bounds[-1]], return_inverse=True)[1]
-    bounds -= bounds[0]
-    size = np.diff(bounds)
-    kinds, counts = np.unique(component, return_counts=True)
-    mark = np.zeros(len(ids) + 1, bool)
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for i in np.flatnonzero(component != kinds[counts.argmax()]):
-        own = ids[bounds[i] : bounds[i + 1]]
-        mark[own] = True
-        shared = np.add.reduceat(mark[ids], bounds[:-1], dtype=np.int64)
-        mark[own] = False
-        found = np.flatnonzero((component != component[i]) & (100 * shared >= LEAST * (size + size[i] - shared)))
-        a.append(np.full(len(found), node[i]))
-        b.append(node[found])
-    a, b = np.concatenate(a), np.concatenate(b)
-    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+    given = np.asarray(lists.offsets).astype(np.int64)
+    by_size = np.argsort(np.diff(given), kind="stable")
+    size = np.diff(given)[by_size]
+    bounds = np.concatenate([[0], np.cumsum(size)])
+    spread = np.repeat(given[:-1][by_size] - bounds[:-1], size) + np.arange(bounds[-1])
+    _, ids, times = np.unique(lists.values.to_numpy()[spread], return_inverse=True, return_counts=True)
+    rarity = np.argsort(np.argsort(times, kind="stable"))[ids]
+    ids = rarity[np.lexsort((rarity, np.repeat(np.arange(len(size)), size)))]
+    sketch = cell.column("sketch").combine_chunks()
+    sketch = sketch.values.to_numpy()[np.asarray(sketch.offsets)[0] :].view(np.uint64).reshape(len(size), -1)[by_size]
+    component = np.unique(np.array(cell.column("component").to_pylist(), object)[by_size], return_inverse=True)[1]
+    mark = np.zeros(int(ids.max(initial=0)) + 1, bool)
+    limit, links = sketch_limit(), []
+    for a, b in _shared_prefixes(ids, bounds, size):
+        apart = component[a] != component[b]
+        pair = np.unique(a[apart] * len(size) + b[apart])
+        a, b = pair // len(size), pair % len(size)
+        near = np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1) <= limit
+        a, b = a[near], b[near]
+        starts = np.flatnonzero(np.diff(a, prepend=-1))
+        for low, high in zip(starts, np.append(starts[1:], len(a))):  # noqa: B905
+            i, others = a[low], b[low:high]
+            others = others[component[others] != component[i]]
+            if not len(others):
+                continue
+            own = ids[bounds[i] : bounds[i + 1]]
+            mark[own] = True
+            flags = mark[ids[np.concatenate([np.arange(bounds[j], bounds[j + 1]) for j in others])]]
+            mark[own] = False
+            shared = np.add.reduceat(flags, np.cumsum(size[others]) - size[others], dtype=np.int64)
+            for j in others[100 * shared >= LEAST * (size[others] + size[i] - shared)]:
+                if component[j] != component[i]:
+                    component[component == component[j]] = component[i]
+                    links.append((by_size[i], by_size[j]))
+    node = cell.column("node").combine_chunks()
+    ends = [node.take(pa.array([x[k] for x in links], pa.int64())).to_pylist() for k in (0, 1)]
+    return pa.table({"a": pa.array(map(min, *ends), pa.binary()), "b": pa.array(map(max, *ends), pa.binary())})
 
 
 def _across(grouped: DataFrame, labels: DataFrame, nodes: DataFrame, shingles: DataFrame) -> DataFrame:
-    """The links between components that meet in a group (group, node), group by group in square cells of bounded size."""
-    placed = grouped.join(labels, "node", "left").select("group", "node", F.coalesce("component", "node").alias("component")).join(nodes.select("node", "n_shingles"), "node")
+    """Links between components that meet in a group (group, node), group by group in square cells of bounded size.
+
+    A set of a group of n shingles is sent to n / CELL cells. Where a group's rows are joined with its number of parts, that
+    number comes from a table of its own, so that Spark may split a common group's rows.
+    """
+    placed = saved(grouped.join(labels, "node", "left").select("group", "node", F.coalesce("component", "node").alias("component")).join(nodes.select("node", "n_shingles"), "node"), "placed")
     several = placed.groupBy("group").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.sum("n_shingles") / CELL).alias("parts")).where("low < high")
-    open_ = placed.join(several.select("group", "parts"), "group")
+    several = saved(several.select("group", "parts"), "several")
+    open_ = placed.join(several, "group")
     part = F.pmod(F.xxhash64("node"), F.col("parts"))
     cells = open_.select("group", "node", "component", part.alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
     cells = cells.select("group", "node", "component", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
-    return cells.join(shingles, "node").groupBy("group", "low", "high").applyInArrow(_cell, "a long, b long").distinct()
+    full = shingles.join(nodes.select("node", "sketch"), "node")
+    return cells.join(full, "node").groupBy("group", "low", "high").applyInArrow(_cell, "a binary, b binary").distinct()
 
 
 def _links(given: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, component) of the nodes that are linked with another one."""
     banded = nodes.select("node", F.explode("bands").alias("band"))
-    pivots = banded.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+    pivots = saved(banded.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high"), "pivots")
     members = saved(banded.join(pivots, "band"), "members")
     involved = members.select("node").distinct().join(nodes.select("node", F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest")), "node")
     chosen = given.join(involved, given["doc_id"].eqNullSafe(F.col("_doc")) & (F.md5(given["text"].cast("binary")) == F.col("_digest"))).select("node", "text")
-    shingles = saved(chosen.mapInArrow(_sets, "node long, shingles array<long>").dropDuplicates(["node"]), "sets")
+    shingles = saved(chosen.mapInArrow(_sets, "node binary, shingles array<long>").dropDuplicates(["node"]), "sets")
 
     def compared(pairs: DataFrame) -> DataFrame:
         return saved(_confirmed(_likely(pairs, nodes), shingles), "links")
@@ -198,14 +261,15 @@ def _classes(docs: DataFrame) -> DataFrame:
     """doc_id, the text's digest, n_shingles, component_id and kept of every row of docs."""
     given = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    known = saved(given.select("*", F.md5(F.col("text").cast("binary")).alias("digest")).mapInArrow(_sketch, f"doc_id {kind}, digest string, n_shingles long, node long, bands array<long>, sketch array<long>"), "sketches")
+    known = saved(given.select("*", F.md5(F.col("text").cast("binary")).alias("digest")).mapInArrow(_sketch, f"doc_id {kind}, digest string, n_shingles long, node binary, bands array<long>, sketch array<long>"), "sketches")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("digest"))).alias("first")
-    nodes = known.where("n_shingles > 0").groupBy("node").agg(first, F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    nodes = saved(nodes.select("node", "first.doc_id", "first.digest", "n_shingles", "bands", "sketch"), "nodes")
-    labels = nodes.select("node", "doc_id").join(_links(given, nodes), "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
-    least = labels.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = labels.join(least, "component").select("node", "component_id")
-    out = known.select("doc_id", "digest", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node")).join(named, "node", "left")
+    nodes = known.where("n_shingles > 0").groupBy("node").agg(first, F.count("*").alias("times"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    nodes = saved(nodes.select("node", "first.doc_id", "first.digest", "times", "n_shingles", "bands", "sketch"), "nodes")
+    labels = nodes.select("node", "doc_id", "times").join(_links(given, nodes), "node", "left").select("node", "doc_id", "times", F.coalesce("component", "node").alias("component"))
+    labels = saved(labels, "labels")
+    least = saved(labels.groupBy("component").agg(F.min("doc_id").alias("component_id")), "least")
+    named = saved(labels.join(least, "component").select("node", "times", "component_id"), "named")
+    out = with_once(known.select("doc_id", "digest", "n_shingles", "node"), named, "node")
     return out.select("doc_id", "digest", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
@@ -217,9 +281,10 @@ def classes(docs: DataFrame) -> DataFrame:
 def representatives(docs: DataFrame) -> DataFrame:
     """The rows of docs that are kept: one document of each component; repeated rows once."""
     chosen = saved(_classes(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct(), "chosen")
-    named = docs.withColumn("_md5", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    rows = named.join(chosen, named["doc_id"].eqNullSafe(chosen["_id"]) & (named["_md5"] == chosen["_digest"]))
-    return rows.dropDuplicates(["doc_id", "_md5"]).select(*docs.columns)
+    given, names = masked(docs, "doc_id", "text")
+    given = given.withColumn("_md5", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    rows = given.join(chosen, given["doc_id"].eqNullSafe(chosen["_id"]) & (given["_md5"] == chosen["_digest"]))
+    return rows.dropDuplicates(["doc_id", "_md5"]).select(*[F.col(names[c]).alias(c) for c in docs.columns])
 
 
 def op9_neardup(spark, sf_dir: str) -> DataFrame:

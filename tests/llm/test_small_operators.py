@@ -192,3 +192,69 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch):
     assert neardup.classes(docs.limit(0)).count() == 0
     kept = neardup.representatives(docs)
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [k for k, _, _, keep in want if keep]
+
+
+def template_pages(n, own, common, seed, pool=None):
+    """n pages of one template: `common` shared words in a row, then `own` words of each page (of a pool, if given)."""
+    rng = np.random.default_rng(seed)
+    base = [f"t{k}" for k in range(common)]
+    return [base + ([f"p{k}x{i}" for i in range(own)] if pool is None else [f"q{x}" for x in rng.integers(0, pool, own)]) for k in range(n)]
+
+
+def as_cell(spark, texts):
+    docs = frame(spark, texts)
+    known = docs.select("doc_id", "text", F.lit("").alias("digest")).mapInArrow(neardup._sketch, "doc_id long, digest string, n_shingles long, node binary, bands array<long>, sketch array<long>")
+    sets = known.select("doc_id", "node", "sketch").join(docs.select("doc_id", "text"), "doc_id").select("doc_id", "node", "sketch", "text")
+    rows = sets.toPandas().sort_values("doc_id")
+    import pyarrow as pa
+
+    lists = next(neardup._sets([pa.record_batch({"node": pa.array(rows["node"]), "text": pa.array(rows["text"])})])).column("shingles")
+    return pa.table({"node": pa.array(rows["node"]), "component": pa.array(rows["node"]), "sketch": pa.array(rows["sketch"].tolist(), pa.list_(pa.int64())), "shingles": lists})
+
+
+def joined(n, links):
+    parent = list(range(n))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        parent[root(a)] = root(b)
+    return [min(k for k in range(n) if root(k) == root(i)) for i in range(n)]
+
+
+def test_a_cell_joins_what_all_links_would(spark):
+    rng = np.random.default_rng(2)
+    pages = template_pages(60, 20, 90, 1, pool=60) + template_pages(60, 9, 100, 2) + template_pages(60, 14, 100, 3)
+    pages += [[w for w in pages[k] if rng.random() > 0.03] for k in range(0, 180, 3)] + [["a", "b", "c"], ["a", "b", "c", "d"], ["x"]]
+    texts = sorted({" ".join(p) for p in pages})
+    cell = as_cell(spark, texts)
+    names = {x: k for k, x in enumerate(cell.column("node").to_pylist())}
+    links = [(names[r["a"]], names[r["b"]]) for r in neardup._cell(cell).to_pylist()]
+    assert len(links) < len(texts) and joined(len(texts), links) == [x[2] for x in brute(texts)]
+
+
+def test_a_cell_of_alike_rows_puts_out_few_links(spark):
+    cell = as_cell(spark, [" ".join(p) for p in template_pages(2000, 1, 100, 5)])
+    assert neardup._cell(cell).num_rows == 1999
+
+
+def test_a_family_of_template_pages(spark):
+    pages = [" ".join(p) for p in template_pages(5000, 24, 150, 7)]  # pairs share 149 of 199 shingles: 0.75
+    near = [p.replace("t3 ", "u3 ").replace(f"p{k}x5 ", "v5 ") for k, p in enumerate(pages[:40])]
+    rows = {r["doc_id"]: r for r in neardup.classes(frame(spark, pages + near)).collect()}
+    assert all(rows[k]["component_id"] == k for k in range(5000)) and all(rows[5000 + k]["component_id"] == k for k in range(40))
+
+
+def test_very_long_text_and_null_ids(spark):
+    long = " ".join(f"w{k}" for k in range(200_000))
+    rows = [(1, long), (2, long + " more"), (None, long), (None, "else where"), (5, None), (1, long)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for c in ("_id", "_md5", "_digest", "node", "times"):
+        docs = docs.withColumn(c, F.lit(c))
+    got = sorted((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in neardup.classes(docs).collect())
+    assert got == [(0, 0, True), (0, 1, False), (1, 1, True), (1, 1, True), (2, 1, False), (5, 5, True)]
+    kept = neardup.representatives(docs).collect()
+    assert sorted(r["doc_id"] or 0 for r in kept) == [0, 1, 5] and all(r[c] == c for r in kept for c in ("_id", "_md5", "node"))
