@@ -249,7 +249,7 @@ def _links(given: DataFrame, nodes: DataFrame) -> DataFrame:
     pair = lambda c: members.where(F.col("node") != F.col(c)).select(F.least("node", c).alias("a"), F.greatest("node", c).alias("b"))
     links = compared(pair("low").union(pair("high")))
     degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("degree"))
-    hubs = members.join(degree, "node").groupBy("band").agg(F.max(F.struct("degree", "node")).alias("hub"))
+    hubs = saved(members.join(degree, "node").groupBy("band").agg(F.max(F.struct("degree", "node")).alias("hub")), "band_hubs")
     hubbed = members.join(hubs, "band", "left").select("node", F.coalesce("hub.node", "low").alias("hub")).distinct()
     hubbed = saved(hubbed, "hubs")
     spokes = hubbed.where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +44,20 @@ def discard(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def bucketed(df: DataFrame, column: str, parts: int) -> tuple[DataFrame, Callable[[], None]]:
+    """df as a table bucketed by column, which later steps group by without a shuffle, and what drops the table and its files."""
+    spark = df.sparkSession
+    name = f"corvane_{uuid.uuid4().hex}"
+    path = f"{scratch(spark)}/{name}"
+    df.write.bucketBy(parts, column).option("path", path).option("compression", "zstd").saveAsTable(name)
+
+    def drop() -> None:
+        spark.sql(f"DROP TABLE {name}")
+        discard(spark, path)
+
+    return spark.table(name), drop
+
+
 def with_once(rows: DataFrame, once: DataFrame, key: str, times: str = "times") -> DataFrame:
     """rows with the columns of once, which has one row for every key and the number of rows that hold it (times, left out).
 

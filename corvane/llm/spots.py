@@ -5,21 +5,25 @@ the next two content words that follow it, common words between them left out. A
 signatures' 32-bit hashes, in order, as hexadecimal text. Fingerprints are put into partitions by set length, so that pairs
 whose partitions cannot reach a likeness are pruned without a comparison; the others are compared by Jaccard similarity.
 
-The next document of each is found without a global sort in one task: ids are dealt into ranges by approximate
-quantiles, and the last row of a range takes the head of the next non-empty one, of which there is one row a range.
-
-Edge cases: a text without signatures (empty, null, or without an anchor that two content words follow) has one signature, the
-hash of all its words, so equal texts have equal fingerprints and are alike to 1; rows of one doc_id stand next to each other,
-in order of text; a null doc_id stands first; a single document is its own next; an empty table gives no rows; columns
+The next document of each is found without a global sort in one task: rows are dealt into ranges of doc_id of about RANGE bytes of
+text and kept as a table bucketed by range; a range's rows are followed by the first row of the next range, so no text is
+broadcast or sent twice. Both fingerprints of a row are computed once, after that.
+
+Edge cases: in a text without a common word that two content words follow (any other language), the words whose CRC-32 is a
+multiple of SPARE are anchors, each with the next two words; characters of scripts without spaces are words of their own; a text
+without such an anchor either (empty, null, very short) has one signature, the hash of all its words, so equal texts have
+equal fingerprints and are alike to 1; rows of one doc_id stand next to each other, in order of their text's MD5; a null doc_id stands first; a single document is its own next; an empty table gives no rows; columns
 other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.shared import held, let, saved, table
+from corvane.llm.shared import bucketed, held, let, saved, table
 
 #: Common words of four languages: anchors, and what chains skip.
 COMMON = {
@@ -28,12 +32,18 @@ COMMON = {
     "fr": "le la les et des en un du une que est pour qui dans par sur au pas plus ne se avec il ce sont ou son cette ont aux elle mais comme nous sa leur",
     "es": "el los del las por con una su para al lo como o este sus le ha me sin sobre ya entre cuando todo esta ser son dos fue era muy hasta desde",
 }
-RANGES = 64
+#: Bytes of text that a range aims at; ranges, and ranges of a bucket, at most.
+RANGE, RANGES, BUCKET = 4 << 20, 80_000, 4
+#: In texts without common words, one word in so many is an anchor.
+SPARE = 4
+#: Scripts that put no spaces between words.
+_UNSPACED = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}])"
 
 
 def normal(text: Column) -> Column:
     """The words of a text, in lower case, a space between them."""
-    return F.btrim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
+    apart = F.when(F.regexp_like(text, F.lit(_UNSPACED)), F.regexp_replace(text, _UNSPACED, " $1 ")).otherwise(text)
+    return F.btrim(F.regexp_replace(F.lower(apart), r"[^\p{L}\p{N}]+", " "))
 
 
 def _branches(words: set[str]) -> str:
@@ -62,8 +72,15 @@ def signatures(words: Column) -> Column:
         anchored = F.filter(pairs, lambda x: (F.instr(x["group"], "\x01") > 0) & (x["next"] != ""))
         return F.flatten(F.transform(anchored, lambda x: let(F.split(x["group"], "\x01"), lambda parts: F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda a: F.hash(a, F.element_at(parts, -1), x["next"])))))
 
-    hashed = let(_groups(words), chained)
-    return let(hashed, lambda h: F.when(F.size(h) > 0, F.array_sort(F.array_distinct(h))).otherwise(F.array(F.hash(words))))
+    def spare(said: Column) -> Column:
+        at = F.sequence(F.lit(0), F.size(said) - 3)
+        hashes = F.transform(F.filter(at, lambda i: F.crc32(F.get(said, i).cast("binary")) % SPARE == 0), lambda i: F.hash(F.get(said, i), F.get(said, i + 1), F.get(said, i + 2)))
+        return F.when(F.size(said) >= 3, hashes).otherwise(F.expr("array_repeat(0, 0)"))
+
+    distinct = lambda h: F.array_sort(F.array_distinct(h))
+    whole = F.array(F.hash(words))
+    other = let(let(F.split(words, " "), spare), lambda h: F.when(F.size(h) > 0, distinct(h)).otherwise(whole))
+    return let(let(_groups(words), chained), lambda h: F.when(F.size(h) > 0, distinct(h)).otherwise(other))
 
 
 def as_text(signatures: Column) -> Column:
@@ -85,20 +102,26 @@ def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
     return F.when(near & (F.least(F.size(a), F.size(b)) >= least * F.greatest(F.size(a), F.size(b))), full).otherwise(0.0)
 
 
-def with_next(docs: DataFrame, more: tuple[str, ...] = (), ranges: int = RANGES) -> DataFrame:
-    """doc_id, text and the columns more of each document with next: those of the next one by doc_id (the first one's after the last)."""
-    given = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more)
-    marks = docs.select("doc_id").where(F.col("doc_id").isNotNull()).approxQuantile("doc_id", [k / ranges for k in range(1, ranges)], 0.001) if ranges > 1 else []
-    bounds = F.array(*[F.lit(x) for x in sorted(set(marks))]) if marks else F.expr("array_repeat(0.0D, 0)")
-    dealt = given.withColumn("_range", F.coalesce(F.size(F.filter(bounds, lambda x: x <= F.col("doc_id"))), F.lit(0)))
-    own = F.struct("text", *more)
-    heads = saved(dealt.groupBy("_range").agg(F.min(F.struct("doc_id", "text", *more)).alias("_head")), "heads")
-    heads = heads.select("_range", F.struct("_head.text", *[f"_head.{c}" for c in more]).alias("_head"))
-    later = Window.orderBy("_range")
-    first = F.first("_head").over(later.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    after = heads.select("_range", F.coalesce(F.lead("_head").over(later), first).alias("_head"))
-    led = dealt.withColumn("_next", F.lead(own).over(Window.partitionBy("_range").orderBy(F.asc_nulls_first("doc_id"), "text")))
-    return led.join(after, "_range", "left").select("doc_id", "text", *more, F.coalesce("_next", "_head").alias("next"))
+def followed(docs: DataFrame, range_bytes: int = RANGE) -> tuple[DataFrame, Callable[[], None]]:
+    """doc_id, text, _range, _order and _head of the rows of docs, and what drops the table behind them.
+
+    Rows in _order within their _range stand as they do in the whole table; the last one (_head) is the first row of the next range.
+    """
+    text = F.coalesce("text", F.lit(""))
+    given = docs.select("doc_id", text.alias("text"), F.md5(text.cast("binary")).alias("_digest"))
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = min(total // range_bytes + 1, RANGES)
+    keys = [F.asc_nulls_first("doc_id"), "_digest", "_tie"]  # the tie lets equal rows be dealt to several ranges
+    dealt = given.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(n, *keys).withColumn("_range", F.spark_partition_id())
+    rows, drop = bucketed(dealt, "_range", n // BUCKET + 1)
+    order = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "_digest", "_tie")
+    ranges = rows.groupBy("_range").agg(F.min(order).alias("_order"))
+    by_range = Window.orderBy("_range")  # one row a range
+    everything = by_range.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before = ranges.select(F.col("_range").alias("_own"), "_order", F.coalesce(F.lag("_range").over(by_range), F.last("_range").over(everything)).alias("_before"))
+    ranked = rows.select("doc_id", "text", "_range", order.alias("_order"))
+    firsts = saved(ranked.join(before, (ranked["_range"] == before["_own"]) & (ranked["_order"] == before["_order"])).select("doc_id", "text", F.col("_before").alias("_range"), ranked["_order"]), "firsts")
+    return ranked.withColumn("_head", F.lit(False)).union(firsts.withColumn("_head", F.lit(True))), drop
 
 
 def edited(text: Column, after: Column) -> Column:
@@ -108,13 +131,15 @@ def edited(text: Column, after: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), n - cut), F.substring(after, F.lit(1), cut))
 
 
-def printed(docs: DataFrame) -> DataFrame:
+def printed(docs: DataFrame, range_bytes: int = RANGE) -> DataFrame:
     """Every document with its fingerprint and those of its edited text and of the next document, compared."""
-    own = held(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "_own", signatures(normal(F.col("text"))))
-    pairs = with_next(own, ("_own",))
+    rows, drop = followed(docs, range_bytes)
+    own = held(rows, "_own", signatures(normal(F.col("text"))))
+    inside = Window.partitionBy("_range").orderBy("_head", "_order")
+    pairs = own.select("*", F.lead(F.struct("text", "_own")).over(inside).alias("next")).where(~F.col("_head"))
     pairs = held(pairs, "_edited", edited(F.col("text"), F.col("next.text")))
     pairs = held(pairs, "_changed", signatures(normal(F.col("_edited"))))
-    return pairs.select(
+    out = pairs.select(
         "doc_id",
         F.length("text").cast("long").alias("n_chars"),
         F.sha2(F.col("_edited").cast("binary"), 256).alias("edited_sha256"),
@@ -124,6 +149,9 @@ def printed(docs: DataFrame) -> DataFrame:
         likeness(F.col("_own"), F.col("next._own")).alias("near_next"),
         partition(F.col("_own")).alias("length_partition"),
     )
+    out = saved(out, "printed")
+    drop()
+    return out
 
 
 def op5_fingerprints(spark, sf_dir: str) -> DataFrame:

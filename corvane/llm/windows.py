@@ -20,7 +20,6 @@ with the corpus, not with its square. Segments are told apart by 128 bits, from
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from typing import NamedTuple
 
@@ -31,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm import textkit
-from corvane.llm.shared import discard, scratch
+from corvane.llm.shared import bucketed
 
 #: Bytes of text that a block aims at.
 BLOCK = 8 << 20
@@ -101,27 +100,19 @@ class Blocks(NamedTuple):
     table: DataFrame
     n: int
     parts: int
-    name: str
-    path: str
-
-    def drop(self) -> None:
-        self.table.sparkSession.sql(f"DROP TABLE {self.name}")
-        discard(self.table.sparkSession, self.path)
+    drop: Callable[[], None]
 
 
 def blocks(docs: DataFrame, block_bytes: int = BLOCK) -> Blocks:
     """The texts of docs as a table bucketed by block."""
-    spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = int(total // block_bytes) + 1
     parts = min(n, PARTS)
     block = F.pmod(F.xxhash64("digest"), F.lit(n)).cast("int")
-    name = f"corvane_{uuid.uuid4().hex}"
-    path = f"{scratch(spark)}/{name}"
     dealt = named(docs).withColumn("block", block).mapInArrow(_once, _BLOCKED).repartition(parts, "block")
     single = dealt.groupBy("block").applyInArrow(_merged, _BLOCKED)
-    single.write.bucketBy(parts, "block").option("path", path).option("compression", "zstd").saveAsTable(name)
-    return Blocks(spark.table(name), n, parts, name, path)
+    table, drop = bucketed(single, "block", parts)
+    return Blocks(table, n, parts, drop)
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:

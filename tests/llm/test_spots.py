@@ -1,5 +1,6 @@
 import hashlib
 import re
+import zlib
 
 from corvane.llm import spots
 
@@ -8,13 +9,15 @@ COMMON = {w for words in spots.COMMON.values() for w in words.split()}
 
 def chains(text):
     """The (anchor, content, content) chains of a text, by the docstring's words."""
-    words = [w for w in re.split(r"[\W_]+", (text or "").lower()) if w]
+    text = re.sub("([\u3040-\u30ff\u4e00-\u9fff])", r" \1 ", text or "")
+    words = [w for w in re.split(r"[\W_]+", text.lower()) if w]
     out = set()
     for i, w in enumerate(words):
         if w in COMMON:
             content = [x for x in words[i + 1 :] if x not in COMMON][:2]
             if len(content) == 2:
                 out.add((w, *content))
+    out = out or {tuple(words[i : i + 3]) for i in range(len(words) - 2) if zlib.crc32(words[i].encode()) % spots.SPARE == 0}
     return out or {tuple(words)}
 
 
@@ -26,6 +29,8 @@ TEXTS = [
     (8, None),
     (12, "the of and"),
     (13, "Größe " * 5000 + "the end comes now"),
+    (14, "Собака и кошка спят в саду у старой стены, а мышь ищет сыр под большим столом кухни"),
+    (15, "犬と猫は古い壁のそばの庭で眠っています。月が出ると鼠は台所の大きな机の下で乳酪を探します"),
     (20, "The quick brown fox is on the run, and of the old dog."),
 ]
 
@@ -49,10 +54,13 @@ def test_against_brute_force(spark):
 
 
 def test_ranges_and_repeats(spark):
-    docs = spark.createDataFrame([(k // 2, f"text number {k} of the red sea house") for k in range(400)] + [(None, "lone")], "doc_id long, text string")
-    pairs = [(r["text"], r["next"]["text"]) for r in spots.with_next(docs, ranges=7).collect()]
-    texts = sorted([(-1, "lone")] + [(k // 2, f"text number {k} of the red sea house") for k in range(400)])
-    assert sorted(pairs) == sorted((t, texts[(i + 1) % len(texts)][1]) for i, (_, t) in enumerate(texts))
+    rows = [(k // 2, f"text number {k} of the red sea house", k) for k in range(400)] + [(None, "lone", 400)] + [(7, "many of the same rows here", k) for k in range(500, 900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _range long")
+    order = sorted(rows, key=lambda r: (-1 if r[0] is None else r[0], hashlib.md5(r[1].encode()).hexdigest()))
+    jaccard = lambda a, b: round(len(a & b) / len(a | b), 9)
+    want = sorted((len(t), jaccard(chains(t), chains(order[(i + 1) % len(order)][1]))) for i, (_, t, _) in enumerate(order))
+    for size in (700, 1 << 20):
+        assert sorted((r["n_chars"], round(r["near_next"], 9)) for r in spots.printed(docs, size).collect()) == want
 
 
 def test_empty_table_and_one_row(spark):
