@@ -10,9 +10,10 @@ Only texts with a cover word are windowed, and only windows with one are hashed.
 holds one; a window without any cover word therefore shares no shingle with a template, and nothing is lost.
 The templates are a parameter, a short list; only they are broadcast, and their number is checked against MOST.
 
-Edge cases: null and empty texts, and texts of fewer than five words, match nothing; very long texts give more windows;
+Edge cases: null and empty texts, and texts of fewer than five words, match nothing; a very long text is first cut into
+stretches of whole windows, so no row holds all its windows at once;
 a template that occurs more than once in a text is one finding with its best containment; repeated rows give the same
-findings once; an empty table gives no rows; columns other than doc_id and text are ignored.
+findings once, and rows without doc_id are findings of one null doc_id together; an empty table gives no rows; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from corvane.llm.spots import COMMON
 SHINGLE = 5
 LEAST = 0.8
 BANDS = 32
+#: Windows of a stretch.
+STRETCH = 32
 #: Templates at most: what is broadcast has at most MOST * BANDS rows.
 MOST = 500
 
@@ -45,6 +48,19 @@ TEMPLATES = {
     "gpl_3_0_header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
     "lgpl_2_1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
     "mpl_2_0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "mpl_1_1": "The contents of this file are subject to the Mozilla Public License Version 1.1 (the License); you may not use this file except in compliance with the License.",
+    "gpl_2_0_header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "lgpl_3_0": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "agpl_3_0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "bsd_third_clause": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "as_is_holders": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    "mit_as_is": "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
+    "zlib": "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely.",
+    "boost_1_0": "Distributed under the Boost Software License, Version 1.0.",
+    "boost_1_0_grant": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Software) to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software.",
+    "epl_2_0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.",
+    "cddl_1_0": "The contents of this file are subject to the terms of the Common Development and Distribution License (the License). You may not use this file except in compliance with the License.",
+    "cc0_1_0": "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this work to the public domain worldwide.",
     "cc_by_nc_4_0": "Licensed under CC BY-NC 4.0.",
     "cc_by_4_0": "Licensed under CC BY 4.0.",
     "cc_by_sa_4_0": "Licensed under CC BY-SA 4.0.",
@@ -129,15 +145,19 @@ def scanned(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame
     likely = listed.where(F.arrays_overlap("words", telling))
     lengths = sorted(set(classes(templates).values()))
 
-    def windows(length: int) -> Column:
+    def stretches(length: int) -> Column:
+        """The words of STRETCH windows each; one stretch holds the words of the last windows, which may be fewer."""
         step = stride(length)
-        size = length + step - 1
-        last = F.greatest(F.size("words") - size + step, F.lit(1))
-        return F.transform(F.sequence(F.lit(1), last, F.lit(step)), lambda i: F.struct(F.lit(length).alias("class"), F.slice(F.col("words"), i, size).alias("window")))
-
-    cut = likely.select("doc_id", F.explode(F.concat(*[windows(n) for n in lengths])).alias("w"))
-    cut = cut.where(F.arrays_overlap("w.window", telling))
-    cut = held(cut.select("doc_id", "w.class", F.col("w.window").alias("window")), "shingles", shingles(F.col("window"))).drop("window").where(F.size("shingles") > 0)
+        last = F.greatest(F.size("words") - (length + step - 1) + step, F.lit(1))
+        starts = F.sequence(F.lit(1), last, F.lit(step * STRETCH))
+        size = step * (STRETCH - 1) + length + step - 1
+        return F.transform(starts, lambda i: F.struct(F.lit(length).alias("class"), F.lit(step).alias("step"), F.least(F.lit(STRETCH), F.floor((last - i) / step).cast("int") + 1).alias("n"), F.slice(F.col("words"), i, size).alias("said")))
+
+    parts = likely.select("doc_id", F.explode(F.concat(*[stretches(n) for n in lengths])).alias("s")).where(F.arrays_overlap("s.said", telling))
+    starts = F.transform(F.sequence(F.lit(0), F.col("s.n") - 1), lambda i: F.slice(F.col("s.said"), i * F.col("s.step") + 1, F.col("s.class") + F.col("s.step") - 1))
+    cut = parts.select("doc_id", F.col("s.class").alias("class"), F.explode(starts).alias("window"))
+    cut = cut.where(F.arrays_overlap("window", telling))
+    cut = held(cut.select("doc_id", "class", "window"), "shingles", shingles(F.col("window"))).drop("window").where(F.size("shingles") > 0)
     keyed = cut.select("*", F.explode(bands(F.col("shingles"))).alias("band"))
     index = wanted.select("license", "class", "wanted", F.explode(bands(F.col("wanted"))).alias("band"))
     found = keyed.join(F.broadcast(index), ["class", "band"])

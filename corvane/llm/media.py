@@ -28,13 +28,15 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.shared import saved, scratch, table
+from corvane.llm.shared import saved, scratch, table, with_once
 
 WIDTH = 64
 LEVEL = 6
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Bytes of a PNG that hold its signature and header.
 HEADER = 33
+#: Bytes of images that a task reads back.
+READ = 16 << 20
 #: Bytes of tar shard that one task aims at.
 SHARD = 64 << 20
 
@@ -150,6 +152,12 @@ def _ranges(folder: str, batches: Iterator[pa.RecordBatch], size: int | None = N
             yield part, found
 
 
+def dealt(index: DataFrame) -> DataFrame:
+    """The rows of index by place, in as many parts as the images' bytes ask for: an index is small, what it refers to isn't."""
+    total = index.agg(F.sum("length")).first()[0] or 0
+    return index.repartitionByRange(int(total // READ) + 1, "shard", "offset").sortWithinPartitions("shard", "offset")
+
+
 def with_metadata(index: DataFrame, folder: str) -> DataFrame:
     """index with width, height and bits, from the images' headers alone."""
 
@@ -189,5 +197,7 @@ def digests(docs: DataFrame) -> DataFrame:
 def op3_media(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     index, folder = stored(docs)
-    media = canonical(described(with_metadata(index, folder), folder))
-    return digests(docs).join(media, "digest").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "shard", "offset", "length")
+    media = canonical(described(with_metadata(dealt(index), folder), folder))
+    rows = saved(digests(docs), "digests")
+    once = saved(media.join(rows.groupBy("digest").agg(F.count("*").alias("times")), "digest"), "media")
+    return with_once(rows, once, "digest").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "shard", "offset", "length")

@@ -10,7 +10,9 @@ The prefix sum never puts a source into one task: offsets of sizes within a sour
 size, and a rank within a cell are three small windows, so a source with a third of all rows is dealt over many tasks.
 
 Edge cases: null text has size 0; an empty table gives no rows; a null source is a source of its own, the last one;
-a source without words has target 0 and takes nothing; repeated rows are separate documents; more columns are ignored.
+a source without words has target 0 and takes nothing; very long texts are counted whole; repeated rows, of one doc_id or of none, are
+separate documents, each with its own number of copies; more columns are ignored by mixed() and kept by sampled(), whatever
+their names. Sources are numbered in one task: a row each of what is one row a source.
 """
 
 from __future__ import annotations
@@ -18,17 +20,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.shared import WORD, saved, table
+from corvane.llm.shared import WORD, masked, saved, table
 
 CAP = 3
 WEIGHTS = 3
 SEED = "mix"
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size (words) and the hash cell of every document."""
+def sizes(docs: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size (words), the hash cell and the columns more of every document."""
     return docs.select(
         F.col("doc_id"),
+        *more,
         F.col("source"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 3).alias("cell"),
@@ -68,9 +71,9 @@ def targets(sized: DataFrame) -> DataFrame:
     )
 
 
-def mixed(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, copies, taken for every row of docs."""
-    sized = saved(sizes(docs), "sizes")
+def mixed(docs: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns more, size, source_size, target, copies, taken for every row of docs."""
+    sized = saved(sizes(docs, more), "sizes")
     by_cell = saved(sized.groupBy("source", "size", "cell").agg(F.count("*").alias("n")), "cells")
     by_size = by_cell.groupBy("source", "size").agg(F.sum("n").alias("n"))
     before_size = by_size.select("source", "size", (F.sum("n").over(Window.partitionBy("source").orderBy("size")) - F.col("n")).alias("before_size"))
@@ -88,14 +91,22 @@ def mixed(docs: DataFrame) -> DataFrame:
     e, u = F.col("expected"), F.col("offset")
     placed = on(sized, cells, "source", "size", "cell").withColumn("place", place)
     copies = F.floor(F.col("place") * e + u) - F.floor((F.col("place") - 1) * e + u)
-    return placed.select("doc_id", "size", "source_size", "target", copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    return placed.select("doc_id", *more, "size", "source_size", "target", copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
 
 
 def sampled(docs: DataFrame) -> DataFrame:
-    """The rows of the mix: every row of docs as often as it is taken (rows that share a doc_id: as often as the most taken of them)."""
-    times = mixed(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").cast("int").alias("_copies")).where("_copies > 0")
-    taken = docs.join(times, docs["doc_id"].eqNullSafe(times["_id"]))
-    return taken.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    """The rows of the mix: every row of docs as often as it is taken.
+
+    A row is told from others by doc_id and a hash of all its values. Rows that are the same in both are exchangeable: one of them
+    stands for all, as often as they are taken together.
+    """
+    given, names = masked(docs, "doc_id", "text", "source")
+    given = given.withColumn("_row", F.xxhash64(*given.columns))
+    times = mixed(given, ("_row",)).groupBy(F.col("doc_id").alias("_id"), F.col("_row").alias("_hash"))
+    times = saved(times.agg(F.sum("copies").cast("int").alias("_copies"), F.count("*").alias("_same")).where("_copies > 0"), "times")
+    taken = given.join(times, given["doc_id"].eqNullSafe(times["_id"]) & (given["_row"] == times["_hash"]))
+    once = taken.where("_same = 1").union(taken.where("_same > 1").dropDuplicates(["_id", "_row"]))
+    return once.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[F.col(names[c]).alias(c) for c in docs.columns])
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:

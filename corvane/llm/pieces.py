@@ -9,7 +9,8 @@ The vocabulary file is a parameter; its scores count as log probabilities, chara
 reads the file (half a MB) and broadcasts it. Every text is encoded whole; the words kept by a task are bounded by MOST.
 
 Edge cases: null or empty text has no ids and decodes to the empty text; U+2581 in a text is encoded by bytes, so that decoding
-gives it back; a word of any length is one path of the trie; repeated rows each get a row; an empty table gives no
+gives it back; a word of more than LONG characters (scripts without spaces, encoded data) is scored by itself, in a few bytes
+for each character; repeated rows each get a row; an empty table gives no
 rows; columns other than doc_id and text are ignored, or kept if named.
 """
 
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import re
 import struct
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -27,8 +29,10 @@ from corvane.llm import textkit
 from corvane.llm.shared import table
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-#: Words whose ids a task keeps at most.
-MOST = 300_000
+#: Words, and bytes of their ids, that a task keeps between its batches at most.
+MOST, BYTES = 300_000, 64 << 20
+#: Characters of a word that is still put into the trie.
+LONG = 1000
 _UNITS = re.compile(" *[^ ]+| +")
 _NORMAL, _BYTE = 1, 6
 
@@ -89,6 +93,9 @@ class Vocabulary:
         before, best, back = "", [0.0], [(0, 0)]
         for word in sorted(words):
             text = f" {word}"
+            if len(text) > LONG:
+                yield word, self._alone(text)
+                continue
             shared, most = 0, min(len(before), len(text))
             while shared < most and before[shared] == text[shared]:
                 shared += 1
@@ -116,6 +123,28 @@ class Vocabulary:
             before = text
             yield word, np.array(found[::-1], np.int32).tobytes()
 
+    def _alone(self, text: str) -> bytes:
+        """The ids of one long text, by the same scores; the piece that ends at each character is kept in six bytes."""
+        ids, lengths, unknown = self.ids, self.lengths, self.unknown
+        best, size, last = array("d", [0.0]), array("H", [0]), array("i", [-1])
+        for end in range(1, len(text) + 1):
+            top, n_top, piece_top = best[end - 1] + unknown, 1, -1
+            if piece := ids.get(text[end - 1]):
+                top, piece_top = best[end - 1] + piece[0], piece[1]
+            for n in lengths.get(text[end - 2 : end], ()) if end > 1 else ():
+                if n <= end and (piece := ids.get(text[end - n : end])) and ((score := best[end - n] + piece[0]) > top or score == top and n > n_top):
+                    top, n_top, piece_top = score, n, piece[1]
+            best.append(top)
+            size.append(n_top)
+            last.append(piece_top)
+        found, end = array("i"), len(text)
+        while end:
+            n, piece = size[end], last[end]
+            found.extend([self.byte_ids[b] for b in reversed(text[end - 1].encode())] if piece < 0 else (piece,))
+            end -= n
+        found.reverse()
+        return found.tobytes()
+
     def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.bytes.__getitem__, ids))[1:].decode()
 
@@ -142,13 +171,16 @@ def encoded(docs: DataFrame, vocabulary: str = VOCABULARY, keep: tuple[str, ...]
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = Vocabulary(model.value)
         known: dict[str, bytes] = {}
+        held = 0
         for batch, data, offsets in textkit.passes(batches, "text", 4 << 20):
             texts = [data[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             words = [units(t.decode()) for t in texts]
-            if len(known) > MOST:
+            if len(known) > MOST or held > BYTES:
                 known.clear()
+                held = 0
             fresh = set().union(*words).difference(known)
             known.update(vocab.encode(fresh))
+            held += sum(len(known[w]) for w in fresh)
             found = [b"".join(map(known.__getitem__, w)) for w in words]
             bounds = np.cumsum([0, *map(len, found)]) // 4
             ids = np.frombuffer(b"".join(found), np.int32)

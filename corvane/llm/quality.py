@@ -5,12 +5,13 @@ of columns. Each indicator is scaled by its class log-count ratio, a document's
 a linear hinge-loss model is fit to them by dual coordinate descent. A score is the logistic of the margin.
 
 The fit reads at most MOST labelled documents (those with the smallest hash of doc_id among the labelled rows whose
-crc32(doc_id) mod 3 is not 1), so the model's cost and the one broadcast, of that many ids, are bounded whatever the
-corpus. The model is one row of 2 ** BITS * 2 weights. Every text is scored whole.
+crc32(doc_id) mod 3 is not 1), one row of each, in that order as long as they have FEATURES indicators in all; so the cost of
+the one task that fits, and the one broadcast, of that many ids, are bounded whatever the corpus. The model is one row of 2 ** BITS * 2 weights. Every text is scored whole.
 
 Edge cases: null and empty texts have no feature and get the intercept's score; a doc_id with several labels counts as
-the lowest of them; without any label of either class every score is 0.5; repeated rows each get a row; an empty table
-gives no rows; more columns are kept by rated() and ignored by the query.
+the lowest of them, and one with several texts as the least of those; without any label of either class every score is 0.5; repeated rows each get a row; an empty table
+gives no rows; more columns, whatever their names, are kept by kept() and by rated() (which puts its own score in place of a column of
+that name) and ignored by the query; very long texts are a pass of their own.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from corvane.llm.shared import saved, table
 
 #: Labelled documents that a fit reads at most.
 MOST = 12_000
+#: Indicators of all of them at most: the fit holds 8 bytes of each.
+FEATURES = 100_000_000
 #: Of the columns of each of the two kinds of feature.
 BITS = 16
 COST = 1.0
@@ -74,19 +77,19 @@ def _indicators(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """label and its document's columns."""
+    """place, label and its document's columns."""
     for batch, data, offsets in textkit.passes(batches, "text", 1 << 19):
         rows, columns = _indicators(data, offsets)
         bounds = np.searchsorted(rows, np.arange(batch.num_rows + 1))
         columns = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(columns.astype(np.int32)))
-        yield pa.record_batch([batch.column("label"), columns], ["label", "columns"])
+        yield pa.record_batch([batch.column("place"), batch.column("label"), columns], ["place", "label", "columns"])
 
 
 def descend(bounds: np.ndarray, columns: np.ndarray, values: np.ndarray, y: np.ndarray, cost: float = COST, epochs: int = EPOCHS) -> np.ndarray:
     """Weights that minimise |w|^2 / 2 + cost * sum(hinge loss), one dual variable at a time; the last weight is the intercept."""
     w = np.zeros(2 * _D + 1)
     alpha = np.zeros(len(y))
-    norm = np.array([values[a:b] @ values[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]) + 1.0
+    norm = np.array([np.square(values[a:b], dtype=np.float64).sum() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]) + 1.0
     order = np.random.default_rng(7)
     for _ in range(epochs):
         moved = 0.0
@@ -106,26 +109,30 @@ def descend(bounds: np.ndarray, columns: np.ndarray, values: np.ndarray, y: np.n
 
 
 def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The one model row: ratios and weights."""
-    labels, lists = [], []
+    """The one model row: ratios and weights, from rows in order of place, as long as FEATURES allows."""
+    labels, lists, total = [], [], 0
+    counts = np.full((2, 2 * _D), SMOOTHING)
     for batch in batches:
-        labels += batch.column("label").to_pylist()
-        lists += [np.asarray(x.values) for x in batch.column("columns")]
-    sizes = [len(x) for x in lists]
-    y = np.where(np.array(labels, int) > 0, 1.0, -1.0)
-    columns = np.concatenate([*lists, np.zeros(0, np.int64)]).astype(np.int64)
-    bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-    kinds = np.repeat(y, sizes)
+        for label, columns in zip(batch.column("label").to_pylist(), batch.column("columns"), strict=True):
+            columns = np.asarray(columns.values).astype(np.int32)
+            total += len(columns)
+            if total > FEATURES and labels:
+                break
+            labels.append(int(label > 0))
+            lists.append(columns)
+            counts[labels[-1]][columns] += 1
     ratio = np.zeros(2 * _D)
     w = np.zeros(2 * _D + 1)
-    if len(set(y)) == 2:
-        good = np.bincount(columns[kinds > 0], minlength=2 * _D) + SMOOTHING
-        bad = np.bincount(columns[kinds < 0], minlength=2 * _D) + SMOOTHING
+    if len(set(labels)) == 2:
+        bad, good = counts
         ratio = np.log(good / good.sum()) - np.log(bad / bad.sum())
-        values = ratio[columns]
-        length = np.sqrt(np.bincount(np.repeat(np.arange(len(y)), sizes), values**2, len(y)))
-        values /= np.repeat(np.maximum(length, 1e-12), sizes)
-        w = descend(bounds, columns, values, y)
+        bounds = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
+        columns = np.concatenate(lists)
+        lists.clear()
+        values = ratio.astype(np.float32)[columns]
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            values[a:b] /= max(float(np.sqrt(np.square(values[a:b], dtype=np.float64).sum())), 1e-12)
+        w = descend(bounds, columns, values, np.where(np.array(labels) > 0, 1.0, -1.0))
     yield pa.record_batch([pa.array([ratio.tobytes()], pa.binary()), pa.array([w.tobytes()], pa.binary())], ["ratio", "weights"])
 
 
@@ -135,35 +142,60 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str = "quality") -> tuple[
         labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy("doc_id")
         .agg(F.min(label).cast("int").alias("label"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
+        .withColumn("place", F.xxhash64("doc_id"))
+        .orderBy("place", "doc_id")
         .limit(MOST)
     )
     chosen = saved(chosen, "chosen")
-    known = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("label", "text")
-    features = saved(known.mapInArrow(_features, "label int, columns array<int>"), "features")
-    model = features.coalesce(1).mapInArrow(_fit, "ratio binary, weights binary").collect()
+    known = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    known = known.groupBy("place", "doc_id").agg(F.first("label").alias("label"), F.min("text").alias("text")).select("place", "label", "text")
+    features = saved(known.mapInArrow(_features, "place long, label int, columns array<int>"), "features")
+    model = features.repartition(1).sortWithinPartitions("place").mapInArrow(_fit, "ratio binary, weights binary").collect()
     if not model:
         return np.zeros(2 * _D), np.zeros(2 * _D + 1)
     return np.frombuffer(model[0]["ratio"]), np.frombuffer(model[0]["weights"])
 
 
+def _scores(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Slices of the batches with a score for each row."""
+    ratio, weights = shared.value
+    for batch, data, offsets in textkit.passes(batches, "text", 1 << 19):
+        rows, columns = _indicators(data, offsets)
+        values = ratio[columns].astype(np.float64)
+        length = np.sqrt(np.bincount(rows, values**2, batch.num_rows))
+        margin = np.bincount(rows, values * weights[columns], batch.num_rows) / np.maximum(length, 1e-12) + weights[-1]
+        yield batch, 1.0 / (1.0 + np.exp(-SLOPE * margin))
+
+
+def _broadcast(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]):
+    return docs.sparkSession.sparkContext.broadcast(tuple(x.astype(np.float32) for x in model))
+
+
+def _schema(docs: DataFrame, columns: list[str]) -> str:
+    return ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
+
+
 def rated(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], keep: list[str] | None = None) -> DataFrame:
     """The columns keep (all by default) of docs with score: 0 to 1, higher where label 1 is likelier."""
-    ratio, weights = model
-    shared = docs.sparkSession.sparkContext.broadcast((ratio.astype(np.float32), weights.astype(np.float32)))
+    shared = _broadcast(docs, model)
     keep = [c for c in keep or docs.columns if c != "score"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ratio, weights = shared.value
-        for batch, data, offsets in textkit.passes(batches, "text", 1 << 19):
-            rows, columns = _indicators(data, offsets)
-            values = ratio[columns].astype(np.float64)
-            length = np.sqrt(np.bincount(rows, values**2, batch.num_rows))
-            margin = np.bincount(rows, values * weights[columns], batch.num_rows) / np.maximum(length, 1e-12) + weights[-1]
-            yield batch.select(keep).append_column("score", pa.array(1.0 / (1.0 + np.exp(-SLOPE * margin))))
-
-    given = docs.select(*dict.fromkeys([*keep, "text"]))
-    return given.mapInArrow(score, ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + ["score double"]))
+        for batch, scores in _scores(shared, batches):
+            yield batch.select(keep).append_column("score", pa.array(scores))
+
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(score, f"{_schema(docs, keep)}, score double")
+
+
+def kept(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], least: float = 0.5) -> DataFrame:
+    """The rows of docs that score least or more, as they are."""
+    shared = _broadcast(docs, model)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, scores in _scores(shared, batches):
+            yield batch.filter(pa.array(scores >= least))
+
+    return docs.mapInArrow(choose, _schema(docs, docs.columns))
 
 
 def op2_quality(spark, sf_dir: str) -> DataFrame:

@@ -45,3 +45,21 @@ def test_query(spark, sf_dir):
     assert len(rows) == len(texts)
     for r in rows:
         assert r["payload_sha256"] == hashlib.sha256(media.payload(texts[r["doc_id"]].encode())).hexdigest()
+
+
+def feature(data):
+    mean = sum(data) / len(data)
+    spread = (sum((x - mean) ** 2 for x in data) / len(data)) ** 0.5
+    edges = sum(abs(a - b) for a, b in zip(data, data[1:])) / (len(data) - 1)
+    return [mean, spread, edges, *[sum(x // 16 == k for x in data) * 1000 // len(data) for k in range(16)]]
+
+
+def test_features_nulls_and_repeats(spark, tmp_path):
+    rows = [(None, "a"), (None, "a"), (1, "a"), (1, None), (2, "longer than sixty-four bytes, as texts go, so that it takes two lines é"), (3, "z" * 3_000_000)]
+    spark.createDataFrame(rows * 3, "doc_id long, text string").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    got = media.op3_media(spark, str(tmp_path)).collect()
+    assert len(got) == 18 and sorted((r["doc_id"] or 0, r["n_bytes"]) for r in got) == sorted([(k or 0, len((t or "").encode())) for k, t in rows] * 3)
+    want = {hashlib.sha256(media.payload((t or "").encode())).hexdigest(): feature(media.payload((t or "").encode())) for _, t in rows[:5]}
+    for r in got:
+        if r["payload_sha256"] in want:
+            assert all(abs(float(a) - b) < 6e-4 for a, b in zip(r["feature"].split(","), want[r["payload_sha256"]], strict=True))

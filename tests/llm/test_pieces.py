@@ -94,3 +94,16 @@ def test_empty_table_and_clashing_columns(spark):
 def test_query(spark, sf_dir):
     rows = pieces.op4_pieces(spark, sf_dir)
     assert rows.where("not round_trip").count() == 0
+
+
+def test_long_words_are_encoded_alike(vocab, monkeypatch):
+    words = ["日本語の文章はとても長いです" * 30, "abcDEF0123456789+/" * 40, "the" * 300, "ﷺ\U0001f600" * 100, " " + "x" * 500]
+    short = dict(vocab.encode(words))
+    monkeypatch.setattr(pieces, "LONG", 10)
+    assert dict(vocab.encode(words)) == short
+
+
+def test_a_very_long_word(vocab):
+    word = "kvq" * 700_000
+    ids = struct.unpack(f"<{len(dict(vocab.encode([word]))[word]) // 4}i", dict(vocab.encode([word]))[word])
+    assert vocab.decode(ids) == word

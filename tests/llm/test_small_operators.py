@@ -1,5 +1,7 @@
 """Edge cases of the operators that SQL checks on whole tables: licenses, quality, mixing, secrets, near-duplicates."""
 
+import zlib
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -258,3 +260,98 @@ def test_very_long_text_and_null_ids(spark):
     assert got == [(0, 0, True), (0, 1, False), (1, 1, True), (1, 1, True), (2, 1, False), (5, 5, True)]
     kept = neardup.representatives(docs).collect()
     assert sorted(r["doc_id"] or 0 for r in kept) == [0, 1, 5] and all(r[c] == c for r in kept for c in ("_id", "_md5", "node"))
+
+
+# quality, by brute force
+
+
+def columns_of(text):
+    """The columns of a text's indicators, each found from a text of that trigram, word or pair alone."""
+    data = text.encode()
+    own = lambda b: set(quality._indicators(np.frombuffer(b, np.uint8), np.array([0, len(b)]))[1].tolist())
+    out = set().union(*[own(data[i : i + 3]) & set(range(quality._D)) for i in range(len(data) - 2)])
+    words = text.split()
+    for n in (1, 2):
+        for i in range(len(words) - n + 1):
+            out |= own(" ".join(words[i : i + n]).encode()) & set(range(quality._D, 2 * quality._D))
+    return out
+
+
+def test_quality_against_brute_force(spark):
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"{'g' if k % 3 else 'b'}{x}" if x < 4 else f"w{x}" for x in rng.integers(0, 12, 9)) for k in range(60)]
+    docs = frame(spark, texts)
+    docs = docs.union(docs.where("doc_id < 20")).union(docs.select("doc_id", F.lit("zzz").alias("text"), "lang", "source", "n_chars").where("doc_id = 5"))  # repeated, and a later text of one
+    labels = spark.createDataFrame([(k, int(k % 3 > 0)) for k in range(60)], "doc_id long, quality int")
+    ratio, weights = quality.fitted(docs, labels)
+    used = [k for k in range(60) if zlib.crc32(str(k).encode()) % 3 != 1]
+    sets = {k: columns_of(t) for k, t in enumerate(texts)}
+    counts = np.full((2, 2 * quality._D), quality.SMOOTHING)
+    for k in used:
+        counts[int(k % 3 > 0)][list(sets[k])] += 1
+    want = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
+    assert np.allclose(ratio, want)
+    rows = {r["doc_id"]: r["score"] for r in quality.rated(docs.where("text <> 'zzz'"), (ratio, weights), ["doc_id"]).collect()}
+    for k, found in sets.items():
+        x = want[list(found)]
+        margin = x @ weights[list(found)] / np.sqrt(x @ x) + weights[-1]
+        assert abs(rows[k] - 1 / (1 + np.exp(-quality.SLOPE * margin))) < 1e-4
+
+
+def test_descent_reaches_the_optimum():
+    """The dual value of the multipliers that the weights imply meets the primal value: no other weights are better."""
+    rng = np.random.default_rng(1)
+    n, width = 80, 30
+    dense = (rng.random((n, width)) < 0.3) * rng.normal(size=(n, width))
+    y = np.where(dense[:, 0] + 0.4 * rng.normal(size=n) > 0, 1.0, -1.0)
+    bounds = np.concatenate([[0], np.cumsum((dense != 0).sum(axis=1))])
+    w = quality.descend(bounds, np.nonzero(dense)[1], dense[dense != 0], y, epochs=3000)
+    x = np.hstack([dense, np.ones((n, 1))])
+    w = np.append(w[:width], w[-1])
+    primal = lambda w: w @ w / 2 + quality.COST * np.maximum(0, 1 - y * (x @ w)).sum()
+    best, step = np.zeros(width + 1), 0.5
+    for k in range(20_000):  # plain subgradient descent, averaged over its second half
+        step = 1 / (k + 10)
+        best = best - step * (best - quality.COST * (x * (y * (y * (x @ best) < 1))[:, None]).sum(axis=0))
+    assert primal(w) <= primal(best) * 1.001
+
+
+def test_fit_is_bounded(spark, monkeypatch):
+    docs = frame(spark, [f"{'good' if k % 2 else 'bad'} text {k}" for k in range(80)])
+    labels = spark.createDataFrame([(k, k % 2) for k in range(80)], "doc_id long, quality int")
+    seen = []
+    rows = quality.pa.record_batch([[k for k in range(80)], [k % 2 for k in range(80)], [[k % 5, 10 + k % 2] for k in range(80)]], ["place", "label", "columns"])
+    monkeypatch.setattr(quality, "FEATURES", 60)
+    monkeypatch.setattr(quality, "descend", lambda bounds, columns, values, y: seen.append(len(y)) or np.zeros(2 * quality._D + 1))
+    list(quality._fit([rows]))
+    assert seen == [30] and quality.fitted(docs, labels)[0].any()
+
+
+def test_quality_keeps_columns_of_any_name(spark):
+    docs = frame(spark, ["one", None, "long " * 400_000]).withColumn("score", F.lit(7.5)).withColumn("label", F.lit(3)).withColumn("place", F.lit("p"))
+    model = quality.fitted(docs, spark.createDataFrame([], "doc_id long, quality int"))
+    rows = quality.kept(docs, model).collect()
+    assert len(rows) == 3 and quality.kept(docs, model).columns == docs.columns and {(r["score"], r["label"], r["place"]) for r in rows} == {(7.5, 3, "p")}
+
+
+# mixing, sampled rows
+
+
+def test_sampled_rows_meet_the_target(spark):
+    rows = [(k % 40, f"a b c {k % 80}", None, "s", None) for k in range(400)] + [(None, "x y", None, "s", None)] * 50 + [(k, "long word " * 30_000 if k == 500 else "w " * (k % 7), None, None, None) for k in range(480, 520)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for c in ("size", "cell", "place", "_n", "_id", "_copies", "_row", "_same"):
+        docs = docs.withColumn(c, F.lit(c))
+    taken = sorted(r["t"] for r in mixing.mixed(docs).groupBy("source_size").agg(F.sum("taken").alias("t")).collect())
+    out = mixing.sampled(docs)
+    assert out.columns == docs.columns and all(r["cell"] == "cell" and r["_copies"] == "_copies" for r in out.limit(20).collect())
+    words = mixing.sizes(out).groupBy("source").agg(F.sum("size").alias("t")).collect()
+    assert sorted(r["t"] for r in words) == taken
+
+
+def test_license_in_a_very_long_text(spark):
+    text = "filler words of a long book " * 60_000 + licenses.TEMPLATES["zlib"] + " and on " * 50_000
+    (row,) = licenses.scanned(frame(spark, [text])).collect()
+    assert row["license"] == "zlib" and row["containment"] == 1.0
+    rows = spark.createDataFrame([(None, licenses.TEMPLATES["mit"]), (None, licenses.TEMPLATES["cc_by_4_0"])], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["license"]) for r in licenses.scanned(rows).collect()) == [(None, "cc_by_4_0"), (None, "mit")]
