@@ -15,7 +15,7 @@ from corvane.llm.shared import saved, table
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, fit on the labels of sf_dir, doesn't reject."""
     model = quality.fitted(docs, table(spark, sf_dir, "labels"))
-    return quality.rated(docs, model).where("score >= 0.5").select(*docs.columns)
+    return quality.kept(docs, model)
 
 
 def single(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
