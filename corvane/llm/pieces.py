@@ -5,7 +5,8 @@ no piece of the vocabulary crosses. The distinct words of a stretch of documents
 trie depth-first; for each word the forward scores of the prefix that it shares with the word before are kept, and only
 the new positions are scored. A document's ids are those of its words in a row. Decoding concatenates the pieces.
 
-The vocabulary file is a parameter; its scores count as log probabilities, characters without a piece become bytes. The driver
+The vocabulary file is a parameter; characters without a piece become bytes. The scores of a unigram model are log probabilities. Those
+of a merge model are ranks (0, -1, -2, ...), from which Zipf's law makes log probabilities: -log(rank + ZIPF). The driver
 reads the file (half a MB) and broadcasts it. Every text is encoded whole; the words kept by a task are bounded by MOST.
 
 Edge cases: null or empty text has no ids and decodes to the empty text; U+2581 in a text is encoded by bytes, so that decoding
@@ -16,6 +17,7 @@ rows; columns other than doc_id and text are ignored, or kept if named.
 
 from __future__ import annotations
 
+import math
 import re
 import struct
 from array import array
@@ -33,8 +35,12 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MOST, BYTES = 300_000, 64 << 20
 #: Characters of a word that is still put into the trie.
 LONG = 1000
+#: What is added to a rank; of 1 to 100,000, 100 gives most words the ids that merging gives them.
+ZIPF = 100
 _UNITS = re.compile(" *[^ ]+| +")
 _NORMAL, _BYTE = 1, 6
+#: The model type of a merge model in its trainer's settings.
+_MERGES = 2
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, bytes | int]]:
@@ -66,12 +72,14 @@ class Vocabulary:
 
     def __init__(self, model: bytes):
         pieces = [dict(_fields(v)) for k, v in _fields(model) if k == 1]
+        merges = any(dict(_fields(v)).get(3) == _MERGES for k, v in _fields(model) if k == 2)
         self.ids: dict[str, tuple[float, int]] = {}
         self.bytes: list[bytes] = []
         self.byte_ids = [0] * 256
         for k, piece in enumerate(pieces):
             name, kind = piece[1].decode(), piece.get(3, _NORMAL)
             score = struct.unpack("<f", piece[2])[0] if 2 in piece else 0.0
+            score = -math.log(ZIPF - score) if merges and score <= 0 else score
             if kind == _NORMAL:
                 self.ids[name.replace("▁", " ")] = (score, k)
                 self.bytes.append(name.replace("▁", " ").encode())
