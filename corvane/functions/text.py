@@ -33,8 +33,9 @@ MARKED, PLAIN = _plain_letters()
 
 
 def unmarked(text: Column) -> Column:
-    """text without accents and other combining marks; letters that do not decompose stay."""
-    return F.regexp_replace(F.translate(text, MARKED, PLAIN), r"\p{M}+", "")
+    """text without accents and other combining marks; letters that do not decompose stay. Plain ASCII is left as it is."""
+    plain = F.regexp_replace(F.translate(text, MARKED, PLAIN), r"\p{M}+", "")
+    return F.when(F.regexp_like(text, F.lit(r"[^\x00-\x7F]")), plain).otherwise(text)
 
 
 def fold(text: Column) -> Column:
@@ -62,8 +63,9 @@ def _telling(folded: Column) -> Column:
 
 
 def content_terms(text: Column) -> Column:
-    """Distinct folded tokens that may carry a topic, in order of first occurrence."""
-    return F.array_distinct(F.filter(F.regexp_extract_all(fold(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), _telling))
+    """Distinct folded tokens that may carry a topic, in order of first occurrence; each distinct word is folded once."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}\p{M}]+"), F.lit(0)))
+    return F.array_distinct(F.filter(F.transform(words, fold), _telling))
 
 
 def content_words(text: Column) -> Column:
@@ -81,9 +83,9 @@ def tokens_match(a: Column, b: Column) -> Column:
 
 
 def matched(terms: Column, text_terms: Column) -> Column:
-    """The terms that match a term of the text; only terms that agree in three letters are compared."""
-    stems = F.transform(terms, lambda a: F.left(a, F.lit(MIN_TOKEN)))
-    near = F.transform(F.array(stems), lambda s: F.filter(text_terms, lambda b: F.array_contains(s, F.left(b, F.lit(MIN_TOKEN)))))[0]
+    """The terms that match a term of the text; only terms that agree in STEM letters (or wholly, if shorter) are compared."""
+    stems = F.transform(terms, lambda a: F.left(a, F.lit(STEM)))
+    near = F.transform(F.array(stems), lambda s: F.filter(text_terms, lambda b: F.array_contains(s, F.left(b, F.lit(STEM)))))[0]
     return F.transform(F.array(near), lambda n: F.filter(terms, lambda a: F.exists(n, lambda b: tokens_match(a, b))))[0]
 
 

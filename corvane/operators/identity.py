@@ -12,21 +12,29 @@ from corvane.functions import text as T
 
 NAME_THRESHOLD = 72.0
 IDENTITY_THRESHOLD = 94.0
+#: Pairs of a query and a different name that a search compares at most (some minutes of a hundred cores).
+MOST_PAIRS = 50_000_000
 
 
 def search_people(people: DataFrame, queries: DataFrame, threshold: float = NAME_THRESHOLD) -> DataFrame:
     """(query_id, person_id, place): the people whose name matches a query, best first.
 
-    people: person_id, given, family, n_items; queries: query_id, text (few, broadcast only if Spark finds them small). Names that
+    people: person_id, given, family, n_items; queries: query_id, text. People of one name are compared once: edit distances need
+    every pair of a query and a different name, and their number is checked. Names that
     hold the query stand before those that only resemble it in one of both orders. An empty query matches everyone.
     """
     given, family = T.fold_name(F.col("given")), T.fold_name(F.col("family"))
     forms = people.select("person_id", "n_items", F.btrim(F.concat_ws(" ", given, family)).alias("one"), F.btrim(F.concat_ws(" ", family, given)).alias("other"))
     asked = queries.select("query_id", T.fold_name(F.col("text")).alias("asked"))
-    pairs = asked.join(forms)
+    distinct = forms.select("one", "other").distinct()
+    n_asked, n_names = asked.count(), distinct.count()
+    if n_asked * n_names > MOST_PAIRS:
+        raise ValueError(f"{n_asked} queries of {n_names} different names are more than {MOST_PAIRS} pairs: ask in several parts")
     inside = F.contains(F.col("one"), F.col("asked")) | F.contains(F.col("other"), F.col("asked"))
-    scored = pairs.withColumn("inside", inside).withColumn("score", F.greatest(fuzzy.weighted_ratio_udf("asked", "one"), fuzzy.weighted_ratio_udf("asked", "other")))
-    kept = scored.where((F.col("asked") == "") | F.col("inside") | (F.col("score") >= threshold))
+    pairs = asked.crossJoin(distinct).withColumn("inside", inside)
+    resembling = F.greatest(fuzzy.weighted_ratio_udf("asked", "one"), fuzzy.weighted_ratio_udf("asked", "other"))
+    scored = pairs.withColumn("score", resembling).where((F.col("asked") == "") | F.col("inside") | (F.col("score") >= threshold))
+    kept = scored.join(forms, ["one", "other"])
     order = [F.when(F.col("asked") == "", 0).otherwise(1), F.desc("inside"), F.desc("score"), F.desc("n_items"), F.col("person_id")]
     return kept.select("query_id", "person_id", "inside", F.round("score", 6).alias("score"), F.row_number().over(Window.partitionBy("query_id").orderBy(*order)).alias("place"))
 

@@ -6,61 +6,105 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
-from corvane.functions.scoring import RankParams, cosine, passes, recency
+from corvane.functions.scoring import RankParams, cosine, passes, recency, unit
+from corvane.operators.rounds import saved
 
-#: Queries of one job at most: their vectors are sent to every task.
-MOST_QUERIES = 10_000
+#: Queries whose vectors are sent to the tasks at once, and that a task compares at once.
+BLOCK, TOGETHER = 10_000, 256
 
 
-def nearest(queries: DataFrame, items: DataFrame, k: int, query: str = "query_id", item: str = "item_id", vector: str = "vector") -> DataFrame:
-    """(query, item, similarity, place): the k items of each query with the largest cosine; ties go to the smaller id.
+class _Best:
+    """The k best items of each of some queries, of what has been seen so far: largest similarity, then smallest id."""
+
+    def __init__(self, names: np.ndarray, vectors: np.ndarray, k: int):
+        self.names, self.vectors, self.k = names, vectors, k
+        self.query, self.item, self.similarity = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.least = np.full(len(names), -np.inf)  # what the k-th best item has
+
+    def add(self, ids: np.ndarray, matrix: np.ndarray) -> None:
+        found = np.round(matrix @ self.vectors.T, 9)
+        least = self.least
+        if len(ids) > self.k:
+            least = np.maximum(least, np.partition(found, len(ids) - self.k, axis=0)[len(ids) - self.k])
+        row, query = np.nonzero(found >= least)
+        query, item, similarity = np.concatenate([self.query, query]), np.concatenate([self.item, ids[row]]), np.concatenate([self.similarity, found[row, query]])
+        order = np.lexsort((item, -similarity, query))
+        query = query[order]
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        kept = place < self.k
+        self.query, self.item, self.similarity = query[kept], item[order][kept], similarity[order][kept]
+        full = place[kept] == self.k - 1
+        self.least[self.query[full]] = self.similarity[full]
 
-    The queries' vectors (their number is checked) go to every task; a task keeps its k best of each query, so what is
-    shuffled grows with the number of tasks, not of items. Filters on items reach their scan.
-    """
-    rows = queries.select(query, vector).where(F.col(vector).isNotNull()).limit(MOST_QUERIES + 1).collect()
-    if len(rows) > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries in one job")
-    names = np.array([r[0] for r in rows], np.int64)
-    shared = queries.sparkSession.sparkContext.broadcast((names, np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1)))
+
+def _local(items: DataFrame, item: str, vector: str, names: np.ndarray, vectors: np.ndarray, k: int) -> DataFrame:
+    """(query, item, similarity): of each task, the k best items of each query."""
+    shared = items.sparkSession.sparkContext.broadcast((names, vectors))
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, vectors = shared.value
-        held: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0))] * len(names)
+        held = [_Best(names[at : at + TOGETHER], vectors[at : at + TOGETHER], k) for at in range(0, len(names), TOGETHER)]
         for batch in batches:
-            if not len(names) or not batch.num_rows:
-                continue
-            ids = batch.column(0).to_numpy()
-            matrix = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
-            found = np.round(matrix @ vectors.T, 9)
-            for q in range(len(names)):
-                all_ids, all_found = np.concatenate([held[q][0], ids]), np.concatenate([held[q][1], found[:, q]])
-                order = np.lexsort((all_ids, -all_found))[:k]
-                held[q] = all_ids[order], all_found[order]
-        for name, (ids, found) in zip(names, held, strict=True):
-            if len(ids):
-                yield pa.record_batch([pa.array(np.full(len(ids), name)), pa.array(ids), pa.array(found)], ["query", "item", "similarity"])
-
-    local = items.select(F.col(item).cast("long"), vector).where(F.col(vector).isNotNull()).mapInArrow(best, "query long, item long, similarity double")
+            for part in (batch.slice(at, 4096) for at in range(0, batch.num_rows, 4096)):
+                lists = part.column(1)
+                if held and any(n != vectors.shape[1] for n in pa.compute.unique(pa.compute.list_value_length(lists)).to_pylist()):
+                    raise ValueError(f"a vector that hasn't {vectors.shape[1]} dimensions")
+                matrix = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
+                for block in held:
+                    block.add(part.column(0).to_numpy(), matrix)
+        for block in held:
+            yield pa.record_batch([pa.array(block.names[block.query]), pa.array(block.item), pa.array(block.similarity)], ["query", "item", "similarity"])
+
+    rows = items.select(F.col(item).cast("long"), vector).where(F.col(vector).isNotNull())
+    return rows.mapInArrow(best, "query long, item long, similarity double")
+
+
+def nearest(queries: DataFrame, items: DataFrame, k: int, query: str = "query_id", item: str = "item_id", vector: str = "vector") -> DataFrame:
+    """(query, item, similarity, place): the k items of each query with the largest cosine; ties go to the smaller id.
+
+    The vectors of at most BLOCK queries go to every task; a task keeps its k best of each query, so what is shuffled grows
+    with the number of tasks, not of items. More queries are taken block by block, each a scan of the items whose result
+    is kept as a table. Filters on items reach their scan.
+    """
+    asked = queries.select(F.col(query).cast("long").alias("query"), F.col(vector).alias("vector")).where(F.col(vector).isNotNull())
+    total = asked.count()
+    blocks = -(-total * 2 // BLOCK) if total > BLOCK else 1  # half full, so that chance fills none beyond BLOCK
+    found = None
+    for number in range(blocks):
+        part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == number)
+        rows = part.collect()
+        vectors = np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1) if rows else np.zeros((0, 0))
+        local = _local(items, item, vector, np.array([r[0] for r in rows], np.int64), vectors, k)
+        local = local if blocks == 1 else saved(local)
+        found = local if found is None else found.unionByName(local)
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "item"))
-    return local.withColumn("place", place).where(F.col("place") <= k).select(F.col("query").alias(query), F.col("item").alias(item), "similarity", "place")
+    return found.withColumn("place", place).where(F.col("place") <= k).select(F.col("query").alias(query), F.col("item").alias(item), "similarity", "place")
+
+
+def _with_terms(items: DataFrame, pool: DataFrame, **texts: Column) -> DataFrame:
+    """The items of a pool, without vectors, with the content terms of texts, by name: once an item, not once a query and item."""
+    met = items.join(pool.select("item_id").distinct(), "item_id", "left_semi")
+    for name, text in texts.items():
+        met = met.select("*", F.explode(F.array(T.content_terms(text))).alias(f"{name}_terms"))
+    return met.drop("vector")
 
 
-def _with_terms(items: DataFrame, pool: DataFrame, *texts: str) -> DataFrame:
-    """The items of a pool, without vectors, with the content terms of their texts: once an item, not once a query and item."""
-    met = items.drop("vector").join(pool.select("item_id").distinct(), "item_id", "left_semi")
-    return met.select("*", *[F.explode(F.array(T.content_terms(F.col(t)))).alias(f"{t}_terms") for t in texts[:1]]).select("*", *[T.content_terms(F.col(t)).alias(f"{t}_terms") for t in texts[1:]])
+def _titles(items: DataFrame) -> Column:
+    """An item's titles and keywords, as far as items have them, as one text."""
+    parts = [F.col(c) for c in ("title", "title_en") if c in items.columns]
+    return F.concat_ws(" ", *parts, *([F.array_join("keywords", " ")] if "keywords" in items.columns else []))
 
 
 def hits(queries: DataFrame, items: DataFrame, p: RankParams) -> DataFrame:
     """Items of the pool above the floor on the pure similarity, with the hybrid one and the recency-weighted one."""
     terms = queries.select("query_id", T.content_terms(F.col("text")).alias("terms"))
     pool = nearest(queries, items, p.pool).where(F.col("similarity") >= p.floor)
-    joined = pool.join(_with_terms(items, pool, "title"), "item_id").join(F.broadcast(terms), "query_id")
+    joined = pool.join(_with_terms(items, pool, title=_titles(items)), "item_id").join(F.broadcast(terms), "query_id")
     overlap = T.lexical_overlap(F.col("terms"), F.col("title_terms"))
     hybrid = F.round(F.col("similarity") + p.lexical_weight * overlap, 9)
     return joined.withColumn("hybrid", hybrid).withColumn("weighted", F.round(F.col("hybrid") * recency(F.col("year"), p), 9))
@@ -100,7 +144,7 @@ def recommend_items(queries: DataFrame, items: DataFrame, eligible: DataFrame, p
     allowed = items.join(eligible.select("item_id").distinct(), "item_id", "left_semi")
     terms = queries.select("query_id", T.content_terms(F.col("text")).alias("terms"))
     pool = nearest(queries, allowed, p.top_k * pool_factor)
-    joined = pool.join(_with_terms(allowed, pool, "title", "body"), "item_id").join(F.broadcast(terms), "query_id")
+    joined = pool.join(_with_terms(allowed, pool, title=F.col("title"), body=F.col("body")), "item_id").join(F.broadcast(terms), "query_id")
     whole = T.lexical_overlap(F.col("terms"), F.col("body_terms"))
     title = T.lexical_overlap(F.col("terms"), F.col("title_terms"))
     scored = joined.where(passes(F.col("similarity"), whole, p)).withColumn("score", F.round(F.col("similarity") + p.lexical_weight * title, 9))
@@ -108,6 +152,20 @@ def recommend_items(queries: DataFrame, items: DataFrame, eligible: DataFrame, p
     return scored.withColumn("final", place).where(F.col("final") <= p.top_k).select("query_id", F.col("final").alias("place"), "item_id", "score", T.snippet(F.col("body")).alias("snippet"))
 
 
+def joined_pool(queries: DataFrame, items: DataFrame, offerings: DataFrame, limit: int) -> DataFrame:
+    """(query_id, item_id, similarity, semesters, semester) of the items in the first limit rows of items joined with offerings.
+
+    offerings: item_id, semester; an item has a row for each, and the limit counts those rows, in order of similarity, id and
+    semester. Then each item is one row again, with its best similarity, all its semesters, and the first.
+    """
+    pool = nearest(queries, items.join(offerings.select("item_id").distinct(), "item_id", "left_semi"), limit)
+    rows = pool.join(offerings, "item_id")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "item_id", "semester"))
+    kept = rows.withColumn("row", place).where(F.col("row") <= limit)
+    semesters = F.array_sort(F.collect_set("semester")).alias("semesters")
+    return kept.groupBy("query_id", "item_id").agg(F.max("similarity").alias("similarity"), semesters, F.min("semester").alias("semester"))
+
+
 def centroids(items: DataFrame) -> DataFrame:
     """(group_id, centroid): the mean vector of each group, summed by position so that no group is gathered whole."""
     parts = items.select("group_id", F.posexplode("vector").alias("position", "value")).groupBy("group_id", "position").agg(F.avg(F.col("value").cast("double")).alias("value"))
@@ -117,8 +175,6 @@ def centroids(items: DataFrame) -> DataFrame:
 
 def similar_groups(items: DataFrame, top_k: int = 6) -> DataFrame:
     """For each group the groups whose centroids are nearest to its own by cosine."""
-    from corvane.functions.scoring import unit
-
     units = centroids(items).select(F.col("group_id").alias("query_id"), unit(F.col("centroid")).alias("vector"))
     found = nearest(units, units.withColumnRenamed("query_id", "item_id"), top_k + 1).where("query_id <> item_id")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "item_id"))

@@ -57,9 +57,9 @@ def lexical_overlap(spark, sf_dir: str) -> DataFrame:
     """Every benchmark item, as a query, against the titles of all documents: the pairs with a common term."""
     queries = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array(T.content_terms(F.col("text")))).alias("terms"))
     titles = facts(table(spark, sf_dir, "documents")).select(F.col("item_id").alias("doc_id"), F.explode(F.array_distinct(T.content_terms(F.col("title")))).alias("word"))
-    # terms match only if their first three letters agree: an equi-join on those, then the exact test
-    left = queries.select("item_id", F.size("terms").alias("n"), F.explode("terms").alias("term")).withColumn("stem", F.left("term", F.lit(3)))
-    right = titles.withColumn("stem", F.left("word", F.lit(3)))
+    # terms match only if they agree in four letters, or wholly if shorter: an equi-join on those, then the exact test
+    left = queries.select("item_id", F.size("terms").alias("n"), F.explode("terms").alias("term")).withColumn("stem", F.left("term", F.lit(T.STEM)))
+    right = titles.withColumn("stem", F.left("word", F.lit(T.STEM)))
     hits = left.join(right, "stem").where(T.tokens_match(F.col("term"), F.col("word")))
     return hits.groupBy("item_id", "doc_id").agg(F.round(F.count_distinct("term") / F.max("n"), 6).alias("overlap"))
 
@@ -100,7 +100,7 @@ def _knn(where: str = "true", k: int = P.pool, source: str = "items", name: str
 def _groups(where: str = "true") -> str:
     return f"""{ITEMS}, {SEARCHES}, {_knn(where)},
 qt AS (SELECT query_id, {sql.terms("text")} AS q FROM searches),
-it AS (SELECT item_id, group_id, year, title, {sql.terms("title")} AS t FROM items),
+it AS (SELECT item_id, group_id, year, title, keywords, {sql.terms("title || ' ' || array_to_string(keywords, ' ')")} AS t FROM items),
 hits AS (
   SELECT k.query_id, k.item_id, k.place, i.group_id, i.year, similarity, round(similarity + {P.lexical_weight} * ({sql.overlap("q", "t")}), 9) AS hybrid
   FROM knn k JOIN it i USING (item_id) JOIN qt USING (query_id) WHERE similarity >= {P.floor}),

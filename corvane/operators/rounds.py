@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """df written below spark.checkpoint.dir (an own folder only where that is unset, as in tests) and read again."""
+    """df written below spark.checkpoint.dir (which only a local session may leave unset) and read again."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/corvane-{uuid.uuid4().hex}"

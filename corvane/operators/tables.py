@@ -19,8 +19,8 @@ def keep_first(rows: DataFrame, key: list[str], order: list[Column]) -> DataFram
 def merged(stored: DataFrame, incoming: DataFrame, key: list[str], policy: dict[str, str]) -> DataFrame:
     """stored with incoming merged into it by key (each key once on either side).
 
-    policy, by column: "set" takes the incoming value, "set_if_given" only one that isn't null, "fill" only where nothing is
-    stored; rows on one side only stay as they are. One shuffle of both sides on the key.
+    policy, by column: "set" takes the incoming value, "set_if_given" only one that isn't null, "set_if_text" only one that isn't
+    empty either, "fill" only where nothing is stored, "fill_text" also where the stored text is empty; rows on one side only stay as they are. One shuffle of both sides on the key.
     """
     a, b = stored.alias("a"), incoming.alias("b")
     match = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in key]
@@ -29,6 +29,8 @@ def merged(stored: DataFrame, incoming: DataFrame, key: list[str], policy: dict[
     rules = {
         "set": lambda c: F.when(there, F.col(f"b.{c}")).otherwise(F.col(f"a.{c}")),
         "set_if_given": lambda c: F.coalesce(f"b.{c}", f"a.{c}"),
+        "set_if_text": lambda c: F.coalesce(F.when(F.col(f"b.{c}") != "", F.col(f"b.{c}")), F.col(f"a.{c}")),
+        "fill_text": lambda c: F.coalesce(F.when(F.col(f"a.{c}") != "", F.col(f"a.{c}")), F.col(f"b.{c}"), F.col(f"a.{c}")),
         "fill": lambda c: F.coalesce(f"a.{c}", f"b.{c}"),
     }
     return both.select(*[F.coalesce(f"a.{k}", f"b.{k}").alias(k) for k in key], *[rules[rule](c).alias(c) for c, rule in policy.items()])
@@ -63,3 +65,14 @@ def page(rows: DataFrame, order: list[Column], limit: int = 50, offset: int = 0)
     if not 1 <= limit <= 200 or offset < 0:
         raise ValueError("limit must be 1 to 200 and offset not negative")
     return rows.orderBy(*order).offset(offset).limit(limit)
+
+
+def next_offset(loaded: Column, total: Column) -> Column:
+    """Where the next part of a list starts: after the rows that are loaded; null when all are."""
+    return F.when(loaded < total, loaded)
+
+
+def clamped(page_number: Column, total: Column, size: int = 15) -> Column:
+    """A page's number within 1 and the last page of total rows."""
+    last = F.greatest(F.lit(1), F.ceil(total / size).cast("int"))
+    return F.greatest(F.lit(1), F.least(page_number, last))

@@ -17,7 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with a vector: item_id, group_id, title (the first line), body, kind, source, field, year, vector."""
+    """Documents with a vector: item_id, group_id, title (the first line), body, kind, source, field, year, keywords, vector."""
     docs = table(spark, sf_dir, "documents")
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))
     return facts(docs).join(vectors, "item_id")
@@ -34,6 +34,7 @@ def facts(docs: DataFrame) -> DataFrame:
         F.when(i % 5 == 0, "schedule").otherwise("repo").alias("source"),
         F.col("lang").alias("field"),
         F.when(i % 17 != 0, 2000 + i % 27).cast("int").alias("year"),
+        F.slice(F.filter(F.split(F.coalesce("text", F.lit("")), " "), lambda w: F.length(w) >= 9), 1, 4).alias("keywords"),
     )
 
 
@@ -47,7 +48,8 @@ FACTS = f"""facts AS (
   SELECT doc_id AS item_id, doc_id % {GROUPS} AS group_id, string_split(coalesce(text, ''), chr(10))[1] AS title, coalesce(text, '') AS body,
          CASE doc_id % 3 WHEN 0 THEN 'zavrsni' WHEN 1 THEN 'diplomski' ELSE 'doktorski' END AS kind,
          CASE WHEN doc_id % 5 = 0 THEN 'schedule' ELSE 'repo' END AS source, lang AS field,
-         CASE WHEN doc_id % 17 <> 0 THEN CAST(2000 + doc_id % 27 AS INTEGER) END AS year
+         CASE WHEN doc_id % 17 <> 0 THEN CAST(2000 + doc_id % 27 AS INTEGER) END AS year,
+         list_filter(string_split(coalesce(text, ''), ' '), lambda w: length(w) >= 9)[1:4] AS keywords
   FROM documents)"""
 ITEMS = f"{FACTS}, items AS (SELECT f.*, e.embedding::DOUBLE[] AS v FROM facts f JOIN embeddings e ON e.vec_id = f.item_id)"
 SEARCHES = "searches AS (SELECT b.item_id AS query_id, b.text, e.embedding::DOUBLE[] AS v FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id)"
