@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
+from corvane.functions.display import prompt
 from corvane.functions.scoring import unit
 
 MOST_CHARS = 6000
@@ -34,6 +39,37 @@ class HashingEmbedder:
         return F.transform(unit(counts), lambda x: x.cast("float"))
 
 
+_loaded: dict[str, object] = {}
+
+
+class ModelEmbedder:
+    """A model's encoder as an Embedder: load() gives a function from a list of texts to their vectors, once a worker.
+
+    Texts are led by the model's prompt and cut, encoded BATCH at a time, and made length 1; tasks are what runs side by side.
+    """
+
+    BATCH = 32
+
+    def __init__(self, model: str, dimensions: int, load: Callable[[], Callable[[list[str]], np.ndarray]]):
+        self.model, self.dimensions, self.load = model, dimensions, load
+
+    def encode(self, text: Column, kind: str = "passage") -> Column:
+        model, load, size = self.model, self.load, self.BATCH
+
+        @pandas_udf("array<float>")
+        def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            if model not in _loaded:
+                _loaded[model] = load()
+            for texts in batches:
+                listed = texts.fillna("").tolist()
+                found = [np.asarray(_loaded[model](listed[at : at + size]), np.float32) for at in range(0, len(listed), size)]
+                found = np.concatenate(found) if found else np.zeros((0, 0), np.float32)
+                length = np.maximum(np.linalg.norm(found, axis=1, keepdims=True), 1e-12)
+                yield pd.Series(list(found / length))
+
+        return vectors(prompt(F.coalesce(text, F.lit("")), kind, model, MOST_CHARS))
+
+
 def build(rows: DataFrame, vectors: DataFrame, key: str, text: str, embedder: Embedder, refresh: bool = False) -> DataFrame:
     """Vectors of rows that this model lacks, with those that it has: the next snapshot."""
     from corvane.operators.tables import pending

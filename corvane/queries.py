@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from corvane.operators import detail_queries, lexical_queries, people_queries, ranking_queries, table_queries
+from corvane.operators import detail_queries, lexical_queries, people_queries, ranking_queries, table_queries, upkeep_queries
 
 FLAGSHIP = "recommend_groups"
-_MODULES = (ranking_queries, table_queries, lexical_queries, people_queries, detail_queries)
+_MODULES = (ranking_queries, table_queries, lexical_queries, people_queries, detail_queries, upkeep_queries)
 
 
 def queries() -> dict:

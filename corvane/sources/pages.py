@@ -18,6 +18,16 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("html"))
 
 
+def listed(spark: SparkSession, folder: str, files: dict[str, str]) -> DataFrame:
+    """(path, html, kind) of the named files of a folder, by name their kind; a file that isn't there fails the read."""
+    rows = None
+    for name, kind in files.items():
+        part = spark.read.option("ignoreMissingFiles", "false").text(f"{folder}/{name}", wholetext=True)
+        part = part.select(F.input_file_name().alias("path"), F.col("value").alias("html"), F.lit(kind).alias("kind"))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
+
+
 class _Cells(HTMLParser):
     """The cells of the body rows of tables of a class; a line break in a cell is a new line."""
 
@@ -81,6 +91,149 @@ class _Sections(HTMLParser):
             self.sections[-1][not self.heading] += data
 
 
+class _Programme(HTMLParser):
+    """The courses of a programme's page: sections of semesters, in them titles of groups and boxes of courses.
+
+    A section counts if a link to its id is titled 'N. semestar'; the link may stand anywhere on the page.
+    """
+
+    def __init__(self):
+        super().__init__()
+        self.name, self.semesters, self.boxes = "", {}, []
+        self.open: list[tuple[str, str]] = []  # the tags that are open, each with what it is to us
+        self.sections: list[str] = []
+        self.text: list[str] = []
+        self.title, self.box, self.link = None, None, None
+
+    def handle_starttag(self, tag, attrs):
+        given = {k: v or "" for k, v in attrs}
+        kinds = given.get("class", "").split()
+        role = ""
+        if tag == "h1" and not self.name:
+            role = "name"
+        elif "grouptitle" in kinds and self.sections:
+            role = "title"
+        elif "coursebox-content" in kinds and self.sections:
+            role = "box"
+            self.box = {"section": self.sections[-1], "href": None, "name": "", "left": "", "text": ""}
+        elif self.box is not None and tag == "a" and self.box["href"] is None and given.get("href", "").startswith("/predmet/"):
+            role = "course"
+            self.box["href"] = given["href"]
+        elif self.box is not None and "leftcont" in kinds:
+            role = "left"
+        elif tag == "a" and re.match(r"#\S+$", given.get("href", "")):
+            role = f"nav:{given['href'][1:]}:{given.get('title', '')}"
+        elif tag == "div" and given.get("id"):
+            role = f"section:{given['id']}"
+            self.sections.append(given["id"])
+        if role and not role.startswith("section"):
+            self.text.append("")
+        if tag not in _VOID:
+            self.open.append((tag, role))
+        elif self.text:
+            self.text[-1] += " "
+
+    def handle_data(self, data):
+        if self.text:
+            self.text[-1] += f" {data}"
+
+    def handle_endtag(self, tag):
+        while any(t == tag for t, _ in self.open):
+            last, role = self.open.pop()
+            self._ended(role)
+            if last == tag:
+                break
+
+    def _ended(self, role: str) -> None:
+        kind, _, rest = role.partition(":")
+        if kind == "section":
+            self.sections.pop()
+        elif role:
+            said = " ".join(self.text.pop().split())
+            if self.text:
+                self.text[-1] += f" {said}"
+            if kind == "name":
+                self.name = said
+            elif kind == "nav":
+                target, _, title = rest.partition(":")
+                found = re.match(r"\s*(\d+)\.\s*semestar", title or said)
+                if found:
+                    self.semesters.setdefault(target, int(found[1]))
+            elif kind == "title":
+                self.boxes.append({"section": self.sections[-1], "group": said})
+            elif kind == "course":
+                self.box["name"] = said
+            elif kind == "left":
+                self.box["left"] = self.box["left"] or said
+            elif kind == "box":
+                self.boxes.append(self.box | {"text": said})
+                self.box = None
+
+    def rows(self) -> Iterator[tuple]:
+        """(state, code, name, credits as said, semester, group as said, text) in order of the page."""
+        group: dict[str, str] = {}
+        for box in self.boxes:
+            semester = self.semesters.get(box["section"])
+            if semester is None:
+                continue
+            if "group" in box:
+                group[box["section"]] = box["group"]
+                continue
+            code = (box["href"] or "").split("/predmet/")[-1].strip("/").split("?")[0]
+            state = "row" if code else "no link"
+            yield state, code, box["name"], box["left"], semester, group.get(box["section"], ""), box["text"]
+
+
+def programme_courses(pages: DataFrame, key: str = "path") -> DataFrame:
+    """(key, programme, place, state, code, name, credits, semester, is_elective, elective_group, text) of programmes' pages.
+
+    state: "row"; or why a box gives none: "no link", "transversal" (skipped with a warning), "repeated" (a course of a semester
+    that stood before). Pages are parsed where they are read; what groups and credits mean are column expressions.
+    """
+    from pyspark.sql import Window
+
+    kind = pages.schema[key].dataType.simpleString()
+    names = [key, "programme", "place", "state", "code", "name", "left", "semester", "group", "text"]
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for page, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                parser = _Programme()
+                parser.feed(html or "")
+                rows += [(page, parser.name, i, *row) for i, row in enumerate(parser.rows())]
+            columns = list(zip(*rows, strict=True)) or [[]] * len(names)
+            kinds = [batch.schema.field(0).type, pa.string(), pa.int32(), *[pa.string()] * 4, pa.int32(), pa.string(), pa.string()]
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+    schema = f"{key} {kind}, programme string, place int, state string, code string, name string, left string, semester int, `group` string, text string"
+    found = pages.select(key, "html").mapInArrow(parse, schema)
+    skipped = group_kind(F.col("group")) == "skip"
+    state = F.when(skipped, "transversal").otherwise(F.col("state"))
+    rows = found.withColumn("state", state)
+    before = F.row_number().over(Window.partitionBy(key, "semester", "code", "state").orderBy("place"))
+    rows = rows.withColumn("state", F.when((F.col("state") == "row") & (before > 1), "repeated").otherwise(F.col("state")))
+    elective = group_kind(F.col("group")) == "elective"
+    return rows.select(key, "programme", "place", "state", "code", "name", number(F.col("left")).alias("credits"), "semester", elective.alias("is_elective"), F.when(elective, group_name(F.col("group"))).alias("elective_group"), "text")
+
+
+def labelled(sections: DataFrame, key: str, labels: list[str]) -> DataFrame:
+    """(key, heading, text): of each page the section under the first of the labels that heads one."""
+    from pyspark.sql import Window
+
+    rank = F.array_position(F.array(*[F.lit(x) for x in labels]), F.col("heading"))
+    first = F.row_number().over(Window.partitionBy(key).orderBy(rank, "place"))
+    return sections.where(rank > 0).withColumn("_n", first).where("_n = 1").select(key, "heading", "text")
+
+
+def leaf_links(pages: DataFrame, pattern: str, areas: dict[str, str]) -> DataFrame:
+    """(link, area) of the distinct links that match a pattern whose first group is the area; areas without a name in capitals."""
+    found = links(pages, pattern)
+    part = F.regexp_extract("link", pattern, 1)
+    named = F.try_element_at(F.create_map(*[F.lit(x) for pair in areas.items() for x in pair]), part) if areas else F.lit(None)
+    return found.select("link", F.coalesce(named, F.upper(part)).alias("area"))
+
+
 def table_rows(pages: DataFrame, classes: str, key: str = "path") -> DataFrame:
     """(key, row, cells) of the body rows of the tables that have all of the classes; a page without such a table gives row -1."""
     wanted = set(classes.split())

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import re
+import time
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.functions.text import name_parts
+
 SCHEMA = """header struct<_status:string, identifier:string>,
 metadata struct<mods:array<struct<
   _ID:string,
@@ -13,6 +19,8 @@ metadata struct<mods:array<struct<
   name:array<struct<namePart:array<struct<_VALUE:string,_type:string>>,role:array<struct<roleTerm:array<struct<_VALUE:string,_lang:string,_authority:string>>>>>>,
   genre:array<struct<_VALUE:string,_authority:string,_lang:string>>,
   originInfo:array<struct<dateIssued:array<string>,dateCreated:array<string>,dateOther:array<string>>>,
+  recordInfo:array<struct<recordCreationDate:array<struct<_VALUE:string,_encoding:string>>>>,
+  extension:array<struct<degree:array<struct<discipline:array<struct<_VALUE:string,_type:string,_lang:string>>>>>>,
   identifier:array<struct<_VALUE:string,_type:string>>,
   subject:array<struct<_authority:string,_lang:string,topic:array<struct<_VALUE:string,_lang:string>>>>>>>"""
 
@@ -22,7 +30,35 @@ GENRES = {"bachelor thesis": "zavrsni", "master thesis": "diplomski", "doctoral
 
 def scan(spark: SparkSession, path: str) -> DataFrame:
     """The records of all XML files below path."""
-    return spark.read.format("xml").option("rowTag", "record").schema(SCHEMA).load(path)
+    return spark.read.format("xml").option("rowTag", "record").option("ignoreNamespace", "true").schema(SCHEMA).load(path)
+
+
+def harvest(spark: SparkSession, folder: str, fetch: Callable[[str | None], str], refresh: bool = False, delay: float = 0.4) -> int:
+    """Bring all pages of a paged list into a folder of XML files that scan() reads; returns their number.
+
+    fetch(token) gives the page after a resumption token (None: the first one). The token of the next page stands in the page,
+    so pages come one by one; a page that is in the folder already is read again instead, but for refresh. Written through
+    Hadoop's file system, so that the folder may be wherever executors read.
+    """
+    jvm = spark._jvm
+    store = jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    token, number = None, 0
+    while True:
+        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/page_{number:04d}.xml")
+        if store.exists(path) and not refresh:
+            page = spark.read.text(path.toString(), wholetext=True).first()[0]
+        else:
+            if number:
+                time.sleep(delay)
+            page = fetch(token)
+            out = store.create(path, True)
+            out.write(bytearray(page.encode()))
+            out.close()
+        number += 1
+        found = re.search(r"<resumptionToken[^>]*>\s*([^<\s][^<]*?)\s*</resumptionToken>", page)
+        if not found:
+            return number
+        token = found[1]
 
 
 def _all(values: Column) -> Column:
@@ -49,8 +85,11 @@ def _roles(person: Column, language: str) -> Column:
 
 
 def _person(person: Column) -> Column:
+    """Family and given name by their types, or those of the one part without a type."""
     part = lambda kind: _first(_texts(person["namePart"], lambda x: x["_type"] == kind))
-    return F.struct(part("family").alias("family"), part("given").alias("given"))
+    typed = F.struct(part("family").alias("family"), part("given").alias("given"))
+    plain = name_parts(_first(_texts(person["namePart"], lambda x: x["_type"].isNull())))
+    return F.when(part("family").isNotNull() & part("given").isNotNull(), typed).otherwise(plain)
 
 
 def items(records: DataFrame) -> DataFrame:
@@ -63,7 +102,10 @@ def items(records: DataFrame) -> DataFrame:
     title = lambda keep: _first(F.transform(F.filter(m["titleInfo"], keep), lambda x: F.btrim(x["title"])))
     advisors = F.filter(m["name"], lambda p: _roles(p, "other") == "thesis advisor")
     members = F.filter(m["name"], lambda p: _roles(p, "other") == "degree committee member")
-    dates = F.flatten(F.array(*[_all(F.flatten(F.transform(m["originInfo"], _field(name)))) for name in ("dateIssued", "dateCreated", "dateOther")]))
+    written = F.transform(F.flatten(F.transform(m["recordInfo"], _field("recordCreationDate"))), _field("_VALUE"))
+    disciplines = F.flatten(F.transform(F.flatten(F.transform(m["extension"], _field("degree"))), _field("discipline")))
+    programme = _first(_texts(disciplines, lambda d: (d["_type"] == "studijski program") & (d["_lang"] == "hrv")))
+    dates = F.flatten(F.array(*[_all(F.flatten(F.transform(m["originInfo"], _field(name)))) for name in ("dateIssued", "dateCreated", "dateOther")], _all(written)))
     years = F.filter(F.transform(dates, lambda d: F.regexp_extract(d, r"(\d{4})", 1)), lambda y: y != "")
     coar = F.lower(_first(_texts(m["genre"], lambda g: g["_authority"] == "coar")))
     label = F.lower(_first(_texts(m["genre"], lambda g: g["_lang"] == "hrv")))
@@ -88,6 +130,7 @@ def items(records: DataFrame) -> DataFrame:
         kind.alias("kind"),
         F.nullif(F.array_join(F.array_distinct(fields), "; "), F.lit("")).alias("field"),
         F.array_distinct(topics).alias("keywords"),
+        programme.alias("programme"),
         _first(_texts(m["identifier"], lambda x: x["_type"] == "urn")).alias("urn"),
     )
 
