@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,18 +43,29 @@ def discard(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def bucketed(df: DataFrame, column: str, parts: int) -> tuple[DataFrame, Callable[[], None]]:
-    """df as a table bucketed by column, which later steps group by without a shuffle, and what drops the table and its files."""
-    spark = df.sparkSession
-    name = f"corvane_{uuid.uuid4().hex}"
-    path = f"{scratch(spark)}/{name}"
-    df.write.bucketBy(parts, column).option("path", path).option("compression", "zstd").saveAsTable(name)
+class Bucketed:
+    """A table bucketed by a column, which later steps group by without a shuffle; it may grow, and is dropped in the end."""
+
+    def __init__(self, df: DataFrame, column: str, parts: int):
+        self.spark, self.column, self.parts = df.sparkSession, column, parts
+        self.name = f"corvane_{uuid.uuid4().hex}"
+        self.path = f"{scratch(self.spark)}/{self.name}"
+        self._write(df, "errorifexists")
+
+    def _write(self, df: DataFrame, mode: str) -> None:
+        writer = df.write.mode(mode).bucketBy(self.parts, self.column).option("path", self.path).option("compression", "zstd")
+        writer.saveAsTable(self.name)
+
+    def append(self, df: DataFrame) -> None:
+        self._write(df.repartition(self.parts, self.column), "append")
 
-    def drop() -> None:
-        spark.sql(f"DROP TABLE {name}")
-        discard(spark, path)
+    @property
+    def rows(self) -> DataFrame:
+        return self.spark.table(self.name)
 
-    return spark.table(name), drop
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE {self.name}")
+        discard(self.spark, self.path)
 
 
 def with_once(rows: DataFrame, once: DataFrame, key: str, times: str = "times") -> DataFrame:

@@ -18,12 +18,10 @@ other than doc_id and text are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.shared import bucketed, held, let, saved, table
+from corvane.llm.shared import Bucketed, held, let, saved, table
 
 #: Common words of four languages: anchors, and what chains skip.
 COMMON = {
@@ -102,8 +100,8 @@ def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
     return F.when(near & (F.least(F.size(a), F.size(b)) >= least * F.greatest(F.size(a), F.size(b))), full).otherwise(0.0)
 
 
-def followed(docs: DataFrame, range_bytes: int = RANGE) -> tuple[DataFrame, Callable[[], None]]:
-    """doc_id, text, _range, _order and _head of the rows of docs, and what drops the table behind them.
+def followed(docs: DataFrame, range_bytes: int = RANGE) -> Bucketed:
+    """doc_id, text, _range, _order and _head of the rows of docs, as a table bucketed by _range.
 
     Rows in _order within their _range stand as they do in the whole table; the last one (_head) is the first row of the next range.
     """
@@ -113,15 +111,16 @@ def followed(docs: DataFrame, range_bytes: int = RANGE) -> tuple[DataFrame, Call
     n = min(total // range_bytes + 1, RANGES)
     keys = [F.asc_nulls_first("doc_id"), "_digest", "_tie"]  # the tie lets equal rows be dealt to several ranges
     dealt = given.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(n, *keys).withColumn("_range", F.spark_partition_id())
-    rows, drop = bucketed(dealt, "_range", n // BUCKET + 1)
     order = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "_digest", "_tie")
-    ranges = rows.groupBy("_range").agg(F.min(order).alias("_order"))
+    kept = Bucketed(dealt.select("doc_id", "text", "_range", order.alias("_order"), F.lit(False).alias("_head")), "_range", n // BUCKET + 1)
+    ranges = kept.rows.groupBy("_range").agg(F.min("_order").alias("_least"))
     by_range = Window.orderBy("_range")  # one row a range
     everything = by_range.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    before = ranges.select(F.col("_range").alias("_own"), "_order", F.coalesce(F.lag("_range").over(by_range), F.last("_range").over(everything)).alias("_before"))
-    ranked = rows.select("doc_id", "text", "_range", order.alias("_order"))
-    firsts = saved(ranked.join(before, (ranked["_range"] == before["_own"]) & (ranked["_order"] == before["_order"])).select("doc_id", "text", F.col("_before").alias("_range"), ranked["_order"]), "firsts")
-    return ranked.withColumn("_head", F.lit(False)).union(firsts.withColumn("_head", F.lit(True))), drop
+    before = ranges.select(F.col("_range").alias("_own"), "_least", F.coalesce(F.lag("_range").over(by_range), F.last("_range").over(everything)).alias("_before"))
+    first = (F.col("_range") == F.col("_own")) & (F.col("_order") == F.col("_least"))
+    firsts = kept.rows.join(before, first).select("doc_id", "text", F.col("_before").alias("_range"), "_order", F.lit(True).alias("_head"))
+    kept.append(saved(firsts, "firsts"))
+    return kept
 
 
 def edited(text: Column, after: Column) -> Column:
@@ -133,8 +132,8 @@ def edited(text: Column, after: Column) -> Column:
 
 def printed(docs: DataFrame, range_bytes: int = RANGE) -> DataFrame:
     """Every document with its fingerprint and those of its edited text and of the next document, compared."""
-    rows, drop = followed(docs, range_bytes)
-    own = held(rows, "_own", signatures(normal(F.col("text"))))
+    kept = followed(docs, range_bytes)
+    own = held(kept.rows, "_own", signatures(normal(F.col("text"))))
     inside = Window.partitionBy("_range").orderBy("_head", "_order")
     pairs = own.select("*", F.lead(F.struct("text", "_own")).over(inside).alias("next")).where(~F.col("_head"))
     pairs = held(pairs, "_edited", edited(F.col("text"), F.col("next.text")))
@@ -150,7 +149,7 @@ def printed(docs: DataFrame, range_bytes: int = RANGE) -> DataFrame:
         partition(F.col("_own")).alias("length_partition"),
     )
     out = saved(out, "printed")
-    drop()
+    kept.drop()
     return out
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm import textkit
-from corvane.llm.shared import bucketed
+from corvane.llm.shared import Bucketed
 
 #: Bytes of text that a block aims at.
 BLOCK = 8 << 20
@@ -111,8 +111,8 @@ def blocks(docs: DataFrame, block_bytes: int = BLOCK) -> Blocks:
     block = F.pmod(F.xxhash64("digest"), F.lit(n)).cast("int")
     dealt = named(docs).withColumn("block", block).mapInArrow(_once, _BLOCKED).repartition(parts, "block")
     single = dealt.groupBy("block").applyInArrow(_merged, _BLOCKED)
-    table, drop = bucketed(single, "block", parts)
-    return Blocks(table, n, parts, drop)
+    table = Bucketed(single, "block", parts)
+    return Blocks(table.rows, n, parts, table.drop)
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
