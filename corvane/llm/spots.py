@@ -116,9 +116,10 @@ def followed(docs: DataFrame, range_bytes: int = RANGE) -> Bucketed:
     ranges = kept.rows.groupBy("_range").agg(F.min("_order").alias("_least"))
     by_range = Window.orderBy("_range")  # one row a range
     everything = by_range.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # at most RANGES rows of a range and an order: small enough to be sent to every task
     before = ranges.select(F.col("_range").alias("_own"), "_least", F.coalesce(F.lag("_range").over(by_range), F.last("_range").over(everything)).alias("_before"))
     first = (F.col("_range") == F.col("_own")) & (F.col("_order") == F.col("_least"))
-    firsts = kept.rows.join(before, first).select("doc_id", "text", F.col("_before").alias("_range"), "_order", F.lit(True).alias("_head"))
+    firsts = kept.rows.join(F.broadcast(before), first).select("doc_id", "text", F.col("_before").alias("_range"), "_order", F.lit(True).alias("_head"))
     kept.append(saved(firsts, "firsts"))
     return kept
 
