@@ -30,8 +30,8 @@ COMMON = {
     "fr": "le la les et des en un du une que est pour qui dans par sur au pas plus ne se avec il ce sont ou son cette ont aux elle mais comme nous sa leur",
     "es": "el los del las por con una su para al lo como o este sus le ha me sin sobre ya entre cuando todo esta ser son dos fue era muy hasta desde",
 }
-#: Bytes of text that a range aims at; ranges, and ranges of a bucket, at most.
-RANGE, RANGES, BUCKET = 4 << 20, 80_000, 4
+#: Bytes of text that a range aims at; ranges at most (the sample that sets their bounds grows with them, not with rows); ranges of a bucket.
+RANGE, RANGES, BUCKET = 8 << 20, 20_000, 2
 #: In texts without common words, one word in so many is an anchor.
 SPARE = 4
 #: Scripts that put no spaces between words.
