@@ -33,7 +33,7 @@ def saved(df: DataFrame, name: str = "table") -> DataFrame:
     """Write df to the shared folder and read it again: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
