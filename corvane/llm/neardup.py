@@ -1,6 +1,6 @@
 """MinHash near-duplicates, with odd sketches as the check of banded candidates.
 
-A document's set is its distinct two-word shingles (lower-cased A-Z). SAMPLES MinHash values per set make BANDS bands of ROWS
+A document's set is its distinct shingles of five words (op9_neardup: two; lower-cased A-Z). SAMPLES MinHash values per set make BANDS bands of ROWS
 values; a pair at 0.8 shares no band with a probability of (1 - 0.8^ROWS)^BANDS, below 1 in 300,000. The samples are
 also folded into an odd sketch: a bitmap in which each sample toggles one bit. The population count of two sketches' XOR
 estimates how many samples differ; a candidate goes on only if that count is possible at 0.8 but for a chance
@@ -14,7 +14,7 @@ between components only: pairs come from an index over the rarest shingles of ea
 at a place from which 0.8 can still be reached), pass sizes and odd sketches, and are confirmed on the full sets; a pair that
 earlier links have joined is passed over, so a cell of n rows puts out fewer than n links. No link between components is lost.
 
-Edge cases: a single word is a shingle by itself; null, empty and blank texts have an empty set and are linked with nothing
+Edge cases: a text of fewer words than a shingle has is one shingle by itself; null, empty and blank texts have an empty set and are linked with nothing
 (each is its own component and is kept); repeated rows with one doc_id share its component; a null doc_id is compared
 like the others and stands after all numbers; an empty table gives no rows; columns other than doc_id and text are ignored.
 """
@@ -32,7 +32,7 @@ from corvane.llm import textkit
 from corvane.llm.components import components
 from corvane.llm.shared import masked, saved, table, with_once
 
-WORDS = 2
+WORDS = 5
 LEAST = 80
 ROWS, BANDS = 4, 24
 SAMPLES = ROWS * BANDS
@@ -101,9 +101,9 @@ def _lists(values: np.ndarray, width: int, filled: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.ascontiguousarray(values).view(np.int64).ravel()))
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sketch(batches: Iterator[pa.RecordBatch], words: int = WORDS) -> Iterator[pa.RecordBatch]:
     for batch, data, offsets in textkit.passes(batches, "text", 1 << 20):
-        hashes, bounds = sets(data, offsets)
+        hashes, bounds = sets(data, offsets, words)
         size = np.diff(bounds)
         filled = size > 0
         minima = minhashes(hashes, bounds, filled)
@@ -120,9 +120,9 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], words: int = WORDS) -> Iterator[pa.RecordBatch]:
     for batch, data, offsets in textkit.passes(batches, "text", 1 << 20):
-        hashes, bounds = sets(data, offsets)
+        hashes, bounds = sets(data, offsets, words)
         yield pa.record_batch([batch.column("node"), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(hashes.view(np.int64)))], ["node", "shingles"])
 
 
@@ -234,14 +234,14 @@ def _across(grouped: DataFrame, labels: DataFrame, nodes: DataFrame, shingles: D
     return cells.join(full, "node").groupBy("group", "low", "high").applyInArrow(_cell, "a binary, b binary").distinct()
 
 
-def _links(given: DataFrame, nodes: DataFrame) -> DataFrame:
+def _links(given: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     """(node, component) of the nodes that are linked with another one."""
     banded = nodes.select("node", F.explode("bands").alias("band"))
     pivots = saved(banded.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high"), "pivots")
     members = saved(banded.join(pivots, "band"), "members")
     involved = members.select("node").distinct().join(nodes.select("node", F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest")), "node")
     chosen = given.join(involved, given["doc_id"].eqNullSafe(F.col("_doc")) & (F.md5(given["text"].cast("binary")) == F.col("_digest"))).select("node", "text")
-    shingles = saved(chosen.mapInArrow(_sets, "node binary, shingles array<long>").dropDuplicates(["node"]), "sets")
+    shingles = saved(chosen.mapInArrow(lambda batches: _sets(batches, words), "node binary, shingles array<long>").dropDuplicates(["node"]), "sets")
 
     def compared(pairs: DataFrame) -> DataFrame:
         return saved(_confirmed(_likely(pairs, nodes), shingles), "links")
@@ -257,15 +257,15 @@ def _links(given: DataFrame, nodes: DataFrame) -> DataFrame:
     return components(links.union(_across(hubbed.withColumnRenamed("hub", "group"), components(links), nodes, shingles)))
 
 
-def _classes(docs: DataFrame) -> DataFrame:
+def _classes(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, the text's digest, n_shingles, component_id and kept of every row of docs."""
     given = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    known = saved(given.select("*", F.md5(F.col("text").cast("binary")).alias("digest")).mapInArrow(_sketch, f"doc_id {kind}, digest string, n_shingles long, node binary, bands array<long>, sketch array<long>"), "sketches")
+    known = saved(given.select("*", F.md5(F.col("text").cast("binary")).alias("digest")).mapInArrow(lambda batches: _sketch(batches, words), f"doc_id {kind}, digest string, n_shingles long, node binary, bands array<long>, sketch array<long>"), "sketches")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("digest"))).alias("first")
     nodes = known.where("n_shingles > 0").groupBy("node").agg(first, F.count("*").alias("times"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     nodes = saved(nodes.select("node", "first.doc_id", "first.digest", "times", "n_shingles", "bands", "sketch"), "nodes")
-    labels = nodes.select("node", "doc_id", "times").join(_links(given, nodes), "node", "left").select("node", "doc_id", "times", F.coalesce("component", "node").alias("component"))
+    labels = nodes.select("node", "doc_id", "times").join(_links(given, nodes, words), "node", "left").select("node", "doc_id", "times", F.coalesce("component", "node").alias("component"))
     labels = saved(labels, "labels")
     least = saved(labels.groupBy("component").agg(F.min("doc_id").alias("component_id")), "least")
     named = saved(labels.join(least, "component").select("node", "times", "component_id"), "named")
@@ -273,14 +273,14 @@ def _classes(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "digest", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row of docs."""
-    return _classes(docs).drop("digest")
+def classes(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row of docs, by shingles of some words."""
+    return _classes(docs, words).drop("digest")
 
 
-def representatives(docs: DataFrame) -> DataFrame:
+def representatives(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """The rows of docs that are kept: one document of each component; repeated rows once."""
-    chosen = saved(_classes(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct(), "chosen")
+    chosen = saved(_classes(docs, words).where("kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct(), "chosen")
     given, names = masked(docs, "doc_id", "text")
     given = given.withColumn("_md5", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
     rows = given.join(chosen, given["doc_id"].eqNullSafe(chosen["_id"]) & (given["_md5"] == chosen["_digest"]))
@@ -288,7 +288,7 @@ def representatives(docs: DataFrame) -> DataFrame:
 
 
 def op9_neardup(spark, sf_dir: str) -> DataFrame:
-    return classes(table(spark, sf_dir, "documents"))
+    return classes(table(spark, sf_dir, "documents"), words=2)
 
 
 OP9_SQL = r"""

@@ -14,7 +14,7 @@ DOLLAR = {"password", "passwd", "secret", "token", "apikey", "api_key"}
 def shingles(text):
     low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
     w = WORD.findall(low)
-    return {tuple(w[i : i + 2]) for i in range(len(w) - 1)} if len(w) > 1 else {tuple(w)} if w else set()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) > 4 else {tuple(w)} if w else set()
 
 
 def representatives(rows):

@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from corvane.llm import licenses, mixing, neardup, quality, secrets
@@ -155,11 +156,11 @@ def test_redaction_keeps_columns_of_any_name(spark):
 # near-duplicates
 
 
-def brute(texts):
+def brute(texts, words=5):
     sets = []
     for t in texts:
         w = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").split()
-        sets.append({tuple(w[i : i + 2]) for i in range(len(w) - 1)} if len(w) > 1 else {tuple(w)} if w else set())
+        sets.append({tuple(w[i : i + words]) for i in range(len(w) - words + 1)} if len(w) >= words else {tuple(w)} if w else set())
     parent = list(range(len(sets)))
 
     def root(x):
@@ -175,10 +176,11 @@ def brute(texts):
     return [(k, len(s), root(k), root(k) == k) for k, s in enumerate(sets)]
 
 
-def test_near_duplicates_against_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("words", [2, 5])
+def test_near_duplicates_against_brute_force(spark, monkeypatch, words):
     rng = np.random.default_rng(1)
     base = [f"w{i}" for i in range(60)]
-    texts = ["", None, "one", "ONE", " one\n", "a b", "A  b", "x"]
+    texts = ["", None, "one", "ONE", " one\n", "a b", "A  b", "x", "a b c d", "a b c d e"]
     for _ in range(160):  # a cloud of near copies around one text, some linked only through others
         w = list(base)
         for i in rng.integers(0, 60, rng.integers(0, 5)):
@@ -187,12 +189,12 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch):
     texts += [" ".join(f"u{x}" for x in rng.integers(0, 50, 30)) for _ in range(40)]
     texts += texts[20:25]
     docs = frame(spark, texts).withColumn("node", F.lit(1)).withColumn("bands", F.lit("clash"))
-    want = brute(texts)
-    assert sorted(map(tuple, neardup.classes(docs).collect())) == want
+    want = brute(texts, words)
+    assert sorted(map(tuple, neardup.classes(docs, words).collect())) == want
     monkeypatch.setattr(neardup, "CELL", 700)
-    assert sorted(map(tuple, neardup.classes(docs).collect())) == want
-    assert neardup.classes(docs.limit(0)).count() == 0
-    kept = neardup.representatives(docs)
+    assert sorted(map(tuple, neardup.classes(docs, words).collect())) == want
+    assert neardup.classes(docs.limit(0), words).count() == 0
+    kept = neardup.representatives(docs, words)
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [k for k, _, _, keep in want if keep]
 
 
@@ -244,7 +246,7 @@ def test_a_cell_of_alike_rows_puts_out_few_links(spark):
 
 
 def test_a_family_of_template_pages(spark):
-    pages = [" ".join(p) for p in template_pages(5000, 24, 150, 7)]  # pairs share 149 of 199 shingles: 0.75
+    pages = [" ".join(p) for p in template_pages(5000, 24, 150, 7)]  # pairs share 146 of 194 shingles: 0.75
     near = [p.replace("t3 ", "u3 ").replace(f"p{k}x5 ", "v5 ") for k, p in enumerate(pages[:40])]
     rows = {r["doc_id"]: r for r in neardup.classes(frame(spark, pages + near)).collect()}
     assert all(rows[k]["component_id"] == k for k in range(5000)) and all(rows[5000 + k]["component_id"] == k for k in range(40))
