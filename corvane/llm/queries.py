@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from corvane.llm import fmindex, licenses, media, mixing, neardup, pieces, quality, resample, secrets, spots, suffixes, whitening
+from corvane.llm import fmindex, licenses, media, mixing, neardup, pieces, quality, resample, secrets, spots, suffixes, toxicity, whitening
 
 
 def queries() -> dict:
-    return {"op1_licenses": licenses.op1_licenses, "op2_quality": quality.op2_quality, "op3_media": media.op3_media, "op4_pieces": pieces.op4_pieces, "op5_fingerprints": spots.op5_fingerprints, "op6_mixing": mixing.op6_mixing, "op7_fmindex": fmindex.op7_fmindex, "op8_secrets": secrets.op8_secrets, "op8_secrets_wide": secrets.op8_secrets_wide, "op9_neardup": neardup.op9_neardup, "op10_suffixes": suffixes.op10_suffixes, "op11_resample": resample.op11_resample, "op13_whitening": whitening.op13_whitening}
+    return {"op1_licenses": licenses.op1_licenses, "op2_quality": quality.op2_quality, "op3_media": media.op3_media, "op4_pieces": pieces.op4_pieces, "op5_fingerprints": spots.op5_fingerprints, "op6_mixing": mixing.op6_mixing, "op7_fmindex": fmindex.op7_fmindex, "op8_secrets": secrets.op8_secrets, "op8_secrets_wide": secrets.op8_secrets_wide, "op9_neardup": neardup.op9_neardup, "op10_suffixes": suffixes.op10_suffixes, "op11_resample": resample.op11_resample, "op12_toxicity": toxicity.op12_toxicity, "op13_whitening": whitening.op13_whitening}
 
 
 def oracle_sql() -> dict[str, str]:
