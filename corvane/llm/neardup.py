@@ -9,7 +9,7 @@ below 1e-8. What goes on is confirmed on the full sets.
 Documents of equal sets are one node from the start (a set is named by 128 bits), so copies cost nothing. A band's nodes are not
 paired with each other: each is first compared with two pivots of the band, then with the member that has most links so far, and
 components are formed. Bands of one such hub are then taken together as a group. Where a group still holds several
-components, its rows meet in square cells of at most about CELL shingles a side, which many tasks share. A cell looks for links
+components, rows outside its largest one meet all others in cells of about CELL shingles a side, which many tasks share. A cell looks for links
 between components only: pairs come from an index over the rarest shingles of each set (two sets at 0.8 share one of those, and
 at a place from which 0.8 can still be reached), pass sizes and odd sketches, and are confirmed on the full sets; a pair that
 earlier links have joined is passed over, so a cell of n rows puts out fewer than n links. No link between components is lost.
@@ -217,21 +217,37 @@ def _cell(cell: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(map(min, *ends), pa.binary()), "b": pa.array(map(max, *ends), pa.binary())})
 
 
+def _cells(placed: DataFrame, cell: int) -> DataFrame:
+    """(group, node, component, kind, low, high): the cells in which rows of groups with several components meet.
+
+    placed: group, node, component, n_shingles. A group's largest component is one side, all its other rows are the rest. Each
+    is dealt into parts of about cell shingles; parts of the largest meet parts of the rest (kind 0), and parts of the rest each
+    other (kind 1). So a row of the largest component is sent once for each part of the rest: once, if few rows are apart from it.
+    """
+    sums = placed.groupBy("group", "component").agg(F.sum("n_shingles").alias("n"))
+    several = sums.groupBy("group").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("components")).where("components > 1")
+    parts = lambda n: F.ceil(n / cell).cast("long")
+    several = saved(several.select("group", F.col("most.component").alias("largest"), parts(F.col("most.n")).alias("ours"), parts(F.col("n") - F.col("most.n")).alias("theirs")), "several")
+    rows = placed.join(several, "group").withColumn("inner", F.col("component") == F.col("largest"))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.when(F.col("inner"), F.col("ours")).otherwise(F.col("theirs"))))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    place = lambda kind, low, high: F.struct(F.lit(kind).alias("kind"), low.alias("low"), high.alias("high"))
+    own = F.transform(upto(F.col("theirs")), lambda j: place(0, F.col("part"), j))
+    across = F.transform(upto(F.col("ours")), lambda i: place(0, i, F.col("part")))
+    among = F.transform(F.filter(upto(F.col("theirs")), lambda j: j != F.col("part")), lambda j: place(1, F.least(F.col("part"), j), F.greatest(F.col("part"), j)))
+    rows = rows.select("group", "node", "component", F.explode(F.when(F.col("inner"), own).otherwise(F.concat(across, among))).alias("at"))
+    return rows.select("group", "node", "component", "at.kind", "at.low", "at.high")
+
+
 def _across(grouped: DataFrame, labels: DataFrame, nodes: DataFrame, shingles: DataFrame) -> DataFrame:
-    """Links between components that meet in a group (group, node), group by group in square cells of bounded size.
+    """Links between components that meet in a group (group, node), group by group in cells of bounded size.
 
-    A set of a group of n shingles is sent to n / CELL cells. Where a group's rows are joined with its number of parts, that
-    number comes from a table of its own, so that Spark may split a common group's rows.
+    Where a group's rows are joined with its number of parts, that number comes from a table of its own, so that Spark may
+    split a common group's rows.
     """
     placed = saved(grouped.join(labels, "node", "left").select("group", "node", F.coalesce("component", "node").alias("component")).join(nodes.select("node", "n_shingles"), "node"), "placed")
-    several = placed.groupBy("group").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.sum("n_shingles") / CELL).alias("parts")).where("low < high")
-    several = saved(several.select("group", "parts"), "several")
-    open_ = placed.join(several, "group")
-    part = F.pmod(F.xxhash64("node"), F.col("parts"))
-    cells = open_.select("group", "node", "component", part.alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
-    cells = cells.select("group", "node", "component", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
     full = shingles.join(nodes.select("node", "sketch"), "node")
-    return cells.join(full, "node").groupBy("group", "low", "high").applyInArrow(_cell, "a binary, b binary").distinct()
+    return _cells(placed, CELL).join(full, "node").groupBy("group", "kind", "low", "high").applyInArrow(_cell, "a binary, b binary").distinct()
 
 
 def _links(given: DataFrame, nodes: DataFrame, words: int) -> DataFrame:

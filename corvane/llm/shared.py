@@ -72,7 +72,7 @@ def with_once(rows: DataFrame, once: DataFrame, key: str, times: str = "times")
     """rows with the columns of once, which has one row for every key and the number of rows that hold it (times, left out).
 
     Keys with more than 1 / HEAVY of all rows (and more than 1,000) are joined by broadcast, at most HEAVY of them; the others by
-    shuffle, where a heavy key's rows are dealt out without a match. So no task gets all rows of a common key.
+    shuffle, where rows of a heavy key and those without one are dealt out without a match. So no task gets all rows of a common key.
     """
     bound = max(1000, rows.count() // HEAVY)
     rest = [c for c in once.columns if c not in (key, times)]
@@ -81,7 +81,7 @@ def with_once(rows: DataFrame, once: DataFrame, key: str, times: str = "times")
     light = once.where(F.col(times) <= bound).select(F.col(key).alias("_light"), values.alias("_b"))
     met = rows.join(F.broadcast(heavy), rows[key] == heavy["_heavy"], "left")
     apart = F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string")).cast(rows.schema[key].dataType)
-    met = met.withColumn("_own", F.when(F.col("_a").isNull(), F.col(key)).otherwise(apart))
+    met = met.withColumn("_own", F.when(F.col("_a").isNull() & F.col(key).isNotNull(), F.col(key)).otherwise(apart))
     met = met.join(light, met["_own"] == light["_light"], "left").withColumn("_found", F.coalesce("_a", "_b"))
     return met.select(*rows.columns, *[F.col(f"_found.{c}").alias(c) for c in rest])
 

@@ -180,6 +180,34 @@ def _levels(sizes: np.ndarray) -> np.ndarray:
     return np.ceil(8 * np.log2(np.maximum(sizes, 1))).astype(np.uint8)
 
 
+def shared_anchors(rows: pa.Table, bucket: int, bound: int) -> pa.Table:
+    """What each block that feeds a bucket gets back: its anchors that stand twice, and the heavy ones of them. One sort, whatever the number of blocks."""
+    parts = [_unpacked(x.as_py()) for x in rows.column("low")]
+    twice = np.concatenate([np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=len(p)) for x, p in zip(rows.column("twice"), parts, strict=True)]).astype(bool)
+    level = np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in rows.column("level")])
+    low = np.concatenate(parts)
+    of = np.repeat(rows.column("block").to_numpy(), [len(p) for p in parts])
+    order = np.argsort(low, kind="stable")
+    low, of, keep, level = low[order], of[order], twice[order], level[order]
+    same = low[1:] == low[:-1]
+    keep[1:] |= same
+    keep[:-1] |= same
+    first = np.flatnonzero(np.concatenate([[True], ~same]))
+    heavy = np.repeat(np.add.reduceat(np.exp2(level / 8), first) > bound, np.diff(np.append(first, len(low))))
+    low, of, heavy = low[keep], of[keep], heavy[keep]
+    order = np.argsort(of, kind="stable")  # of one block still in order of the anchor
+    low, of, heavy = low[order], of[order], heavy[order]
+    fresh = np.ones(len(low), bool)
+    fresh[1:] = (of[1:] != of[:-1]) | (low[1:] != low[:-1])
+    low, of, heavy = low[fresh], of[fresh], heavy[fresh]
+    blocks, first = np.unique(of, return_index=True)
+    edges = np.append(first, len(of))
+    anchors = pa.Array.from_buffers(pa.binary(), len(blocks), [None, pa.py_buffer((5 * edges).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(_packed(low)))])
+    counts = np.concatenate([[0], np.cumsum(heavy)])[edges]
+    heavies = pa.Array.from_buffers(pa.binary(), len(blocks), [None, pa.py_buffer((5 * counts).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(_packed(low[heavy])))])
+    return pa.table({"block": pa.array(blocks, pa.int32()), "bucket": pa.array(np.full(len(blocks), bucket), pa.int32()), "anchors": anchors, "heavy": heavies})
+
+
 def repeated_anchors(blocked: Blocks, tokens: Tokens, depth: int, gram: int, within: bool) -> DataFrame:
     """(block, bucket, anchors, heavy): for each block its anchors that stand in another block too, or twice in it; packed.
 
@@ -210,23 +238,7 @@ def repeated_anchors(blocked: Blocks, tokens: Tokens, depth: int, gram: int, wit
                     yield pa.record_batch([pa.array(x, t) for x, t in columns], ["bucket", "block", "low", "twice", "level"])
 
     def met(key: tuple, rows: pa.Table) -> pa.Table:
-        block = rows.column("block").to_numpy()
-        parts = [_unpacked(x.as_py()) for x in rows.column("low")]
-        twice = np.concatenate([np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=len(p)) for x, p in zip(rows.column("twice"), parts, strict=True)]).astype(bool)
-        low = np.concatenate(parts)
-        of = np.repeat(block, [len(p) for p in parts])
-        order = np.argsort(low, kind="stable")
-        same = low[order][1:] == low[order][:-1]
-        again = np.zeros(len(low), bool)
-        again[order[1:][same]] = True
-        again[order[:-1][same]] = True
-        keep = again | twice
-        first = np.flatnonzero(np.concatenate([[True], ~same]))
-        level = np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in rows.column("level")])
-        heavy = low[order][first][np.add.reduceat(np.exp2(level[order] / 8), first) > bound]
-        out = [(int(b), key[0].as_py(), np.unique(low[keep & (of == b)])) for b in np.unique(of[keep])]
-        packed = [[_packed(x).tobytes() for x in xs] for xs in ([x[2] for x in out], [np.intersect1d(x[2], heavy) for x in out])]
-        return pa.table({"block": pa.array([x[0] for x in out], pa.int32()), "bucket": pa.array([x[1] for x in out], pa.int32()), "anchors": pa.array(packed[0], pa.binary()), "heavy": pa.array(packed[1], pa.binary())})
+        return shared_anchors(rows, key[0].as_py(), bound)
 
     packed = blocked.table.mapInArrow(sent, "bucket int, block int, low binary, twice binary, level binary").repartition(blocked.parts, "bucket")
     return packed.groupBy("bucket").applyInArrow(met, "block int, bucket int, anchors binary, heavy binary")
@@ -399,13 +411,11 @@ def runs(block: np.ndarray, keys: np.ndarray, hooks: np.ndarray, segment: np.nda
     new[1:] = (segment[1:] != segment[:-1]) | (window[1:] != window[:-1] + 1) | (least[1:] != least[:-1])
     first = np.flatnonzero(new)
     count = np.diff(np.append(first, len(segment)))
-    of = block[segment[first]]
     out = []
-    for b in np.unique(of):
-        mine = of == b
+    for b, mine in _by_bucket(block[segment[first]]):
         at = first[mine]
         single = np.unique(hooks[segment[at]])
-        out.append((int(b), keys[segment[at]].tobytes(), window[at].astype(np.int64).tobytes(), count[mine].astype(np.int64).tobytes(), least[at].astype(np.int64).tobytes(), single[single > 0].tobytes()))
+        out.append((b, keys[segment[at]].tobytes(), window[at].astype(np.int64).tobytes(), count[mine].astype(np.int64).tobytes(), least[at].astype(np.int64).tobytes(), single[single > 0].tobytes()))
     return pa.table({name: pa.array([x[i] for x in out], pa.int32() if not i else pa.binary()) for i, name in enumerate(("block", "keys", "starts", "counts", "least", "hooks"))})
 
 
