@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import BooleanType, DoubleType
@@ -87,6 +88,33 @@ def tolerates(query: str, text: str) -> bool:
     return all(t in text or (budget := edit_budget(t)) and any(prefix_distance(t, w) <= budget for w in words) for t in query.split())
 
 
+def _bags(texts: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """How often each of 32 classes of letters stands in each different string, and the rows' numbers among those."""
+    number, kinds = pd.factorize(texts)
+    letters = [np.frombuffer(x.encode("utf-32-le"), np.uint32) % 32 for x in kinds]
+    row = np.repeat(np.arange(len(kinds)), [len(x) for x in letters])
+    bags = np.bincount(row * 32 + np.concatenate([*letters, np.zeros(0, np.uint32)]).astype(np.int64), minlength=32 * len(kinds))
+    return bags.reshape(-1, 32).astype(np.int32), number
+
+
+def may_reach(a: pd.Series, b: pd.Series, least: pd.Series) -> np.ndarray:
+    """Whether the letters that two strings share allow a weighted ratio of least; false only where they don't.
+
+    No more letters can stand in a common subsequence than both have. Strings of like lengths are weighed as wholes, or have a common
+    word; of unlike ones the shorter is compared with a stretch no longer than itself, at a weight of 0.9 at most.
+    """
+    (x, i), (y, j) = _bags(a), _bags(b)
+    common = np.empty(len(i), np.int64)
+    for low in range(0, len(i), 65536):
+        common[low : low + 65536] = np.minimum(x[i[low : low + 65536]], y[j[low : low + 65536]]).sum(axis=1)
+    la, lb = x.sum(axis=1)[i], y.sum(axis=1)[j]
+    short, long = np.minimum(la, lb), np.maximum(la, lb)
+    words = pd.Series([not set(p.split()).isdisjoint(q.split()) for p, q in zip(a, b, strict=True)], dtype=bool).to_numpy()
+    like = 200.0 * common / np.maximum(la + lb, 1)
+    stretch = 0.9 * 200.0 * common / np.maximum(short + common, 1)
+    return words | (np.where(long < 1.5 * short, like, np.maximum(like, stretch)) >= least.to_numpy() - 1e-6)
+
+
 @pandas_udf(DoubleType())
 def weighted_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([weighted_ratio(x or "", y or "") for x, y in zip(a, b, strict=True)])

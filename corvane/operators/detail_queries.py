@@ -115,13 +115,13 @@ def people_list(spark, sf_dir: str) -> DataFrame:
 
 
 def people_found(spark, sf_dir: str) -> DataFrame:
-    """People whose name holds a query, in an explicit order that overrides that of the match."""
+    """People whose name holds a query, twenty a query, in an explicit order that overrides that of the match."""
     people = _people(spark, sf_dir)
-    names = people.select(F.col("s_suppkey").alias("person_id"), F.split("s_name", "#")[0].alias("given"), F.split("s_name", "#")[1].alias("family"), F.col("n_works").alias("n_items"))
-    queries = spark.range(1).select(F.lit(1).cast("long").alias("query_id"), F.lit("SÚPPLIER 00000").alias("text"))
-    ids = identity.search_people(names, queries, threshold=101.0).select(F.col("person_id").alias("s_suppkey"))
-    found = people.join(ids, "s_suppkey", "left_semi")
-    return tables.page(found, [F.expr("s_name collate hr"), F.col("s_suppkey")], 20).select("s_suppkey", "s_name", "n_works")
+    names = people.select(F.col("s_suppkey").alias("person_id"), F.split("s_name", "#")[0].alias("given"), F.split("s_name", "#")[1].alias("family"), F.col("n_works").alias("n_items"), "s_name")
+    queries = names.where("person_id % 100 = 0").select(F.col("person_id").alias("query_id"), F.concat(F.lit("SÚPPLIER "), F.substring("s_name", 10, 7)).alias("text"))
+    found = identity.search_people(names, queries, threshold=101.0).join(names.select("person_id", "s_name", "n_items"), "person_id")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.expr("s_name collate hr"), F.col("person_id")))
+    return found.withColumn("place", place).where("place <= 20").select("query_id", F.col("person_id").alias("s_suppkey"), "s_name", F.col("n_items").alias("n_works"), "place")
 
 
 def person_fields(spark, sf_dir: str) -> DataFrame:
@@ -387,7 +387,11 @@ FROM rows""",
     "people_list": f"""
 WITH {_PEOPLE}, chosen AS (SELECT * FROM people WHERE s_nationkey BETWEEN 3 AND 20 AND s_suppkey IN (SELECT group_id FROM facts WHERE field ILIKE '%e%'))
 SELECT s_suppkey, s_name, s_nationkey, n_works, (SELECT count(*) FROM chosen) AS total FROM chosen ORDER BY n_works DESC, s_name, s_suppkey LIMIT 10 OFFSET 5""",
-    "people_found": f"WITH {_PEOPLE} SELECT s_suppkey, s_name, n_works FROM people WHERE contains(lower(replace(s_name, '#', ' ')), 'supplier 00000') ORDER BY s_name, s_suppkey LIMIT 20",
+    "people_found": f"""
+WITH {_PEOPLE}, found AS (
+  SELECT q.s_suppkey AS query_id, p.s_suppkey, p.s_name, p.n_works, CAST(row_number() OVER (PARTITION BY q.s_suppkey ORDER BY p.s_name, p.s_suppkey) AS INTEGER) AS place
+  FROM people q JOIN people p ON contains(lower(replace(p.s_name, '#', ' ')), 'supplier ' || substr(q.s_name, 10, 7)) WHERE q.s_suppkey % 100 = 0)
+SELECT * FROM found WHERE place <= 20""",
     "person_fields": f"""
 WITH {_PEOPLE}, f AS (SELECT group_id, string_agg(DISTINCT field, ',' ORDER BY field) AS fields FROM facts WHERE field <> '' GROUP BY group_id)
 SELECT s_suppkey, s_name, n_works, coalesce(fields, '') AS fields FROM people LEFT JOIN f ON group_id = s_suppkey""",

@@ -1,70 +1,115 @@
-"""Name search and identity merging."""
+"""Name search and identity merging: pairs that share letters are found by joins, and only those are compared."""
 
 from __future__ import annotations
 
-import math
-
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 from corvane.functions import fuzzy
 from corvane.functions import text as T
+from corvane.operators.keyed import dealt_join, numbered_grams
+from corvane.operators.rounds import saved
 
 NAME_THRESHOLD = 72.0
 IDENTITY_THRESHOLD = 94.0
-#: Pairs of a query and a different name that a search compares at most (some minutes of a hundred cores).
-MOST_PAIRS = 50_000_000
+#: Letters of the pieces that slugs are compared by.
+GRAM = 3
+
+
+@pandas_udf(DoubleType())
+def _resemblance(asked: pd.Series, one: pd.Series, other: pd.Series, least: pd.Series) -> pd.Series:
+    """The better weighted ratio of a query with a name's two orders; pairs whose letters rule out the least one get 0."""
+    able = fuzzy.may_reach(asked, one, least)
+    return pd.Series([max(fuzzy.weighted_ratio(a, x), fuzzy.weighted_ratio(a, y)) if ok else 0.0 for a, x, y, ok in zip(asked, one, other, able, strict=True)])
 
 
-def search_people(people: DataFrame, queries: DataFrame, threshold: float = NAME_THRESHOLD) -> DataFrame:
-    """(query_id, person_id, place): the people whose name matches a query, best first.
+def _shared_needed(la: Column, lb: Column, threshold: float) -> Column:
+    """How many two-letter pieces (ends and blanks marked, whatever the order of words) two strings share at least if they match.
 
-    people: person_id, given, family, n_items; queries: query_id, text. People of one name are compared once: edit distances need
-    every pair of a query and a different name, and their number is checked. Names that
-    hold the query stand before those that only resemble it in one of both orders. An empty query matches everyone.
+    An edit breaks at most two pieces of the string that loses a letter and one of the other's. Strings of like lengths reach t >= 72
+    by a common word (two pieces) or with at most (1 - t / 100) of their letters in edits: of n letters in all, n / 2 + 1 - 1.5
+    * 0.28 n = 0.08 n + 1 pieces are left, so two. Of unlike lengths the shorter one must resemble a stretch of the other by 80, in
+    which n / 3 - 1 of its n letters' pieces are left, and never none (a stretch cut by an end shares the end's piece). Of
+    very unlike lengths only a query inside a name matches: all its inner pieces are shared.
     """
-    given, family = T.fold_name(F.col("given")), T.fold_name(F.col("family"))
+    short, long = F.least(la, lb), F.greatest(la, lb)
+    if threshold < NAME_THRESHOLD:
+        return F.lit(1)
+    inside = F.greatest(F.lit(1), la - 1)
+    stretch = F.greatest(F.lit(1), F.ceil(short / 3 - 1 - 1e-9))
+    if threshold > 100:
+        return inside
+    return F.when(long < 1.5 * short, 2).when(long <= 8 * short, F.least(F.lit(2), stretch)).otherwise(inside)
+
+
+def search_people(people: DataFrame, queries: DataFrame, threshold: float = NAME_THRESHOLD, most: int | None = None) -> DataFrame:
+    """(query_id, person_id, inside, score, place): the people whose name matches a query, best first; most: of each query, so many.
+
+    people: person_id, given, family, n_items; queries: query_id, text. Names that hold the query stand before those that only
+    resemble it in one of both orders. An empty query matches everyone; one without letters or digits is empty; a null one, too.
+
+    Queries and names of equal folded text are one each. Pairs come from an equi-join on two-letter pieces and are counted: only those
+    that share as many as a match must (see _shared_needed) are compared, and of those only the ones whose letters allow it go through the
+    edit distance. A piece that very many names have is dealt over several tasks. There is no limit on queries or names.
+    """
+    given, family = T.fold_name(F.coalesce("given", F.lit(""))), T.fold_name(F.coalesce("family", F.lit("")))
     forms = people.select("person_id", "n_items", F.btrim(F.concat_ws(" ", given, family)).alias("one"), F.btrim(F.concat_ws(" ", family, given)).alias("other"))
-    asked = queries.select("query_id", T.fold_name(F.col("text")).alias("asked"))
-    distinct = forms.select("one", "other").distinct()
-    n_asked, n_names = asked.count(), distinct.count()
-    if n_asked * n_names > MOST_PAIRS:
-        raise ValueError(f"{n_asked} queries of {n_names} different names are more than {MOST_PAIRS} pairs: ask in several parts")
+    forms = saved(forms)
+    asked = queries.select("query_id", T.fold_name(F.coalesce("text", F.lit(""))).alias("asked"))
+    names, texts = forms.select("one", "other").distinct(), asked.select("asked").distinct()
+    gram = lambda c: F.explode(numbered_grams(F.col(c), 2)).alias("gram")
+    left = texts.where("asked <> ''").select("asked", gram("asked"))
+    right = names.select("one", "other", gram("one"))
+    met = dealt_join(left, right, "gram", F.col("one")).groupBy("asked", "one", "other").agg(F.count("*").alias("shared"))
+    pairs = met.where(F.col("shared") >= _shared_needed(F.length("asked"), F.length("one"), threshold))
+    # a query of one letter shares no inner piece with the names that hold it
+    letters = names.select("one", "other", F.explode(F.array_distinct(F.split("one", ""))).alias("asked"))
+    single = dealt_join(texts.where(F.length("asked") == 1), letters, "asked", F.col("one")).select("asked", "one", "other")
+    pairs = pairs.select("asked", "one", "other").unionByName(single).distinct()
     inside = F.contains(F.col("one"), F.col("asked")) | F.contains(F.col("other"), F.col("asked"))
-    pairs = asked.crossJoin(distinct).withColumn("inside", inside)
-    resembling = F.greatest(fuzzy.weighted_ratio_udf("asked", "one"), fuzzy.weighted_ratio_udf("asked", "other"))
-    scored = pairs.withColumn("score", resembling).where((F.col("asked") == "") | F.col("inside") | (F.col("score") >= threshold))
-    kept = scored.join(forms, ["one", "other"])
-    order = [F.when(F.col("asked") == "", 0).otherwise(1), F.desc("inside"), F.desc("score"), F.desc("n_items"), F.col("person_id")]
-    return kept.select("query_id", "person_id", "inside", F.round("score", 6).alias("score"), F.row_number().over(Window.partitionBy("query_id").orderBy(*order)).alias("place"))
+    pairs = pairs.withColumn("inside", inside)
+    scored = pairs.withColumn("score", _resemblance("asked", "one", "other", F.when(F.col("inside"), 0.0).otherwise(threshold)))
+    scored = scored.where(F.col("inside") | (F.col("score") >= threshold))
+    if not texts.where("asked = ''").isEmpty():
+        scored = scored.unionByName(names.select(F.lit("").alias("asked"), "one", "other", F.lit(True).alias("inside"), F.lit(0.0).alias("score")))
+    order = [F.desc("inside"), F.desc("score"), F.desc("n_items"), F.col("person_id")]
+    place = F.row_number().over(Window.partitionBy("asked").orderBy(*order))
+    kept = scored.join(forms, ["one", "other"]).withColumn("place", place)
+    kept = (kept if most is None else kept.where(F.col("place") <= most)).join(asked, "asked")
+    return kept.select("query_id", "person_id", "inside", F.round("score", 6).alias("score"), "place")
 
 
-def _close(pairs: DataFrame, least: float) -> DataFrame:
-    return pairs.withColumn("score", fuzzy.indel_ratio_udf("a", "b")).where(F.col("score") >= least)
+def _rarest(slugs: DataFrame, frequency: DataFrame, keep: Column) -> DataFrame:
+    """slug, position, n and each of the slug's rarest pieces, as many as keep says."""
+    exploded = slugs.select("*", F.explode(numbered_grams(F.col("slug"), GRAM)).alias("gram")).join(frequency, "gram")
+    place = F.row_number().over(Window.partitionBy("slug").orderBy("times", "gram"))
+    return exploded.withColumn("_place", place).where(F.col("_place") <= keep).drop("_place", "times")
 
 
 def similar_slugs(slugs: DataFrame, threshold: float = IDENTITY_THRESHOLD) -> DataFrame:
     """(a, b, score): pairs of different slugs with an indel ratio of threshold or more, the earlier one first.
 
-    slugs: slug, position. At ratio r, lengths la + lb = n allow (1 - r) * n insertions and deletions, k at most; of k + 1 equal
-    pieces of the shorter string at least one survives whole. Pairs that share such a piece (with the lengths' buckets) are joined;
-    no pair is lost, and pairs that share none are never formed.
+    slugs: slug, position. Two slugs of n letters in all that differ by at most share * n edits keep n / 2 + 2 - 2.5 * share * n of their
+    three-letter pieces (an edit breaks three of one's and two of the other's). So, with the pieces in one order from the rarest on, they
+    agree in one of the first m + 3 - (what they keep) of each one's m + 2; only those are joined, so a common piece matters only to slugs
+    that have few rarer ones. A piece that very many slugs hold among their rarest is dealt over tasks. No pair is lost.
     """
-    share = 1 - threshold / 100
-    sized = slugs.select("slug", "position", F.length("slug").alias("n"))
-    # k(n) edits between strings of about n letters each: 2 * n / (2 - share * 2) letters in all at most
-    edits = F.floor(share * (F.col("n") + F.floor(F.col("n") * (1 + share) / (1 - share)))).cast("int")
-    pieces = sized.withColumn("k", edits).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("k"))))
-    width = lambda c: F.floor(c * F.col("n") / (F.col("k") + 1)).cast("int")
-    text = F.substring(F.col("slug"), width(F.col("piece")) + 1, width(F.col("piece") + 1) - width(F.col("piece")))
-    short = pieces.select(F.col("slug").alias("x"), F.col("position").alias("px"), "n", text.alias("text"), F.length(text).alias("size")).where("size > 0")
-    sizes = short.select("n", "size").distinct()
-    reach = lambda n: F.floor(n * (1 + share) / (1 - share)).cast("int")
-    longer = sized.select(F.col("slug").alias("y"), F.col("position").alias("py"), F.col("n").alias("ny"))
-    wanted = sizes.select("n", "size", F.explode(F.sequence(F.col("n"), reach(F.col("n")))).alias("ny"))
-    grams = longer.join(wanted, "ny").withColumn("at", F.explode(F.sequence(F.lit(1), F.col("ny") - F.col("size") + 1))).select("y", "py", "n", "size", F.substring(F.col("y"), F.col("at"), F.col("size")).alias("text"))
-    met = short.join(grams, ["n", "size", "text"]).where("x <> y").select(F.when(F.col("px") < F.col("py"), F.struct(F.col("x").alias("a"), F.col("y").alias("b"))).otherwise(F.struct(F.col("y").alias("a"), F.col("x").alias("b"))).alias("p"))
-    return _close(met.select("p.a", "p.b").distinct(), threshold)
+    share = 1 - threshold / 100 + 1e-9
+    if share > 0.2 + 1e-6:
+        raise ValueError("slugs that resemble each other by less than 80 need not share a piece of three letters")
+    rows = slugs.select("slug", "position", F.length("slug").alias("n"))
+    frequency = saved(rows.select(F.explode(numbered_grams(F.col("slug"), GRAM)).alias("gram")).groupBy("gram").agg(F.count("*").alias("times")))
+    least = F.col("n") + F.ceil(F.col("n") * (1 - share) / (1 + share))  # letters of the slug and its shortest partner
+    kept = F.greatest(F.lit(1), F.ceil(least * (0.5 - 2.5 * share) + 2 - 1e-6))
+    pieces = saved(_rarest(rows, frequency, F.col("n") + GRAM - kept))
+    x = pieces.select(F.col("slug").alias("x"), F.col("position").alias("px"), F.col("n").alias("nx"), "gram")
+    y = pieces.select(F.col("slug").alias("y"), F.col("position").alias("py"), F.col("n").alias("ny"), "gram")
+    near = (F.struct("px", "x") < F.struct("py", "y")) & (F.abs(F.col("nx") - F.col("ny")) <= share * (F.col("nx") + F.col("ny")))
+    met = dealt_join(x, y, "gram", F.col("y")).where(near).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    return met.withColumn("score", fuzzy.indel_ratio_udf("a", "b")).where(F.col("score") >= threshold)
 
 
 def canonical(slugs: DataFrame, threshold: float = IDENTITY_THRESHOLD) -> DataFrame:
@@ -73,8 +118,6 @@ def canonical(slugs: DataFrame, threshold: float = IDENTITY_THRESHOLD) -> DataFr
     A slug joins the earlier canonical slug with the best score (the earlier one on ties), or becomes canonical itself. Merging isn't
     transitive: an alias never attracts others. Rounds decide all slugs whose earlier neighbours are decided, each as joins.
     """
-    from corvane.operators.rounds import saved
-
     first = slugs.groupBy("slug").agg(F.min("position").alias("position"))
     pairs = saved(similar_slugs(first, threshold).join(first.select(F.col("slug").alias("a"), "position"), "a"))
     decided = saved(first.join(pairs.select(F.col("b").alias("slug")).distinct(), "slug", "left_anti").select("slug", F.col("slug").alias("canonical")))
@@ -90,12 +133,6 @@ def canonical(slugs: DataFrame, threshold: float = IDENTITY_THRESHOLD) -> DataFr
 
 
 def typo_filter(texts: DataFrame, column: Column, query: str) -> DataFrame:
-    """Rows whose text holds every token of query up to typing errors at the beginnings of words."""
+    """Rows whose text holds every token of one query up to typing errors at the beginnings of words; typo_search answers many at once."""
     fold = T.fold_slug(column)
     return texts.where(fuzzy.tolerates_udf(T.fold_slug(F.lit(query)), F.btrim(F.regexp_replace(fold, r"[^\p{L}\p{N}]+", " "))))
-
-
-def edit_limit(n: int, threshold: float = IDENTITY_THRESHOLD) -> int:
-    """Edits that a pair may have whose shorter slug has n letters."""
-    share = 1 - threshold / 100
-    return math.floor(share * (n + math.floor(n * (1 + share) / (1 - share))))

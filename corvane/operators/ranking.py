@@ -42,6 +42,12 @@ class _Best:
         self.least[self.query[full]] = self.similarity[full]
 
 
+def _matrix(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of some rows (id, vector), and their vectors as the rows of a matrix."""
+    ids, lists = rows.column(0).to_numpy(), rows.column(1).combine_chunks()
+    return ids, lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1) if len(ids) else np.zeros((0, 0))
+
+
 def _local(items: DataFrame, item: str, vector: str, names: np.ndarray, vectors: np.ndarray, k: int) -> DataFrame:
     """(query, item, similarity): of each task, the k best items of each query."""
     shared = items.sparkSession.sparkContext.broadcast((names, vectors))
@@ -77,9 +83,7 @@ def nearest(queries: DataFrame, items: DataFrame, k: int, query: str = "query_id
     found = None
     for number in range(blocks):
         part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == number)
-        rows = part.collect()
-        vectors = np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1) if rows else np.zeros((0, 0))
-        local = _local(items, item, vector, np.array([r[0] for r in rows], np.int64), vectors, k)
+        local = _local(items, item, vector, *_matrix(part.toArrow()), k)
         local = local if blocks == 1 else saved(local)
         found = local if found is None else found.unionByName(local)
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "item"))
@@ -104,7 +108,7 @@ def hits(queries: DataFrame, items: DataFrame, p: RankParams) -> DataFrame:
     """Items of the pool above the floor on the pure similarity, with the hybrid one and the recency-weighted one."""
     terms = queries.select("query_id", T.content_terms(F.col("text")).alias("terms"))
     pool = nearest(queries, items, p.pool).where(F.col("similarity") >= p.floor)
-    joined = pool.join(_with_terms(items, pool, title=_titles(items)), "item_id").join(F.broadcast(terms), "query_id")
+    joined = pool.join(_with_terms(items, pool, title=_titles(items)), "item_id").join(terms, "query_id")
     overlap = T.lexical_overlap(F.col("terms"), F.col("title_terms"))
     hybrid = F.round(F.col("similarity") + p.lexical_weight * overlap, 9)
     return joined.withColumn("hybrid", hybrid).withColumn("weighted", F.round(F.col("hybrid") * recency(F.col("year"), p), 9))
@@ -144,7 +148,7 @@ def recommend_items(queries: DataFrame, items: DataFrame, eligible: DataFrame, p
     allowed = items.join(eligible.select("item_id").distinct(), "item_id", "left_semi")
     terms = queries.select("query_id", T.content_terms(F.col("text")).alias("terms"))
     pool = nearest(queries, allowed, p.top_k * pool_factor)
-    joined = pool.join(_with_terms(allowed, pool, title=F.col("title"), body=F.col("body")), "item_id").join(F.broadcast(terms), "query_id")
+    joined = pool.join(_with_terms(allowed, pool, title=F.col("title"), body=F.col("body")), "item_id").join(terms, "query_id")
     whole = T.lexical_overlap(F.col("terms"), F.col("body_terms"))
     title = T.lexical_overlap(F.col("terms"), F.col("title_terms"))
     scored = joined.where(passes(F.col("similarity"), whole, p)).withColumn("score", F.round(F.col("similarity") + p.lexical_weight * title, 9))
@@ -175,7 +179,7 @@ def centroids(items: DataFrame) -> DataFrame:
 
 def similar_groups(items: DataFrame, top_k: int = 6) -> DataFrame:
     """For each group the groups whose centroids are nearest to its own by cosine."""
-    units = centroids(items).select(F.col("group_id").alias("query_id"), unit(F.col("centroid")).alias("vector"))
+    units = saved(centroids(items).select(F.col("group_id").alias("query_id"), unit(F.col("centroid")).alias("vector")))
     found = nearest(units, units.withColumnRenamed("query_id", "item_id"), top_k + 1).where("query_id <> item_id")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "item_id"))
     return found.withColumn("place", place).where(F.col("place") <= top_k).select(F.col("query_id").alias("group_id"), "place", F.col("item_id").alias("other_id"), "similarity")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import scoring as S
 from corvane.functions import text as T
-from corvane.operators import ranking
+from corvane.operators import ranking, vector_index
 from corvane.plans import sql
 from corvane.plans.standins import FACTS, GROUPS, ITEMS, PARAMS, SEARCHES, facts, items, searches, table
 
@@ -18,6 +18,14 @@ def knn_topk(spark, sf_dir: str) -> DataFrame:
     return ranking.nearest(searches(spark, sf_dir), items(spark, sf_dir), P.pool)
 
 
+def knn_indexed(spark, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of each vector whose id is divisible by 100, by an inverted-file index of all of them."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))
+    index = vector_index.tune(vector_index.build(vectors), 10)
+    asked = vectors.where("item_id % 100 = 0").withColumnRenamed("item_id", "query_id")
+    return vector_index.search(index, asked, 10).withColumnRenamed("item", "item_id")
+
+
 def knn_floor(spark, sf_dir: str) -> DataFrame:
     return knn_topk(spark, sf_dir).where(F.col("similarity") >= P.floor).groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.max("similarity"), 6).alias("best"))
 
@@ -88,7 +96,7 @@ def decay_score(spark, sf_dir: str) -> DataFrame:
     return summed.select("query_id", "group_id", "n", F.round(F.col("total") / F.greatest(F.lit(1), F.least("n", F.lit(3))), 5).alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (knn_topk, knn_floor, l2_norm, recommend_groups, filtered_groups, recommend_courses, centroids, similar_groups, lexical_overlap, explanation, decay_score)}
+QUERIES = {f.__name__: f for f in (knn_topk, knn_indexed, knn_floor, l2_norm, recommend_groups, filtered_groups, recommend_courses, centroids, similar_groups, lexical_overlap, explanation, decay_score)}
 
 
 def _knn(where: str = "true", k: int = P.pool, source: str = "items", name: str = "knn") -> str:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import scoring as S
 from corvane.functions import text as T
-from corvane.operators import tables
+from corvane.operators import tables, typo_search
 from corvane.plans import sql
 from corvane.plans.standins import FACTS, PARAMS, facts, table
 
@@ -39,9 +39,11 @@ def names(spark, sf_dir: str) -> DataFrame:
 
 
 def token_search(spark, sf_dir: str) -> DataFrame:
-    """Parts whose folded name holds every token of a query, whatever its accents."""
-    tokens = F.split(T.fold_name(F.lit("Ŕing SMÁLL")), " ")
-    return table(spark, sf_dir, "part").where(F.forall(tokens, lambda t: F.contains(T.fold_name(F.col("p_name")), t))).select("p_partkey", "p_name")
+    """Parts whose folded name holds every token of a query, whatever its accents: the words of the parts with an id divisible by 100, changed over."""
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_id"), F.col("p_name").alias("text"))
+    asked = F.concat_ws(" ", F.split("text", " ")[1], F.left(F.translate(F.upper("text"), "RS", "ŔŚ"), F.lit(3)))
+    queries = rows.where("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), asked.alias("text"))
+    return typo_search.matches(rows, queries, typos=False).select("query_id", F.col("item_id").alias("p_partkey"))
 
 
 def recency_weight(spark, sf_dir: str) -> DataFrame:
@@ -254,7 +256,8 @@ SQL = {
     "query_key": "SELECT conv_id, turn, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS key FROM conversations",
     "snippet": f"SELECT doc_id, CASE WHEN text = '' THEN NULL WHEN length({_FLAT}) <= 220 THEN {_FLAT} ELSE regexp_replace(left({_FLAT}, 220), ' [^ ]*$', '') || '…' END AS snippet FROM documents",
     "names": f"SELECT p_partkey, f AS family, g AS given, {_SLUG('f')} || '_' || {_SLUG('g')} AS slug FROM (SELECT p_partkey, regexp_extract(p_name, '(\\S+)$', 1) AS f, trim(regexp_replace(p_name, '(^|\\s)\\S+$', '')) AS g FROM part)",
-    "token_search": "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'ring') AND contains(lower(p_name), 'small')",
+    "token_search": """SELECT q.p_partkey AS query_id, p.p_partkey FROM part q JOIN part p ON contains(p.p_name, string_split(q.p_name, ' ')[2]) AND contains(p.p_name, trim(left(q.p_name, 3)))
+WHERE q.p_partkey % 100 = 0""",
     "recency_weight": f"WITH {FACTS} SELECT item_id, round(CASE WHEN year IS NULL THEN 0.5 ELSE pow(0.5, greatest(0, {NOW} - year) / 4.0) END, 9) AS weight FROM facts",
     "calibrated": "SELECT s_suppkey, score, CASE WHEN score >= 0.8 THEN 'very high' WHEN score >= 0.6 THEN 'high' WHEN score >= 0.4 THEN 'medium' ELSE 'low' END AS level FROM (SELECT s_suppkey, round(greatest(0.0, least(1.0, (s_acctbal / 10000.0::DOUBLE - 0.55::DOUBLE) / (1.1::DOUBLE - 0.55::DOUBLE))), 6) AS score FROM supplier)",
     "plurals": "SELECT o_custkey, n || ' ' || CASE WHEN n % 10 = 1 AND n % 100 <> 11 THEN 'rad' WHEN n % 10 BETWEEN 2 AND 4 AND n % 100 NOT BETWEEN 12 AND 14 THEN 'rada' ELSE 'radova' END AS said FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey)",
