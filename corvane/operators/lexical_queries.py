@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.operators import lexical
 from corvane.plans.standins import FACTS, facts, table
 
 
@@ -17,6 +18,11 @@ def _asked(spark, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), tokens(F.col("text")).alias("asked"))
 
 
+def _briefly(asked: DataFrame) -> DataFrame:
+    """The queries, those whose id is divisible by 7 without their tokens."""
+    return asked.withColumn("asked", F.when(F.col("query_id") % 7 != 0, F.col("asked")).otherwise(F.expr("array_repeat('', 0)")))
+
+
 def _hits(spark, sf_dir: str) -> DataFrame:
     """(query_id, item_id, n, hits, weighted): an inverted join on tokens; those of the title count one and a half."""
     docs = facts(table(spark, sf_dir, "documents")).select("item_id", tokens(F.col("title")).alias("strong"), tokens(F.col("body")).alias("words"))
@@ -25,21 +31,31 @@ def _hits(spark, sf_dir: str) -> DataFrame:
     return asked.join(words, "word").groupBy("query_id", "item_id").agg(F.max("n").alias("n"), F.count("*").alias("hits"), F.sum(F.when(F.col("strong"), 1.5).otherwise(1.0)).alias("weighted"))
 
 
-def _top(scored: DataFrame, k: int) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id"))
-    return scored.select("query_id", "item_id", "score", place.alias("place")).where(F.col("place") <= k)
+def _postings(spark, sf_dir: str, title: float) -> lexical.Postings:
+    """The words of all items; title: what those of the title count, against 1 for the others."""
+    docs = facts(table(spark, sf_dir, "documents")).select("item_id", tokens(F.col("title")).alias("strong"), tokens(F.col("body")).alias("words"))
+    rows = docs.select("item_id", "strong", F.explode("words").alias("word"))
+    return lexical.postings(rows.select("item_id", "word", F.when(F.array_contains("strong", F.col("word")), title).otherwise(1.0).alias("weight")))
 
 
 def lexical_items(spark, sf_dir: str) -> DataFrame:
     """The ten best items of each query by weighted coverage of its tokens, mapped into 0.45 to 0.95."""
+    asked = _asked(spark, sf_dir)
+    found = lexical.best_items(_postings(spark, sf_dir, 1.5), asked, 10).join(asked.select("query_id", F.size("asked").alias("n")), "query_id")
     score = F.round(F.least(F.lit(0.95), 0.45 + 0.5 * (F.col("weighted") / (F.col("n") * 1.5))), 9)
-    return _top(_hits(spark, sf_dir).select("query_id", "item_id", score.alias("score")), 10)
+    return found.select("query_id", "item_id", score.alias("score"), "place")
 
 
 def lexical_courses(spark, sf_dir: str) -> DataFrame:
-    """The twelve best items of each query by plain coverage, mapped into 0.4 to 0.95."""
+    """The twelve best items of each query by plain coverage, mapped into 0.4 to 0.96; all items have 0.55 for one without tokens.
+
+    Every seventh query is asked without its tokens here, as the table's ones all have some.
+    """
+    asked = _briefly(_asked(spark, sf_dir))
+    found = lexical.best_items(_postings(spark, sf_dir, 1.0), asked, 12).join(asked.select("query_id", F.size("asked").alias("n")), "query_id")
     score = F.round(F.least(F.lit(0.96), 0.4 + 0.55 * (F.col("hits") / F.col("n"))), 9)
-    return _top(_hits(spark, sf_dir).select("query_id", "item_id", score.alias("score")), 12)
+    items = facts(table(spark, sf_dir, "documents"))
+    return lexical.filled(found.select("query_id", "item_id", score.alias("score")), asked, items, 12, F.when(F.size("asked") > 0, 0.4).otherwise(0.55)).select("query_id", "item_id", "score", "place")
 
 
 def page_window(current: Column, total: Column) -> Column:
@@ -100,7 +116,12 @@ def _ranked(score: str, k: int) -> str:
 
 SQL = {
     "lexical_items": _ranked("least(0.95::DOUBLE, 0.45::DOUBLE + 0.5::DOUBLE * (weighted / (n * 1.5::DOUBLE)))", 10),
-    "lexical_courses": _ranked("least(0.96::DOUBLE, 0.4::DOUBLE + 0.55::DOUBLE * (hits / n))", 12),
+    "lexical_courses": f"""WITH {_HITS}, q AS (SELECT item_id AS query_id, len({_TOKENS("text")}) AS n FROM benchmark),
+ids AS (SELECT DISTINCT item_id FROM facts WHERE item_id IS NOT NULL),
+scored AS (
+  SELECT q.query_id, ids.item_id, round(CASE WHEN q.n = 0 OR q.query_id % 7 = 0 THEN 0.55 ELSE least(0.96::DOUBLE, 0.4::DOUBLE + 0.55::DOUBLE * (coalesce(h.hits, 0) / q.n)) END, 9) AS score
+  FROM q CROSS JOIN ids LEFT JOIN hits h ON h.query_id = q.query_id AND h.item_id = ids.item_id)
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS INTEGER) AS place FROM scored) WHERE place <= 12""",
     "page_windows": """WITH s AS (SELECT s_suppkey, s_suppkey % 12 + 1 AS total, s_suppkey % (s_suppkey % 12 + 1) + 1 AS current FROM supplier),
 p AS (SELECT s_suppkey, list_sort(list_distinct(list_filter([1, total, current, current - 1, current + 1], lambda x: x BETWEEN 1 AND total))) AS k FROM s),
 q AS (SELECT s_suppkey, unnest(k) AS x, unnest([0] || k[:len(k) - 1]) AS b FROM p)
