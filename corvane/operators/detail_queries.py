@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import display as D
 from corvane.functions import text as T
-from corvane.operators import identity, lexical_queries, ranking, ranking_queries, tables
+from corvane.operators import identity, lexical_queries, listing, ranking, ranking_queries, tables
 from corvane.plans import sql
 from corvane.plans.standins import FACTS, ITEMS, PARAMS, SEARCHES, facts, items, searches, table
 
@@ -114,6 +114,18 @@ def people_list(spark, sf_dir: str) -> DataFrame:
     return page.join(F.broadcast(total))  # one row
 
 
+def people_browse(spark, sf_dir: str) -> DataFrame:
+    """The people whose name holds a query, by unit and field: a page of them, their total, and what the filters' other values would give."""
+    fields = facts(table(spark, sf_dir, "documents")).where("field <> ''").groupBy(F.col("group_id").alias("s_suppkey")).agg(F.collect_set("field").alias("fields"))
+    people = _people(spark, sf_dir).join(fields, "s_suppkey", "left")
+    filters = {"unit": (F.col("s_nationkey").between(3, 20), F.col("s_nationkey")), "field": (F.exists("fields", lambda x: x.contains("e")), F.col("fields"))}
+    search = F.contains(T.fold_name(F.col("s_name")), F.lit("supplier 0"))
+    found = listing.listed(people, filters, [F.desc("n_works"), F.expr("s_name collate hr"), F.col("s_suppkey")], 10, 5, search)
+    none = F.lit(None)
+    page = found.page.select(F.lit("person").alias("kind"), none.cast("string").alias("value"), F.col("n_works").alias("n"), "s_suppkey", F.col("place").cast("long").alias("place"))
+    return page.unionByName(found.counts.select(F.coalesce("facet", F.lit("total")).alias("kind"), "value", "n", none.cast("long").alias("s_suppkey"), none.cast("long").alias("place")))
+
+
 def people_found(spark, sf_dir: str) -> DataFrame:
     """People whose name holds a query, twenty a query, in an explicit order that overrides that of the match."""
     people = _people(spark, sf_dir)
@@ -309,7 +321,7 @@ def paging(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    titles, programmes, unit_items, course_pool, recommended_people, recommended_courses, people_list, people_found, person_fields, person_items, compared_people, course_detail,
+    titles, programmes, unit_items, course_pool, recommended_people, recommended_courses, people_list, people_browse, people_found, person_fields, person_items, compared_people, course_detail,
     elective_profiles, resolved_programmes, areas, summary_counts, freshness, json_values, unit_counts, shortlist, kind_buckets, peaks, profile_slugs, surname_keys, shares_and_dates,
     prompts, keyword_matches, lexical_people, length_order, paging,
 )}
@@ -387,6 +399,15 @@ FROM rows""",
     "people_list": f"""
 WITH {_PEOPLE}, chosen AS (SELECT * FROM people WHERE s_nationkey BETWEEN 3 AND 20 AND s_suppkey IN (SELECT group_id FROM facts WHERE field ILIKE '%e%'))
 SELECT s_suppkey, s_name, s_nationkey, n_works, (SELECT count(*) FROM chosen) AS total FROM chosen ORDER BY n_works DESC, s_name, s_suppkey LIMIT 10 OFFSET 5""",
+    "people_browse": f"""
+WITH {_PEOPLE}, tagged AS (SELECT group_id, list_distinct(list(field)) AS fields FROM facts WHERE field <> '' GROUP BY group_id),
+asked AS (SELECT p.*, coalesce(fields, []) AS fields FROM people p LEFT JOIN tagged ON group_id = s_suppkey WHERE contains(lower(replace(s_name, '#', ' ')), 'supplier 0')),
+judged AS (SELECT *, s_nationkey BETWEEN 3 AND 20 AS by_unit, len(list_filter(fields, lambda x: contains(x, 'e'))) > 0 AS by_field FROM asked),
+ranked AS (SELECT *, row_number() OVER (ORDER BY n_works DESC, s_name, s_suppkey) AS place FROM judged WHERE by_unit AND by_field)
+SELECT 'person' AS kind, NULL::VARCHAR AS value, n_works AS n, s_suppkey, place FROM ranked WHERE place BETWEEN 6 AND 15
+UNION ALL SELECT 'total', NULL, count(*), NULL, NULL FROM ranked HAVING count(*) > 0
+UNION ALL SELECT 'unit', CAST(s_nationkey AS VARCHAR), count(*), NULL, NULL FROM judged WHERE by_field GROUP BY s_nationkey
+UNION ALL SELECT 'field', f, count(*), NULL, NULL FROM (SELECT unnest(fields) AS f FROM judged WHERE by_unit) GROUP BY f""",
     "people_found": f"""
 WITH {_PEOPLE}, found AS (
   SELECT q.s_suppkey AS query_id, p.s_suppkey, p.s_name, p.n_works, CAST(row_number() OVER (PARTITION BY q.s_suppkey ORDER BY p.s_name, p.s_suppkey) AS INTEGER) AS place

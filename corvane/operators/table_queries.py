@@ -116,7 +116,13 @@ def locale_order(spark, sf_dir: str) -> DataFrame:
     """Customers by name in Croatian order: č and ć after c, đ after d, š after s, ž after z. Digits stand in as letters."""
     name = F.translate(F.right(F.col("c_name"), F.lit(6)), "0123456789", "acčćdđesšz")
     named = table(spark, sf_dir, "customer").select("c_custkey", name.alias("name"))
-    return named.select("c_custkey", "name", F.row_number().over(Window.orderBy(F.expr("name collate hr"), "c_custkey")).alias("place"))
+    return tables.placed(named, [F.expr("name collate hr"), F.col("c_custkey")])
+
+
+def people_after(spark, sf_dir: str) -> DataFrame:
+    """The page of customers behind a given one, by balance and number."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
+    return tables.after(rows, [("c_acctbal", True), ("c_custkey", False)], [5000.0, 10], 40)
 
 
 def programme_order(spark, sf_dir: str) -> DataFrame:
@@ -244,7 +250,7 @@ def page_titles(spark, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     fold_text, content_tokens, query_key, snippet, names, token_search, recency_weight, calibrated, plurals, content_keys, landing_urls, embedding_texts, group_counts, source_counts,
-    latest_runs, newest_first, people_with_field, people_page, locale_order, programme_order, offerings, most_shared, upsert, prune, pending, dedupe_first, timeline, compare,
+    latest_runs, newest_first, people_with_field, people_page, locale_order, people_after, programme_order, offerings, most_shared, upsert, prune, pending, dedupe_first, timeline, compare,
     current_topics, field_similarity, saved_items, recent_searches, rate_windows, page_links, page_titles,
 )}
 
@@ -270,9 +276,10 @@ WHERE q.p_partkey % 100 = 0""",
     "newest_first": f"WITH {FACTS} SELECT group_id, CAST(row_number() OVER (PARTITION BY group_id ORDER BY year DESC NULLS FIRST, item_id) AS INTEGER) AS place, item_id, coalesce(year, 0) AS year FROM facts",
     "people_with_field": "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority ILIKE '%high%')",
     "people_page": "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 50 OFFSET 100",
+    "people_after": "SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal < 5000 OR c_acctbal = 5000 AND c_custkey > 10 ORDER BY c_acctbal DESC, c_custkey LIMIT 40",
     "locale_order": """
 WITH named AS (SELECT c_custkey, translate(right(c_name, 6), '0123456789', 'acčćdđesšz') AS name FROM customer)
-SELECT c_custkey, name, CAST(row_number() OVER (ORDER BY translate(name, 'acčćdđesšz', '0123456789'), c_custkey) AS INTEGER) AS place FROM named""",
+SELECT c_custkey, name, row_number() OVER (ORDER BY translate(name, 'acčćdđesšz', '0123456789'), c_custkey) AS place FROM named""",
     "programme_order": "SELECT n_name, CAST(row_number() OVER (ORDER BY CASE r_name WHEN 'EUROPE' THEN 0 WHEN 'ASIA' THEN 1 ELSE 9 END, coalesce(r_name, ''), n_name) AS INTEGER) AS place FROM nation JOIN region ON n_regionkey = r_regionkey",
     "offerings": "SELECT l_partkey, string_agg(DISTINCT n_name, ',' ORDER BY n_name) AS profiles FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY l_partkey",
     "most_shared": "SELECT l_partkey, CAST(count(DISTINCT s_nationkey) AS INTEGER) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey WHERE p_size % 2 = 1 GROUP BY l_partkey ORDER BY n DESC, l_partkey LIMIT 1",

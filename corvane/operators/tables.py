@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.operators.rounds import saved
+
 
 def content_key(*parts: Column) -> Column:
     """The first 24 hexadecimal digits of the parts' sha1; null counts as empty."""
@@ -67,6 +69,40 @@ def page(rows: DataFrame, order: list[Column], limit: int = 50, offset: int = 0)
     return rows.orderBy(*order).offset(offset).limit(limit)
 
 
+def placed(rows: DataFrame, order: list[Column], parts: int | None = None) -> DataFrame:
+    """rows with their place (1, 2, ...) in one order of all of them, without a task that sees them all.
+
+    Rows are dealt into ranges of the order and sorted there; a row's place is its place within its range plus the rows of the ranges
+    before, of which only the counts are gathered. Rows that are equal in the order lie in one range, so let the order end with a key.
+    """
+    parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # an id counts from 0 within each partition, in its low 33 bits
+    ids = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    kept = saved(ids)
+    part, within = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = kept.groupBy(part.alias("_range")).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")  # a row a range: as many as parts
+    offsets = F.broadcast(counts.select("_range", before.alias("_before")))
+    return kept.withColumn("_range", part).join(offsets, "_range").withColumn("place", F.col("_before") + within + 1).drop("_id", "_range", "_before")
+
+
+def after(rows: DataFrame, order: list[tuple[str, bool]], last: list, limit: int = 50) -> DataFrame:
+    """The page behind a row: the next rows in order after one with the values last, whatever was inserted or deleted before it.
+
+    order: columns (none of them null) and whether each falls; the last ones must tell rows apart. Nothing is skipped over, so a late page
+    costs as much as the first, and the bound reaches the scan.
+    """
+    if not 1 <= limit <= 200:
+        raise ValueError("limit must be 1 to 200")
+    beyond, equal = F.lit(False), F.lit(True)
+    for (name, falls), value in zip(order, last, strict=True):
+        beyond = beyond | equal & ((F.col(name) < value) if falls else (F.col(name) > value))
+        equal = equal & (F.col(name) == value)
+    first, value = order[0], last[0]
+    bound = (F.col(first[0]) <= value) if first[1] else (F.col(first[0]) >= value)
+    return rows.where(bound & beyond).orderBy(*[F.desc(n) if falls else F.asc(n) for n, falls in order]).limit(limit)
+
+
 def next_offset(loaded: Column, total: Column) -> Column:
     """Where the next part of a list starts: after the rows that are loaded; null when all are."""
     return F.when(loaded < total, loaded)

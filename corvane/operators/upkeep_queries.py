@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
-from corvane.operators import ingest
+from corvane.operators import centroid_state, course_ingest, ingest
+from corvane.operators.rounds import folder
+from corvane.operators.runs import RunLog
 from corvane.plans.standins import table
 
 
@@ -87,8 +89,54 @@ def course_details_rejected(spark, sf_dir: str) -> DataFrame:
     return _details(spark, sf_dir)[1].select("code", "name_en")
 
 
+def centroids_kept(spark, sf_dir: str) -> DataFrame:
+    """Centroids of vectors by their number: a start, then upserts of a part that changes groups and deletes of another part."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))
+    start = vectors.where("item_id % 3 <> 0").withColumn("group_id", F.col("item_id") % 40)
+    state = centroid_state.sums(start)
+    moved = vectors.where("item_id % 4 = 0").withColumn("group_id", F.col("item_id") % 7)
+    state = centroid_state.upserted(state, start, moved)
+    gone = start.join(moved.select("item_id"), "item_id", "left_anti").where("item_id % 5 = 0")
+    state = centroid_state.changed(state, start.limit(0), gone)
+    return centroid_state.centroids(state).select("group_id", "n", F.size("centroid").alias("dimensions"), F.round(F.aggregate("centroid", F.lit(0.0), lambda x, y: x + y), 6).alias("total"), F.round(F.col("centroid")[0], 6).alias("first"))
+
+
+def _course_pages(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Programmes' and courses' pages whose text comes from nations and parts."""
+    parts = table(spark, sf_dir, "part").withColumn("nation", F.col("p_partkey") % 25).withColumn("elective", F.col("p_partkey") % 2 == 0)
+    link = F.when(F.col("p_partkey") % 11 != 0, F.concat(F.lit('<a href="/predmet/c'), "p_partkey", F.lit('?x=1">'), "p_name", F.lit("</a>"))).otherwise(F.col("p_name"))
+    box = F.concat(F.lit('<div class="coursebox-content"><div class="leftcont">ECTS '), F.translate((F.col("p_size") / 2).cast("string"), ".", ","), F.lit("</div>"), link, F.lit("</div>"))
+    boxes = lambda chosen: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(chosen, F.struct(F.col("p_partkey").alias("k"), box.alias("html"))))), lambda x: x["html"]), "")
+    lists = parts.groupBy("nation").agg(boxes(~F.col("elective")).alias("must"), boxes(F.col("elective")).alias("may"))
+    html = F.concat(F.lit('<a href="#s1" title="1. semestar">I</a><h1>'), F.initcap("n_name"), F.lit('</h1><div id="s1"><h4 class="grouptitle">Obvezni</h4>'), "must", F.lit('<h4 class="grouptitle">Izborni (2)</h4>'), "may", F.lit("</div>"))
+    programmes = table(spark, sf_dir, "nation").join(lists, F.col("n_nationkey") == F.col("nation"), "left").select(F.concat(F.lit("N"), "n_nationkey").alias("code"), F.lit("pred").alias("level"), F.col("n_regionkey").cast("string").alias("area"), html.alias("html"))
+    page = F.concat(F.lit("<title> "), F.upper("p_name"), F.lit("</title><h3>Nositelj</h3><p>H "), "p_type", F.lit("</p><h3>Opis kolegija</h3><h3>Sadržaj</h3><p>"), "p_name", F.lit(" <b>x</b></p>"))
+    details = table(spark, sf_dir, "part").where("p_partkey % 3 = 0").select(F.concat(F.lit("c"), "p_partkey").alias("code"), page.alias("html"), F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("<title>E "), "p_name", F.lit("</title>"))).alias("html_en"))
+    return programmes, details
+
+
+def _catalogue(spark, sf_dir: str) -> tuple[RunLog, course_ingest.Catalogue]:
+    log = RunLog(spark, folder(spark))
+    return log, course_ingest.ingest_courses(log, course_ingest.nothing(spark), *_course_pages(spark, sf_dir), with_en=True)
+
+
+def ingested_courses(spark, sf_dir: str) -> DataFrame:
+    """Courses after an audited ingest of pages made from the tables."""
+    return _catalogue(spark, sf_dir)[1].courses.drop("outcomes")
+
+
+def ingested_offerings(spark, sf_dir: str) -> DataFrame:
+    return _catalogue(spark, sf_dir)[1].offerings
+
+
+def ingest_log(spark, sf_dir: str) -> DataFrame:
+    """What the log says of that ingest."""
+    return _catalogue(spark, sf_dir)[0].states().select("source", "status", "parsed", "upserted", "rejected", F.size("warnings").alias("n_warnings"), F.element_at("warnings", 1).alias("first_warning"))
+
+
 QUERIES = {f.__name__: f for f in (
-    source_union, resolved_items, replaced_roles, upserted_programmes, upserted_courses, upserted_offerings, course_details, course_details_rejected,
+    source_union, resolved_items, replaced_roles, upserted_programmes, upserted_courses, upserted_offerings, course_details, course_details_rejected, centroids_kept,
+    ingested_courses, ingested_offerings, ingest_log,
 )}
 
 _COURSES = """courses AS (
@@ -135,4 +183,22 @@ SELECT a.code, coalesce(nullif(b.name, ''), a.name) AS name, b.name_en, CASE WHE
        CASE WHEN b.code IS NOT NULL THEN 's' END AS syllabus
 FROM courses a LEFT JOIN details b ON a.code = b.code""",
     "course_details_rejected": f"WITH {_COURSES}, {_DETAILS} SELECT code, name_en FROM details WHERE code NOT IN (SELECT code FROM courses)",
+    "centroids_kept": """
+WITH items AS (SELECT vec_id, CASE WHEN vec_id % 4 = 0 THEN vec_id % 7 ELSE vec_id % 40 END AS group_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 4 = 0 OR vec_id % 3 <> 0 AND vec_id % 5 <> 0),
+entries AS (SELECT group_id, vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM items),
+means AS (SELECT group_id, i, avg(x) AS x, count(*) AS n FROM entries GROUP BY group_id, i)
+SELECT group_id, max(n) AS n, CAST(count(*) AS INTEGER) AS dimensions, round(sum(x), 6) AS total, round(max(x) FILTER (i = 1), 6) AS first FROM means GROUP BY group_id""",
+    "ingested_courses": """
+SELECT 'c' || p_partkey AS code, CASE WHEN p_partkey % 3 = 0 THEN upper(p_name) ELSE p_name END AS name, CASE WHEN p_partkey % 6 = 0 THEN 'E ' || p_name END AS name_en, p_size / 2 AS credits, '/predmet/c' || p_partkey AS url,
+       CASE WHEN p_partkey % 3 = 0 THEN 'H ' || p_type END AS holder, CASE WHEN p_partkey % 3 = 0 THEN p_name || ' x' END AS syllabus,
+       CASE WHEN p_partkey % 3 = 0 THEN concat_ws(chr(10), upper(p_name), CASE WHEN p_partkey % 2 = 0 THEN 'E ' || p_name END, p_name || ' x') END AS embedding_text
+FROM part WHERE p_partkey % 11 <> 0""",
+    "ingested_offerings": """
+SELECT 'c' || p_partkey AS course_id, 'N' || p_partkey % 25 AS programme_id, 1 AS semester, p_partkey % 2 = 0 AS is_elective, CASE WHEN p_partkey % 2 = 0 THEN 'Izborni' END AS elective_group
+FROM part WHERE p_partkey % 11 <> 0""",
+    "ingest_log": """
+WITH n AS (SELECT count(*) FILTER (p_partkey % 11 <> 0) AS good, count(*) FILTER (p_partkey % 11 = 0) AS bad, count(*) FILTER (p_partkey % 11 <> 0 AND p_partkey % 3 = 0) AS described FROM part),
+first AS (SELECT 'N' || p_partkey % 25 AS page, p_name, replace(CAST(p_size / 2 AS VARCHAR), '.', ',') AS credits FROM part WHERE p_partkey % 11 = 0)
+SELECT 'courses' AS source, 'ok' AS status, good + described AS parsed, good + described AS upserted, bad AS rejected, CAST(least(bad, 201) AS INTEGER) AS n_warnings,
+       (SELECT min('no link in ' || page || ': ECTS ' || credits || ' ' || p_name) FROM first) AS first_warning FROM n""",
 }

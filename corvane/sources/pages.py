@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+#: A course's code in its link: what follows /predmet/, without slashes around it and what a question mark begins.
+_CODE = re.compile(r"(?s)(?:.*/predmet/)?/*([^?]*?)/*(?:\?.*)?$")
 
 
 def scan(spark: SparkSession, path: str) -> DataFrame:
@@ -179,7 +181,7 @@ class _Programme(HTMLParser):
             if "group" in box:
                 group[box["section"]] = box["group"]
                 continue
-            code = (box["href"] or "").split("/predmet/")[-1].strip("/").split("?")[0]
+            code = _CODE.match(box["href"] or "")[1]
             state = "row" if code else "no link"
             yield state, code, box["name"], box["left"], semester, group.get(box["section"], ""), box["text"]
 
