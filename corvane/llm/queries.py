@@ -10,4 +10,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_licenses": licenses.OP1_SQL, "op6_mixing": mixing.OP6_SQL, "op7_fmindex": fmindex.OP7_SQL, "op8_secrets": secrets.OP8_SQL, "op9_neardup": neardup.OP9_SQL, "op10_suffixes": suffixes.OP10_SQL, "op11_resample": resample.OP11_SQL}
+    return {"op1_licenses": licenses.OP1_SQL, "op6_mixing": mixing.OP6_SQL, "op7_fmindex": fmindex.OP7_SQL, "op8_secrets": secrets.OP8_SQL, "op8_secrets_wide": secrets.OP8_WIDE_SQL, "op9_neardup": neardup.OP9_SQL, "op10_suffixes": suffixes.OP10_SQL, "op11_resample": resample.OP11_SQL}

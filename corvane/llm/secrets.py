@@ -4,10 +4,8 @@ Built-in functions only. The patterns are matched leftmost and without overlap;
 lengths of the pieces between matches. A candidate string is a run of 20 or more characters of a class; a window
 of 20 characters slides over it, and its entropy is kept up to date by the two counts that change with each step.
 A run's hot windows (entropy at or above the class's threshold) give one span, from the first one's start to the last
-one's end, unless the run is on the allow list (examples, identifiers); runs without a digit (words, paths of words) are no candidates.
-
-op8_secrets and its SQL hold to these CLASSES. The wide scan (op8_secrets_wide, and redacted(), the pipeline's stage) adds classes
-for keys of one case and digits (the span is the whole run), and there a word of the allow list takes only the windows that touch it out of a run.
+one's end; of a key of one case and digits, whose alphabet has no joining signs, the span is the whole run. Runs without a digit (words, paths
+of words) and identifiers of a fixed form are no candidates, and a word that marks an example takes what touches it out of a run.
 
 Edge cases: null or empty text has no spans; very long texts, runs and lists of matches are scanned whole, in time that grows with
 their length; repeated rows each get a row; an empty table gives no rows; more columns are ignored by scanned() and kept by
@@ -38,27 +36,26 @@ PATTERNS = {
     "hex": r"[0-9a-f]{32,}",
 }
 LEAST_ASSIGN = 8
-#: class -> (runs of it, the symbols that are counted, bits of a hot window, what a run must contain).
+#: class -> (runs of it, the symbols that are counted, bits of a hot window, what a run must contain, whether its span is the whole run).
+#: Fewer symbols repeat sooner, so their bounds are lower: 99 and 98 of 100 random keys of 20 characters of one case reach theirs.
+#: Runs of hex digits alone are entropy_hex's.
 CLASSES = {
-    "entropy_hex": (r"[0-9A-Fa-f]{20,}", "0123456789abcdef", 3.0, ("[0-9]", "[A-Fa-f]")),
-    "entropy_base64": (r"[A-Za-z0-9+/_-]{20,}", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", 3.8, ("[0-9]", "[a-z]", "[A-Z]")),
-}
-#: Classes of the wide scan: keys of lower-case letters and digits, and of capitals and digits; those of hex digits alone are entropy_hex's.
-#: Fewer symbols repeat sooner, so the bounds are lower: 99 and 98 of 100 random keys of 20 characters reach them.
-WIDER = {
-    "entropy_base36": (r"[a-z0-9]{20,}", "abcdefghijklmnopqrstuvwxyz0123456789", 3.4, ("[0-9]", "[g-z]")),
-    "entropy_base32": (r"[A-Z0-9]{20,}", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 3.4, ("[0-9]", "[G-Z]")),
+    "entropy_hex": (r"[0-9A-Fa-f]{20,}", "0123456789abcdef", 3.0, ("[0-9]", "[A-Fa-f]"), False),
+    "entropy_base64": (r"[A-Za-z0-9+/_-]{20,}", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", 3.8, ("[0-9]", "[a-z]", "[A-Z]"), False),
+    "entropy_base36": (r"[a-z0-9]{20,}", "abcdefghijklmnopqrstuvwxyz0123456789", 3.4, ("[0-9]", "[g-z]"), True),
+    "entropy_base32": (r"[A-Z0-9]{20,}", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 3.4, ("[0-9]", "[G-Z]"), True),
 }
-#: The words of the first entry of ALLOWED.
+#: Words that mark an example: blanks stand for them where runs are looked for, so every other character keeps its place.
 MARKERS = ("example", "sample", "dummy", "placeholder")
 #: Runs that are no secrets whatever their entropy. Plain words and paths of words need no entry: without a digit they are no candidates.
 #: No pattern of this module repeats a group; Java's matcher would recurse once for each repetition.
-ALLOWED = (
-    r"(?:[Ee][Xx][Aa][Mm][Pp][Ll][Ee]|[Ss][Aa][Mm][Pp][Ll][Ee]|[Dd][Uu][Mm][Mm][Yy]|[Pp][Ll][Aa][Cc][Ee][Hh][Oo][Ll][Dd][Ee][Rr])",
-    r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$",
-)
+ALLOWED = (r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$",)
 KINDS = [*PATTERNS, *CLASSES]
-WIDE_KINDS = [*KINDS, *WIDER]
+
+
+def _any_case(word: str) -> str:
+    """A pattern of an ASCII word in letters of either case."""
+    return "".join(f"[{c.upper()}{c}]" for c in word)
 
 
 def _before(values: Column, zero: int, merge) -> Column:
@@ -155,25 +152,25 @@ def _hot_stretch(run: Column, symbols: str, bits: float) -> Column:
 
 
 def _unmarked(text: Column) -> Column:
-    """text with blanks in place of MARKERS, so that every other character keeps its place."""
+    """text with blanks in place of MARKERS."""
     for word in MARKERS:
-        text = F.regexp_replace(text, f"(?i){word}", " " * len(word))
+        text = F.regexp_replace(text, _any_case(word), " " * len(word))
     return text
 
 
-def _entropy(text: Column, name: str, allow: tuple[str, ...] = ALLOWED) -> Column:
-    pattern, symbols, bits, needs = CLASSES.get(name) or WIDER[name]
+def _entropy(text: Column, name: str) -> Column:
+    pattern, symbols, bits, needs, whole = CLASSES[name]
 
     def suspect(run: Column) -> Column:
         keep = F.lit(True)
         for need in needs:
             keep = keep & F.regexp_like(run, F.lit(need))
-        for allowed in allow:
+        for allowed in ALLOWED:
             keep = keep & ~F.regexp_like(run, F.lit(allowed))
         return keep
 
     runs = F.filter(_located(text, pattern), lambda x: suspect(x["found"]))
-    if name in WIDER:  # without / _ - a run is one key, and its span is the whole run
+    if whole:
         return F.transform(F.filter(runs, lambda x: _hot(x["found"], symbols, bits)["first"] >= 0), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
     scored = F.transform(runs, lambda x: F.struct(x["start"].alias("start"), _hot(x["found"], symbols, bits).alias("hot")))
     return F.transform(F.filter(scored, lambda x: x["hot"]["first"] >= 0), lambda x: F.struct((x["start"] + x["hot"]["first"]).alias("start"), (x["start"] + x["hot"]["last"] + WINDOW).alias("end")))
@@ -187,26 +184,23 @@ def _is_kind(k: int):
     return lambda x: x["kind"] == k
 
 
-def spans_of(docs: DataFrame, text: str = "text", wide: bool = False) -> DataFrame:
-    """docs with _spans: array of (start, kind as its place in WIDE_KINDS, end), in order of start, then kind; wide: of the wide scan."""
+def spans_of(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with _spans: array of (start, kind as its place in KINDS, end), in order of start, then kind."""
     body = F.coalesce(F.col(text), F.lit(""))
-    if wide:
-        docs = held(docs, "_unmarked", _unmarked(body))
+    docs = held(docs, "_unmarked", _unmarked(body))
     parts = []
-    for k, name in enumerate(WIDE_KINDS if wide else KINDS):
+    for k, name in enumerate(KINDS):
         if name in PATTERNS:
             found = _located(body, PATTERNS[name], 1 if name == "assign" else 0)
             found = F.filter(found, lambda x: F.length(x["found"]) >= LEAST_ASSIGN) if name == "assign" else found
-        elif wide and name != "entropy_hex":  # no marker stands in a run of hex digits
-            found = _entropy(F.col("_unmarked"), name, ALLOWED[1:])
         else:
-            found = _entropy(body, name)
+            found = _entropy(F.col("_unmarked"), name)
         parts.append(F.transform(found, _of_kind(k)))
     return held(docs, "_spans", F.array_sort(F.concat(*parts))).drop("_unmarked")
 
 
 def _said(spans: Column) -> Column:
-    kinds = F.array(*[F.lit(k) for k in WIDE_KINDS])
+    kinds = F.array(*[F.lit(k) for k in KINDS])
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(kinds, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
@@ -222,7 +216,7 @@ def scanned(docs: DataFrame) -> DataFrame:
 
 
 def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """docs with every span of the wide scan in text replaced by mark (spans that touch or overlap: by one mark) and n_chars brought up to date.
+    """docs with every span in text replaced by mark (spans that touch or overlap: by one mark) and n_chars brought up to date.
 
     A text is cut out of stretches of STRETCH characters, so a cut doesn't count characters from the text's start.
     """
@@ -244,7 +238,7 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
         return F.concat(F.array_join(F.transform(fresh, lambda g: F.concat(cut(parts, g["low"], g["high"]), F.lit(mark))), ""), cut(parts, rest, F.length("text")))
 
     given, names = masked(docs, "text")
-    found = spans_of(given, wide=True)
+    found = spans_of(given)
     text = F.when(F.size("_spans") > 0, let(stretches, marked)).otherwise(F.col("text"))
     new = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
     return held(found, "_text", text).select(*[new.get(c, F.col(names[c])).alias(c) for c in docs.columns])
@@ -255,37 +249,41 @@ def op8_secrets(spark, sf_dir: str) -> DataFrame:
 
 
 def op8_secrets_wide(spark, sf_dir: str) -> DataFrame:
-    """doc_id and all spans of the wide scan; its classes aren't op8_secrets's, so it has no SQL."""
-    return spans_of(table(spark, sf_dir, "documents").select("doc_id", "text"), wide=True).select("doc_id", _said(F.col("_spans")).alias("spans"))
+    """doc_id and all spans of op8_secrets."""
+    return op8_secrets(spark, sf_dir).select("doc_id", "spans")
 
 
-def _sql_located(name: str, pattern: str, group: int) -> str:
+def _sql_located(name: str, pattern: str, group: int, text: str = "text") -> str:
     p = pattern.replace("'", "''")
     return f"""
   SELECT doc_id, n, i, '{name}' AS kind, found, pos - length(whole) AS s, pos AS e FROM (
     SELECT doc_id, n, i, found, whole, CAST(sum(length(piece) + length(whole)) OVER (PARTITION BY n ORDER BY i) AS BIGINT) AS pos FROM (
-      SELECT doc_id, n, unnest(string_split_regex(text, '{p}')) AS piece, unnest(regexp_extract_all(text, '{p}')) AS whole, unnest(regexp_extract_all(text, '{p}', {group})) AS found,
-             unnest(range(len(regexp_extract_all(text, '{p}')))) AS i
-      FROM docs WHERE regexp_matches(text, '{p}')) WHERE i IS NOT NULL)"""
+      SELECT doc_id, n, unnest(string_split_regex({text}, '{p}')) AS piece, unnest(regexp_extract_all({text}, '{p}')) AS whole, unnest(regexp_extract_all({text}, '{p}', {group})) AS found,
+             unnest(range(len(regexp_extract_all({text}, '{p}')))) AS i
+      FROM docs WHERE regexp_matches({text}, '{p}')) WHERE i IS NOT NULL)"""
 
 
 def _sql() -> str:
     def entropy(name: str) -> str:
-        _, _, bits, needs = CLASSES[name]
+        _, _, bits, needs, whole = CLASSES[name]
         ok = " AND ".join([f"regexp_matches(found, '{x}')" for x in needs] + [f"NOT regexp_matches(found, '{x}')" for x in ALLOWED])
         fold = "lower(found)" if name == "entropy_hex" else "found"
+        span = "s, any_value(e) AS e" if whole else f"s + min(w) AS s, s + max(w) + {WINDOW} AS e"
         return f"""
-  SELECT doc_id, n, '{name}' AS kind, s + min(w) AS s, s + max(w) + {WINDOW} AS e FROM (
-    SELECT doc_id, n, i, s, {fold} AS found, unnest(range(length(found) - {WINDOW - 1})) AS w FROM r_{name} WHERE {ok})
+  SELECT doc_id, n, '{name}' AS kind, {span} FROM (
+    SELECT doc_id, n, i, s, e, {fold} AS found, unnest(range(length(found) - {WINDOW - 1})) AS w FROM r_{name} WHERE {ok})
   WHERE round(list_entropy(string_split(substr(found, CAST(w + 1 AS BIGINT), {WINDOW}), '')) * {WINDOW}, 6) >= {bits * WINDOW} GROUP BY doc_id, n, i, s"""
 
     kinds = "CASE kind " + " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(KINDS)) + " END"
-    ctes = [f"r_{k} AS ({_sql_located(k, PATTERNS[k], 1 if k == 'assign' else 0)})" for k in PATTERNS] + [f"r_{k} AS ({_sql_located(k, CLASSES[k][0], 0)})" for k in CLASSES]
+    ctes = [f"r_{k} AS ({_sql_located(k, PATTERNS[k], 1 if k == 'assign' else 0)})" for k in PATTERNS] + [f"r_{k} AS ({_sql_located(k, CLASSES[k][0], 0, 'unmarked')})" for k in CLASSES]
     every = [f"SELECT doc_id, n, kind, s, e FROM r_{k}" + (f" WHERE length(found) >= {LEAST_ASSIGN}" if k == "assign" else "") for k in PATTERNS] + [entropy(k) for k in CLASSES]
+    unmarked = "coalesce(text, '')"
+    for word in MARKERS:
+        unmarked = f"regexp_replace({unmarked}, '{_any_case(word)}', '{' ' * len(word)}', 'g')"
     base = ", ".join(f"'{k}'" for k in PATTERNS)
     said = "string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k, e)"
     return f"""
-WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS n FROM documents),
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, {unmarked} AS unmarked, row_number() OVER () AS n FROM documents),
 {", ".join(ctes)},
 spans AS (SELECT *, {kinds} AS k FROM ({" UNION ALL ".join(every)})),
 found AS (
@@ -299,3 +297,4 @@ FROM docs LEFT JOIN found USING (n)
 
 
 OP8_SQL = _sql()
+OP8_WIDE_SQL = f"SELECT doc_id, spans FROM ({OP8_SQL})"
