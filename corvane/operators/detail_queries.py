@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import display as D
 from corvane.functions import text as T
-from corvane.operators import identity, lexical_queries, listing, ranking, ranking_queries, tables
+from corvane.operators import identity, lexical_queries, listing, ranking, ranking_queries, requests, tables
 from corvane.plans import sql
 from corvane.plans.standins import FACTS, ITEMS, PARAMS, SEARCHES, facts, items, searches, table
 
@@ -154,6 +154,30 @@ def person_items(spark, sf_dir: str) -> DataFrame:
     return both.select("group_id", "place", "item_id", F.md5(F.col("title").cast("binary")).alias("title_md5"), "year", "url")
 
 
+def person_detail(spark, sf_dir: str) -> DataFrame:
+    """Each person in full, a row for each item: name, unit, number of works, fields; items newest first (unknown years first), with link and keywords.
+
+    A person without items has one row. Rows stay flat, so that no person's items are gathered in one.
+    """
+    rows = facts(table(spark, sf_dir, "documents"))
+    fields = rows.where("field <> ''").groupBy("group_id").agg(F.array_join(F.array_sort(F.collect_set("field")), ",").alias("fields"))
+    url = T.landing_url(F.col("source"), F.concat(F.lit("urn:"), "item_id"), "https://example.org/")
+    place = F.row_number().over(Window.partitionBy("group_id").orderBy(F.desc_nulls_first("year"), "item_id"))
+    items_ = rows.select("group_id", place.alias("place"), "item_id", F.md5(D.detail_title(F.col("title")).cast("binary")).alias("title_md5"), "year", "kind", F.array_join("keywords", "|").alias("keywords"), url.alias("url"))
+    people = _people(spark, sf_dir).select(F.col("s_suppkey").alias("group_id"), "s_name", F.col("s_nationkey").alias("unit"), "n_works").join(fields, "group_id", "left")
+    return people.withColumn("fields", F.coalesce("fields", F.lit(""))).join(items_, "group_id", "left")
+
+
+def checked_requests(spark, sf_dir: str) -> DataFrame:
+    """Requests made from documents, with what is wrong with each."""
+    i = F.col("doc_id")
+    made = table(spark, sf_dir, "documents").select(
+        "doc_id", F.left("text", i % 700).alias("text"), F.when(i % 9 != 0, (i % 60).cast("int")).alias("top_k"), F.repeat("lang", (i % 60).cast("int")).alias("unit"),
+        F.repeat("source", (i % 30).cast("int")).alias("field"), F.get(F.array(F.lit("zavrsni"), F.lit("diplomski"), F.lit(None), F.lit("doktorski")), (i % 4).cast("int")).alias("kind"),
+    )
+    return requests.group_requests(made).select("doc_id", "top_k", F.array_join("problems", "; ").alias("problems"))
+
+
 def compared_people(spark, sf_dir: str) -> DataFrame:
     """Up to four people side by side in the order asked for: buckets of kinds, last sane year, five topics, three pieces of evidence."""
     wanted = spark.range(1).select(F.posexplode(F.array(*[F.lit(k).cast("long") for k in (7, 3, 12, 5)])).alias("slot", "group_id"))
@@ -321,7 +345,7 @@ def paging(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    titles, programmes, unit_items, course_pool, recommended_people, recommended_courses, people_list, people_browse, people_found, person_fields, person_items, compared_people, course_detail,
+    titles, programmes, unit_items, course_pool, recommended_people, recommended_courses, people_list, people_browse, people_found, person_fields, person_items, person_detail, checked_requests, compared_people, course_detail,
     elective_profiles, resolved_programmes, areas, summary_counts, freshness, json_values, unit_counts, shortlist, kind_buckets, peaks, profile_slugs, surname_keys, shares_and_dates,
     prompts, keyword_matches, lexical_people, length_order, paging,
 )}
@@ -416,6 +440,21 @@ SELECT * FROM found WHERE place <= 20""",
     "person_fields": f"""
 WITH {_PEOPLE}, f AS (SELECT group_id, string_agg(DISTINCT field, ',' ORDER BY field) AS fields FROM facts WHERE field <> '' GROUP BY group_id)
 SELECT s_suppkey, s_name, n_works, coalesce(fields, '') AS fields FROM people LEFT JOIN f ON group_id = s_suppkey""",
+    "person_detail": f"""
+WITH {_PEOPLE}, f AS (SELECT group_id, string_agg(DISTINCT field, ',' ORDER BY field) AS fields FROM facts WHERE field <> '' GROUP BY group_id),
+listed AS (
+  SELECT group_id, CAST(row_number() OVER (PARTITION BY group_id ORDER BY year DESC NULLS FIRST, item_id) AS INTEGER) AS place, item_id, md5(trim(CASE WHEN title = '' THEN '{D.UNTITLED}' ELSE title END)) AS title_md5,
+         year, kind, array_to_string(keywords, '|') AS keywords, CASE WHEN source = 'repo' THEN 'https://example.org/urn:' || item_id END AS url FROM facts)
+SELECT s_suppkey AS group_id, s_name, s_nationkey AS unit, n_works, coalesce(fields, '') AS fields, place, item_id, title_md5, year, kind, keywords, url
+FROM people LEFT JOIN f ON f.group_id = s_suppkey LEFT JOIN listed ON listed.group_id = s_suppkey""",
+    "checked_requests": """
+WITH made AS (
+  SELECT doc_id, left(text, doc_id % 700) AS text, CAST(CASE WHEN doc_id % 9 <> 0 THEN doc_id % 60 ELSE 10 END AS INTEGER) AS top_k, repeat(lang, doc_id % 60) AS unit, repeat(source, doc_id % 30) AS field,
+         CASE doc_id % 4 WHEN 0 THEN 'zavrsni' WHEN 1 THEN 'diplomski' WHEN 3 THEN 'doktorski' END AS kind FROM documents)
+SELECT doc_id, top_k, concat_ws('; ', CASE WHEN coalesce(length(text), 0) = 0 THEN 'text: missing' WHEN length(text) > 500 THEN 'text: more than 500 characters' END,
+  CASE WHEN top_k NOT BETWEEN 1 AND 50 THEN 'top_k: not 1 to 50' END, CASE WHEN length(unit) > 100 THEN 'unit: more than 100 characters' END,
+  CASE WHEN length(field) > 200 THEN 'field: more than 200 characters' END, CASE WHEN kind NOT IN ('zavrsni', 'diplomski') THEN 'kind: not zavrsni or diplomski' END) AS problems
+FROM made""",
     "person_items": f"""
 WITH {FACTS}, rows AS (
   SELECT group_id, item_id, title, CAST(CASE WHEN source = 'schedule' THEN {NOW} ELSE year END AS INTEGER) AS year, CASE WHEN source = 'repo' THEN 'https://example.org/urn:' || item_id END AS url, source = 'repo' AS part FROM facts)

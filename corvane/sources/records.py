@@ -135,5 +135,12 @@ def items(records: DataFrame) -> DataFrame:
     )
 
 
+def first_items(found: DataFrame, limit: int) -> DataFrame:
+    """So many items that aren't rejected. The scan goes on only until they are found; which ones they are is up to it."""
+    if limit < 0:
+        raise ValueError("limit must not be negative")
+    return found.where("rejected IS NULL").limit(limit)
+
+
 def _field(name: str):
     return lambda o: o[name]
