@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Steps of an entry in a total.
-SCALE = 1 << 24
+SCALE = 1 << 40
 
 
 def sums(items: DataFrame, sign: int = 1) -> DataFrame:
