@@ -115,11 +115,6 @@ def may_reach(a: pd.Series, b: pd.Series, least: pd.Series) -> np.ndarray:
     return words | (np.where(long < 1.5 * short, like, np.maximum(like, stretch)) >= least.to_numpy() - 1e-6)
 
 
-@pandas_udf(DoubleType())
-def weighted_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([weighted_ratio(x or "", y or "") for x, y in zip(a, b, strict=True)])
-
-
 @pandas_udf(DoubleType())
 def indel_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([indel_ratio(x or "", y or "") for x, y in zip(a, b, strict=True)])
