@@ -65,7 +65,8 @@ def _telling(folded: Column) -> Column:
 def content_terms(text: Column) -> Column:
     """Distinct folded tokens that may carry a topic, in order of first occurrence; each distinct word is folded once."""
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}\p{M}]+"), F.lit(0)))
-    return F.array_distinct(F.filter(F.transform(words, fold), _telling))
+    long = F.filter(words, lambda w: F.length(w) >= MIN_TOKEN)  # folding makes no word longer
+    return F.array_distinct(F.filter(F.transform(long, lambda w: unmarked(F.translate(w, "đð", "dd"))), _telling))
 
 
 def content_words(text: Column) -> Column:
