@@ -16,6 +16,22 @@ def _filled(*parts: Column) -> Column:
     return F.coalesce(*[F.when(p != "", p) for p in parts], F.lit(""))
 
 
+def fixed(value: Column) -> Column:
+    """A number with six decimals, as C and SQL print it: rounded by its exact binary value, halves to even.
+
+    format_string rounds the shortest decimal that stands for the number, so 0.2479025, which is a little less in binary, would go up.
+    The product with a million is taken in two parts, which are both exact, so its distance from a half is, too.
+    """
+    x, million = F.abs(value), F.lit(1e6)
+    wide = x * F.lit(134217729.0)  # 2 ** 27 + 1: parts of 26 bits
+    high = wide - (wide - x)
+    low = (x - high) * million
+    whole = F.floor(high * million + low)
+    over = (high * million - (whole + F.lit(0.5))) + low
+    shown = whole + F.when((over > 0) | ((over == 0) & (whole % 2 == 1)), 1).otherwise(0)
+    return F.concat(F.when(value < 0, "-").otherwise(""), F.format_string("%.6f", shown / million))
+
+
 def listed_title(*titles: Column) -> Column:
     """The first title that holds something, trimmed; UNTITLED if nothing is left."""
     trimmed = F.btrim(_filled(*titles))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.functions import display as D
 from corvane.functions import scoring as S
 from corvane.functions import text as T
 from corvane.operators import ranking, vector_index
@@ -36,7 +37,7 @@ def l2_norm(spark, sf_dir: str) -> DataFrame:
 
 def recommend_groups(spark, sf_dir: str) -> DataFrame:
     found = ranking.recommend_groups(searches(spark, sf_dir), items(spark, sf_dir), P)
-    shown = F.transform("evidence", lambda x: F.concat_ws(":", x["item_id"].cast("string"), F.format_string("%.6f", x["similarity"])))
+    shown = F.transform("evidence", lambda x: F.concat_ws(":", x["item_id"].cast("string"), D.fixed(x["similarity"])))
     return found.select("query_id", "place", "group_id", "score", "n_items", F.array_join(shown, ",").alias("evidence"))
 
 

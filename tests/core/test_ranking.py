@@ -58,3 +58,10 @@ def test_sentences(spark):
     assert said[1:] == ["Preporučeno jer P ima 3 rada koji dijele pojmove „x”, „y” — npr. „B”.", "P mentorira 7 radova iz područja F i G koji se podudaraju s tvojom temom.", "P mentorira 2 rada iz srodnih područja koji se podudaraju s tvojom temom."]
     title = lambda *x: spark.range(1).select(D.listed_title(*map(F.lit, x)), D.detail_title(*map(F.lit, x))).first()
     assert tuple(title(" ", "b")) == (D.UNTITLED, "") and tuple(title("", "b ")) == ("b", "b") and tuple(title("", "")) == (D.UNTITLED, D.UNTITLED)
+
+
+def test_six_decimals_as_sql_prints_them(spark):
+    rng = np.random.default_rng(9)
+    values = [0.2479025, 0.2475385, 0.3179085, 0.2045815, 0.0078125, 0.0234375, 0.0, 1.0, 0.9999995, 0.9999994999, -0.2479025, 5e-7, 12345.6789015, *np.round(rng.random(3000), 7).tolist()]
+    df = spark.createDataFrame([(v,) for v in values], "v double").select("v", D.fixed(F.col("v")))
+    assert [(r[0], r[1]) for r in df.collect() if r[1] != f"{r[0]:.6f}"] == []
