@@ -10,7 +10,7 @@ from pyspark.sql.types import DoubleType
 
 from corvane.functions import fuzzy
 from corvane.functions import text as T
-from corvane.operators.keyed import dealt_join, numbered_grams
+from corvane.operators.keyed import dealt_join, numbered_grams, pieces
 from corvane.operators.rounds import saved
 
 NAME_THRESHOLD = 72.0
@@ -40,11 +40,33 @@ def _shared_needed(la: Column, lb: Column, threshold: float) -> Column:
         return F.lit(1)
     inside = F.greatest(F.lit(1), la - 1)
     stretch = F.greatest(F.lit(1), F.ceil(short / 3 - 1 - 1e-9))
-    if threshold > 100:
-        return inside
     return F.when(long < 1.5 * short, 2).when(long <= 8 * short, F.least(F.lit(2), stretch)).otherwise(inside)
 
 
+def _alike(texts: DataFrame, names: DataFrame, threshold: float) -> DataFrame:
+    """(asked, one, other): the pairs that share as many pieces as a match must."""
+    gram = lambda c: F.explode(numbered_grams(F.col(c), 2)).alias("gram")
+    left = texts.where("asked <> ''").select("asked", gram("asked"))
+    right = names.select("one", "other", gram("one"))
+    met = dealt_join(left, right, "gram", F.col("one")).groupBy("asked", "one", "other").agg(F.count("*").alias("shared"))
+    pairs = met.where(F.col("shared") >= _shared_needed(F.length("asked"), F.length("one"), threshold))
+    # a query of one letter shares no inner piece with the names that hold it
+    letters = names.select("one", "other", F.explode(F.array_distinct(F.split("one", ""))).alias("asked"))
+    single = dealt_join(texts.where(F.length("asked") == 1), letters, "asked", F.col("one")).select("asked", "one", "other")
+    return pairs.select("asked", "one", "other").unionByName(single).distinct()
+
+
+def _holding(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """(asked, one, other): the names that hold a query, by an equi-join of whole queries with the names' stretches of their lengths."""
+    texts = texts.where("asked <> ''")
+    # as many lengths as the longest query has letters, at most
+    sizes = sorted(r["size"] for r in texts.select(F.length("asked").alias("size")).distinct().collect())
+    wanted = F.array(*map(F.lit, sizes)) if sizes else F.expr("array_repeat(0, 0)")
+    stretches = lambda c: F.flatten(F.transform(wanted, lambda n: pieces(F.col(c), n)))
+    held = names.select("one", "other", F.explode(F.array_distinct(F.concat(stretches("one"), stretches("other")))).alias("asked"))
+    return dealt_join(texts, held, "asked", F.col("one")).select("asked", "one", "other")
+
+
 def search_people(people: DataFrame, queries: DataFrame, threshold: float = NAME_THRESHOLD, most: int | None = None) -> DataFrame:
     """(query_id, person_id, inside, score, place): the people whose name matches a query, best first; most: of each query, so many.
 
@@ -54,25 +76,20 @@ def search_people(people: DataFrame, queries: DataFrame, threshold: float = NAME
     Queries and names of equal folded text are one each. Pairs come from an equi-join on two-letter pieces and are counted: only those
     that share as many as a match must (see _shared_needed) are compared, and of those only the ones whose letters allow it go through the
     edit distance. A piece that very many names have is dealt over several tasks. There is no limit on queries or names.
+
+    No score is more than 100, so a threshold beyond that asks only for the names that hold the query: they are joined on the whole query,
+    without any other pair, and scores are computed only where they are read.
     """
     given, family = T.fold_name(F.coalesce("given", F.lit(""))), T.fold_name(F.coalesce("family", F.lit("")))
     forms = people.select("person_id", "n_items", F.btrim(F.concat_ws(" ", given, family)).alias("one"), F.btrim(F.concat_ws(" ", family, given)).alias("other"))
     forms = saved(forms)
     asked = queries.select("query_id", T.fold_name(F.coalesce("text", F.lit(""))).alias("asked"))
     names, texts = forms.select("one", "other").distinct(), asked.select("asked").distinct()
-    gram = lambda c: F.explode(numbered_grams(F.col(c), 2)).alias("gram")
-    left = texts.where("asked <> ''").select("asked", gram("asked"))
-    right = names.select("one", "other", gram("one"))
-    met = dealt_join(left, right, "gram", F.col("one")).groupBy("asked", "one", "other").agg(F.count("*").alias("shared"))
-    pairs = met.where(F.col("shared") >= _shared_needed(F.length("asked"), F.length("one"), threshold))
-    # a query of one letter shares no inner piece with the names that hold it
-    letters = names.select("one", "other", F.explode(F.array_distinct(F.split("one", ""))).alias("asked"))
-    single = dealt_join(texts.where(F.length("asked") == 1), letters, "asked", F.col("one")).select("asked", "one", "other")
-    pairs = pairs.select("asked", "one", "other").unionByName(single).distinct()
+    only_inside = threshold > 100
     inside = F.contains(F.col("one"), F.col("asked")) | F.contains(F.col("other"), F.col("asked"))
-    pairs = pairs.withColumn("inside", inside)
+    pairs = _holding(texts, names).withColumn("inside", F.lit(True)) if only_inside else _alike(texts, names, threshold).withColumn("inside", inside)
     scored = pairs.withColumn("score", _resemblance("asked", "one", "other", F.when(F.col("inside"), 0.0).otherwise(threshold)))
-    scored = scored.where(F.col("inside") | (F.col("score") >= threshold))
+    scored = scored if only_inside else scored.where(F.col("inside") | (F.col("score") >= threshold))
     if not texts.where("asked = ''").isEmpty():
         scored = scored.unionByName(names.select(F.lit("").alias("asked"), "one", "other", F.lit(True).alias("inside"), F.lit(0.0).alias("score")))
     order = [F.desc("inside"), F.desc("score"), F.desc("n_items"), F.col("person_id")]

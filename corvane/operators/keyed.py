@@ -23,8 +23,8 @@ def dealt_join(short: DataFrame, long: DataFrame, key: str, spread: Column, most
     return every.join(dealt, [key, "_part"]).drop("_part")
 
 
-def pieces(text: Column, size: int) -> Column:
-    """All stretches of so many letters of a string."""
+def pieces(text: Column, size: int | Column) -> Column:
+    """All stretches of so many letters, one or more, of a string."""
     return F.when(F.length(text) >= size, F.transform(F.sequence(F.lit(1), F.length(text) - (size - 1)), lambda i: F.substring(text, i, F.lit(size)))).otherwise(F.expr("array_repeat('', 0)"))
 
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane.functions import fuzzy
-from corvane.operators import identity, keyed, people_queries, typo_search
+from corvane.operators import detail_queries, identity, keyed, people_queries, typo_search
 from tests.core.test_identity import greedy
 
 
@@ -155,3 +155,19 @@ def test_repeated_items_and_groups(spark):
 def test_pages(spark):
     df = typo_search.paged(spark.createDataFrame([(1, k) for k in range(31)] + [(2, 5)], "query_id long, item_id long"), [F.col("item_id")])
     assert {(r["query_id"], r["pages"], r["page"]) for r in df.collect()} == {(1, 3, 1), (1, 3, 2), (1, 3, 3), (2, 1, 1)}
+
+
+def test_names_that_hold_a_query_are_joined_on_it(spark, monkeypatch):
+    monkeypatch.setattr(keyed, "MOST", 20)
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abć") for _ in range(rng.choice([1, 2, 3, 5, 9])))
+    people = [(k, word(), word(), k % 4) for k in range(120)] + [(200, None, "Aba", 1), (201, "", "", 2), (202, "aba", "", 3)]
+    queries = list(enumerate(["", None, "a", "ć", "ab", "b a", "aba", "bc a", "cab", "zz", "abcabcabcabcabcabc", *(f"{p[2]} {p[1]}"[1:6] for p in people[:40])]))
+    df = identity.search_people(spark.createDataFrame(people, "person_id long, given string, family string, n_items int"), spark.createDataFrame(queries, "query_id long, text string"), 101.0)
+    got = [(r["query_id"], r["person_id"], r["inside"], r["score"]) for r in df.collect()]
+    assert len(got) == len(set(got)) and set(got) == searched(people, queries, 101.0)
+
+
+def test_people_found_compares_no_names(spark, sf_dir):
+    plan = detail_queries.people_found(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_resemblance" not in plan and "gram" not in plan
