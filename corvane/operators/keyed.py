@@ -9,17 +9,22 @@ from pyspark.sql import functions as F
 MOST = 200_000
 
 
-def dealt_join(short: DataFrame, long: DataFrame, key: str, spread: Column, most: int = MOST) -> DataFrame:
+def dealt_join(short: DataFrame, long: DataFrame, key: str, spread: Column, most: int = MOST, wide: bool = False) -> DataFrame:
     """The inner join of two tables on a key, its common values dealt out: rows of long by spread, those of short to every part.
 
     The list of common keys has one row for each `most` rows of long at most, so it may be broadcast; it is counted beforehand,
     by a partial aggregate. No part of a key has many more than `most` rows of long.
+
+    wide: the result is far larger than both tables, so all shuffle partitions are kept, however few bytes are in them.
     """
     common = long.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > most)
     common = F.broadcast(common.select(F.col(key).alias("_common"), F.ceil(F.col("_n") / most).alias("_parts")))
-    parts = F.coalesce("_parts", F.lit(1)).cast("long")
-    dealt = long.join(common, F.col(key) == F.col("_common"), "left").withColumn("_part", F.pmod(F.xxhash64(spread), parts)).drop("_common", "_parts")
-    every = short.join(common, F.col(key) == F.col("_common"), "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("_common", "_parts")
+    share = F.coalesce("_parts", F.lit(1)).cast("long")
+    dealt = long.join(common, F.col(key) == F.col("_common"), "left").withColumn("_part", F.pmod(F.xxhash64(spread), share)).drop("_common", "_parts")
+    every = short.join(common, F.col(key) == F.col("_common"), "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), share - 1))).drop("_common", "_parts")
+    if wide:
+        parts = int(short.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        every, dealt = every.repartition(parts, key, "_part"), dealt.repartition(parts, key, "_part")
     return every.join(dealt, [key, "_part"]).drop("_part")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import fuzzy
 from corvane.operators import detail_queries, identity, keyed, people_queries, typo_search
+from corvane.operators.rounds import saved
 from tests.core.test_identity import greedy
 
 
@@ -171,3 +172,18 @@ def test_names_that_hold_a_query_are_joined_on_it(spark, monkeypatch):
 def test_people_found_compares_no_names(spark, sf_dir):
     plan = detail_queries.people_found(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "_resemblance" not in plan and "gram" not in plan
+
+
+def test_copies_of_texts_and_queries_are_searched_once(spark, monkeypatch):
+    """60 copies of 40 texts asked for by 20 copies of 12 queries: what is written between the steps holds each once, but for the ids."""
+    kept = []
+    monkeypatch.setattr(typo_search, "saved", lambda df: kept.append(saved(df)) or kept[-1])
+    monkeypatch.setattr(typo_search, "COPIES", 7)
+    names = [f"{a} {b}" for a in ("large", "hot", "blue", "old", "cold") for b in ("ring", "bolt", "plate", "gear", "pipe", "rod", "nut", "cap")]
+    items = spark.createDataFrame([(k, names[k % 40]) for k in range(2400)], "item_id long, text string")
+    asked = [f"{b} {a[:3]}" for a in ("large", "blue", "old") for b in ("ring", "bolt", "cap", "gaer")]
+    queries = spark.createDataFrame([(k, asked[k % 12]) for k in range(240)], "query_id long, text string")
+    for typos in (True, False):
+        got = [(r["query_id"], r["item_id"]) for r in typo_search.matches(items, queries, typos).collect()]
+        assert len(got) == len(set(got)) and set(got) == {(q, i) for q in range(240) for i in range(2400) if holds(asked[q % 12], names[i % 40], typos)}
+    assert sorted(df.count() for df in kept)[-4:] == [240, 240, 2400, 2400] and max(df.count() for df in kept if "row" not in df.columns and "query_id" not in df.columns) < 200
