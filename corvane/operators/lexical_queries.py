@@ -31,17 +31,17 @@ def _hits(spark, sf_dir: str) -> DataFrame:
     return asked.join(words, "word").groupBy("query_id", "item_id").agg(F.max("n").alias("n"), F.count("*").alias("hits"), F.sum(F.when(F.col("strong"), 1.5).otherwise(1.0)).alias("weighted"))
 
 
-def _postings(spark, sf_dir: str, title: float) -> lexical.Postings:
-    """The words of all items; title: what those of the title count, against 1 for the others."""
+def _postings(spark, sf_dir: str, title: float, asked: DataFrame) -> lexical.Postings:
+    """The words of all items that the queries ask for; title: what those of the title count, against 1 for the others."""
     docs = facts(table(spark, sf_dir, "documents")).select("item_id", tokens(F.col("title")).alias("strong"), tokens(F.col("body")).alias("words"))
     rows = docs.select("item_id", "strong", F.explode("words").alias("word"))
-    return lexical.postings(rows.select("item_id", "word", F.when(F.array_contains("strong", F.col("word")), title).otherwise(1.0).alias("weight")))
+    return lexical.postings(rows.select("item_id", "word", F.when(F.array_contains("strong", F.col("word")), title).otherwise(1.0).alias("weight")), asked)
 
 
 def lexical_items(spark, sf_dir: str) -> DataFrame:
     """The ten best items of each query by weighted coverage of its tokens, mapped into 0.45 to 0.95."""
     asked = _asked(spark, sf_dir)
-    found = lexical.best_items(_postings(spark, sf_dir, 1.5), asked, 10).join(asked.select("query_id", F.size("asked").alias("n")), "query_id")
+    found = lexical.best_items(_postings(spark, sf_dir, 1.5, asked), asked, 10).join(asked.select("query_id", F.size("asked").alias("n")), "query_id")
     score = F.round(F.least(F.lit(0.95), 0.45 + 0.5 * (F.col("weighted") / (F.col("n") * 1.5))), 9)
     return found.select("query_id", "item_id", score.alias("score"), "place")
 
@@ -52,7 +52,7 @@ def lexical_courses(spark, sf_dir: str) -> DataFrame:
     Every seventh query is asked without its tokens here, as the table's ones all have some.
     """
     asked = _briefly(_asked(spark, sf_dir))
-    found = lexical.best_items(_postings(spark, sf_dir, 1.0), asked, 12).join(asked.select("query_id", F.size("asked").alias("n")), "query_id")
+    found = lexical.best_items(_postings(spark, sf_dir, 1.0, asked), asked, 12).join(asked.select("query_id", F.size("asked").alias("n")), "query_id")
     score = F.round(F.least(F.lit(0.96), 0.4 + 0.55 * (F.col("hits") / F.col("n"))), 9)
     items = facts(table(spark, sf_dir, "documents"))
     return lexical.filled(found.select("query_id", "item_id", score.alias("score")), asked, items, 12, F.when(F.size("asked") > 0, 0.4).otherwise(0.55)).select("query_id", "item_id", "score", "place")

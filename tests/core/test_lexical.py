@@ -61,3 +61,14 @@ def test_filled_up_by_id(spark):
 def test_empty(spark):
     index, asked = frames(spark, {1: {"a": 1.0}}, {5: []})
     assert lexical.best_items(index, asked, 3).count() == 0
+
+
+def test_only_words_that_are_asked_for_are_kept(spark):
+    items, queries = corpus()
+    rows = spark.createDataFrame([(i, w, x) for i, ws in items.items() for w, x in ws.items()], "item_id long, word string, weight double")
+    asked = spark.createDataFrame([(q, ws) for q, ws in queries.items() if q % 20 == 0], "query_id long, asked array<string>")
+    index = lexical.postings(rows, asked)
+    wanted = {w for q, ws in queries.items() if q % 20 == 0 for w in ws}
+    assert {r["word"] for r in index.rows.collect()} == {w for ws in items.values() for w in ws} & wanted
+    got = {(r["query_id"], r["item_id"], r["hits"], r["weighted"], r["place"]) for r in lexical.best_items(index, asked, 10).collect()}
+    assert got == {x for x in expected(items, queries, 10) if x[0] % 20 == 0}
