@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corvane.functions import display as D
 from corvane.functions import scoring as S
 from corvane.functions import text as T
-from corvane.operators import ranking, vector_index
+from corvane.operators import lexical, ranking, vector_index
 from corvane.plans import sql
 from corvane.plans.standins import FACTS, GROUPS, ITEMS, PARAMS, SEARCHES, facts, items, searches, table
 
@@ -65,12 +65,8 @@ def similar_groups(spark, sf_dir: str) -> DataFrame:
 def lexical_overlap(spark, sf_dir: str) -> DataFrame:
     """Every benchmark item, as a query, against the titles of all documents: the pairs with a common term."""
     queries = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array(T.content_terms(F.col("text")))).alias("terms"))
-    titles = facts(table(spark, sf_dir, "documents")).select(F.col("item_id").alias("doc_id"), F.explode(F.array_distinct(T.content_terms(F.col("title")))).alias("word"))
-    # terms match only if they agree in four letters, or wholly if shorter: an equi-join on those, then the exact test
-    left = queries.select("item_id", F.size("terms").alias("n"), F.explode("terms").alias("term")).withColumn("stem", F.left("term", F.lit(T.STEM)))
-    right = titles.withColumn("stem", F.left("word", F.lit(T.STEM)))
-    hits = left.join(right, "stem").where(T.tokens_match(F.col("term"), F.col("word")))
-    return hits.groupBy("item_id", "doc_id").agg(F.round(F.count_distinct("term") / F.max("n"), 6).alias("overlap"))
+    titles = facts(table(spark, sf_dir, "documents")).select(F.col("item_id").alias("doc_id"), T.content_terms(F.col("title")).alias("words"))
+    return lexical.overlaps(queries, titles, "item_id", "doc_id")
 
 
 def explanation(spark, sf_dir: str) -> DataFrame:

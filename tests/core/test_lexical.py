@@ -1,8 +1,9 @@
 import random
 
+import duckdb
 from pyspark.sql import functions as F
 
-from corvane.operators import keyed, lexical
+from corvane.operators import keyed, lexical, ranking_queries
 
 
 def corpus(n=400, seed=1):
@@ -72,3 +73,38 @@ def test_only_words_that_are_asked_for_are_kept(spark):
     assert {r["word"] for r in index.rows.collect()} == {w for ws in items.values() for w in ws} & wanted
     got = {(r["query_id"], r["item_id"], r["hits"], r["weighted"], r["place"]) for r in lexical.best_items(index, asked, 10).collect()}
     assert got == {x for x in expected(items, queries, 10) if x[0] % 20 == 0}
+
+
+def overlap_tables(spark, folder, n_titles, n_queries, seed=3):
+    """benchmark and documents of like words with repeated and null ids; some texts are null, empty or stopwords only."""
+    rng = random.Random(seed)
+    words = [a + b for a in ("graf", "mrez", "baza", "kod", "signal", "slik", "vid") for b in ("", "a", "e", "ova", "ovi", "ama")]
+    said = lambda most: rng.choice([None, "", "the za 12"]) if rng.random() < 0.05 else " ".join(rng.choices(words, k=rng.randint(1, most)))
+    number = lambda k, n: None if k < 2 else k % (n - 3)
+    queries = [(number(k, n_queries), said(6)) for k in range(n_queries)]
+    titles = [(number(k, n_titles), said(4) if k % 9 else "graf mreza\nbaza", "hr", "s", 1) for k in range(n_titles)]
+    spark.createDataFrame(queries, "item_id long, text string").coalesce(2).write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame(titles, "doc_id long, text string, lang string, source string, n_chars long").coalesce(2).write.parquet(f"{folder}/documents.parquet")
+
+
+def overlap_by_sql(folder):
+    connection = duckdb.connect()
+    for name in ("benchmark", "documents"):
+        connection.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{folder}/{name}.parquet/*.parquet')")
+    return sorted(((i, d, round(x, 6)) for i, d, x in connection.execute(ranking_queries.SQL["lexical_overlap"]).fetchall()), key=repr)
+
+
+def test_overlap_of_repeated_and_null_ids(spark, tmp_path, monkeypatch):
+    overlap_tables(spark, tmp_path, 150, 40)
+    want = overlap_by_sql(tmp_path)
+    for terms in (200_000, 30):  # all queries at once, and in blocks
+        monkeypatch.setattr(lexical, "TERMS", terms, raising=False)
+        got = ranking_queries.lexical_overlap(spark, str(tmp_path)).collect()
+        assert sorted(((r["item_id"], r["doc_id"], round(r["overlap"], 6)) for r in got), key=repr) == want
+
+
+def test_overlap_pairs_of_a_task_are_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(lexical, "PAIRS", 1_000, raising=False)
+    overlap_tables(spark, tmp_path, 600, 40)
+    held = ranking_queries.lexical_overlap(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in held) < 2_000 and sum(r["count"] for r in held) == len(overlap_by_sql(tmp_path))
